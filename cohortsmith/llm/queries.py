@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup, suffix_dedup
-from ._common import table
+from pyspark.sql import functions as F
+
+from . import language_id, quality_rules, substring_dedup, suffix_dedup
+from ._common import saved, table
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,4 +18,19 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_array_dedup, op4_substring_dedup)}
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The counts are small and used twice, by the fit and by the verdicts: written, not counted again.
+    counts = saved(quality_rules.counted(table(spark, sf_dir, "documents")).select("doc_id", "_q"))
+    model = quality_rules.fit(counts, table(spark, sf_dir, "labels"))
+    failed = quality_rules.base_failed()
+    return counts.select(
+        "doc_id", *(F.col(f"_q.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
+        failed.alias("base_failed"), (~failed & ~model.rejected()).alias("kept"), model.score().cast("long").alias("score"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op2_suffix_array_dedup, op4_substring_dedup, op6_language_id, op9_quality_rules)}

@@ -1,5 +1,7 @@
 """What the queries must return, as DuckDB SQL over the same tables, where SQL can say it."""
 
+from . import quality_rules
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP2 = """
@@ -28,4 +30,38 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed
 FROM d LEFT JOIN k USING (doc_id)
 """
 
-ORACLES = {"op2_suffix_array_dedup": OP2, "op4_substring_dedup": OP4}
+
+
+def _op9(alpha: float = quality_rules.ALPHA, delta: float = quality_rules.DELTA) -> str:
+    features = quality_rules.FEATURES
+    strata = len(quality_rules.STRATA) + 1
+    value = {f: f"floor(1000 * {a} / greatest({b}, 1))" for f, (a, b, _) in features.items()}
+    bins = {f: " + ".join(f"({value[f]} > {x})::INT" for x in bounds) for f, (_, _, bounds) in features.items()}
+    n_bins = len(next(iter(features.values()))[2]) + 1
+    return f"""
+WITH b AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM b),
+x AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
+d AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS n FROM x) WHERE n > 1),
+e AS (SELECT r, count(DISTINCT i + j) AS n FROM (SELECT r, i, unnest(range(0, 8)) AS j FROM d) GROUP BY r),
+q AS (SELECT r, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines,
+        len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, length(t) - length(regexp_replace(t, '\\p{{Lu}}+', '', 'g')) AS n_upper FROM w LEFT JOIN e USING (r)),
+f AS (SELECT *, {', '.join(f'{v} AS bin_{k}' for k, v in bins.items())}, {' + '.join(f'(n_words >= {x})::INT' for x in quality_rules.STRATA)} AS stratum FROM q),
+k AS (SELECT f.*, quality, md5(doc_id::VARCHAR) < '8' AS half FROM f JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
+c AS ({' UNION ALL '.join(f"SELECT '{k}' AS feature, bin_{k} AS bin, quality FROM k WHERE half" for k in features)}),
+g AS (SELECT feature, bin, count(*) FILTER (quality = 0) AS bad, count(*) FILTER (quality = 1) AS good FROM (FROM c UNION ALL SELECT DISTINCT feature, unnest(range(0, {n_bins})), NULL FROM c) GROUP BY ALL),
+o AS (SELECT feature, bin, floor(100 * ln(((bad + 1) * (sum(good) OVER p + {n_bins}))::DOUBLE / ((good + 1) * (sum(bad) OVER p + {n_bins}))::DOUBLE) + 0.5) AS odds FROM g WINDOW p AS (PARTITION BY feature)),
+s AS (SELECT f.*, {' + '.join(f'coalesce(o_{k}.odds, 0)' for k in features)} AS score FROM f {' '.join(f"LEFT JOIN o o_{k} ON o_{k}.feature = '{k}' AND o_{k}.bin = bin_{k}" for k in features)}),
+h AS (SELECT stratum, score FROM s JOIN labels USING (doc_id) WHERE quality = 1 AND md5(doc_id::VARCHAR) >= '8'),
+t AS (SELECT stratum, cut, count(*) AS n, count(*) FILTER (score > cut) AS k FROM h, (SELECT unnest({list(quality_rules.CUTOFFS)}) AS cut) GROUP BY ALL),
+u AS (SELECT stratum, cut, k <= n * {alpha} AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha}) + (n - i) * ln(1 - {alpha})))) <= {delta / strata} AS ok FROM t),
+v AS (SELECT stratum, min(cut) AS cutoff FROM u WHERE ok AND NOT EXISTS (FROM u z WHERE z.stratum = u.stratum AND z.cut > u.cut AND NOT z.ok) GROUP BY stratum),
+y AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s LEFT JOIN v USING (stratum))
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+       base_failed, NOT base_failed AND NOT coalesce(score > cutoff, false) AS kept, score::BIGINT AS score FROM y
+"""
+
+
+OP9 = _op9()
+
+ORACLES = {"op9_quality_rules": OP9, "op2_suffix_array_dedup": OP2, "op4_substring_dedup": OP4}
