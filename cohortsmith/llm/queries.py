@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import language_id, quality_rules, substring_dedup, suffix_dedup
-from ._common import saved, table
+from . import language_id, quality_rules, substring_dedup, suffix_dedup, token_store
+from ._common import saved, shared_path, table
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,15 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = shared_path(spark, "token-store")
+    token_store.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    token_store.verify(spark, path)
+    return token_store.checksums(spark, path)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The counts are small and used twice, by the fit and by the verdicts: written, not counted again.
     counts = saved(quality_rules.counted(table(spark, sf_dir, "documents")).select("doc_id", "_q"))
@@ -33,4 +42,4 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_array_dedup, op4_substring_dedup, op6_language_id, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_suffix_array_dedup, op4_substring_dedup, op6_language_id, op8_token_store, op9_quality_rules)}
