@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import language_id, quality_rules, substring_dedup, suffix_dedup, token_store
+from . import language_id, piece_tokens, quality_rules, simhash, substring_dedup, suffix_dedup, token_store
 from ._common import saved, shared_path, table
 
 
@@ -18,6 +18,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, and n_near: documents with another fingerprint within the radius."""
+    prints = saved(simhash.compared(table(spark, sf_dir, "documents")))
+    return prints.join(simhash.neighbours(prints), "fingerprint").drop("n")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -42,4 +48,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_array_dedup, op4_substring_dedup, op6_language_id, op8_token_store, op9_quality_rules)}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return piece_tokens.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op2_suffix_array_dedup, op4_substring_dedup, op5_document_fingerprints, op6_language_id, op8_token_store, op9_quality_rules, op10_sentencepiece)}
