@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import language_id, piece_tokens, quality_rules, simhash, substring_dedup, suffix_dedup, token_store
+from . import jaccard_join, language_id, piece_tokens, quality_rules, simhash, substring_dedup, suffix_dedup, token_store
 from ._common import saved, shared_path, table
 
 
@@ -28,6 +28,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(table(spark, sf_dir, "documents"))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,4 +58,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_tokens.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_array_dedup, op4_substring_dedup, op5_document_fingerprints, op6_language_id, op8_token_store, op9_quality_rules, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op2_suffix_array_dedup, op4_substring_dedup, op5_document_fingerprints, op6_language_id, op7_ngram_jaccard_join, op8_token_store, op9_quality_rules, op10_sentencepiece)}
