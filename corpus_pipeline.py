@@ -1,8 +1,90 @@
-"""Corpus pipeline (stages follow)."""
+"""The corpus pipeline: quality rules, language, near duplicates, repeated passages, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns a table that
+is written as Parquet in the shared folder and read again as the next stage's docs. All but the last
+return the columns of documents. In every stage null ids and texts, empty texts, repeated rows and an
+empty table have the result that its operator defines; stages 3 and 4 leave one row of each doc_id.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from cohortsmith.llm import jaccard_join, language_id, packing, quality_rules, suffix_dedup
+from cohortsmith.llm._common import NULL_ID, remove, shared_path, table
+from cohortsmith.shipping import ship
+
+#: A prediction below this is no decision between languages.
+LEAST_SCORE = 0.5
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and the risk-controlled cutoffs."""
+    ship(spark)
+    return quality_rules.judged(docs, table(spark, sf_dir, "labels")).filter("kept").select(*docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language: not `und`, and not undecided between two."""
+    ship(spark)
+    found = language_id.predicted(docs, language_id.fit(docs))
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def one_of_each_id(docs: DataFrame) -> DataFrame:
+    """docs with the key `_k` of their ids; where rows repeat an id, the one with the smallest text, as the operators do."""
+    out = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    if out.groupBy("_k").count().filter("count > 1").limit(1).count():
+        first = Window.partitionBy("_k").orderBy(F.coalesce("text", F.lit("")), *(F.to_json(F.struct(c)) for c in docs.columns))
+        out = out.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    return out
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the smallest doc_id."""
+    ship(spark)
+    kept = jaccard_join.linked(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_k"))
+    return one_of_each_id(docs).join(kept.hint("shuffle_hash"), "_k", "left_semi").select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes that occur earlier; one of which nothing is left goes."""
+    ship(spark)
+    texts = suffix_dedup.kept_texts(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_k"), F.col("text").alias("_kept"))
+    rest = one_of_each_id(docs).select("_k", *(c for c in docs.columns if c != "text"))
+    out = rest.join(texts, "_k").filter("_kept != ''").withColumn("text", F.col("_kept"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sequences of all documents, in batches of optimal length buckets."""
+    ship(spark)
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("language id", language),
+    ("near duplicates", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("packing", pack),
+]
+
+#: The language model's sums and the chosen paths are beyond SQL; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole documents table; each stage's input is removed once the next is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        path = shared_path(spark, f"pipeline-{name.replace(' ', '-')}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
+    return docs
