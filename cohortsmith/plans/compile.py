@@ -15,6 +15,7 @@ from .rewrite import constrained, is_simple, rewritten
 
 _KEY = {SAME_ENCOUNTER: "encounter", DIFFERENT_ENCOUNTER: "encounter", SAME_EPISODE: "episodeOfCare"}
 _DATES = (EVENT, START, END)
+_EVERYBODY = 1 << 20  # no criterion's id
 
 
 class Compiled:
@@ -34,7 +35,9 @@ class Compiled:
         self._check(self.root)
         self.one_pass = one_pass and not self.by_id and is_simple(self.root)
         self._sets: dict[int, DataFrame] = {}
-        self._flagged: tuple[DataFrame, dict[int, Column]] | None = None
+        self._place: dict[int, int] = {}
+        self._flag_sets: dict[int, DataFrame] = {}
+        self._value: dict[int, Column] = {}
 
     def _check(self, root: Criterion) -> None:
         for node in walk(root):
@@ -63,7 +66,14 @@ class Compiled:
         asked = {c.id: c for c in walk(self.request.root)} if self.request.root is not None else {}
         if not wanted <= set(asked):
             raise RequestError(f"no criteria {sorted(wanted - set(asked))}")
+        if not wanted:
+            raise RequestError("no stages")
         nodes = {c.id: c for c in walk(self.root)}
+        if self.one_pass:
+            flagged, value = self._flags()
+            own = {i: value[i] if nodes[i].inclusive else self._flag_of_all() & ~value[i] for i in sorted(wanted)}
+            flagged, _ = self._flags()
+            return flagged.select("subject", F.explode(F.array_compact(F.array(*(F.when(v, i) for i, v in own.items())))).alias("stage")).select("stage", "subject")
         out = None
         for i in sorted(wanted):
             node = nodes[i]
@@ -72,8 +82,6 @@ class Compiled:
                 rows = self.population().join(rows, "subject", "left_anti")
             rows = rows.select(F.lit(i).alias("stage"), "subject")
             out = rows if out is None else out.unionAll(rows)
-        if out is None:
-            raise RequestError("no stages")
         return out
 
     def organizations(self) -> DataFrame:
@@ -91,40 +99,38 @@ class Compiled:
 
     # --- one pass
 
+    def _flag(self, key: int, rows) -> Column:
+        """The flag of a set of subjects; rows gives the set when it is first asked for."""
+        if key not in self._place:
+            self._place[key] = len(self._flag_sets)
+            self._flag_sets[key] = rows()
+        return F.coalesce(F.col(f"f{self._place[key]}"), F.lit(False))
+
+    def _flag_of_all(self) -> Column:
+        return self._flag(_EVERYBODY, self.population)
+
     def _flags(self) -> tuple[DataFrame, dict[int, Column]]:
-        if self._flagged is None:
-            sets: dict[int, DataFrame] = {}
-            place: dict[int, int] = {}
-
-            def flag(key: int, rows) -> Column:
-                if key not in place:
-                    place[key] = len(sets)
-                    sets[key] = rows()
-                return F.col(f"f{place[key]}")
-
-            value: dict[int, Column] = {}
-            everybody = 1 << 20  # no criterion's id
-
-            def decide(node: Criterion) -> Column:
-                if isinstance(node, Leaf):
-                    value[node.id] = flag(node.id, lambda: self._leaf_set(node))
-                    return value[node.id]
-                own = {c.id: decide(c) for c in node.children}
-                inside = [own[c.id] for c in node.included] or [flag(everybody, self.population)]
-                if node.kind == AND:
-                    keep = reduce(lambda a, b: a & b, inside)
-                elif node.kind == OR:
-                    keep = reduce(lambda a, b: a | b, inside)
-                else:
-                    keep = groups.n_flags(inside, node.n_among_m)
-                for c in node.excluded:
-                    keep = keep & ~own[c.id]
-                value[node.id] = keep
-                return keep
-
-            decide(self.root)
-            self._flagged = (groups.flags(sets), value)
-        return self._flagged
+        """(subject and a flag for each set), and the condition by which each criterion holds."""
+        if not self._value:
+            self._decide(self.root)
+        return groups.flags(self._flag_sets), self._value
+
+    def _decide(self, node: Criterion) -> Column:
+        if isinstance(node, Leaf):
+            keep = self._flag(node.id, lambda: self._leaf_set(node))
+        else:
+            own = {c.id: self._decide(c) for c in node.children}
+            inside = [own[c.id] for c in node.included] or [self._flag_of_all()]
+            if node.kind == AND:
+                keep = reduce(lambda a, b: a & b, inside)
+            elif node.kind == OR:
+                keep = reduce(lambda a, b: a | b, inside)
+            else:
+                keep = groups.n_flags(inside, node.n_among_m)
+            for c in node.excluded:
+                keep = keep & ~own[c.id]
+        self._value[node.id] = keep
+        return keep
 
     # --- sets of subjects
 
