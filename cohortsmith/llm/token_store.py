@@ -4,7 +4,8 @@ Texts become id streams. A rolling hash over the last ids decides, from content
 is cut into chunks; a chunk is named by its digest and stored once, and a document is a recipe, the
 list of its chunks. The store is a folder with three tables:
 
-* chunks: digest (16 bytes), body (ids as little-endian unsigned 32-bit integers), each digest once
+* chunks: digest (16 bytes), body (ids as little-endian unsigned integers of 16 bits, if the vocabulary
+  has at most 65,536 pieces, else of 32), each digest once
 * recipes: doc_id, start (ids of all documents before it), n_tokens, digests, sizes; segments (files)
   follow each other in ascending doc_id order
 * manifest: for each segment its documents, ids and Merkle root; segment -1 is the root over all
@@ -17,46 +18,141 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import NULL_ID, Rolling, keyed, mix, remove, text_bytes
+from ._common import BYTE_CODES, NULL_ID, Rolling, keyed, mix, remove, text_bytes
 
 END_ID = 2
 #: A chunk ends where the hash of the last WINDOW ids has its lowest CUT_BITS bits zero, or at LONGEST ids.
 WINDOW, CUT_BITS, LONGEST = 16, 8, 4096
-_CACHE = 400_000
+_CACHE = 700_000
 
 
-class WordEncoder:
-    """Encodes texts word by word, remembering words' ids up to a bound.
+#: What the tokenizer's normalizer and pattern make of a text of Latin-1 characters: its parts, in lower case.
+_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+"
 
-    For tokenizers whose pieces never cross ASCII white space and drop it (as word_bpe_49k.json), a
-    text's ids are those of its words, one after the other.
+
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """For each Latin-1 character its lower case, and its class: 0 white space, 1 letter, 2 digit (a part by itself), 3 other."""
+    lower = np.array([ord(c) if len(c := chr(i).lower()) == 1 and ord(c) < 256 else i for i in range(256)], np.uint8)
+    kinds = np.array([0 if c in "\t\n\v\f\r \x85\xa0" else 1 if c.isalpha() else 2 if c.isnumeric() else 3 for c in map(chr, range(256))], np.uint8)
+    return lower, kinds
+
+
+class Encoder:
+    """Encodes texts with word_bpe_49k.json, remembering the ids of their parts (words, digits, marks) up to a bound.
+
+    The tokenizer drops white space and merges inside parts only, so that a text's ids are its parts' ids.
+    Texts are cut in numpy, many at a time, and each different part is looked up once, by a 64-bit hash.
+    Unknown parts are encoded many at a time, set apart by spaces: each has exactly one piece with the
+    end mark, its last. Texts with apostrophes (contractions are parts of their own) are cut by pattern;
+    texts with other than Latin-1 characters or with `<|`, which may begin a special token, go through
+    the tokenizer whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_mark: str = "</w>"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.ids = Tokenizer.from_file(path), {}
+        self.tokenizer, self.find = Tokenizer.from_file(path), re.compile(_PARTS).findall
+        self.width = width(self.tokenizer.get_vocab_size())
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith(end_mark)]] = True
+        self.lower, self.kinds = _classes()
+        self.hashed: dict[int, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, parts: list[str], names: list, into: dict) -> None:
+        for i in range(0, len(parts), 1000):
+            some = parts[i : i + 1000]
+            raw, at = self._ids([" ".join(some)])[0], 0
+            ends = self.width * (np.flatnonzero(self.ends[np.frombuffer(raw, f"<u{self.width}")]) + 1)
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer does not end each part with a marked piece")
+            for name, e in zip(names[i : i + 1000], ends.tolist(), strict=True):
+                into[name] = raw[at:e]
+                at = e
+
+    def _cut(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of Latin-1 texts without apostrophes."""
+        if len(self.hashed) > _CACHE:
+            self.hashed.clear()
+        at = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        low = self.lower[np.frombuffer(b" ".join([*texts, b""]), np.uint8)]
+        kinds = np.concatenate(([0], self.kinds[low], [0])).astype(np.uint8)
+        own = kinds[1:-1]
+        start = np.flatnonzero((own > 0) & ((own != kinds[:-2]) | (own == 2)))
+        stop = np.flatnonzero((own > 0) & ((own != kinds[2:]) | (own == 2))) + 1
+        unique, first, place = np.unique(Rolling(BYTE_CODES[low]).spans(start, stop), return_index=True, return_inverse=True)
+        names = unique.tolist()
+        got = list(map(self.hashed.get, names))
+        new = [i for i, x in enumerate(got) if x is None]
+        if new:
+            raw = low.tobytes().decode("latin-1")
+            a, b = start[first[new]].tolist(), stop[first[new]].tolist()
+            self._learn([raw[i:j] for i, j in zip(a, b, strict=True)], [names[i] for i in new], self.hashed)
+            for i in new:
+                got[i] = self.hashed[names[i]]
+        size = np.array([len(x) for x in got], np.int64) // self.width
+        flat, lengths = np.frombuffer(b"".join(got), f"<u{self.width}"), size[place]
+        ends = np.cumsum(lengths)
+        ids = flat[np.repeat((np.cumsum(size) - size)[place] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        cut = np.concatenate(([0], ends))[np.searchsorted(start, at)].tolist()
+        raw, w = ids.tobytes(), self.width
+        return [raw[w * i : w * j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
+
+    def _found(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts of Latin-1 characters, cut by pattern."""
+        if len(self.parts) > _CACHE:
+            self.parts.clear()
+        found = [self.find(t.lower()) for t in texts]
+        new = list(set(chain.from_iterable(found)) - self.parts.keys())
+        self._learn(new, new, self.parts)
+        return [b"".join(map(self.parts.__getitem__, parts)) for parts in found]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        if len(self.ids) > _CACHE:
-            self.ids.clear()
-        ids = self.ids
-        new = list({w for words in split for w in words if w not in ids})
-        if new:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                ids[w] = np.array(e.ids, "<u4").tobytes()
-        get = ids.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        out, plain, marked, rest = [b""] * len(texts), [], [], []
+        for i, raw in enumerate(texts):
+            text = raw.decode()
+            try:
+                narrow = text.encode("latin-1")
+            except UnicodeEncodeError:
+                rest.append((i, text))
+                continue
+            if b"<|" in narrow:
+                rest.append((i, text))
+            elif b"'" in narrow:
+                marked.append((i, text))
+            else:
+                plain.append((i, narrow))
+        for some, encode in ((plain, self._cut), (marked, self._found), (rest, self._ids)):
+            if some:
+                for (i, _), ids in zip(some, encode([t for _, t in some]), strict=True):
+                    out[i] = ids
+        return out
+
+
+def width(vocabulary: int) -> int:
+    """Bytes of a stored id."""
+    return 2 if vocabulary <= 1 << 16 else 4
+
+
+@lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder; what it remembers lasts from task to task."""
+    return Encoder(path)
 
 
 def cuts(ids: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -76,21 +172,22 @@ def cuts(ids: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 def _encode(path: str, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = WordEncoder(path), set()
-        end = np.array([end_id], "<u4").tobytes()
+        encoder, seen = encoder_of(path), set()
+        size = encoder.width
+        end = np.array([end_id], f"<u{size}").tobytes()
         for batch in batches:
             n = batch.num_rows
             data, at = text_bytes(batch.column("_text"))
             names = batch.column("_id").to_pylist()
-            for i in range(0, n, 256):
-                j = min(n, i + 256)
+            for i in range(0, n, 128):
+                j = min(n, i + 128)
                 streams = [x + end for x in encoder([data[at[k] : at[k + 1]].tobytes() for k in range(i, j)])]
-                sizes = np.array([len(x) // 4 for x in streams])
+                sizes = np.array([len(x) // size for x in streams])
                 edges = np.concatenate(([0], np.cumsum(sizes)))
                 raw = b"".join(streams)
-                ends = cuts(np.frombuffer(raw, "<u4"), edges)
+                ends = cuts(np.frombuffer(raw, f"<u{size}"), edges)
                 starts = np.concatenate(([0], ends[:-1]))
-                bodies = [raw[4 * s : 4 * e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                bodies = [raw[size * s : size * e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                 digests = [hashlib.blake2b(b, digest_size=16).digest() for b in bodies]
                 last = np.searchsorted(ends, edges[1:], side="left") + 1
                 first = np.concatenate(([0], last[:-1]))
@@ -153,8 +250,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> s
     placed = ordered.withColumn("start", (starts + F.coalesce(F.sum("n_tokens").over(running), F.lit(0))).cast("long"))
     placed.write.parquet(f"{path}/recipes")
     roots = _roots(spark.read.parquet(f"{path}/recipes"))
+    from tokenizers import Tokenizer
+
+    size = width(Tokenizer.from_file(tokenizer).get_vocab_size())
     top = roots.agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("first", "root"))), lambda x: x["root"])).cast("binary"), 256).alias("root"))
-    roots.unionByName(top.select(F.lit(-1).alias("segment"), F.lit(None).cast("long").alias("first"), F.lit(offset).cast("long").alias("n"), F.lit(None).cast("long").alias("docs"), "root")).coalesce(1).write.parquet(f"{path}/manifest")
+    roots.unionByName(top.select(F.lit(-1).alias("segment"), F.lit(None).cast("long").alias("first"), F.lit(offset).cast("long").alias("n"), F.lit(None).cast("long").alias("docs"), "root")).withColumn("width", F.lit(size)).coalesce(1).write.parquet(f"{path}/manifest")
     remove(spark, f"{path}/sorted")
     return spark.read.parquet(f"{path}/manifest").filter("segment = -1").first()["root"]
 
@@ -183,13 +283,21 @@ def verify(spark: SparkSession, path: str) -> None:
         raise ValueError(f"{path}: recipes differ from the manifest")
 
 
-def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        names, bodies = batch.column("digest").to_pylist(), batch.column("body").to_pylist()
-        for d, b in zip(names, bodies, strict=True):
-            if hashlib.blake2b(b, digest_size=16).digest() != d:
-                raise ValueError(f"chunk {d.hex()} has other content")
-        yield pa.RecordBatch.from_arrays([batch.column("digest").cast(pa.binary()), pa.array([len(b) // 4 for b in bodies], pa.int64()), pa.array([zlib.crc32(b) for b in bodies], pa.int64())], names=["digest", "n", "crc"])
+def stored_width(spark: SparkSession, path: str) -> int:
+    return spark.read.parquet(f"{path}/manifest").filter("segment = -1").first()["width"]
+
+
+def _facts(size: int):
+    def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, bodies = batch.column("digest").to_pylist(), batch.column("body").to_pylist()
+            for d, b in zip(names, bodies, strict=True):
+                if hashlib.blake2b(b, digest_size=16).digest() != d:
+                    raise ValueError(f"chunk {d.hex()} has other content")
+            crcs = [zlib.crc32(np.frombuffer(b, f"<u{size}").astype("<u4")) for b in bodies]
+            yield pa.RecordBatch.from_arrays([batch.column("digest").cast(pa.binary()), pa.array([len(b) // size for b in bodies], pa.int64()), pa.array(crcs, pa.int64())], names=["digest", "n", "crc"])
+
+    return facts
 
 
 _POLYNOMIAL = 0xEDB88320
@@ -230,7 +338,7 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     A document's CRC is the exclusive or of its chunks' CRCs, each moved by the bytes that follow, so ids
     are read once where they lie and only a few numbers for each chunk are joined.
     """
-    facts = chunks(spark, path).mapInArrow(_facts, "digest binary, n long, crc long")
+    facts = chunks(spark, path).mapInArrow(_facts(stored_width(spark, path)), "digest binary, n long, crc long")
     listed = recipes(spark, path)
     items = listed.mapInArrow(_after, "doc_id long, digest binary, size long, after long")
     joined = items.join(facts, "digest", "left")
@@ -253,7 +361,7 @@ def _after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def texts_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, ids) rebuilt whole from recipes and chunks."""
+    """(doc_id, start, ids) rebuilt whole from recipes and chunks; ids as stored, see stored_width()."""
     items = recipes(spark, path).select("doc_id", "start", F.posexplode("digests").alias("at", "digest"))
     got = items.join(chunks(spark, path), "digest").groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("at", "body"))).alias("x"))
     return got.select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "start", F.aggregate("x", F.lit(b""), lambda a, x: F.concat(a, x["body"])).alias("ids"))
