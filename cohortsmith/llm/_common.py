@@ -67,6 +67,29 @@ def id_back(column: str = "_id"):
     return F.when(F.col(column) != NULL_ID, F.col(column)).alias("doc_id")
 
 
+def tidy(f):
+    """f, a generator over batches, that gives its memory back to the system when it ends: workers wait idle beside other stages."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
+def release() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers whose bits all depend on all bits (splitmix64's last steps)."""
     x = x ^ (x >> np.uint64(30))

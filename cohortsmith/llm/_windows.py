@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Rolling, blocks, mix, text_bytes
+from ._common import Rolling, blocks, mix, text_bytes, tidy
 
 _LOW = (1 << 20) - 1
 #: Contexts of one anchor above which its windows are dealt by their offset from the anchor.
@@ -235,11 +235,11 @@ class Repeats:
 
     def find(self, docs: DataFrame) -> DataFrame:
         """(doc, runs: [(start, end)]) of every document with a window that occurs earlier. docs: (_id, _text)."""
-        rows = docs.mapInArrow(self._rows, "route long, context long, doc long, at long")
-        met = rows.repartition("route").mapInArrow(self._meet, "anchor long, doc long, at long")
+        rows = docs.mapInArrow(tidy(self._rows), "route long, context long, doc long, at long")
+        met = rows.repartition("route").mapInArrow(tidy(self._meet), "anchor long, doc long, at long")
         asked = met.filter("anchor is not null").groupBy(F.col("doc").alias("_id")).agg(F.collect_list(F.struct("anchor", "at")).alias("asked"))
-        content = docs.join(asked.hint("shuffle_hash"), "_id").select("_id", "_text", "asked").mapInArrow(self._fetch, "anchor long, doc long, start long, count long, content binary")
-        sorted_ = content.repartition("anchor").mapInArrow(self._order, "doc long, start long, stop long")
+        content = docs.join(asked.hint("shuffle_hash"), "_id").select("_id", "_text", "asked").mapInArrow(tidy(self._fetch), "anchor long, doc long, start long, count long, content binary")
+        sorted_ = content.repartition("anchor").mapInArrow(tidy(self._order), "doc long, start long, stop long")
         whole = met.filter("anchor is null").select("doc", F.expr("shiftright(at, 25)").alias("start"), F.expr(f"shiftright(at, 25) + (shiftright(at, 9) & 255) + {self.length - 1}").alias("stop"))
         return whole.unionByName(sorted_).groupBy(F.col("doc").alias("_id")).agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
 
@@ -273,7 +273,7 @@ class Repeats:
                 kinds = [types[x.split()[1]] for x in columns.split(",")]
                 yield _batch(_id=batch.column("_id"), **{k: pa.array(v, t) for k, v, t in zip(names, zip(*out, strict=True), kinds, strict=True)} if out else {k: pa.array([], t) for k, t in zip(names, kinds, strict=True)})
 
-        return joined.mapInArrow(apply, f"_id long, {columns}")
+        return joined.mapInArrow(tidy(apply), f"_id long, {columns}")
 
 
 def as_bytes(part: np.ndarray):

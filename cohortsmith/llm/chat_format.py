@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._common import tidy
+
 START, END = "<|im_start|>", "<|im_end|>"
 ASSISTANT = "assistant"
 #: Characters after which a conversation's text goes on in another row (at the end of a turn).
@@ -155,7 +157,7 @@ def turns_of(records: DataFrame, column: str = "record", mappings=MAPPINGS) -> D
             c = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), *(pa.array(x, pa.string()) for x in c[2:])], names=["conv_id", "turn", "role", "text", "fingerprint"])
 
-    return records.select(F.col("conv_id").cast("long").alias("conv_id"), F.col(column).cast("string").alias("record")).mapInArrow(read, "conv_id long, turn long, role string, text string, fingerprint string")
+    return records.select(F.col("conv_id").cast("long").alias("conv_id"), F.col(column).cast("string").alias("record")).mapInArrow(tidy(read), "conv_id long, turn long, role string, text string, fingerprint string")
 
 
 def turns_table(table: DataFrame) -> DataFrame:
@@ -199,7 +201,7 @@ def formatted(turns: DataFrame) -> DataFrame:
     """
     one = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = one.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.mapInArrow(_format, "conv_id long, part long, text string, loss array<struct<start:long,stop:long>>")
+    return dealt.mapInArrow(tidy(_format), "conv_id long, part long, text string, loss array<struct<start:long,stop:long>>")
 
 
 _PARTS = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("text", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
@@ -267,4 +269,4 @@ def read_back(formatted_: DataFrame) -> DataFrame:
         if begun:
             yield row()
 
-    return formatted_.mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted_.mapInArrow(tidy(read), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Rolling, blocks, id_back, keyed, mix, saved, text_bytes, word_codes
+from ._common import Rolling, blocks, id_back, keyed, mix, saved, text_bytes, tidy, word_codes
 from ._windows import Repeats
 from .components import components
 
@@ -278,19 +278,19 @@ def linked(docs: DataFrame) -> DataFrame:
     keyed(). A null doc_id's class_id is null. No documents, no rows.
     """
     texts = keyed(docs)
-    described = saved(texts.mapInArrow(_described, "_id long, name binary, size long, sketch binary, chosen array<struct<r:int,t:long>>"))
+    described = saved(texts.mapInArrow(tidy(_described), "_id long, name binary, size long, sketch binary, chosen array<struct<r:int,t:long>>"))
     named = described.filter("size > 0").groupBy("name").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     groups = saved(named)
     sets = described.select(F.col("_id").alias("rep"), "size", "sketch", "chosen").join(groups.select("rep", "n"), "rep")
     found = _buckets(sets.select("rep", "chosen"))
-    near = found.join(sets.select("rep", "sketch"), "rep").repartition("path").mapInArrow(_joined, "a long, b long")
+    near = found.join(sets.select("rep", "sketch"), "rep").repartition("path").mapInArrow(tidy(_joined), "a long, b long")
     labels = saved(components(near))
     sized = labels.join(sets.select(F.col("rep").alias("node"), "size", "n"), "node")
     shape = sized.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("long").alias("n_blocks"))
     members = sized.join(shape, "label").select(F.col("node").alias("_id"), "label", "n_blocks", "n")
     content = texts.join(members.hint("shuffle_hash"), "_id").select("_id", "_text", "label", "n_blocks", "n")
-    dealt = content.mapInArrow(_sets, "key long, label long, x long, y long, own long, rep long, n long, tokens binary")
-    decided = saved(dealt.repartition("key").mapInArrow(_decided, "rep long, links long, root long"))
+    dealt = content.mapInArrow(tidy(_sets), "key long, label long, x long, y long, own long, rep long, n long, tokens binary")
+    decided = saved(dealt.repartition("key").mapInArrow(tidy(_decided), "rep long, links long, root long"))
     classes = components(decided.select(F.col("root").alias("a"), F.col("rep").alias("b")))
     links = decided.groupBy("rep").agg(F.sum("links").alias("links"))
     of_rep = groups.join(links, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")

@@ -20,12 +20,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._common import release, tidy
+
 DOCS_PER_LANGUAGE = 2000
 WORDS_PER_LANGUAGE = 10_000
 GRAMS_PER_LENGTH = 3_000
 LONGEST = 4
 FOLDS = 5
-_CACHE = 300_000
+_CACHE = 150_000
 
 
 def remainder() -> Column:
@@ -57,9 +59,11 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, words_per_l
     languages = sorted(sizes)
     column = {x: i for i, x in enumerate(languages)}
     totals, found = {}, {}
-    for r in kept.select("lang", "length", "term", "n", "total").collect():  # bounded by the parameters
-        totals[r["lang"], r["length"]] = r["total"]
-        found.setdefault((r["length"], r["term"]), {})[r["lang"]] = r["n"]
+    got = kept.select("lang", "length", "term", "n", "total").toArrow()  # bounded by the parameters
+    for lang, length, term, n, total in zip(*(c.to_pylist() for c in got.columns), strict=True):
+        totals[lang, length] = total
+        found.setdefault((length, term), {})[lang] = n
+    del got
     model: dict = {"languages": languages, "words": {}, "grams": {}}
     for (length, term), n in found.items():
         row = np.full(len(languages), 0.0, np.float32)
@@ -67,6 +71,7 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, words_per_l
             total = totals.get((x, length), 0)
             row[i] = math.log((n.get(x, 0) + 0.5) / (total + 0.5 * 1000))
         model["grams" if length else "words"][term] = row
+    release()
     return model
 
 
@@ -82,13 +87,16 @@ class Predictor:
 
         self.languages, self.grams = model["languages"], model["grams"]
         self.find = regex.compile(r"\p{L}+").findall
-        self.known = {w: i for i, w in enumerate(model["words"])}
-        self.table = np.stack(list(model["words"].values())) if model["words"] else np.zeros((0, max(1, len(self.languages))), np.float32)
+        self.known = len(model["words"])
+        width = max(1, len(self.languages))
+        self.table = np.zeros((self.known + _CACHE, width), np.float32)
+        if self.known:
+            self.table[: self.known] = np.stack(list(model["words"].values()))
+        self.words = list(model["words"])
         self.forget()
 
     def forget(self) -> None:
-        self.index, self.rows = dict(self.known), list(self.table)
-        self.matrix, self.filled, self.fresh = self.table, len(self.table), True
+        self.index = {w: i for i, w in enumerate(self.words)}
 
     def backoff(self, word: str) -> np.ndarray:
         marked = f"^{word}$"
@@ -103,43 +111,37 @@ class Predictor:
         words = self.find(text.lower()) if text else []
         if not words or not self.languages:
             return "und", 0.0
-        if len(self.rows) > _CACHE:
+        if len(self.index) + len(words) > len(self.table):
             self.forget()
-        index, rows = self.index, self.rows
-        at = []
+        index, at = self.index, []
         for w in words:
             i = index.get(w)
             if i is None:
-                i = index[w] = len(rows)
-                rows.append(self.backoff(w))
-                self.fresh = False
+                i = len(index)
+                if i == len(self.table):  # one text with more unseen words than are remembered
+                    self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+                index[w] = i
+                self.table[i] = self.backoff(w)
             at.append(i)
-        if not self.fresh:
-            if len(self.matrix) < len(rows):
-                grown = np.empty((max(len(rows), 2 * len(self.matrix)), len(self.languages)), np.float32)
-                grown[: self.filled] = self.matrix[: self.filled]
-                self.matrix = grown
-            self.matrix[self.filled : len(rows)] = rows[self.filled :]
-            self.filled, self.fresh = len(rows), True
-        total = self.matrix[np.array(at)].sum(axis=0, dtype=np.float64)
+        total = self.table[np.array(at)].sum(axis=0, dtype=np.float64)
         best = int(total.argmax())
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def predicted(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with lang_pred and score. `und` with score 0 where text is null or has no letter, or nothing was learned."""
+def predicted(docs: DataFrame, model: dict, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with two more columns, the predicted language and its score. `und` with score 0 where text is null or has no letter, or nothing was learned."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     where = columns.index("text")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = Predictor(shared.value)
         for batch in batches:
             found = [one(x.as_py()) for x in batch.column(where)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*columns, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*columns, *names])
 
-    return docs.mapInArrow(predict, schema)
+    return docs.mapInArrow(tidy(predict), schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import tidy
+
 _SPACE = "▁"
 _CACHE = 500_000
 _UNKNOWN_PENALTY = 10.0
@@ -167,7 +169,7 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
             ids = [pieces(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([pieces.decode(np.frombuffer(x, "<u4")) for x in ids], pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(encode, "doc_id long, ids binary, decoded string")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(encode), "doc_id long, ids binary, decoded string")
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:
@@ -185,4 +187,4 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
             n, a, b, same = zip(*out, strict=True) if out else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids_sha256", "decoded_sha256", "exact"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(digest, "doc_id long, n_pieces long, ids_sha256 string, decoded_sha256 string, exact boolean")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(digest), "doc_id long, n_pieces long, ids_sha256 string, decoded_sha256 string, exact boolean")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NULL_ID, blocks, id_back, keyed, mix, text_bytes, word_codes
+from ._common import NULL_ID, blocks, id_back, keyed, mix, text_bytes, tidy, word_codes
 
 BITS = 128
 RADIUS, BLOCKS = 3, 5
@@ -134,7 +134,7 @@ def compared(docs: DataFrame) -> DataFrame:
     first; a single document is its own next. Null text is empty; texts without words have the
     fingerprint 0; rows that repeat a doc_id: see keyed(). No documents, no rows.
     """
-    out = followed(keyed(docs)).mapInArrow(_compare, "_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    out = followed(keyed(docs)).mapInArrow(tidy(_compare), "_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return out.select(id_back(), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
@@ -188,8 +188,8 @@ def neighbours(prints: DataFrame, radius: int = RADIUS, n_blocks: int = BLOCKS)
             name = np.stack((high[some], low[some]), axis=1).astype(">u8").tobytes().hex()
             yield pa.RecordBatch.from_arrays([pa.array([name[i : i + 32] for i in range(0, len(name), 32)]), pa.array(near[some])], names=["fingerprint", "near"])
 
-    dealt = distinct.mapInArrow(deal, "key long, t long, high long, low long, n long").repartition("key")
-    found = dealt.mapInArrow(meet, "fingerprint string, near long").groupBy("fingerprint").agg(F.sum("near").alias("n_near"))
+    dealt = distinct.mapInArrow(tidy(deal), "key long, t long, high long, low long, n long").repartition("key")
+    found = dealt.mapInArrow(tidy(meet), "fingerprint string, near long").groupBy("fingerprint").agg(F.sum("near").alias("n_near"))
     return distinct.join(found, "fingerprint", "left").select("fingerprint", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import BYTE_CODES, NULL_ID, Rolling, keyed, mix, remove, text_bytes
+from ._common import BYTE_CODES, NULL_ID, Rolling, keyed, mix, remove, text_bytes, tidy
 
 END_ID = 2
 #: A chunk ends where the hash of the last WINDOW ids has its lowest CUT_BITS bits zero, or at LONGEST ids.
@@ -235,8 +235,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> s
     doc_id names a document: see keyed(). A null doc_id comes first. No documents: a store without rows.
     """
     spark = docs.sparkSession
-    rows = keyed(docs).mapInArrow(_encode(tokenizer, end_id), _DDL)
-    rows.repartition("route").mapInArrow(_once, _DDL).drop("route").write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/parts")
+    rows = keyed(docs).mapInArrow(tidy(_encode(tokenizer, end_id)), _DDL)
+    rows.repartition("route").mapInArrow(tidy(_once), _DDL).drop("route").write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/parts")
     recipes = spark.read.schema(_DDL.replace("route long, ", "")).parquet(f"{path}/parts").filter("kind = 'recipes'").select("doc_id", "n_tokens", "digests", "sizes")
     recipes.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("segment", F.spark_partition_id()).write.parquet(f"{path}/sorted")
     ordered = spark.read.parquet(f"{path}/sorted")
@@ -338,12 +338,12 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     A document's CRC is the exclusive or of its chunks' CRCs, each moved by the bytes that follow, so ids
     are read once where they lie and only a few numbers for each chunk are joined.
     """
-    facts = chunks(spark, path).mapInArrow(_facts(stored_width(spark, path)), "digest binary, n long, crc long")
+    facts = chunks(spark, path).mapInArrow(tidy(_facts(stored_width(spark, path))), "digest binary, n long, crc long")
     listed = recipes(spark, path)
-    items = listed.mapInArrow(_after, "doc_id long, digest binary, size long, after long")
+    items = listed.mapInArrow(tidy(_after), "doc_id long, digest binary, size long, after long")
     joined = items.join(facts, "digest", "left")
     checked = joined.select("doc_id", "after", "crc", F.when(F.col("n") == F.col("size"), F.col("n")).otherwise(F.raise_error(F.concat(F.lit("missing or wrong chunk "), F.hex("digest"))).cast("long")).alias("n"))
-    summed = checked.mapInArrow(_terms, "doc_id long, term long, n long").groupBy("doc_id").agg(F.bit_xor("term").alias("ids_crc32"), F.sum("n").alias("read"))
+    summed = checked.mapInArrow(tidy(_terms), "doc_id long, term long, n long").groupBy("doc_id").agg(F.bit_xor("term").alias("ids_crc32"), F.sum("n").alias("read"))
     out = listed.select("doc_id", "start", "n_tokens").join(summed, "doc_id")
     return out.select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "start", F.col("read").alias("n_tokens"), "ids_crc32")
 
