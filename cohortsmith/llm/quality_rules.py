@@ -60,12 +60,12 @@ def _count(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, characters, ""))
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """docs with a struct `_q` of counts: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper.
+def counts_of(text: Column) -> Column:
+    """A struct of counts: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper.
 
     Null text counts as none: all are 0.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(text, F.lit(""))
 
     def counts(words: Column, lines: Column) -> Column:
         values = {
@@ -76,22 +76,26 @@ def counted(docs: DataFrame) -> DataFrame:
 
     words = F.array_remove(F.split(text, SPACE), "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return docs.withColumn("_q", let(words, lambda w: let(lines, lambda x: counts(w, x))))
+    return let(words, lambda w: let(lines, lambda x: counts(w, x)))
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """docs with the counts as a struct `_q`."""
+    return docs.withColumn("_q", counts_of(F.col("text")))
 
 
-def base_failed(q: str = "_q") -> Column:
-    c = lambda k: F.col(f"{q}.{k}")
-    return (c("n_words") < 20) | (100 * c("n_repeat_words") > 30 * c("n_words"))
+def base_failed(q: Column) -> Column:
+    return (q["n_words"] < 20) | (100 * q["n_repeat_words"] > 30 * q["n_words"])
 
 
-def _bin(feature: str, q: str) -> Column:
+def _bin(feature: str, q: Column) -> Column:
     top, bottom, bounds = FEATURES[feature]
-    value = F.floor(1000 * F.col(f"{q}.{top}") / F.greatest(F.col(f"{q}.{bottom}"), F.lit(1)))
+    value = F.floor(1000 * q[top] / F.greatest(q[bottom], F.lit(1)))
     return sum((F.when(value > b, 1).otherwise(0) for b in bounds), F.lit(0))
 
 
-def _stratum(q: str) -> Column:
-    return sum((F.when(F.col(f"{q}.n_words") >= b, 1).otherwise(0) for b in STRATA), F.lit(0))
+def _stratum(q: Column) -> Column:
+    return sum((F.when(q["n_words"] >= b, 1).otherwise(0) for b in STRATA), F.lit(0))
 
 
 @dataclass(frozen=True)
@@ -100,10 +104,10 @@ class Model:
     #: None: no cutoff could be proved.
     cutoffs: tuple[int | None, ...]
 
-    def score(self, q: str = "_q") -> Column:
+    def score(self, q: Column) -> Column:
         return sum((F.element_at(F.array(*(F.lit(x) for x in self.odds[f])), _bin(f, q) + 1) for f in FEATURES), F.lit(0))
 
-    def rejected(self, q: str = "_q") -> Column:
+    def rejected(self, q: Column) -> Column:
         found = F.lit(False)
         for i, cutoff in enumerate(self.cutoffs):
             if cutoff is not None:
@@ -123,7 +127,7 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
 def fit(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> Model:
     """counts: (doc_id, _q) of all documents. labels: (doc_id, quality: 1 good, 0 bad)."""
     known = counts.join(labels.select("doc_id", "quality").filter("quality is not null"), "doc_id").withColumn("half", F.md5(F.col("doc_id").cast("string")) < "8")
-    parts = [F.struct(F.lit(f).alias("feature"), _bin(f, "_q").alias("bin")) for f in FEATURES]
+    parts = [F.struct(F.lit(f).alias("feature"), _bin(f, F.col("_q")).alias("bin")) for f in FEATURES]
     seen = known.filter("half").select("quality", F.explode(F.array(*parts)).alias("x")).groupBy("x.feature", "x.bin").agg(F.count_if(F.col("quality") == 0).alias("bad"), F.count_if(F.col("quality") == 1).alias("good"))
     got = {(r["feature"], r["bin"]): (r["bad"], r["good"]) for r in seen.collect()}  # FEATURES x bins at most
     odds = {}
@@ -133,7 +137,7 @@ def fit(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
         # one pseudo-document of each kind in each bin
         odds[f] = tuple(_hundredths((x + 1) * (good + len(cells)), (y + 1) * (bad + len(cells))) for x, y in cells)
     model = Model(odds, (None,) * (len(STRATA) + 1))
-    held = known.filter("not half and quality = 1").select(_stratum("_q").alias("stratum"), model.score().alias("score"))
+    held = known.filter("not half and quality = 1").select(_stratum(F.col("_q")).alias("stratum"), model.score(F.col("_q")).alias("score"))
     above = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("score") > c).alias(f"c{c}") for c in CUTOFFS))
     tried = above.select("stratum", F.array(*(binomial_tail(F.col("n"), F.col(f"c{c}"), alpha) <= delta / (len(STRATA) + 1) for c in CUTOFFS)).alias("passed"))
     cutoffs: list[int | None] = [None] * (len(STRATA) + 1)
@@ -150,12 +154,16 @@ def _hundredths(a: int, b: int) -> int:
     return math.floor(100 * math.log(a / b) + 0.5)
 
 
-def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with `_q`, base_failed and kept.
+def judged(docs: DataFrame, labels: DataFrame, into: str = "_verdict") -> DataFrame:
+    """docs with a struct `into`: q (the counts), base_failed and kept.
 
     Each row is judged by itself, repeated ids and null ids as well. Null or empty text fails the base
-    rule. No labels: kept is not base_failed. Other columns stay.
+    rule. No labels: kept is not base_failed. Other columns stay as they are, whatever their names.
     """
-    counts = counted(docs)
-    model = fit(counts.select("doc_id", "_q"), labels)
-    return counts.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~model.rejected())
+    model = fit(counted(docs.select("doc_id", "text")).select("doc_id", "_q"), labels)
+
+    def verdict(q: Column) -> Column:
+        return F.struct(q.alias("q"), base_failed(q).alias("base_failed"), (~base_failed(q) & ~model.rejected(q)).alias("kept"))
+
+    # one expression, in which the counts are a bound variable: a filter on kept computes them once
+    return docs.withColumn(into, let(counts_of(F.col("text")), verdict))

@@ -56,10 +56,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The counts are small and used twice, by the fit and by the verdicts: written, not counted again.
     counts = saved(quality_rules.counted(table(spark, sf_dir, "documents")).select("doc_id", "_q"))
     model = quality_rules.fit(counts, table(spark, sf_dir, "labels"))
-    failed = quality_rules.base_failed()
+    q = F.col("_q")
+    failed = quality_rules.base_failed(q)
     return counts.select(
         "doc_id", *(F.col(f"_q.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
-        failed.alias("base_failed"), (~failed & ~model.rejected()).alias("kept"), model.score().cast("long").alias("score"),
+        failed.alias("base_failed"), (~failed & ~model.rejected(q)).alias("kept"), model.score(q).cast("long").alias("score"),
     )
 
 
