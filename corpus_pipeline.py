@@ -22,14 +22,14 @@ LEAST_SCORE = 0.5
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the risk-controlled cutoffs."""
     ship(spark)
-    return quality_rules.judged(docs, table(spark, sf_dir, "labels")).filter("kept").select(*docs.columns)
+    return quality_rules.judged(docs, table(spark, sf_dir, "labels")).filter("_verdict.kept").select(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: not `und`, and not undecided between two."""
     ship(spark)
-    found = language_id.predicted(docs, language_id.fit(docs))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    found = language_id.predicted(docs, language_id.fit(docs), ("_language", "_score"))
+    return found.filter((F.col("_language") != "und") & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def one_of_each_id(docs: DataFrame) -> DataFrame:
