@@ -29,10 +29,10 @@ def without(subjects: DataFrame, excluded: list[DataFrame]) -> DataFrame:
     return subjects.join(reduce(DataFrame.union, excluded), "subject", "left_anti") if excluded else subjects
 
 
-def flags(sets: dict[int, DataFrame]) -> DataFrame:
-    """(subject, f<k> for each set): one shuffle for all sets. Names are by position."""
-    tagged = reduce(DataFrame.union, (df.select("subject", F.lit(k).alias("_k")) for k, df in enumerate(sets.values())))
-    return tagged.groupBy("subject").agg(*(F.max(F.col("_k") == k).alias(f"f{k}") for k in range(len(sets))))
+def flags(tagged: list[DataFrame], n: int) -> DataFrame:
+    """(subject, f0 .. f<n-1>) from (subject, k): one shuffle for all sets; rows may repeat, the partial aggregation folds them where they are."""
+    rows = reduce(DataFrame.unionAll, tagged)
+    return rows.groupBy("subject").agg(*(F.max(F.col("k") == k).alias(f"f{k}") for k in range(n)))
 
 
 def n_flags(values: list[Column], asked: Occurrence) -> Column:

@@ -82,6 +82,13 @@ def qualifying(rows: DataFrame, leaf: Leaf, has: frozenset[str], by_group: bool)
     return rows.drop("_day")
 
 
+def plain(leaf: Leaf) -> bool:
+    """Whether a leaf is its filter alone: any row it selects will do."""
+    counts = leaf.occurrence is not None and not leaf.occurrence.trivial
+    aged = leaf.age is not None and (leaf.age.least is not None or leaf.age.most is not None)
+    return not (counts or aged or _codes(leaf) or leaf.date_ranges or leaf.encounter_range)
+
+
 def patients(rows: DataFrame, leaf: Leaf, has: frozenset[str]) -> DataFrame:
     """(patient), each once: as qualifying(), where only the patients matter. One aggregation for each condition, no join back."""
     out = None

@@ -36,7 +36,7 @@ class Compiled:
         self.one_pass = one_pass and not self.by_id and is_simple(self.root)
         self._sets: dict[int, DataFrame] = {}
         self._place: dict[int, int] = {}
-        self._flag_sets: dict[int, DataFrame] = {}
+        self._flag_of: dict[int, Leaf | None] = {}
         self._value: dict[int, Column] = {}
 
     def _check(self, root: Criterion) -> None:
@@ -99,25 +99,45 @@ class Compiled:
 
     # --- one pass
 
-    def _flag(self, key: int, rows) -> Column:
-        """The flag of a set of subjects; rows gives the set when it is first asked for."""
+    def _flag(self, key: int, node: Leaf | None) -> Column:
+        """The flag of a leaf, or of the population (no leaf)."""
         if key not in self._place:
-            self._place[key] = len(self._flag_sets)
-            self._flag_sets[key] = rows()
+            self._place[key] = len(self._place)
+            self._flag_of[key] = node
         return F.coalesce(F.col(f"f{self._place[key]}"), F.lit(False))
 
     def _flag_of_all(self) -> Column:
-        return self._flag(_EVERYBODY, self.population)
+        return self._flag(_EVERYBODY, None)
 
     def _flags(self) -> tuple[DataFrame, dict[int, Column]]:
-        """(subject and a flag for each set), and the condition by which each criterion holds."""
+        """(subject and a flag for each set), and the condition by which each criterion holds.
+
+        Leaves of one resource that are filters alone share a scan; only the others need an aggregation of their own.
+        """
         if not self._value:
             self._decide(self.root)
-        return groups.flags(self._flag_sets), self._value
+        alike: dict[str, list[Leaf]] = {}
+        single, tagged = [], []
+        for key, node in self._flag_of.items():
+            if node is None:
+                tagged.append(self.catalog.population().select(F.col("patient").alias("subject"), F.lit(self._place[key]).alias("k")))
+            elif leaves.plain(node):
+                alike.setdefault(node.resource, []).append(node)
+            else:
+                single.append(node)
+        for group in alike.values():
+            rows = self.catalog.scan_together(group) if len(group) > 1 else None
+            if rows is None:
+                tagged += [self.catalog.scan(n, ()).select(F.col("patient").alias("subject"), F.lit(self._place[n.id]).alias("k")) for n in group]
+            else:
+                places = F.array(*(F.lit(self._place[n.id]) for n in group))
+                tagged.append(rows.select(F.col("patient").alias("subject"), F.get(places, F.col("k")).alias("k")))
+        tagged += [self._leaf_set(n).select("subject", F.lit(self._place[n.id]).alias("k")) for n in single]
+        return groups.flags(tagged, len(self._place)).filter("subject is not null"), self._value
 
     def _decide(self, node: Criterion) -> Column:
         if isinstance(node, Leaf):
-            keep = self._flag(node.id, lambda: self._leaf_set(node))
+            keep = self._flag(node.id, node)
         else:
             own = {c.id: self._decide(c) for c in node.children}
             inside = [own[c.id] for c in node.included] or [self._flag_of_all()]

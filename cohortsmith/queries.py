@@ -79,6 +79,12 @@ REQUESTS: dict[str, dict] = {
     "chronological": request(group("andGroup", 0, _errors(1, "error"), _errors(2, "purchase"), **_ordered(timeRelationMinDuration={"hours": 2}, timeRelationMaxDuration={"days": 1}, dateIsNotNullList=True))),
     "chronological_open": request(group("andGroup", 0, _errors(1, "error"), _errors(2, "purchase"), **_ordered(timeRelationMinDuration={"days": 20}))),
     "chronological_three": request(group("andGroup", 0, _errors(1, "error"), _errors(2, "purchase"), _errors(3, "click"), **_between("directChronologicalOrdering"))),
+    "chronological_last_to_first": request(group("andGroup", 0, _errors(1, "error"), _errors(2, "purchase"), **_ordered(timeRelationMinDuration={"minutes": 1}, dateIsNotNullList=True, occurrenceChoiceList=[{"_id": 1, "occurrenceChoice": "first"}, {"_id": 2, "occurrenceChoice": "last"}]))),
+    "chronological_null_dates": request(group("andGroup", 0, leaf(1, "Event", "event_type=error"), leaf(2, "UndatedEvent", "event_type=purchase"), **_ordered(timeRelationMinDuration={"days": 25}))),
+    "chronological_in_subgroup": request(group("andGroup", 0, group("orGroup", -1, _item(4, "R", "gt48"), _item(5, "A", "gt48")), leaf(2, "Encounter", _URGENT), temporalConstraints=[{"idList": [2, -1], "constraintType": "directChronologicalOrdering", "timeRelationMinDuration": {"years": 5}, "dateIsNotNullList": True, "datePreferenceList": [{"_id": 2, "datePreference": ["encounter_start_date"]}, {"_id": -1, "datePreference": ["event_date"]}]}])),
+    "age_of_events": request(leaf(1, "Observation", "l_returnflag=R&l_quantity=gt45", patientAge={"minAge": "30-6-0", "datePreference": ["event_date"]}, **times(2))),
+    "same_episode_of_groups": request(group("andGroup", 0, _item(1, "R", "gt45"), group("orGroup", -1, _item(2, "A", "lt2"), leaf(3, "Encounter", "status=P")), **_between("sameEpisodeOfCare"))),
+    "deep_exclusions": request(group("andGroup", 0, _item(1, "R", "gt40"), group("orGroup", -1, group("andGroup", -2, BUILDING, leaf(4, "Encounter", "status=P", inclusive=False)), leaf(5, "Encounter", _URGENT, inclusive=False), inclusive=False))),
     "encounter_date_range": request(leaf(1, "Observation", "l_returnflag=R&l_quantity=gt45", encounterDateRange={"minDate": "1996-01-01", "maxDate": "1996-12-31"})),
     "resource_cohort": request(leaf(1, "Encounter", f"{_URGENT}&o_totalprice=gt100000"), resourceType="Encounter"),
     "study_dedup": request(leaf(1, "ImagingStudy", "l_returnflag=R&l_quantity=gt40", **times(2))),
@@ -151,6 +157,32 @@ def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modes.sample(_compiled(spark, sf_dir, "or_group").subjects(), 0.25, seed=1)
 
 
+def cohort_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.group_documents(_compiled(spark, sf_dir, "exclusion").subjects(), 12)
+
+
+def cohort_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A difference as the entries of a List resource."""
+    return store.list_entries(store.items(cohort_difference(spark, sf_dir), 12, "me"))
+
+
+def cohort_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.relation_rows(spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").cast("long").alias("source")), 12)
+
+
+def bulk_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a bulk load of all customers still has to write when those of BUILDING are there."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment")
+    return store.absent(rows, rows.filter("c_mktsegment = 'BUILDING'"), "c_custkey").select("c_custkey", "c_name")
+
+
+def population_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patients of the default filter: those with a positive balance."""
+    catalog = star_catalog(spark, sf_dir)
+    catalog.default_filter = "c_acctbal=gt0"
+    return modes.counted(Compiled(parse(REQUESTS["population"]), catalog))
+
+
 def csv_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.concat("n_name", F.lit("\r\nx\ry")).alias("name"), F.array(F.col("n_nationkey"), F.col("n_regionkey")).alias("keys"))
     return store.csv_ready(rows)
@@ -160,7 +192,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{name: _subjects(name) for name in REQUESTS},
     "and_group_joins": _subjects("and_group", one_pass=False),
     "nested_groups_joins": _subjects("nested_groups", one_pass=False),
-    **{f.__name__: f for f in (lucene_filter, source_population, count, stage_counts, stage_ratios, organizations, organization_lists, cohort_difference, cohort_folded, cohort_items, sampled, csv_ready)},
+    **{f.__name__: f for f in (lucene_filter, source_population, count, stage_counts, stage_ratios, organizations, organization_lists, cohort_difference, cohort_folded, cohort_items, cohort_documents, cohort_list, cohort_relations, bulk_retry, population_count, sampled, csv_ready)},
 }
 
 _I = "lineitem JOIN orders ON l_orderkey = o_orderkey"
@@ -221,6 +253,12 @@ ORACLES: dict[str, str] = {
     "chronological": f"SELECT DISTINCT a.s AS subject_id FROM ({_events('error')}) a JOIN ({_events('purchase')}) b ON a.s = b.s AND b.ts BETWEEN a.ts + INTERVAL 2 HOUR AND a.ts + INTERVAL 24 HOUR",
     "chronological_open": f"SELECT DISTINCT a.s AS subject_id FROM ({_events('error')}) a JOIN ({_events('purchase')}) b ON a.s = b.s AND b.ts >= a.ts + INTERVAL 480 HOUR",
     "chronological_three": f"SELECT DISTINCT a.s AS subject_id FROM ({_events('error')}) a JOIN ({_events('purchase')}) b ON a.s = b.s AND b.ts >= a.ts JOIN ({_events('click')}) c ON a.s = c.s AND c.ts >= b.ts",
+    "chronological_last_to_first": f"SELECT a.s AS subject_id FROM (SELECT s, min(ts) AS t FROM ({_events('error')}) GROUP BY s) a JOIN (SELECT s, max(ts) AS t FROM ({_events('purchase')}) GROUP BY s) b ON a.s = b.s AND b.t >= a.t + INTERVAL 1 MINUTE",
+    "chronological_null_dates": "SELECT DISTINCT a.user_id AS subject_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'error' AND b.event_type = 'purchase' AND (b.value < 3 OR b.ts >= a.ts + INTERVAL 600 HOUR)",
+    "chronological_in_subgroup": f"SELECT DISTINCT a.s AS subject_id FROM (SELECT o_custkey AS s, o_orderdate AS t FROM orders WHERE o_orderpriority = '1-URGENT') a JOIN (SELECT o_custkey AS s, l_shipdate AS t FROM {_I} WHERE l_returnflag IN ('R', 'A') AND l_quantity > 48) b ON a.s = b.s AND b.t >= a.t + INTERVAL 43800 HOUR",
+    "age_of_events": f"SELECT o_custkey AS subject_id FROM {_I} WHERE l_returnflag = 'R' AND l_quantity > 45 AND datediff('day', DATE '1940-01-01' + ((o_custkey * 37) % 20000)::INT, l_shipdate::DATE) >= 30 * 365.25 + 180 GROUP BY 1 HAVING count(*) >= 2",
+    "same_episode_of_groups": f"SELECT DISTINCT a.s AS subject_id FROM (SELECT o_custkey AS s, year(o_orderdate) AS k FROM {_I} WHERE l_returnflag = 'R' AND l_quantity > 45) a JOIN (SELECT o_custkey AS s, year(o_orderdate) AS k FROM {_I} WHERE l_returnflag = 'A' AND l_quantity < 2 UNION ALL SELECT o_custkey, year(o_orderdate) FROM orders WHERE o_orderstatus = 'P') b ON a.s = b.s AND a.k = b.k",
+    "deep_exclusions": f"{_items_sql('R', '> 40')} EXCEPT (({_BUILDING_SQL} EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') UNION ({_ALL_SQL} EXCEPT {_URGENT_SQL}))",
     "encounter_date_range": f"SELECT DISTINCT o_custkey AS subject_id FROM {_I} WHERE l_returnflag = 'R' AND l_quantity > 45 AND o_orderdate::DATE BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'",
     "resource_cohort": "SELECT o_orderkey AS subject_id FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 100000",
     "study_dedup": f"SELECT o_custkey AS subject_id FROM {_I} WHERE l_returnflag = 'R' AND l_quantity > 40 GROUP BY 1 HAVING count(DISTINCT l_orderkey) >= 2",
@@ -235,5 +273,11 @@ ORACLES: dict[str, str] = {
     "cohort_difference": f"SELECT coalesce(a.subject_id, b.subject_id) AS subject_id, b.subject_id IS NULL AS deleted FROM ({_OCCURRENCE} >= 3) a FULL JOIN ({_CODES}) b ON a.subject_id = b.subject_id WHERE a.subject_id IS NULL OR b.subject_id IS NULL",
     "cohort_folded": f"WITH c AS (SELECT o_custkey AS subject_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderstatus = 'P' DESC) AS k, o_orderstatus = 'P' AS deleted FROM orders WHERE o_orderdate < TIMESTAMP '1993-01-01'), l AS (SELECT subject_id, deleted FROM c WHERE k = 1) ({_BUILDING_SQL} UNION SELECT subject_id FROM l WHERE NOT deleted) EXCEPT SELECT subject_id FROM l WHERE deleted",
     "cohort_items": f"SELECT subject_id AS _itemreferenceid, 'Patient/' || subject_id AS item__reference, 'me' AS _provider, 12::BIGINT AS _listid FROM ({_OCCURRENCE} >= 3)",
+    "cohort_documents": f"SELECT '12_' || subject_id AS id, subject_id AS \"resourceId\", 12::BIGINT AS \"groupId\", 'Patient' AS \"resourceType\" FROM ({_EXCLUSION})",
+    "cohort_list": "SELECT '{\"deleted\":' || deleted || ',\"item\":{\"reference\":\"Patient/' || subject_id || '\"}}' AS line FROM (@DIFF@)",
+    "cohort_relations": "SELECT 12::BIGINT AS cohort_a, r_regionkey::BIGINT AS cohort_b, 44818821::BIGINT AS concept FROM region UNION ALL SELECT r_regionkey, 12, 44818823 FROM region",
+    "bulk_retry": "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment <> 'BUILDING'",
+    "population_count": "SELECT count(*) AS count FROM customer WHERE c_acctbal > 0",
     "csv_ready": "SELECT n_nationkey, n_name || chr(10) || 'x' || chr(10) || 'y' AS name, '{' || n_nationkey || ',' || n_regionkey || '}' AS keys FROM nation",
 }
+ORACLES["cohort_list"] = ORACLES["cohort_list"].replace("@DIFF@", ORACLES["cohort_difference"])

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.filters import Field, fhir, lucene
@@ -72,6 +73,10 @@ class Catalog:
         """The rows that a leaf's filter selects, with the logical columns asked for (null where the resource lacks one)."""
         raise NotImplementedError
 
+    def scan_together(self, leaves: list[Leaf]) -> DataFrame | None:
+        """(patient, k): a row for each row that the filter of the k-th leaf selects, from one scan; None if these leaves need one each."""
+        return None
+
     def population(self) -> DataFrame:
         """Patients of the source population: column patient, and organizations if there are any."""
         raise NotImplementedError
@@ -107,7 +112,8 @@ class TableCatalog(Catalog):
             return None
         return self.cohort_items().filter(F.col("cohort").isin(list(self.cohorts))).select("patient").distinct()
 
-    def scan(self, leaf: Leaf, columns: Iterable[str]) -> DataFrame:
+    def _filter(self, leaf: Leaf) -> tuple[Column, list[Field]]:
+        """A leaf's condition and the fields that it reads."""
         source, used = self.resource(leaf.resource), []
 
         def find(name: str) -> Field:
@@ -115,14 +121,17 @@ class TableCatalog(Catalog):
             return used[-1]
 
         if self.language == "lucene" and leaf.filter_lucene:
-            keep = lucene(leaf.filter_lucene, find)
-        else:
-            keep = fhir(leaf.filter_fhir, find)
+            return lucene(leaf.filter_lucene, find), used
+        return fhir(leaf.filter_fhir, find), used
+
+    def scan(self, leaf: Leaf, columns: Iterable[str]) -> DataFrame:
+        source = self.resource(leaf.resource)
+        keep, used = self._filter(leaf)
         wanted = {"patient", *columns} | ({source.one_per} if source.one_per else set())
-        has = {c: source.columns[c] for c in wanted if c in source.columns}
+        has = {c: source.columns[c] for c in sorted(wanted) if c in source.columns}
         needs = {n for f in (*used, *has.values()) for n in f.lookups}
         rows = source.joined(needs).filter(keep)
-        out = rows.select(*(f.column().cast(LOGICAL[c]).alias(c) for c, f in has.items()), *(F.lit(None).cast(LOGICAL[c]).alias(c) for c in wanted if c not in has))
+        out = rows.select(*(f.column().cast(LOGICAL[c]).alias(c) for c, f in has.items()), *(F.lit(None).cast(LOGICAL[c]).alias(c) for c in sorted(wanted) if c not in has))
         if source.one_per:
             # one row of each key: the smallest of all its rows, whatever order they come in
             rest = [c for c in out.columns if c != source.one_per]
@@ -130,6 +139,19 @@ class TableCatalog(Catalog):
         members = self.members()
         return out if members is None else out.join(members, "patient", "left_semi")
 
+    def scan_together(self, leaves: list[Leaf]) -> DataFrame | None:
+        source = self.resource(leaves[0].resource)
+        if source.one_per or any(leaf.resource != leaves[0].resource for leaf in leaves):
+            return None
+        kept = [self._filter(leaf) for leaf in leaves]
+        patient = source.columns["patient"]
+        needs = {n for f in (patient, *(f for _, used in kept for f in used)) for n in f.lookups}
+        some = reduce(lambda a, b: a | b, (keep for keep, _ in kept))
+        which = F.array_compact(F.array(*(F.when(keep, k) for k, (keep, _) in enumerate(kept))))
+        rows = source.joined(needs).filter(some).select(patient.column().cast(LOGICAL["patient"]).alias("patient"), F.explode(which).alias("k"))
+        members = self.members()
+        return rows if members is None else rows.join(members, "patient", "left_semi")
+
     def population(self) -> DataFrame:
         has = self.columns(PATIENT)
         rows = self.scan(Leaf(0, resource=PATIENT, filter_fhir=self.default_filter), ["organizations"] if "organizations" in has else [])

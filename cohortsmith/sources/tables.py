@@ -62,4 +62,6 @@ def star_catalog(spark: SparkSession, folder: str, cohort_items: Callable[[], Da
         {"id": Field("event_id", "number"), "patient": Field("user_id", "number"), "event_date": Field("ts", "date"), "code": Field("event_type")},
         {**fields("string", "event_type"), **fields("number", "value"), **fields("text", "props")},
     )
-    return TableCatalog({"Patient": patient, "Encounter": encounter, "Observation": item, "ImagingStudy": study, "Event": event}, cohort_items, cohorts)
+    #: The same without the dates of its smallest values: what missing dates look like.
+    undated = Resource(event.table, event.columns | {"event_date": Field("case when value >= 3 then ts end", "date")}, event.fields)
+    return TableCatalog({"Patient": patient, "Encounter": encounter, "Observation": item, "ImagingStudy": study, "Event": event, "UndatedEvent": undated}, cohort_items, cohorts)

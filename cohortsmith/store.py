@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,6 +69,24 @@ def absent(rows: DataFrame, present: DataFrame, key: str) -> DataFrame:
     return rows.join(present.select(key), key, "left_anti")
 
 
+def group_documents(subjects: DataFrame, cohort: int, resource: str = PATIENT) -> DataFrame:
+    """(id, resourceId, groupId, resourceType) of (subject_id): one document of a search index for each member."""
+    return subjects.select(F.concat_ws("_", F.lit(cohort).cast("string"), F.col("subject_id").cast("string")).alias("id"), F.col("subject_id").alias("resourceId"), F.lit(cohort).cast("long").alias("groupId"), F.lit(resource).alias("resourceType"))
+
+
+def relation_rows(sources: DataFrame, cohort: int) -> DataFrame:
+    """(cohort_a, cohort_b, concept): two rows for each source (source), one in each direction."""
+    own = F.lit(cohort).cast("long")
+    both = F.array(F.struct(own.alias("cohort_a"), F.col("source").alias("cohort_b"), F.lit(COMES_FROM).cast("long").alias("concept")), F.struct(F.col("source").alias("cohort_a"), own.alias("cohort_b"), F.lit(SOURCE_OF).cast("long").alias("concept")))
+    return sources.select(F.explode(both).alias("x")).select("x.*")
+
+
+def list_entries(rows: DataFrame) -> DataFrame:
+    """(line): each item row (item__reference, deleted) as the JSON entry of a List resource."""
+    entry = F.struct(F.coalesce("deleted", F.lit(False)).alias("deleted"), F.struct(F.col("item__reference").alias("reference")).alias("item"))
+    return rows.select(F.to_json(entry).alias("line"))
+
+
 @dataclass
 class CohortStore:
     spark: SparkSession
@@ -120,10 +139,7 @@ class CohortStore:
 
     def relations(self, cohort: int, sources) -> DataFrame:
         """Two rows for each source cohort, one in each direction."""
-        pair = self.spark.range(1).select(F.explode(F.array(*(F.lit(int(s)).cast("long") for s in sources))).alias("s"))
-        own = F.lit(cohort).cast("long")
-        both = F.array(F.struct(own.alias("cohort_a"), F.col("s").alias("cohort_b"), F.lit(COMES_FROM).cast("long").alias("concept")), F.struct(F.col("s").alias("cohort_a"), own.alias("cohort_b"), F.lit(SOURCE_OF).cast("long").alias("concept")))
-        return pair.select(F.explode(both).alias("x")).select("x.*")
+        return relation_rows(self.spark.range(1).select(F.explode(F.array(*(F.lit(int(s)).cast("long") for s in sources))).alias("source")), cohort)
 
     def _items(self, cohort: int) -> DataFrame:
         return self._read("item", _ITEM).filter(F.col("_listid") == cohort)
@@ -140,9 +156,19 @@ class CohortStore:
         return self._read("item", _ITEM).filter("not deleted").select(F.col("_listid").alias("cohort"), F.col("_itemreferenceid").alias("patient"))
 
     def as_list(self, cohort: int) -> DataFrame:
-        """(line): each item as a JSON entry of a List resource; written by the executors."""
-        entry = F.struct(F.coalesce("deleted", F.lit(False)).alias("deleted"), F.struct(F.col("item__reference").alias("reference")).alias("item"))
-        return self._items(cohort).select(F.to_json(entry).alias("line"))
+        """(line): each item as a JSON entry of a List resource."""
+        return list_entries(self._items(cohort))
+
+    def put_list(self, cohort: int, send: Callable[[Iterator[str]], None]) -> None:
+        """Hands send the parts of the List resource's JSON, member by member, without holding them all."""
+
+        def parts() -> Iterator[str]:
+            yield self.list_header(cohort)[:-1] + ', "entry": ['
+            for k, r in enumerate(self.as_list(cohort).toLocalIterator()):
+                yield (", " if k else "") + r["line"]
+            yield "]}"
+
+        send(parts())
 
     def list_header(self, cohort: int) -> str:
         h = self.cohort(cohort)

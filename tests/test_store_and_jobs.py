@@ -217,3 +217,48 @@ def test_search_source_reads_all_pages(spark, options):
 
 def test_settings():
     assert Config.load({"COHORTSMITH_THREADS": "3", "COHORTSMITH_CALLBACK_URL": "u"}) == Config(threads=3, callback_url="u")
+
+
+def test_lists_are_handed_over_member_by_member(spark, tmp_path):
+    s = store.CohortStore(spark, f"file://{tmp_path}/store")
+    cohort = s.create("a")
+    s.write(cohort, subjects(spark, 1, 2))
+    got = []
+    s.put_list(cohort, lambda parts: got.append(json.loads("".join(parts))))
+    assert sorted(e["item"]["reference"] for e in got[0]["entry"]) == ["Patient/1", "Patient/2"] and got[0]["title"] == "a"
+
+
+def test_database_reads_and_loads(spark):
+    from cohortsmith.sources.jdbc import Database
+
+    database = Database("jdbc:derby:memory:cohorts;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    rows = spark.createDataFrame([(i, i * 2) for i in range(100)], "ID long, V long")
+    database.append(rows.filter("ID < 2"), "T", tasks=1)
+    database.append(rows.filter("ID >= 2"), "T", tasks=3)
+    assert database.read(spark, "T", ("ID", 0, 100, 4)).count() == 100
+    assert database.read(spark, "(SELECT V FROM T WHERE ID = 7) q").first()[0] == 14
+
+
+def test_a_load_that_breaks_off_goes_on_with_what_is_missing(spark):
+    from cohortsmith.sources.jdbc import loaded
+
+    there, calls = [1, 2], []
+
+    def write(df):
+        calls.append(ids(df))
+        if len(calls) == 1:
+            there.append(3)
+            raise OSError("connection lost")
+
+    loaded(subjects(spark, 1, 2, 3, 4, 5), write, lambda: subjects(spark, *there), "subject_id")
+    assert calls == [[1, 2, 3, 4, 5], [4, 5]]
+
+
+def test_results_are_kept_by_what_was_asked(spark):
+    from cohortsmith.cache import ResultCache
+
+    cache = ResultCache(spark)
+    a, b = cache.name({"x": 1, "y": 2}, [2, 1], "me.too"), cache.name({"y": 2, "x": 1}, [1, 2], "me.too")
+    assert a == b != cache.name({"x": 1}, [1, 2], "me.too") and cache.get(a) is None
+    cache.put(a, subjects(spark, 1, 2))
+    assert ids(cache.get(a)) == [1, 2] and cache.purge() == 1 and cache.get(a) is None
