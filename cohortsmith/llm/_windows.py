@@ -10,6 +10,7 @@ has to be moved, not every window.
 2. Rows meet by anchor. Of equal contexts the first stays, the later ones are repeats as a whole.
    Rows that already lost to an equal context of their own batch skip the meeting: they are dealt
    anywhere, so that an anchor in a third of all documents gives a row for each batch, not for each copy.
+   Where only other documents count, equal stretches of one document are one row.
 3. Only where one anchor has different contexts is content fetched (the joins use one exchange of the
    texts), and the windows are put into suffix order and compared.
 """
@@ -78,13 +79,14 @@ def _pieces(codes, edges, length, gram):
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def packed(start, count, offset, late, split=1):
-    """One number for a row's place: start, windows, anchor's offset, parts to deal it in, and whether it is known to repeat."""
-    return (start << 25) | (np.int64(split) << 17 if np.isscalar(split) else split << 17) | (count << 9) | (offset << 1) | late
+def packed(start, count, offset, late, again, split=1):
+    """One number for a row's place: start, windows, anchor's offset, whether it is known to repeat, whether it stands
+    for further equal stretches of its document, and the parts to deal it in."""
+    return (start << 25) | (np.asarray(split, np.int64) << 18) | (again << 17) | (count << 9) | (offset << 1) | late
 
 
 def unpacked(m: np.ndarray) -> tuple[np.ndarray, ...]:
-    return m >> 25, (m >> 9) & 255, (m >> 1) & 255, m & 1, (m >> 17) & 255
+    return m >> 25, (m >> 9) & 255, (m >> 1) & 255, (m >> 17) & 1, (m >> 18) & 127
 
 
 def _batch(**columns) -> pa.RecordBatch:
@@ -98,10 +100,10 @@ def _ids(batch: pa.RecordBatch, name: str = "_id") -> np.ndarray:
 class Repeats:
     """codes(bytes) -> (codes, start byte, end byte of each code, or None where codes are bytes)."""
 
-    def __init__(self, codes: Callable, length: int, gram: int, other_document: bool):
-        if not 0 < gram <= length <= 255:
-            raise ValueError("needs 0 < gram <= length <= 255")
-        self.codes, self.length, self.gram, self.other = codes, length, gram, other_document
+    def __init__(self, codes: Callable, length: int, gram: int, other_document: bool, split: int = SPLIT):
+        if not 0 < gram <= length <= 255 or length - gram > 126:
+            raise ValueError("needs 0 < gram <= length <= 255, and length - gram <= 126")
+        self.codes, self.length, self.gram, self.other, self.split = codes, length, gram, other_document, split
 
     # The order of occurrences: by document alone, or by document and place.
     def _later(self, doc, start, first_doc, first_start):
@@ -119,17 +121,27 @@ class Repeats:
                 parts.append((h, c, ids[i + which], s - edges[which], n, o))
             if not parts:
                 continue
-            h, c, d, s, n, o = (np.concatenate(x) for x in zip(*parts, strict=True))
+            h, c, d, s, n, offsets = (np.concatenate(x) for x in zip(*parts, strict=True))
             if not len(h):
                 continue
             both = mix(h ^ (c * np.uint64(0x9E3779B97F4A7C15)))
             order = np.lexsort((s, d, both))
             first = np.maximum.accumulate(np.where(np.concatenate(([True], both[order][1:] != both[order][:-1])), np.arange(len(order)), 0))
             f = order[first]
-            late = np.zeros(len(h), np.int64)
+            late, again = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
             late[order] = self._later(d[order], s[order], d[f], s[f])
+            if self.other:
+                # equal stretches of one document share their fate: the first stands for all
+                o = order
+                own = np.concatenate(([True], (both[o][1:] != both[o][:-1]) | (d[o][1:] != d[o][:-1])))
+                i = np.flatnonzero(own)
+                again[o[i]] = np.diff(np.append(i, len(o))) > 1
+                keep = np.sort(o[i])
+                h, c, d, s, n, o, late, again = (x[keep] for x in (h, c, d, s, n, offsets, late, again))
+            else:
+                o = offsets
             route = np.where(late == 1, mix(d.view(np.uint64) * np.uint64(31) + s.view(np.uint64)), h).view(np.int64)
-            yield _batch(route=route, context=np.where(late == 1, np.uint64(0), c).view(np.int64), doc=d, at=packed(s, n, o, late))
+            yield _batch(route=route, context=np.where(late == 1, np.uint64(0), c).view(np.int64), doc=d, at=packed(s, n, o, late, again))
 
     def _laid(self, data, at):
         """The codes of documents laid end to end, with each document's first code, and each code's bytes."""
@@ -187,9 +199,9 @@ class Repeats:
             classes = np.where(low == high, 1, classes)
         ask = ~later & (classes[group] > 1)
         if ask.any():
-            parts = np.minimum(self.length - self.gram + 1, -(-classes // SPLIT))[group[ask]]
-            start, count, offset, _, _ = unpacked(at[ask])
-            yield _batch(anchor=route[ask], doc=doc[ask], at=packed(start, count, offset, 0, parts))
+            parts = np.minimum(self.length - self.gram + 1, -(-classes // self.split))[group[ask]]
+            start, count, offset, again, _ = unpacked(at[ask])
+            yield _batch(anchor=route[ask], doc=doc[ask], at=packed(start, count, offset, 0, again, parts))
 
     def _fetch(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The content of the windows asked for: one row for each, or for each part of a much shared anchor."""
@@ -202,17 +214,17 @@ class Repeats:
                 codes, _, _ = self._laid(data, at[i : i + 2])
                 raw = data[at[i] : at[i + 1]] if self.codes is as_bytes else codes
                 for x in rows.as_py():
-                    start, count, offset, _, parts = (int(v) for v in unpacked(np.int64(x["at"])))
+                    start, count, offset, again, parts = (int(v) for v in unpacked(np.int64(x["at"])))
                     anchor = start + offset
                     for k in range(parts):
                         # windows whose anchor lies between these offsets from their start
                         a, b = span * k // parts, span * (k + 1) // parts
                         s, e = max(start, anchor - b + 1), min(start + count, anchor - a + 1)
                         if s < e:
-                            out.append((x["anchor"] ^ k, doc, s, e - s, raw[s : e - 1 + self.length].tobytes()))
+                            out.append((x["anchor"] ^ k, doc, s, e - s, again, raw[s : e - 1 + self.length].tobytes()))
             if out:
-                a, d, s, n, c = zip(*out, strict=True)
-                yield _batch(anchor=pa.array(a, pa.int64()), doc=pa.array(d, pa.int64()), start=pa.array(s, pa.int64()), count=pa.array(n, pa.int64()), content=pa.array(c, pa.binary()))
+                a, d, s, n, r, c = zip(*out, strict=True)
+                yield _batch(again=pa.array(r, pa.int64()), anchor=pa.array(a, pa.int64()), doc=pa.array(d, pa.int64()), start=pa.array(s, pa.int64()), count=pa.array(n, pa.int64()), content=pa.array(c, pa.binary()))
 
     def _order(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Windows in suffix order; those with an earlier occurrence as runs (document, start, end)."""
@@ -220,7 +232,7 @@ class Repeats:
         if not got:
             return
         t = pa.Table.from_batches(got)
-        doc, start, count = (t.column(x).to_numpy() for x in ("doc", "start", "count"))
+        doc, start, count, again = (t.column(x).to_numpy() for x in ("doc", "start", "count", "again"))
         size = 1 if self.codes is as_bytes else 8
         raw = np.frombuffer(b"".join(t.column("content").to_pylist()), np.uint8)
         lengths = (count - 1 + self.length) * size
@@ -231,17 +243,28 @@ class Repeats:
         earlier = repeated_suffixes(raw, place, self.length * size, doc[row], start[row] + step, self.other)
         row, at = row[earlier], (start[row] + step)[earlier]
         if len(row):
-            yield runs(doc[row], at, self.length)
+            yield runs(doc[row], at, again[row], self.length)
 
     def find(self, docs: DataFrame) -> DataFrame:
-        """(doc, runs: [(start, end)]) of every document with a window that occurs earlier. docs: (_id, _text)."""
+        """(_id, runs: [(start, stop, again)]) of every document with a window that occurs earlier. docs: (_id, _text).
+
+        again: what is so in the run is so wherever the document has the same windows.
+        """
         rows = docs.mapInArrow(tidy(self._rows), "route long, context long, doc long, at long")
         met = rows.repartition("route").mapInArrow(tidy(self._meet), "anchor long, doc long, at long")
         asked = met.filter("anchor is not null").groupBy(F.col("doc").alias("_id")).agg(F.collect_list(F.struct("anchor", "at")).alias("asked"))
-        content = docs.join(asked.hint("shuffle_hash"), "_id").select("_id", "_text", "asked").mapInArrow(tidy(self._fetch), "anchor long, doc long, start long, count long, content binary")
-        sorted_ = content.repartition("anchor").mapInArrow(tidy(self._order), "doc long, start long, stop long")
-        whole = met.filter("anchor is null").select("doc", F.expr("shiftright(at, 25)").alias("start"), F.expr(f"shiftright(at, 25) + (shiftright(at, 9) & 255) + {self.length - 1}").alias("stop"))
-        return whole.unionByName(sorted_).groupBy(F.col("doc").alias("_id")).agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
+        content = docs.join(asked.hint("shuffle_hash"), "_id").select("_id", "_text", "asked").mapInArrow(tidy(self._fetch), "again long, anchor long, doc long, start long, count long, content binary")
+        sorted_ = content.repartition("anchor").mapInArrow(tidy(self._order), "doc long, start long, stop long, again long")
+        whole = met.filter("anchor is null").select("doc", F.expr("shiftright(at, 25)").alias("start"), F.expr(f"shiftright(at, 25) + (shiftright(at, 9) & 255) + {self.length - 1}").alias("stop"), F.expr("shiftright(at, 17) & 1").alias("again"))
+        return whole.unionByName(sorted_).groupBy(F.col("doc").alias("_id")).agg(F.collect_list(F.struct("start", "stop", "again")).alias("runs"))
+
+    def _everywhere(self, raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Where in a document the windows of some of its runs start, all of their occurrences."""
+        hashes = Rolling(self._laid(raw, np.array([0, len(raw)]))[0]).windows(self.length)
+        inside = np.zeros(len(hashes) + 1, np.int32)
+        np.add.at(inside, start, 1)
+        np.add.at(inside, stop - self.length + 1, -1)
+        return np.flatnonzero(np.isin(hashes, hashes[np.cumsum(inside[:-1]) > 0]))
 
     def removed(self, docs: DataFrame, digest: Callable, columns: str) -> DataFrame:
         """digest(raw bytes, code spans or None, removed mask) -> values of `columns` for every document of (_id, _text)."""
@@ -265,8 +288,13 @@ class Repeats:
                     gone = np.zeros(n + 1, np.int32)
                     if runs_.is_valid:
                         got = runs_.values
-                        np.add.at(gone, got.field("start").to_numpy(zero_copy_only=False), 1)
-                        np.add.at(gone, got.field("stop").to_numpy(zero_copy_only=False), -1)
+                        start, stop, again = (got.field(c).to_numpy(zero_copy_only=False) for c in ("start", "stop", "again"))
+                        np.add.at(gone, start, 1)
+                        np.add.at(gone, stop, -1)
+                        if again.any():
+                            more = self._everywhere(raw, start[again > 0], stop[again > 0])
+                            np.add.at(gone, more, 1)
+                            np.add.at(gone, more + self.length, -1)
                     out.append(digest(raw, spans, np.cumsum(gone[:n]) > 0))
                 names = [x.split()[0] for x in columns.split(",")]
                 types = {"long": pa.int64(), "string": pa.string()}
@@ -341,10 +369,10 @@ def smaller_neighbour(first: np.ndarray, doc: np.ndarray, at: np.ndarray, other_
     return (doc > low_doc) | (at > low_at)
 
 
-def runs(doc: np.ndarray, at: np.ndarray, length: int) -> pa.RecordBatch:
-    """Windows as maximal runs of covered codes."""
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
-    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + length)))
+def runs(doc: np.ndarray, at: np.ndarray, again: np.ndarray, length: int) -> pa.RecordBatch:
+    """Windows as runs: covered codes without a gap; where they stand for more, windows without a gap."""
+    order = np.lexsort((at, doc, again))
+    doc, at, again = doc[order], at[order], again[order]
+    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (again[1:] != again[:-1]) | (at[1:] > at[:-1] + np.where(again[1:] > 0, 1, length))))
     i = np.flatnonzero(new)
-    return _batch(doc=doc[i], start=at[i], stop=at[np.append(i[1:], len(at)) - 1] + length)
+    return _batch(doc=doc[i], start=at[i], stop=at[np.append(i[1:], len(at)) - 1] + length, again=again[i])

@@ -73,7 +73,7 @@ def test_words_against_brute_force(spark, seed):
 
 
 def test_much_shared_anchors_are_dealt_by_offset(spark, monkeypatch):
-    monkeypatch.setattr(_windows, "SPLIT", 2)
+    monkeypatch.setattr(suffix_dedup, "finder", lambda n: _windows.Repeats(_windows.as_bytes, n, 32, other_document=False, split=2))
     draw = random.Random(7)
     passage = "".join(draw.choice("abcdefgh ") for _ in range(90))
     texts = ["".join(draw.choice("ijkl") for _ in range(20)) + draw.choice(["u", "v"]) * 6 + passage + draw.choice(["x", "y"]) * 8 for _ in range(60)]
