@@ -12,7 +12,8 @@ least the threshold are linked.
 3. Buckets with equal members count once. Inside a bucket sketches (one-permutation minima) are
    compared with pivots: what is surely similar to a pivot needs no pivot of its own, since whatever is
    linked to it lies within twice the distance of the pivot and is joined to it. This joins
-   candidates into components without listing pairs.
+   candidates into components without listing pairs. Huge buckets are dealt in parts that all meet the
+   same pivots, round by round.
 4. Inside each candidate component every pair is decided exactly, by products of blocks of the
    sets' incidence matrix. Links are counted there, for each document, and classes are the components of
    the exact links. Large components are dealt as pairs of blocks.
@@ -39,6 +40,8 @@ STRIDES = (0, 5, 11)  # the run whose choice splits a bucket at each depth
 SKETCH = 128
 #: Sketch likeness from which a member is surely / possibly near a pivot.
 TIGHT, LOOSE = 0.86, 0.5
+#: Members above which a bucket is dealt in parts, and the pivots that all its parts meet in a round.
+HUGE, PIVOTS = 50_000, 1000
 #: Most rows and shingles of a block in the exact step.
 BLOCK_ROWS, BLOCK_SHINGLES = 2000, 2_000_000
 
@@ -115,7 +118,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _buckets(sets: DataFrame) -> DataFrame:
-    """(path, rep) of the buckets to look into, each with two members or more, no two alike."""
+    """(path, rep, n) of the buckets to look into, each with two members or more (n), no two alike."""
     level = sets.select("rep", F.explode("chosen").alias("x")).select("rep", F.col("x.r").alias("r"), F.col("x.t").alias("path"))
     out, counts = None, None
     for depth in range(1, DEPTH + 1):
@@ -131,7 +134,7 @@ def _buckets(sets: DataFrame) -> DataFrame:
             start = level.join(large, "path")
             tokens = sets.select("rep", F.explode("chosen").alias("x")).select("rep", F.col("x.r").alias("other"), F.col("x.t").alias("t"))
             level = start.withColumn("other", other).join(tokens, ["rep", "other"]).select("rep", "r", F.xxhash64("path", "t").alias("path"))
-    once = counts.groupBy("n", "members").agg(F.min("path").alias("path")).select("path")
+    once = counts.groupBy("n", "members").agg(F.min("path").alias("path")).select("path", "n")
     return out.join(once, "path")
 
 
@@ -160,22 +163,71 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidates(marks: np.ndarray) -> np.ndarray:
     """For each sketch the index of the first one that it is joined to, over pivots."""
-    n = len(marks)
-    label, left, used = np.arange(n), np.ones(n, bool), marks > 0
-    for p in range(n):
-        if not left[p]:
-            continue
-        left[p] = False
-        equal = ((marks == marks[p]) & used).sum(axis=1)
-        like = equal / np.maximum(1, (used | used[p]).sum(axis=1))
-        hit = np.flatnonzero(like >= LOOSE)
-        left[like >= TIGHT] = False
-        old = np.unique(label[hit])
-        if len(old) > 1:
-            label[np.isin(label, old)] = old[0]
+    label, left, used = np.arange(len(marks)), np.ones(len(marks), bool), marks > 0
+    for p in range(len(marks)):
+        if left[p]:
+            like = _likeness(marks, used, marks[p])
+            left[like >= TIGHT] = False
+            left[p] = False
+            _unite(label, np.flatnonzero(like >= LOOSE))
     return label
 
 
+def _likeness(marks: np.ndarray, used: np.ndarray, pivot: np.ndarray) -> np.ndarray:
+    """The estimated Jaccard similarity of each sketch to one."""
+    equal = ((marks == pivot) & used).sum(axis=1)
+    return equal / np.maximum(1, (used | (pivot > 0)).sum(axis=1))
+
+
+def _unite(label: np.ndarray, hit: np.ndarray) -> None:
+    old = np.unique(label[hit])
+    if len(old) > 1:
+        label[np.isin(label, old)] = old[0]
+
+
+def _against_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of huge buckets, each with all of the round's pivots -> (path, a, b, tight): what joins b to a, and whether b is surely near a pivot."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    t = pa.Table.from_batches(got)
+    path, salt, rep, pivot = (t.column(c).to_numpy(zero_copy_only=False) for c in ("path", "salt", "rep", "pivot"))
+    marks = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+    order = np.lexsort((rep, salt, path))
+    start = np.flatnonzero(np.concatenate(([True], (np.diff(path[order]) != 0) | (np.diff(salt[order]) != 0))))
+    for i, j in zip(start.tolist(), np.append(start[1:], len(order)).tolist(), strict=True):
+        k = order[i:j]
+        own, used, label, tight = marks[k], marks[k] > 0, np.arange(len(k)), np.zeros(len(k), bool)
+        for p in np.flatnonzero(pivot[k]):
+            like = _likeness(own, used, own[p])
+            tight |= like >= TIGHT
+            _unite(label, np.flatnonzero(like >= LOOSE))
+        yield pa.RecordBatch.from_arrays([pa.array(path[k]), pa.array(rep[k][label]), pa.array(rep[k]), pa.array(tight)], names=["path", "a", "b", "tight"])
+
+
+def pivoted(buckets: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b) joining the members of huge buckets (path, rep, n), dealt in parts of about HUGE members.
+
+    As in candidates(), but round by round: all parts meet the same PIVOTS or so pivots, members surely
+    near one need not become pivots, and the rest goes on until nobody is left.
+    """
+    parts = F.ceil(F.col("n") / HUGE).cast("int")
+    full = saved(buckets.join(sketches, "rep").select("path", "rep", "sketch", parts.alias("parts")))
+    left, edges, turn = full.select("path", "rep"), None, 0
+    members = full.select("path", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("salt"), "rep", "sketch", F.lit(False).alias("pivot"))
+    while True:
+        share = left.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / PIVOTS).alias("m"))
+        drawn = left.join(share, "path").filter(F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("m")) == 0).select("path", "rep")
+        pivots = full.join(drawn, ["path", "rep"]).select("path", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), "rep", "sketch", F.lit(True).alias("pivot"))
+        met = saved(members.union(pivots).repartition("path", "salt").mapInArrow(tidy(_against_pivots), "path long, a long, b long, tight boolean"))
+        found = met.filter("a < b").select("a", "b")
+        edges = found if edges is None else edges.union(found)
+        left = saved(left.join(met.filter("tight").select("path", F.col("b").alias("rep")).distinct(), ["path", "rep"], "left_anti"))
+        if not left.limit(1).count():
+            return edges
+        turn += 1
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingle sets of candidates, once for each pair of blocks that they take part in."""
     for batch in batches:
@@ -282,8 +334,11 @@ def linked(docs: DataFrame) -> DataFrame:
     named = described.filter("size > 0").groupBy("name").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     groups = saved(named)
     sets = described.select(F.col("_id").alias("rep"), "size", "sketch", "chosen").join(groups.select("rep", "n"), "rep")
-    found = _buckets(sets.select("rep", "chosen"))
-    near = found.join(sets.select("rep", "sketch"), "rep").repartition("path").mapInArrow(tidy(_joined), "a long, b long")
+    found, sketches = saved(_buckets(sets.select("rep", "chosen"))), sets.select("rep", "sketch")
+    near = found.filter(F.col("n") <= HUGE).select("path", "rep").join(sketches, "rep").repartition("path").mapInArrow(tidy(_joined), "a long, b long")
+    huge = found.filter(F.col("n") > HUGE)
+    if huge.limit(1).count():
+        near = near.union(pivoted(huge, sketches))
     labels = saved(components(near))
     sized = labels.join(sets.select(F.col("rep").alias("node"), "size", "n"), "node")
     shape = sized.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("long").alias("n_blocks"))

@@ -63,6 +63,21 @@ def test_links_against_all_pairs(spark, monkeypatch, limit):
     assert joined(spark, texts) == expected(texts)
 
 
+def test_huge_buckets_are_dealt_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HUGE", 5)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
+    draw = random.Random(6)
+    texts = {}
+    for g in range(2):
+        base = [f"{g}w{i}" for i in range(50)]
+        for i in range(22):
+            words = list(base)
+            for k in draw.sample(range(50), draw.choice([0, 1, 2])):
+                words[k] = f"x{draw.randrange(50)}"
+            texts[100 * g + i] = " ".join(words)
+    assert joined(spark, texts) == expected(texts)
+
+
 def test_large_groups_are_decided_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 10)
     draw = random.Random(4)
