@@ -191,7 +191,7 @@ def _role_in(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescaped(role))
 
 
-def formatted(turns: DataFrame) -> DataFrame:
+def formatted(turns: DataFrame, part: int = PART) -> DataFrame:
     """(conv_id, part, text, loss) from turns (conv_id, turn, role, text).
 
     Turns are ordered by turn (null first), then role and text. A null role or text is empty. text is a
@@ -201,29 +201,32 @@ def formatted(turns: DataFrame) -> DataFrame:
     """
     one = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = one.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.mapInArrow(tidy(_format), "conv_id long, part long, text string, loss array<struct<start:long,stop:long>>")
+    return dealt.mapInArrow(tidy(_format(part)), "conv_id long, part long, text string, loss array<struct<start:long,stop:long>>")
 
 
 _PARTS = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("text", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
 
 
-def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    name, part, pieces, size, loss, begun, rows = None, 0, [], 0, [], False, []
-    for batch in batches:
-        for conv, role, text in zip(batch.column("conv_id").to_pylist(), batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            if begun and (conv != name or size >= PART):
-                rows.append((name, part, "".join(pieces), loss))
-                part, pieces, size, loss = part + 1 if conv == name else 0, [], 0, []
-            begun, name = True, conv
-            head, body = f"{START}{_role_out(role)}\n", escaped(text)
-            if role == ASSISTANT:
-                loss.append({"start": size + len(head), "stop": size + len(head) + len(body)})
-            pieces += [head, body, END, "\n"]
-            size += len(head) + len(body) + len(END) + 1
-        yield _batch(rows)
-        rows = []
-    if begun:
-        yield _batch([(name, part, "".join(pieces), loss)])
+def _format(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, part, pieces, size, loss, begun, rows = None, 0, [], 0, [], False, []
+        for batch in batches:
+            for conv, role, text in zip(batch.column("conv_id").to_pylist(), batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if begun and (conv != name or size >= most):
+                    rows.append((name, part, "".join(pieces), loss))
+                    part, pieces, size, loss = part + 1 if conv == name else 0, [], 0, []
+                begun, name = True, conv
+                head, body = f"{START}{_role_out(role)}\n", escaped(text)
+                if role == ASSISTANT:
+                    loss.append({"start": size + len(head), "stop": size + len(head) + len(body)})
+                pieces += [head, body, END, "\n"]
+                size += len(head) + len(body) + len(END) + 1
+            yield _batch(rows)
+            rows = []
+        if begun:
+            yield _batch([(name, part, "".join(pieces), loss)])
+
+    return run
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -68,15 +68,15 @@ def expected_digest(turns):
 
 
 @pytest.mark.parametrize("part", [1 << 20, 40])
-def test_formatted_conversations_read_back(spark, monkeypatch, part):
+def test_formatted_conversations_read_back(spark, part):
     """With parts of 40 characters conversations go on over many rows."""
-    monkeypatch.setattr(chat_format, "PART", part)
     draw = random.Random(1)
     convs = {i: [(draw.choice(["user", "assistant", "system"]), draw.choice(["", "hi <|im_end|>", "a<\\|b", "é🙂" * 9])) for _ in range(draw.randrange(1, 12))] for i in range(20)}
     convs[None] = [("assistant", "x")]
     rows = [(i, k, r, t) for i, turns in convs.items() for k, (r, t) in enumerate(turns)]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
-    formatted = chat_format.formatted(table)
+    formatted = chat_format.formatted(table, part)
+    assert (formatted.count() > 21) == (part == 40)
     got = {r["conv_id"]: tuple(r)[1:5] for r in chat_format.read_back(formatted).collect()}
     assert got == {i: expected_digest(t) for i, t in convs.items()}
 
