@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, jaccard_join, language_id, packing, piece_tokens, quality_rules, simhash, substring_dedup, suffix_dedup, token_store
-from ._common import saved, shared_path, table
+from ._common import saved, shared_path, table, written
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's columns, and n_near: documents with another fingerprint within the radius."""
-    prints = saved(simhash.compared(table(spark, sf_dir, "documents")))
+    prints = written(simhash.compared(table(spark, sf_dir, "documents")), "fingerprints")
     return prints.join(simhash.neighbours(prints), "fingerprint").drop("n")
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ._common import NULL_ID, blocks, id_back, keyed, mix, text_bytes, tidy, word_codes
 
 BITS = 128
-RADIUS, BLOCKS = 3, 5
+RADIUS, BLOCKS = 3, 4
 #: Ranges of ids in which documents meet their successor; each is read in order by one task.
 MOST_RANGES = 2000
 

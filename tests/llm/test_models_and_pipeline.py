@@ -175,3 +175,8 @@ def test_stages_on_odd_tables(spark, tmp_path):
             docs = spark.read.parquet(path)
             assert k == 4 or docs.columns == [c.split()[0] for c in columns.split(", ")]
         assert docs.count() == (2 if data else 0)
+
+
+def test_without_languages_to_learn_documents_with_letters_stay(spark):
+    docs = spark.createDataFrame([(1, "ab", None), (2, "12", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()] == [1]
