@@ -26,9 +26,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: not `und`, and not undecided between two."""
+    """Documents in a language: not `und`, and not undecided between two. With no labels to learn from, those with a letter."""
     ship(spark)
-    found = language_id.predicted(docs, language_id.fit(docs), ("_language", "_score"))
+    model = language_id.fit(docs)
+    if not model["languages"]:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = language_id.predicted(docs, model, ("_language", "_score"))
     return found.filter((F.col("_language") != "und") & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
 
 
