@@ -9,6 +9,10 @@
    that stratum then exceed alpha with probability delta at most, over all strata (Bonferroni across
    strata; inside one, testing in a fixed order and stopping at the first failure needs no correction).
    Without labels enough to prove that, no cutoff passes and nothing is rejected by score.
+4. With `pooled`, the good documents of all strata together are one more hypothesis of the correction
+   (delta / (strata + 1) for each). A stratum without a cutoff of its own takes the one proved there, which
+   rejects more than alpha of all good documents with probability delta at most, but has no bound inside
+   that stratum. Even alone a hypothesis needs log(delta) / log(1 - alpha) good holdout documents: 598.
 
 What reaches the driver is the model: FEATURES x bins log-odds and a cutoff for each stratum, whatever
 the input's size. Labels that are null, and labelled ids without a document, don't count.
@@ -124,8 +128,8 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k > n * p, F.lit(1.0)).otherwise(F.aggregate(terms, first, step, lambda s: s["sum"]))
 
 
-def fit(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> Model:
-    """counts: (doc_id, _q) of all documents. labels: (doc_id, quality: 1 good, 0 bad)."""
+def fit(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, pooled: bool = False) -> Model:
+    """counts: (doc_id, _q) of all documents. labels: (doc_id, quality: 1 good, 0 bad). pooled: see above, 4."""
     known = counts.join(labels.select("doc_id", "quality").filter("quality is not null"), "doc_id").withColumn("half", F.md5(F.col("doc_id").cast("string")) < "8")
     parts = [F.struct(F.lit(f).alias("feature"), _bin(f, F.col("_q")).alias("bin")) for f in FEATURES]
     seen = known.filter("half").select("quality", F.explode(F.array(*parts)).alias("x")).groupBy("x.feature", "x.bin").agg(F.count_if(F.col("quality") == 0).alias("bad"), F.count_if(F.col("quality") == 1).alias("good"))
@@ -139,13 +143,18 @@ def fit(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
     model = Model(odds, (None,) * (len(STRATA) + 1))
     held = known.filter("not half and quality = 1").select(_stratum(F.col("_q")).alias("stratum"), model.score(F.col("_q")).alias("score"))
     above = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("score") > c).alias(f"c{c}") for c in CUTOFFS))
-    tried = above.select("stratum", F.array(*(binomial_tail(F.col("n"), F.col(f"c{c}"), alpha) <= delta / (len(STRATA) + 1) for c in CUTOFFS)).alias("passed"))
-    cutoffs: list[int | None] = [None] * (len(STRATA) + 1)
+    strata = len(STRATA) + 1
+    if pooled:
+        # the pool is the row after the strata's
+        above = above.unionByName(above.groupBy(F.lit(strata).alias("stratum")).agg(*(F.sum(c).alias(c) for c in above.columns if c != "stratum")))
+    tried = above.select("stratum", F.array(*(binomial_tail(F.col("n"), F.col(f"c{c}"), alpha) <= delta / (strata + pooled) for c in CUTOFFS)).alias("passed"))
+    cutoffs: list[int | None] = [None] * (strata + 1)
     for r in tried.collect():  # one row for each stratum
         passed = [*r["passed"], False]
         if first_failure := passed.index(False):
             cutoffs[r["stratum"]] = CUTOFFS[first_failure - 1]
-    return Model(odds, tuple(cutoffs))
+    *own, pool = cutoffs
+    return Model(odds, tuple(pool if c is None else c for c in own))
 
 
 def _hundredths(a: int, b: int) -> int:
@@ -159,8 +168,9 @@ def judged(docs: DataFrame, labels: DataFrame, into: str = "_verdict") -> DataFr
 
     Each row is judged by itself, repeated ids and null ids as well. Null or empty text fails the base
     rule. No labels: kept is not base_failed. Other columns stay as they are, whatever their names.
+    Strata with few labels take the pooled cutoff.
     """
-    model = fit(counted(docs.select("doc_id", "text")).select("doc_id", "_q"), labels)
+    model = fit(counted(docs.select("doc_id", "text")).select("doc_id", "_q"), labels, pooled=True)
 
     def verdict(q: Column) -> Column:
         return F.struct(q.alias("q"), base_failed(q).alias("base_failed"), (~base_failed(q) & ~model.rejected(q)).alias("kept"))

@@ -67,6 +67,16 @@ def test_without_proof_nothing_goes(spark):
     assert quality_rules.judged(docs, labels).filter("not _verdict.kept").count() <= 4000 * 0.01
 
 
+def test_strata_with_few_labels_take_the_pooled_cutoff(spark):
+    """Short documents are too few for a cutoff of their own; all together prove one."""
+    bad = lambda i: i % 10 == 0
+    text = lambda i: words(i, 30 if i % 50 < 2 else 120)
+    docs, labels = labelled(spark, 5000, text, lambda i: text(i).replace(" ", "## "), lambda i: int(not bad(i)))
+    model = quality_rules.fit(quality_rules.counted(docs).select("doc_id", "_q"), labels)
+    assert model.cutoffs[0] is None and model.cutoffs[1] is not None
+    assert {r["doc_id"] for r in quality_rules.judged(docs, labels).filter("not _verdict.kept").collect()} == {i for i in range(5000) if bad(i)}
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None, 0), (None, words(1), 1), (1, words(2), 2), (1, words(2), 2)], "doc_id long, text string, kept_before long")
     labels = spark.createDataFrame([(1, None), (None, 1), (77, 1)], "doc_id long, quality int")
