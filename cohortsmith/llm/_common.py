@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but ASCII white space.
@@ -57,23 +57,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(_id, _text) of every document: a null id becomes NULL_ID, a null text is empty.
+def keyed(docs: DataFrame, *more: str) -> tuple[DataFrame, DataFrame | None]:
+    """((_id, _text, more...) of every document, and the doc_id of every key); a null text is empty.
 
-    doc_id names a document. Where rows repeat an id (found by a pass over the ids alone), the row
-    with the smallest text stands for it; the others are no documents of their own.
+    Where no doc_id repeats (found by a pass over the ids alone), it is the key, NULL_ID for a null one, and there
+    is no second table. Else rows equal in id and text are one document (of the other columns, those with the
+    smallest JSON), and keys count documents up by doc_id (null first) and the hash of the text, in ranges
+    that split the rows of a frequent id as well.
     """
-    out = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
-    if out.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
-        first = Window.partitionBy("_id").orderBy("_text")
-        out = out.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-    return out
+    key, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.coalesce("text", F.lit("")).alias("_text")
+    out = docs.select(key, text, *more)
+    if not out.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
+        return out, None
+    rows = docs.select(F.col("doc_id").cast("long").alias("_name"), text, *more)
+    if more:
+        row = F.struct(*more)
+        rows = rows.groupBy("_name", "_text").agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_name", "_text", "_row.*")
+    else:
+        rows = rows.distinct()
+    order = ("_name", F.xxhash64("_text"))
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "_text").withColumn("_id", F.monotonically_increasing_id())
+    rows = written(rows, "documents")
+    return rows.select("_id", "_text", *more), rows.select("_id", F.col("_name").alias("doc_id"))
 
 
 def id_back(column: str = "_id"):
     return F.when(F.col(column) != NULL_ID, F.col(column)).alias("doc_id")
 
 
+def named(out: DataFrame, names: DataFrame | None, **columns: str) -> DataFrame:
+    """out with key columns turned into ids, names as from keyed(); columns: the new name of each, `_id` to doc_id if not given."""
+    for key, name in (columns or {"_id": "doc_id"}).items():
+        if names is None:
+            out = out.withColumn(name, id_back(key)).drop(key)
+        else:
+            out = out.join(names.select(F.col("_id").alias(key), F.col("doc_id").alias(name)), key).drop(key)
+    return out
+
+
 def tidy(f):
     """f, a generator over batches, that gives its memory back to the system when it ends: workers wait idle beside other stages."""
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Rolling, blocks, id_back, keyed, mix, saved, text_bytes, tidy, word_codes
+from ._common import Rolling, blocks, keyed, mix, named, saved, text_bytes, tidy, word_codes
 from ._windows import Repeats
 from .components import components
 
@@ -326,10 +326,15 @@ def linked(docs: DataFrame) -> DataFrame:
 
     class_id: the smallest doc_id that links connect with this one (itself, if none). n_links: documents
     with a similarity of at least the threshold; n_copies: those among them with an equal set. Null text
-    is empty; texts without words have no links, not even with each other; rows that repeat a doc_id: see
-    keyed(). A null doc_id's class_id is null. No documents, no rows.
+    is empty; texts without words have no links, not even with each other; different texts of one doc_id are
+    documents of their own, see keyed(). A null doc_id's class_id is null. No documents, no rows.
     """
-    texts = keyed(docs)
+    texts, names = keyed(docs)
+    return named(linked_keys(texts), names, _id="doc_id", **{"class": "class_id"}).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def linked_keys(texts: DataFrame) -> DataFrame:
+    """As linked(), by key: (_id, class, n_links, n_copies) from (_id, _text)."""
     described = saved(texts.mapInArrow(tidy(_described), "_id long, name binary, size long, sketch binary, chosen array<struct<r:int,t:long>>"))
     named = described.filter("size > 0").groupBy("name").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     groups = saved(named)
@@ -351,4 +356,4 @@ def linked(docs: DataFrame) -> DataFrame:
     of_rep = groups.join(links, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
     of_name = of_rep.select("name", F.coalesce("label", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), (F.col("n") - 1).alias("n_copies"))
     out = described.select("_id", F.when(F.col("size") > 0, F.col("name")).alias("name")).join(of_name, "name", "left")
-    return out.withColumn("class", F.coalesce("class", "_id")).select(id_back(), id_back("class").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(0)).cast("long").alias("n_copies"))
+    return out.select("_id", F.coalesce("class", "_id").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(0)).cast("long").alias("n_copies"))

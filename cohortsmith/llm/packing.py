@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import SPACE, id_back, keyed, saved
+from ._common import SPACE, keyed, named, saved
 
 MAX_TOKENS, BUCKETS, BUDGET = 4096, 16, 65_536
 #: Sequences of a bucket that one task numbers, on average.
@@ -67,11 +67,12 @@ def packed(docs: DataFrame, length: Column | None = None, max_tokens: int = MAX_
     upper bound of the sequence's bucket; (bucket, shard, batch) names a batch of at most budget // bucket
     sequences (one at least), slot the place in it. Sequences of a batch follow each other by length,
     doc_id and piece. A document without tokens (null or empty text) has one row with length 0 and null
-    bucket, shard, batch and slot. Rows that repeat a doc_id: see keyed(). No documents, no rows.
+    bucket, shard, batch and slot. Different texts of one doc_id are documents of their own. No documents, no rows.
     """
     if max_tokens < 1 or buckets < 1 or budget < 1:
         raise ValueError("needs positive limits")
-    sized = saved(keyed(docs).select("_id", (word_count() if length is None else length).cast("long").alias("n_tokens")))
+    texts, names = keyed(docs)
+    sized = saved(texts.select("_id", (word_count() if length is None else length).cast("long").alias("n_tokens")))
     pieces = F.greatest(F.ceil(F.col("n_tokens") / max_tokens).cast("long"), F.lit(1).cast("long"))
     rows = sized.select("_id", "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("piece"))
     rows = rows.withColumn("start", F.col("piece") * max_tokens).withColumn("length", F.least(F.lit(max_tokens).cast("long"), F.col("n_tokens") - F.col("start")))
@@ -79,7 +80,7 @@ def packed(docs: DataFrame, length: Column | None = None, max_tokens: int = MAX_
     bounds = boundaries(histogram, buckets)
     if not bounds:
         none = F.lit(None).cast("long")
-        return rows.select(id_back(), "n_tokens", "piece", "start", "length", *(none.alias(c) for c in ("bucket", "shard", "batch", "slot")))
+        return named(rows, names).select("doc_id", "n_tokens", "piece", "start", "length", *(none.alias(c) for c in ("bucket", "shard", "batch", "slot")))
     sizes = [sum(n for x, n in histogram.items() if a < x <= b) for a, b in zip([0, *bounds], bounds, strict=False)]
     bucket, shards, most = (F.lit(None).cast("long") for _ in range(3))
     for b, n in reversed(list(zip(bounds, sizes, strict=True))):
@@ -93,4 +94,4 @@ def packed(docs: DataFrame, length: Column | None = None, max_tokens: int = MAX_
     rank = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("length", "_id", "piece")) - 1
     full = full.withColumn("rank", rank.cast("long")).withColumn("batch", F.floor(F.col("rank") / F.col("most"))).withColumn("slot", F.col("rank") % F.col("most"))
     empty = rows.filter("length = 0").withColumn("rank", F.lit(None).cast("long")).withColumn("batch", F.lit(None).cast("long")).withColumn("slot", F.lit(None).cast("long"))
-    return full.unionByName(empty).select(id_back(), "n_tokens", "piece", "start", "length", "bucket", "shard", "batch", "slot")
+    return named(full.unionByName(empty), names).select("doc_id", "n_tokens", "piece", "start", "length", "bucket", "shard", "batch", "slot")

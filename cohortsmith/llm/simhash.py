@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NULL_ID, blocks, id_back, keyed, mix, text_bytes, tidy, word_codes
+from ._common import NULL_ID, blocks, keyed, mix, named, text_bytes, tidy, word_codes
 
 BITS = 128
 RADIUS, BLOCKS = 3, 4
@@ -132,10 +132,12 @@ def compared(docs: DataFrame) -> DataFrame:
 
     The next document is that with the next smaller doc_id (a null id is the smallest), for the last the
     first; a single document is its own next. Null text is empty; texts without words have the
-    fingerprint 0; rows that repeat a doc_id: see keyed(). No documents, no rows.
+    fingerprint 0; different texts of one doc_id are documents that follow each other, see keyed(). No
+    documents, no rows.
     """
-    out = followed(keyed(docs)).mapInArrow(tidy(_compare), "_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    return out.select(id_back(), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    texts, names = keyed(docs)
+    out = followed(texts).mapInArrow(tidy(_compare), "_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return named(out, names).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 def tables(radius: int = RADIUS, n_blocks: int = BLOCKS) -> list[tuple[int, ...]]:

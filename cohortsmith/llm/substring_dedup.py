@@ -13,7 +13,7 @@ import hashlib
 
 from pyspark.sql import DataFrame
 
-from ._common import id_back, keyed, word_codes
+from ._common import keyed, named, word_codes
 from ._windows import Repeats
 
 WINDOW = 13
@@ -44,8 +44,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A word goes if a window of `window` words that covers it also starts in a document with a smaller
     doc_id; repeats inside one document alone stay. Windows are judged on the input. Null or empty
-    text: no words; a null doc_id sorts first; rows that repeat a doc_id: see keyed(). Other columns
-    are ignored. No documents, no rows.
+    text: no words; a null doc_id sorts first; different texts of one doc_id are documents that follow
+    each other, see keyed(). Other columns are ignored. No documents, no rows.
     """
 
     def digest(raw, _, gone):
@@ -54,6 +54,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
         return len(gone), int(gone.sum()), hashlib.sha256(b" ".join(words)).hexdigest()
 
-    out = finder(window).removed(keyed(docs), digest, "n_words long, n_removed long, kept_sha256 string")
-    return out.select(id_back(), "n_words", "n_removed", "kept_sha256")
+    texts, names = keyed(docs)
+    out = finder(window).removed(texts, digest, "n_words long, n_removed long, kept_sha256 string")
+    return named(out, names).select("doc_id", "n_words", "n_removed", "kept_sha256")
 

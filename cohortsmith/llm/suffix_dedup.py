@@ -15,7 +15,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from ._common import id_back, keyed
+from ._common import keyed, named
 from ._windows import Repeats, as_bytes
 
 MIN_BYTES = 100
@@ -77,23 +77,29 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 
     A byte goes if a string of min_bytes that covers it also starts earlier: in a document with a
     smaller doc_id, or earlier in its own. Strings are judged on the input; overlaps count. Null text
-    is empty; a null doc_id sorts first; rows that repeat a doc_id: see keyed(). Other columns are
-    ignored. No documents, no rows.
+    is empty; a null doc_id sorts first; different texts of one doc_id are documents that follow each
+    other, see keyed(). Other columns are ignored. No documents, no rows.
     """
 
     def digest(raw, _, gone):
         spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
         return len(raw), int(gone.sum()), spans, hashlib.sha256(raw[~gone].tobytes()).hexdigest()
 
-    out = finder(min_bytes).removed(keyed(docs), digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.select(id_back(), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    texts, names = keyed(docs)
+    out = finder(min_bytes).removed(texts, digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return named(out, names).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def kept_texts(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """(doc_id, n_removed, text) with the repeats cut out of the texts; characters cut in two at an edge go as well."""
+    texts, names = keyed(docs)
+    return named(kept_of(texts, min_bytes), names).select("doc_id", "n_removed", "text")
+
+
+def kept_of(texts: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """As kept_texts(), by key: (_id, n_removed, text) from (_id, _text)."""
 
     def digest(raw, _, gone):
         return int(gone.sum()), raw[~gone].tobytes().decode("utf-8", "ignore")
 
-    out = finder(min_bytes).removed(keyed(docs), digest, "n_removed long, text string")
-    return out.select(id_back(), "n_removed", "text")
+    return finder(min_bytes).removed(texts, digest, "n_removed long, text string")

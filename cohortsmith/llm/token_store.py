@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import BYTE_CODES, NULL_ID, Rolling, keyed, mix, remove, text_bytes, tidy
+from ._common import BYTE_CODES, Rolling, keyed, mix, named, remove, text_bytes, tidy
 
 END_ID = 2
 #: A chunk ends where the hash of the last WINDOW ids has its lowest CUT_BITS bits zero, or at LONGEST ids.
@@ -232,10 +232,14 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> str:
     """Writes the ids of every document (null text: empty) with end_id appended; returns the root digest.
 
-    doc_id names a document: see keyed(). A null doc_id comes first. No documents: a store without rows.
+    A null doc_id comes first. Different texts of one doc_id are documents that follow each other; the store
+    then has keys and a table of their ids, see keyed(). No documents: a store without rows.
     """
     spark = docs.sparkSession
-    rows = keyed(docs).mapInArrow(tidy(_encode(tokenizer, end_id)), _DDL)
+    texts, names = keyed(docs)
+    if names is not None:
+        names.write.parquet(f"{path}/ids")
+    rows = texts.mapInArrow(tidy(_encode(tokenizer, end_id)), _DDL)
     rows.repartition("route").mapInArrow(tidy(_once), _DDL).drop("route").write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/parts")
     recipes = spark.read.schema(_DDL.replace("route long, ", "")).parquet(f"{path}/parts").filter("kind = 'recipes'").select("doc_id", "n_tokens", "digests", "sizes")
     recipes.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("segment", F.spark_partition_id()).write.parquet(f"{path}/sorted")
@@ -275,6 +279,12 @@ def recipes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/recipes")
 
 
+def _names(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table of keys and ids, where keys are not ids."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/ids")
+    return spark.read.parquet(f"{path}/ids") if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p) else None
+
+
 def verify(spark: SparkSession, path: str) -> None:
     """Raises unless every segment has the root that the manifest names."""
     told = spark.read.parquet(f"{path}/manifest").filter("segment >= 0").select("segment", F.col("root").alias("told"))
@@ -345,7 +355,7 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     checked = joined.select("doc_id", "after", "crc", F.when(F.col("n") == F.col("size"), F.col("n")).otherwise(F.raise_error(F.concat(F.lit("missing or wrong chunk "), F.hex("digest"))).cast("long")).alias("n"))
     summed = checked.mapInArrow(tidy(_terms), "doc_id long, term long, n long").groupBy("doc_id").agg(F.bit_xor("term").alias("ids_crc32"), F.sum("n").alias("read"))
     out = listed.select("doc_id", "start", "n_tokens").join(summed, "doc_id")
-    return out.select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "start", F.col("read").alias("n_tokens"), "ids_crc32")
+    return named(out.withColumnRenamed("doc_id", "_id"), _names(spark, path)).select("doc_id", "start", F.col("read").alias("n_tokens"), "ids_crc32")
 
 
 def _after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,4 +374,4 @@ def texts_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids) rebuilt whole from recipes and chunks; ids as stored, see stored_width()."""
     items = recipes(spark, path).select("doc_id", "start", F.posexplode("digests").alias("at", "digest"))
     got = items.join(chunks(spark, path), "digest").groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("at", "body"))).alias("x"))
-    return got.select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "start", F.aggregate("x", F.lit(b""), lambda a, x: F.concat(a, x["body"])).alias("ids"))
+    return named(got.withColumnRenamed("doc_id", "_id"), _names(spark, path)).select("doc_id", "start", F.aggregate("x", F.lit(b""), lambda a, x: F.concat(a, x["body"])).alias("ids"))

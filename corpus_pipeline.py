@@ -3,16 +3,19 @@
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns a table that
 is written as Parquet in the shared folder and read again as the next stage's docs. All but the last
 return the columns of documents. In every stage null ids and texts, empty texts, repeated rows and an
-empty table have the result that its operator defines; stages 3 and 4 leave one row of each doc_id.
+empty table have the result that its operator defines; stages 3 and 4 leave one row of rows equal in
+doc_id and text, and the other rows of a null or repeated doc_id as documents of their own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortsmith.llm import jaccard_join, language_id, packing, quality_rules, suffix_dedup
-from cohortsmith.llm._common import NULL_ID, remove, shared_path, table
+from cohortsmith.llm._common import keyed, named, remove, shared_path, table
 from cohortsmith.shipping import ship
 
 #: A prediction below this is no decision between languages.
@@ -35,31 +38,34 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.filter((F.col("_language") != "und") & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
 
 
-def one_of_each_id(docs: DataFrame) -> DataFrame:
-    """docs with the key `_k` of their ids; where rows repeat an id, the one with the smallest text, as the operators do."""
-    out = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    if out.groupBy("_k").count().filter("count > 1").limit(1).count():
-        first = Window.partitionBy("_k").orderBy(F.coalesce("text", F.lit("")), *(F.to_json(F.struct(c)) for c in docs.columns))
-        out = out.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-    return out
-
-
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document with the smallest doc_id."""
     ship(spark)
-    kept = jaccard_join.linked(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_k"))
-    return one_of_each_id(docs).join(kept.hint("shuffle_hash"), "_k", "left_semi").select(*docs.columns)
+    texts, back = by_key(docs)
+    kept = jaccard_join.linked_keys(texts.select("_id", "_text")).filter("_id = class").select("_id")
+    return back(texts.join(kept.hint("shuffle_hash"), "_id", "left_semi"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes that occur earlier; one of which nothing is left goes."""
     ship(spark)
-    texts = suffix_dedup.kept_texts(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_k"), F.col("text").alias("_kept"))
-    rest = one_of_each_id(docs).select("_k", *(c for c in docs.columns if c != "text"))
-    out = rest.join(texts, "_k").filter("_kept != ''").withColumn("text", F.col("_kept"))
+    texts, back = by_key(docs)
+    kept = suffix_dedup.kept_of(texts.select("_id", "_text")).select("_id", F.col("text").alias("_text")).filter("_text != ''")
+    out = texts.drop("_text").join(kept, "_id")
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.length("_text").cast(docs.schema["n_chars"].dataType))
+    return back(out)
+
+
+def by_key(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs by keys of their own, `_id`, with `_text` for text; and what gives such rows docs' columns again."""
+    texts, names = keyed(docs, *(c for c in docs.columns if c not in ("doc_id", "text")))
+
+    def back(out: DataFrame) -> DataFrame:
+        out = named(out, names).withColumnRenamed("_text", "text")
+        return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)).select(*docs.columns)
+
+    return texts, back
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

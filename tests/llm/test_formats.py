@@ -183,6 +183,20 @@ def test_store_notices_changes(spark, tmp_path):
         token_store.verify(spark, wrong)
 
 
+def test_different_texts_of_one_id_are_stored(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = f"file://{tmp_path}/store"
+    rows = [(None, "one two three"), (None, "four"), (None, "four"), (None, None), (7, "five"), (7, "six seven")]
+    token_store.write(spark.createDataFrame(rows, "doc_id long, text string"), path, P.path("word_bpe_49k.json"))
+    token_store.verify(spark, path)
+    stored = lambda x: sorted(str(i) for i in x)
+    assert stored(r["doc_id"] for r in token_store.checksums(spark, path).collect()) == stored([None, None, None, 7, 7])
+    tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    got = [(r["doc_id"], np.frombuffer(r["ids"], "<u2").tolist()[:-1]) for r in token_store.texts_ids(spark, path).collect()]
+    assert stored(got) == stored((i, tokenizer.encode(t or "", add_special_tokens=False).ids) for i, t in {(i, t or "") for i, t in rows})
+
+
 def test_an_empty_store(spark, tmp_path):
     path = f"file://{tmp_path}/store"
     token_store.write(spark.createDataFrame([], "doc_id long, text string"), path, P.path("word_bpe_49k.json"))

@@ -98,6 +98,15 @@ def test_join_edges(spark):
     assert jaccard_join.linked(docs.limit(0)).count() == 0
 
 
+def test_different_texts_of_one_id_are_linked_and_printed(spark):
+    rows = [(None, "a b c d e f"), (None, ""), (None, "u v w x y z"), (4, "u v w x y z"), (4, "k l m n o p"), (4, "k l m n o p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), str(r["class_id"]), r["n_links"]) for r in jaccard_join.linked(docs).collect())
+    assert got == [("4", "4", 0), ("4", "None", 1), ("None", "None", 0), ("None", "None", 0), ("None", "None", 1)]
+    prints = sorted((str(r["doc_id"]), r["fingerprint"]) for r in simhash.compared(docs).collect())
+    assert prints == sorted((str(i), simhash._of([t])[0].tobytes().hex()) for i, t in set(rows))
+
+
 def test_deciding_a_block():
     draw = np.random.default_rng(1)
     sets = [np.unique(draw.integers(0, 30, draw.integers(1, 25)).astype(np.uint64)) for _ in range(40)]

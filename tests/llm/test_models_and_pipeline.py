@@ -187,6 +187,22 @@ def test_stages_on_odd_tables(spark, tmp_path):
         assert docs.count() == (2 if data else 0)
 
 
+def test_different_texts_of_one_id_go_through_all_stages(spark, tmp_path):
+    """Of null and repeated ids every text is a document: each is packed, a copy under another id goes, an empty one takes nothing along."""
+    texts = [speech("aa", i, 60) for i in range(8)]
+    ids = [None, None, None, 5, 5, 5, 9, -(2**63)]
+    rows = [(i, t, "aa", "s", len(t)) for i, t in zip(ids, texts, strict=True)]
+    rows += [rows[0], (None, "", "aa", "s", 0), (None, None, "aa", "s", 0), (12, texts[1], "aa", "s", len(texts[1]))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.repeated_passages):
+        got = [(r["doc_id"], r["text"]) for r in stage(spark, docs, "").filter("text != ''").collect()]
+        assert len(got) == 8 and set(got) == set(zip(ids, texts, strict=True))
+    got = [(r["doc_id"], r["length"]) for r in corpus_pipeline.run(spark, f"file://{tmp_path}").collect()]
+    assert sorted(got, key=str) == sorted(((i, 60) for i in ids), key=str)
+
+
 def test_without_languages_to_learn_documents_with_letters_stay(spark):
     docs = spark.createDataFrame([(1, "ab", None), (2, "12", None), (3, None, None)], "doc_id long, text string, lang string")
     assert [r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()] == [1]

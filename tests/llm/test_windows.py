@@ -94,6 +94,14 @@ def test_edges(spark):
     assert {r["doc_id"]: r["text"] for r in suffix_dedup.kept_texts(docs).collect()} == {None: text, 5: "", 7: ""}
 
 
+def test_different_texts_of_one_id_are_documents(spark):
+    text = "".join(chr(97 + i % 26) + str(i) for i in range(60))
+    docs = spark.createDataFrame([(None, "a"), (None, ""), (None, text), (3, text), (3, "b"), (3, "b")], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"]) for r in suffix_dedup.remove_repeats(docs).collect())
+    assert got == [("3", 1, 0), ("3", len(text), len(text)), ("None", 0, 0), ("None", 1, 0), ("None", len(text), 0)]
+    assert sorted((str(r["doc_id"]), r["n_words"]) for r in substring_dedup.remove_repeats(docs).collect()) == [("3", 1), ("3", 1), ("None", 0), ("None", 1), ("None", 1)]
+
+
 @given(st.binary(max_size=40).map(lambda b: bytes(97 + x % 3 for x in b)))
 @settings(max_examples=60, deadline=None)
 def test_longest_previous_factors(text):
