@@ -7,8 +7,9 @@ least the threshold are linked.
 2. In each of RUNS runs a set chooses the tokens whose hash is below 1 / (threshold * size), 1.25 of them
    on average, and goes to their buckets. Two sets above the threshold share a chosen token with
    probability 1 - 1/e at least. Buckets above LIMIT are split again by the tokens chosen under
-   another hash, up to DEPTH times: with at most DEPTH choices a run finds a link with probability
-   (1 - 1/e)^DEPTH at least, and RUNS is the number that brings the misses below 1 - RECALL.
+   another hash, up to DEPTH times. No two runs or depths share a hash: with at most DEPTH choices a
+   run finds a link with probability (1 - 1/e)^DEPTH at least, independently of the other runs, and
+   RUNS is the number that brings the misses below 1 - RECALL.
 3. Buckets with equal members count once. Inside a bucket sketches (one-permutation minima) are
    compared with pivots: what is surely similar to a pivot needs no pivot of its own, since whatever is
    linked to it lies within twice the distance of the pivot and is joined to it. This joins
@@ -36,7 +37,6 @@ from .components import components
 SHINGLE, THRESHOLD = 5, 800  # words; thousandths
 RECALL, DEPTH, LIMIT = 0.98, 3, 500
 RUNS = 16
-STRIDES = (0, 5, 11)  # the run whose choice splits a bucket at each depth
 SKETCH = 128
 #: Sketch likeness from which a member is surely / possibly near a pivot.
 TIGHT, LOOSE = 0.86, 0.5
@@ -73,12 +73,13 @@ def shingles(data: np.ndarray, at: np.ndarray, size: int = SHINGLE):
         yield i, j, owner[new], hashes[new]
 
 
-_SALTS = mix(np.arange(100, 100 + RUNS, dtype=np.uint64))
+#: Of each depth and run.
+_SALTS = mix(np.arange(100, 100 + DEPTH * RUNS, dtype=np.uint64))
 _A = pa.struct([("r", pa.int32()), ("t", pa.int64())])
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each text: its set's name (16 bytes), size, sketch, and the tokens it chooses in each run."""
+    """A row for each text: its set's name (16 bytes), size, sketch, and the tokens it chooses under each salt."""
     for batch in batches:
         data, at = text_bytes(batch.column("_text"))
         n = len(at) - 1
@@ -102,7 +103,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sketch[its[f], cell[f]] = 1 + (low[f] % np.uint64(255)).astype(np.uint8)
             share = 2.0**64 * 1000 / (THRESHOLD * size[owner])
             most = np.where(share >= 2.0**64, np.uint64(2**64 - 1), np.minimum(share, 2.0**63 * 1.9999).astype(np.uint64))
-            for r in range(RUNS):
+            for r in range(len(_SALTS)):
                 g = mix(hashes ^ _SALTS[r])
                 k = np.flatnonzero(g <= most)
                 parts.append((owner[k], np.full(len(k), r, np.int32), mix(hashes[k] + _SALTS[r])))
@@ -119,7 +120,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _buckets(sets: DataFrame) -> DataFrame:
     """(path, rep, n) of the buckets to look into, each with two members or more (n), no two alike."""
-    level = sets.select("rep", F.explode("chosen").alias("x")).select("rep", F.col("x.r").alias("r"), F.col("x.t").alias("path"))
+    level = sets.select("rep", F.explode("chosen").alias("x")).filter(F.col("x.r") < RUNS).select("rep", F.col("x.r").alias("r"), F.col("x.t").alias("path"))
     out, counts = None, None
     for depth in range(1, DEPTH + 1):
         level = saved(level)
@@ -130,7 +131,7 @@ def _buckets(sets: DataFrame) -> DataFrame:
         counts = small if counts is None else counts.union(small)
         if depth < DEPTH:
             large = sizes.filter(F.col("n") > LIMIT).select("path")
-            other = F.pmod(F.col("r") + STRIDES[depth], F.lit(RUNS))
+            other = F.col("r") + depth * RUNS
             start = level.join(large, "path")
             tokens = sets.select("rep", F.explode("chosen").alias("x")).select("rep", F.col("x.r").alias("other"), F.col("x.t").alias("t"))
             level = start.withColumn("other", other).join(tokens, ["rep", "other"]).select("rep", "r", F.xxhash64("path", "t").alias("path"))

@@ -63,6 +63,19 @@ def test_links_against_all_pairs(spark, monkeypatch, limit):
     assert joined(spark, texts) == expected(texts)
 
 
+def test_recall_where_all_buckets_are_split(spark, monkeypatch):
+    """Of 2,000 pairs at J = 0.806 at least RECALL meet in a bucket, with every bucket split up to DEPTH."""
+    monkeypatch.setattr(jaccard_join, "LIMIT", 0)
+    texts = []
+    for i in range(2000):
+        words = [f"{i}w{k}" for k in range(200)]
+        texts += [" ".join(words), " ".join([*words[:90], *(f"{i}x{k}" for k in range(17)), *words[107:]])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "_id long, _text string").repartition(4)
+    described = docs.mapInArrow(jaccard_join._described, "_id long, name binary, size long, sketch binary, chosen array<struct<r:int,t:long>>")
+    found = jaccard_join._buckets(described.selectExpr("_id as rep", "chosen")).selectExpr("rep div 2 as pair", "path").groupBy("pair", "path").count().filter("count = 2")
+    assert found.select("pair").distinct().count() >= jaccard_join.RECALL * 2000
+
+
 def test_huge_buckets_are_dealt_in_parts(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "HUGE", 5)
     monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
