@@ -73,6 +73,9 @@ def shingles(data: np.ndarray, at: np.ndarray, size: int = SHINGLE):
         yield i, j, owner[new], hashes[new]
 
 
+#: The columns of the tokens chosen at each depth.
+CHOSEN = [f"chosen{depth}" for depth in range(DEPTH)]
+_DESCRIBED = "_id long, name binary, size long, sketch binary, " + ", ".join(f"{c} array<struct<r:int,t:long>>" for c in CHOSEN)
 #: Of each depth and run.
 _SALTS = mix(np.arange(100, 100 + DEPTH * RUNS, dtype=np.uint64))
 _A = pa.struct([("r", pa.int32()), ("t", pa.int64())])
@@ -109,18 +112,21 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts.append((owner[k], np.full(len(k), r, np.int32), mix(hashes[k] + _SALTS[r])))
         owner, run, token = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint64))
         order = np.argsort(owner, kind="stable")
-        offsets = np.searchsorted(owner[order], np.arange(n + 1)).astype(np.int32)
-        chosen = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(run[order]), pa.array(token[order].view(np.int64))], names=["r", "t"]))
+        chosen = []
+        for depth in range(DEPTH):
+            k = order[run[order] // RUNS == depth]
+            offsets = np.searchsorted(owner[k], np.arange(n + 1)).astype(np.int32)
+            chosen.append(pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(run[k] % RUNS), pa.array(token[k].view(np.int64))], names=["r", "t"])))
         raw, marks = name.tobytes(), sketch.tobytes()
         yield pa.RecordBatch.from_arrays(
-            [batch.column("_id"), pa.array([raw[16 * i : 16 * i + 16] for i in range(n)], pa.binary()), pa.array(size), pa.array([marks[SKETCH * i : SKETCH * (i + 1)] for i in range(n)], pa.binary()), chosen],
-            names=["_id", "name", "size", "sketch", "chosen"],
+            [batch.column("_id"), pa.array([raw[16 * i : 16 * i + 16] for i in range(n)], pa.binary()), pa.array(size), pa.array([marks[SKETCH * i : SKETCH * (i + 1)] for i in range(n)], pa.binary()), *chosen],
+            names=["_id", "name", "size", "sketch", *CHOSEN],
         )
 
 
 def _buckets(sets: DataFrame) -> DataFrame:
     """(path, rep, n) of the buckets to look into, each with two members or more (n), no two alike."""
-    level = sets.select("rep", F.explode("chosen").alias("x")).filter(F.col("x.r") < RUNS).select("rep", F.col("x.r").alias("r"), F.col("x.t").alias("path"))
+    level = sets.select("rep", F.explode(CHOSEN[0]).alias("x")).select("rep", F.col("x.r").alias("r"), F.col("x.t").alias("path"))
     out, counts = None, None
     for depth in range(1, DEPTH + 1):
         level = saved(level)
@@ -131,10 +137,9 @@ def _buckets(sets: DataFrame) -> DataFrame:
         counts = small if counts is None else counts.union(small)
         if depth < DEPTH:
             large = sizes.filter(F.col("n") > LIMIT).select("path")
-            other = F.col("r") + depth * RUNS
             start = level.join(large, "path")
-            tokens = sets.select("rep", F.explode("chosen").alias("x")).select("rep", F.col("x.r").alias("other"), F.col("x.t").alias("t"))
-            level = start.withColumn("other", other).join(tokens, ["rep", "other"]).select("rep", "r", F.xxhash64("path", "t").alias("path"))
+            tokens = sets.select("rep", F.explode(CHOSEN[depth]).alias("x")).select("rep", F.col("x.r").alias("r"), F.col("x.t").alias("t"))
+            level = start.join(tokens, ["rep", "r"]).select("rep", "r", F.xxhash64("path", "t").alias("path"))
     once = counts.groupBy("n", "members").agg(F.min("path").alias("path")).select("path", "n")
     return out.join(once, "path")
 
@@ -336,11 +341,11 @@ def linked(docs: DataFrame) -> DataFrame:
 
 def linked_keys(texts: DataFrame) -> DataFrame:
     """As linked(), by key: (_id, class, n_links, n_copies) from (_id, _text)."""
-    described = saved(texts.mapInArrow(tidy(_described), "_id long, name binary, size long, sketch binary, chosen array<struct<r:int,t:long>>"))
+    described = saved(texts.mapInArrow(tidy(_described), _DESCRIBED))
     named = described.filter("size > 0").groupBy("name").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     groups = saved(named)
-    sets = described.select(F.col("_id").alias("rep"), "size", "sketch", "chosen").join(groups.select("rep", "n"), "rep")
-    found, sketches = saved(_buckets(sets.select("rep", "chosen"))), sets.select("rep", "sketch")
+    sets = described.select(F.col("_id").alias("rep"), "size", "sketch", *CHOSEN).join(groups.select("rep", "n"), "rep")
+    found, sketches = saved(_buckets(sets.select("rep", *CHOSEN))), sets.select("rep", "sketch")
     near = found.filter(F.col("n") <= HUGE).select("path", "rep").join(sketches, "rep").repartition("path").mapInArrow(tidy(_joined), "a long, b long")
     huge = found.filter(F.col("n") > HUGE)
     if huge.limit(1).count():

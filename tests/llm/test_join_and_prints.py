@@ -71,8 +71,8 @@ def test_recall_where_all_buckets_are_split(spark, monkeypatch):
         words = [f"{i}w{k}" for k in range(200)]
         texts += [" ".join(words), " ".join([*words[:90], *(f"{i}x{k}" for k in range(17)), *words[107:]])]
     docs = spark.createDataFrame(list(enumerate(texts)), "_id long, _text string").repartition(4)
-    described = docs.mapInArrow(jaccard_join._described, "_id long, name binary, size long, sketch binary, chosen array<struct<r:int,t:long>>")
-    found = jaccard_join._buckets(described.selectExpr("_id as rep", "chosen")).selectExpr("rep div 2 as pair", "path").groupBy("pair", "path").count().filter("count = 2")
+    described = docs.mapInArrow(jaccard_join._described, jaccard_join._DESCRIBED)
+    found = jaccard_join._buckets(described.withColumnRenamed("_id", "rep")).selectExpr("rep div 2 as pair", "path").groupBy("pair", "path").count().filter("count = 2")
     assert found.select("pair").distinct().count() >= jaccard_join.RECALL * 2000
 
 
