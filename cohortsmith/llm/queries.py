@@ -30,9 +30,9 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's columns, and n_near: documents with another fingerprint within the radius."""
+    """The contract's columns, n: documents with this fingerprint, and n_near: those with another one within the radius."""
     prints = written(simhash.compared(table(spark, sf_dir, "documents")), "fingerprints")
-    return prints.join(simhash.neighbours(prints), "fingerprint").drop("n")
+    return prints.join(simhash.near(prints), "fingerprint")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

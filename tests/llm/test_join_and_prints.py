@@ -200,3 +200,33 @@ def test_all_neighbours_are_found(spark, radius, blocks):
     assert got == {p: (prints.count(p), sum(0 < bin(int(p, 16) ^ int(q, 16)).count("1") <= radius for q in prints)) for p in prints}
     with pytest.raises(ValueError):
         simhash.neighbours(spark.createDataFrame([], "fingerprint string"), 3, 3)
+
+
+def test_all_near_prints_are_found(spark):
+    draw = random.Random(8)
+    base, prints = draw.getrandbits(128), []
+    for k in range(300):
+        p = base if k % 4 else draw.getrandbits(128)
+        for b in draw.sample(range(128), draw.randrange(0, 26)):
+            p ^= 1 << b
+        prints.append(f"{p:032x}")
+    prints += prints[:3]
+    got = {r["fingerprint"]: (r["n"], r["n_near"]) for r in simhash.near(spark.createDataFrame([(p,) for p in [*prints, None]], "fingerprint string")).collect()}
+    assert got == {p: (prints.count(p), sum(0 < bin(int(p, 16) ^ int(q, 16)).count("1") <= 23 for q in prints)) for p in prints}
+    assert sum(n for _, n in got.values()) > 1000
+
+
+def test_recall_of_near_documents(spark):
+    """Of pairs of texts with a 5-word similarity of 0.8 or little more, nearly all are neighbours."""
+    draw, texts = random.Random(9), []
+    for _ in range(100):
+        words = ["".join(draw.choice("abcdefghij") for _ in range(draw.randrange(2, 9))) for _ in range(draw.choice([60, 200, 400]))]
+        edited = list(words)
+        for k in draw.sample(range(2, len(words) - 2), len(words) // 50):
+            edited[k] = "".join(draw.choice("klmnop") for _ in range(5))
+        texts += [" ".join(words), " ".join(edited)]
+    sets = sets_of(dict(enumerate(texts)))
+    true = [i for i in range(0, 200, 2) if 10 * len(sets[i] & sets[i + 1]) >= 8 * len(sets[i] | sets[i + 1])]
+    prints = [x.tobytes().hex() for x in simhash._of(texts)]
+    got = {r["fingerprint"]: r["n_near"] for r in simhash.near(spark.createDataFrame([(p,) for p in prints], "fingerprint string")).collect()}
+    assert len(true) > 90 and sum(got[prints[i]] > 0 and got[prints[i + 1]] > 0 for i in true) >= 0.98 * len(true)
