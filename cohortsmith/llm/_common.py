@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -18,12 +20,14 @@ NULL_ID = -(2**63)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; only where that is unset, a new local one."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a new local one, which only a local master can share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         done = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = done.get() if done.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
@@ -187,10 +191,101 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+#: For each number of bytes left in a word, the bits of an eight-byte load that are its own.
+_OWN = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Words above these bytes are named one by one.
+_LONG_WORD = 64
+
+
+def span_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit code of each span of bytes: eight bytes at a time through a keyed finaliser; long spans by BLAKE2.
+
+    Spans of up to eight bytes and the same length have different codes if they differ; for longer ones a
+    collision is a chance of 2**-64. Where a result depends on equality, bytes are compared besides.
+    """
+    size = end - start
+    out = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    if not len(size):
+        return out
+    loads = eights(data)
+    k, at, left = np.arange(len(size)), start, size
+    while len(k):
+        out[k] = mix(out[k] ^ mix((loads[at] & _OWN[np.minimum(left, 8)]) + np.uint64(0xD1342543DE82EF95)))
+        go = np.flatnonzero((left > 8) & (size[k] <= _LONG_WORD))
+        k, at, left = k[go], at[go] + 8, left[go] - 8
+    for i in np.flatnonzero(size > _LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number; zeros follow the data."""
+    raw = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray(len(data) + 1, "<u8", raw, strides=(1,))
+
+
+def same_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each span has the bytes of the span with the index `other` names."""
+    size = end - start
+    out = size == size[other]
+    loads = eights(data)
+    k = np.flatnonzero(out & (size > 0))
+    done = 0
+    while len(k):
+        own = _OWN[np.minimum(size[k] - done, 8)]
+        equal = (loads[start[k] + done] & own) == (loads[start[other[k]] + done] & own)
+        out[k[~equal]] = False
+        done += 8
+        k = k[equal & (size[k] > done)]
+    return out
+
+
 def word_codes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A 64-bit code of every word of a byte sequence, with the words' starts and ends."""
     start, end = word_spans(data)
-    return Rolling(BYTE_CODES[data]).spans(start, end), start, end
+    return span_codes(data, start, end), start, end
+
+
+def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, starts, ends, edges) of the words of texts laid end to end, edges: each text's first word, and the number of all.
+
+    at: where in data each text starts, and the last one's end. No word spans two texts.
+    """
+    part = data[at[0] : at[-1]]
+    start, end = word_spans(part)
+    inside = np.unique((at - at[0])[1:-1])
+    inside = inside[(inside > 0) & (inside < len(part))]
+    k = np.searchsorted(start, inside, side="right") - 1
+    crossing = inside[(k >= 0) & (start[k] < inside) & (end[k] > inside)] if len(start) else inside[:0]
+    if len(crossing):
+        start, end = np.sort(np.concatenate((start, crossing))), np.sort(np.concatenate((end, crossing)))
+    edges = np.searchsorted(start, at - at[0])
+    edges[-1] = len(start)
+    return span_codes(part, start, end), start, end, edges
+
+
+def grouped(batches: Iterator, column: str, most: int = 1 << 24) -> Iterator:
+    """Batches sorted by a column of integers, as tables of whole groups, of about `most` bytes or one group."""
+    import pyarrow as pa
+
+    held, size, limit = [], 0, most
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.nbytes
+        if size < limit:
+            continue
+        t = pa.Table.from_batches(held)
+        key = t.column(column).to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))
+        if cut:
+            yield t.slice(0, cut)
+            held = t.slice(cut).to_batches()
+            size = sum(b.nbytes for b in held)
+        limit = max(most, 2 * size)
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def blocks(at: np.ndarray, most: int = 1 << 17):

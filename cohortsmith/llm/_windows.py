@@ -2,47 +2,79 @@
 
 A sequence is a text's bytes or its words. Every window of `length` codes holds one *anchor*, the
 leftmost of its `gram`-code windows with the smallest hash. The choice depends on the window's content
-alone, so equal windows have equal anchors at the same offset, and only one anchor in some thirty codes
-has to be moved, not every window.
-
-1. Each document gives a row for each anchor: its hash, the run of windows it serves, and a hash of
-   their whole content (the context).
-2. Rows meet by anchor. Of equal contexts the first stays, the later ones are repeats as a whole.
-   Rows that already lost to an equal context of their own batch skip the meeting: they are dealt
+alone, so equal windows have equal anchors at the same offset, and only one anchor in several codes
+has to be moved, not every window. Hashes only choose anchors and bring rows together; what is equal
+is decided by 128-bit cryptographic digests of content, or by the content itself.
+
+1. Each document gives a row for each anchor: its hash, the stretch of windows it serves, and the digest
+   of the stretch's whole content.
+2. Rows meet by anchor, sorted, group by group. Of equal stretches the first stays, the later ones repeat as a whole.
+   Rows that already lost to an equal stretch of their own batch skip the meeting: they are dealt
    anywhere, so that an anchor in a third of all documents gives a row for each batch, not for each copy.
    Where only other documents count, equal stretches of one document are one row.
-3. Only where one anchor has different contexts is content fetched (the joins use one exchange of the
-   texts), and the windows are put into suffix order and compared.
+3. Only where one anchor has different stretches is content fetched, and their windows are decided one by one
+   (`_order`, which each operator does in its own way).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Rolling, blocks, mix, text_bytes, tidy
+from ._common import BYTE_CODES, Rolling, blocks, grouped, mix, text_bytes, tidy, words_of
 
 _LOW = (1 << 20) - 1
-#: Contexts of one anchor above which its windows are dealt by their offset from the anchor.
+#: Stretches of one anchor above which its windows are dealt by their offset from the anchor.
 SPLIT = 4096
 
 
-def anchors(codes: np.ndarray, edges: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Rows (anchor hash, context hash, first window, windows, offset of the anchor) of sequences laid end to end.
+@dataclass
+class Laid:
+    """Texts laid end to end as codes. edges: each text's first code, and the number of all. content[start[i]:stop[j]] is what codes i to j say."""
+
+    codes: np.ndarray
+    edges: np.ndarray
+    content: bytes
+    start: np.ndarray
+    stop: np.ndarray
+
+
+def as_bytes(data: np.ndarray, at: np.ndarray) -> Laid:
+    part = data[at[0] : at[-1]]
+    place = np.arange(len(part) + 1)
+    return Laid(BYTE_CODES[part], at - at[0], part.tobytes(), place[:-1], place[1:])
+
+
+def as_words(data: np.ndarray, at: np.ndarray) -> Laid:
+    """Words as codes; their content is the words with one space between."""
+    part = data[at[0] : at[-1]]
+    codes, start, stop, edges = words_of(data, at)
+    size = stop - start
+    first = np.cumsum(size + 1) - (size + 1)
+    total = int(size.sum())
+    own = np.arange(total) + np.repeat(start - (np.cumsum(size) - size), size)
+    content = np.full(total + len(size), 0x20, np.uint8)
+    content[np.arange(total) + np.repeat(np.arange(len(size)), size)] = part[own]
+    return Laid(codes, edges, content.tobytes(), first, first + size)
+
+
+def anchors(codes: np.ndarray, edges: np.ndarray, length: int, gram: int, alive: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Rows (anchor hash, first window, windows, offset of the anchor) of sequences laid end to end.
 
-    edges: where each sequence starts, and the end of the last.
+    edges: where each sequence starts, and the end of the last. alive: whether a window that starts at each code counts (all, if not given).
     """
     n = len(codes) - length + 1
     if n <= 0:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
     if len(codes) > _LOW:
-        return _pieces(codes, edges, length, gram)
-    rolling = Rolling(codes)
-    grams = rolling.windows(gram)
+        return _pieces(codes, edges, length, gram, alive)
+    grams = Rolling(codes).windows(gram)
     low = (grams & ~np.uint64(_LOW)) | np.arange(len(grams), dtype=np.uint64)
     width, have = length - gram + 1, 1
     while have * 2 <= width:
@@ -56,26 +88,25 @@ def anchors(codes: np.ndarray, edges: np.ndarray, length: int, gram: int) -> tup
     some = ends > starts
     np.add.at(valid, starts[some], 1)
     np.add.at(valid, ends[some], -1)
-    at = np.flatnonzero(np.cumsum(valid[:n]) > 0)
+    valid = np.cumsum(valid[:n]) > 0
+    at = np.flatnonzero(valid if alive is None else valid & alive[:n])
     if not len(at):
         return anchors(codes[:0], edges, length, gram)
     anchor = anchor[at]
     first = np.flatnonzero(np.concatenate(([True], (np.diff(anchor) != 0) | (np.diff(at) != 1))))
     count = np.diff(np.append(first, len(at)))
     start, anchor = at[first], anchor[first]
-    offset = anchor - start
-    context = rolling.spans(start, start + count - 1 + length) ^ mix((offset * 256 + count).astype(np.uint64))
-    return grams[anchor], context, start, count, offset
+    return grams[anchor], start, count, anchor - start
 
 
-def _pieces(codes, edges, length, gram):
+def _pieces(codes, edges, length, gram, alive=None):
     """A very long sequence in pieces that overlap by length - 1; each window belongs to one piece."""
     out, step = [], 1 << 19
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         for s in range(int(a), max(int(a) + 1, int(b) - length + 1), step):
             e = min(int(b), s + step + length - 1)
-            h, c, p, n, o = anchors(codes[s:e], np.array([0, e - s]), length, gram)
-            out.append((h, c, p + s, n, o))
+            h, p, n, o = anchors(codes[s:e], np.array([0, e - s]), length, gram, None if alive is None else alive[s:e])
+            out.append((h, p + s, n, o))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -89,7 +120,7 @@ def unpacked(m: np.ndarray) -> tuple[np.ndarray, ...]:
     return m >> 25, (m >> 9) & 255, (m >> 1) & 255, (m >> 17) & 1, (m >> 18) & 127
 
 
-def _batch(**columns) -> pa.RecordBatch:
+def batch_of(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], names=list(columns))
 
 
@@ -97,111 +128,119 @@ def _ids(batch: pa.RecordBatch, name: str = "_id") -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False)
 
 
+def digests(laid: Laid, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """16 bytes (as two numbers) for the content of each run of codes."""
+    content, blake = laid.content, hashlib.blake2b
+    raw = b"".join([blake(content[a:b], digest_size=16).digest() for a, b in zip(laid.start[start].tolist(), laid.stop[stop - 1].tolist(), strict=True)])
+    return np.frombuffer(raw, np.int64).reshape(-1, 2)
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row differs from the one before in one of the columns."""
+    out = np.ones(len(columns[0]), bool)
+    if len(out):
+        out[1:] = False
+        for c in columns:
+            out[1:] |= c[1:] != c[:-1]
+    return out
+
+
 class Repeats:
-    """codes(bytes) -> (codes, start byte, end byte of each code, or None where codes are bytes)."""
+    """laid: how texts become codes. other_document: whether only windows of documents before count, or earlier ones of the same as well."""
 
-    def __init__(self, codes: Callable, length: int, gram: int, other_document: bool, split: int = SPLIT):
+    def __init__(self, laid: Callable[[np.ndarray, np.ndarray], Laid], length: int, gram: int, other_document: bool, split: int = SPLIT):
         if not 0 < gram <= length <= 255 or length - gram > 126:
             raise ValueError("needs 0 < gram <= length <= 255, and length - gram <= 126")
-        self.codes, self.length, self.gram, self.other, self.split = codes, length, gram, other_document, split
+        self.laid, self.length, self.gram, self.other, self.split = laid, length, gram, other_document, split
+
+    def later(self, first: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Of equal stretches in order of document and start (first: where a new content begins), which ones repeat an earlier one."""
+        raise NotImplementedError
 
-    # The order of occurrences: by document alone, or by document and place.
-    def _later(self, doc, start, first_doc, first_start):
-        return doc > first_doc if self.other else (doc > first_doc) | (start > first_start)
+    def _order(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Contents of contested stretches, sorted by anchor -> windows with an earlier occurrence, as runs (doc, start, stop, again)."""
+        raise NotImplementedError
+
+    def candidates(self, docs: DataFrame) -> DataFrame:
+        """docs with `alive`: the runs of windows [(start << 8 | windows)] that may repeat; here all of them, null."""
+        return docs.withColumn("alive", F.lit(None).cast("array<long>"))
+
+    def _found(self, batch: pa.RecordBatch, gram: int) -> Iterator[tuple]:
+        """(laid, first document, anchors' hashes, starts, windows, offsets, documents) of a batch (_id, _text, alive), for runs of documents."""
+        data, at = text_bytes(batch.column("_text"))
+        runs = batch.column("alive")
+        limited = runs.null_count < len(runs)
+        ids = _ids(batch)
+        for i, j in blocks(at):
+            laid = self.laid(data, at[i : j + 1])
+            alive = None
+            if limited:
+                mark = np.zeros(len(laid.codes) + 1, np.int32)
+                for k in range(i, j):
+                    got = runs[k]
+                    if got.is_valid:
+                        own = got.values.to_numpy(zero_copy_only=False)
+                        first = laid.edges[k - i] + (own >> 8)
+                        np.add.at(mark, first, 1)
+                        np.add.at(mark, first + (own & 255), -1)
+                alive = np.cumsum(mark[:-1]) > 0
+            h, s, n, o = anchors(laid.codes, laid.edges, self.length, gram, alive)
+            # an empty document shares its edge with the next one; the last of them holds the window
+            yield laid, h, s, n, o, ids[i + np.searchsorted(laid.edges, s, side="right") - 1]
 
     def _rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = text_bytes(batch.column("_text"))
-            ids, parts = _ids(batch), []
-            for i, j in blocks(at):
-                codes, edges, _ = self._laid(data, at[i : j + 1])
-                h, c, s, n, o = anchors(codes, edges, self.length, self.gram)
-                which = np.searchsorted(edges, s, side="right") - 1
-                # an empty document shares its edge with the next one; the last of them holds the window
-                parts.append((h, c, ids[i + which], s - edges[which], n, o))
+            parts = []
+            for laid, h, s, n, o, d in self._found(batch, self.gram):
+                c = digests(laid, s, s + n - 1 + self.length)
+                parts.append((h, c[:, 0], c[:, 1], d, s - laid.edges[np.searchsorted(laid.edges, s, side="right") - 1], n, o))
             if not parts:
                 continue
-            h, c, d, s, n, offsets = (np.concatenate(x) for x in zip(*parts, strict=True))
+            h, c, c2, d, s, n, offsets = (np.concatenate(x) for x in zip(*parts, strict=True))
             if not len(h):
                 continue
-            both = mix(h ^ (c * np.uint64(0x9E3779B97F4A7C15)))
-            order = np.lexsort((s, d, both))
-            first = np.maximum.accumulate(np.where(np.concatenate(([True], both[order][1:] != both[order][:-1])), np.arange(len(order)), 0))
-            f = order[first]
+            order = np.lexsort((s, d, c2, c))
+            first = changes(c[order], c2[order])
             late, again = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
-            late[order] = self._later(d[order], s[order], d[f], s[f])
+            late[order] = self.later(first, d[order], s[order])
             if self.other:
                 # equal stretches of one document share their fate: the first stands for all
-                o = order
-                own = np.concatenate(([True], (both[o][1:] != both[o][:-1]) | (d[o][1:] != d[o][:-1])))
-                i = np.flatnonzero(own)
-                again[o[i]] = np.diff(np.append(i, len(o))) > 1
-                keep = np.sort(o[i])
-                h, c, d, s, n, o, late, again = (x[keep] for x in (h, c, d, s, n, offsets, late, again))
-            else:
-                o = offsets
+                i = np.flatnonzero(first | changes(d[order]))
+                again[order[i]] = np.diff(np.append(i, len(order))) > 1
+                keep = np.sort(order[i])
+                h, c, c2, d, s, n, offsets, late, again = (x[keep] for x in (h, c, c2, d, s, n, offsets, late, again))
             route = np.where(late == 1, mix(d.view(np.uint64) * np.uint64(31) + s.view(np.uint64)), h).view(np.int64)
-            yield _batch(route=route, context=np.where(late == 1, np.uint64(0), c).view(np.int64), doc=d, at=packed(s, n, o, late, again))
-
-    def _laid(self, data, at):
-        """The codes of documents laid end to end, with each document's first code, and each code's bytes."""
-        part = data[at[0] : at[-1]]
-        codes, start, end = self.codes(part)
-        if start is None:
-            return codes, at - at[0], None
-        edges = np.searchsorted(start, at - at[0])
-        # A word never spans two documents: cut where an edge lies inside one.
-        inside = np.unique((at - at[0])[1:-1])
-        inside = inside[(inside > 0) & (inside < len(part))]
-        k = np.searchsorted(start, inside, side="right") - 1
-        crossing = inside[(k >= 0) & (start[k] < inside) & (end[k] > inside)]
-        if len(crossing):
-            start, end = np.sort(np.concatenate((start, crossing))), np.sort(np.concatenate((end, crossing)))
-            codes = self._recode(part, start, end)
-            edges = np.searchsorted(start, at - at[0])
-        edges[-1] = len(start)
-        return codes, edges, (start, end)
-
-    @staticmethod
-    def _recode(part, start, end):
-        from ._common import BYTE_CODES
-
-        return Rolling(BYTE_CODES[part]).spans(start, end)
+            yield batch_of(route=route, c=np.where(late == 1, 0, c), c2=np.where(late == 1, 0, c2), doc=d, at=packed(s, n, offsets, late, again))
 
     def _meet(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows by anchor -> repeats (anchor null), and firsts whose anchor has other contexts too."""
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        route, context, doc, at = (t.column(x).to_numpy() for x in ("route", "context", "doc", "at"))
-        late = (at & 1) == 1
-        if late.any():
-            yield _batch(anchor=pa.nulls(int(late.sum()), pa.int64()), doc=doc[late], at=at[late])
-            route, context, doc, at = (x[~late] for x in (route, context, doc, at))
-        if not len(route):
-            return
-        order = np.lexsort((at, doc, context, route))
-        route, context, doc, at = (x[order] for x in (route, context, doc, at))
-        i = np.arange(len(route))
-        new_route = np.concatenate(([True], route[1:] != route[:-1]))
-        new_class = new_route | np.concatenate(([True], context[1:] != context[:-1]))
-        first = np.maximum.accumulate(np.where(new_class, i, 0))
-        later = self._later(doc, at >> 25, doc[first], at[first] >> 25)
-        group = np.cumsum(new_route) - 1
-        classes = np.bincount(group, weights=new_class).astype(np.int64)
-        if later.any():
-            yield _batch(anchor=pa.nulls(int(later.sum()), pa.int64()), doc=doc[later], at=at[later] & ~np.int64(1))
-        if self.other:  # all of one document: nothing can repeat another
-            low, high = np.full(len(classes), np.iinfo(np.int64).max), np.full(len(classes), np.iinfo(np.int64).min)
-            np.minimum.at(low, group, doc)
-            np.maximum.at(high, group, doc)
-            classes = np.where(low == high, 1, classes)
-        ask = ~later & (classes[group] > 1)
-        if ask.any():
-            parts = np.minimum(self.length - self.gram + 1, -(-classes // self.split))[group[ask]]
-            start, count, offset, again, _ = unpacked(at[ask])
-            yield _batch(anchor=route[ask], doc=doc[ask], at=packed(start, count, offset, 0, again, parts))
+        """Rows sorted by anchor -> repeats (anchor null), and firsts whose anchor has other contents too."""
+        for t in grouped(batches, "route"):
+            route, c, c2, doc, at = (t.column(x).to_numpy() for x in ("route", "c", "c2", "doc", "at"))
+            late = (at & 1) == 1
+            if late.any():
+                yield batch_of(anchor=pa.nulls(int(late.sum()), pa.int64()), doc=doc[late], at=at[late])
+                route, c, c2, doc, at = (x[~late] for x in (route, c, c2, doc, at))
+            if not len(route):
+                continue
+            order = np.lexsort((at, doc, c2, c, route))
+            route, c, c2, doc, at = (x[order] for x in (route, c, c2, doc, at))
+            new_route = changes(route)
+            new_content = new_route | changes(c, c2)
+            later = self.later(new_content, doc, at >> 25)
+            group = np.cumsum(new_route) - 1
+            contents = np.bincount(group, weights=new_content).astype(np.int64)
+            if later.any():
+                yield batch_of(anchor=pa.nulls(int(later.sum()), pa.int64()), doc=doc[later], at=at[later] & ~np.int64(1))
+            if self.other:  # all of one document: nothing can repeat another
+                low, high = np.full(len(contents), np.iinfo(np.int64).max), np.full(len(contents), np.iinfo(np.int64).min)
+                np.minimum.at(low, group, doc)
+                np.maximum.at(high, group, doc)
+                contents = np.where(low == high, 1, contents)
+            ask = ~later & (contents[group] > 1)
+            if ask.any():
+                parts = np.minimum(self.length - self.gram + 1, -(-contents // self.split))[group[ask]]
+                start, count, offset, again, _ = unpacked(at[ask])
+                yield batch_of(anchor=route[ask], doc=doc[ask], at=packed(start, count, offset, 0, again, parts))
 
     def _fetch(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The content of the windows asked for: one row for each, or for each part of a much shared anchor."""
@@ -211,80 +250,58 @@ class Repeats:
             asked = batch.column("asked")
             out = []
             for i, (doc, rows) in enumerate(zip(_ids(batch), asked, strict=True)):
-                codes, _, _ = self._laid(data, at[i : i + 2])
-                raw = data[at[i] : at[i + 1]] if self.codes is as_bytes else codes
-                for x in rows.as_py():
-                    start, count, offset, again, parts = (int(v) for v in unpacked(np.int64(x["at"])))
+                laid = self.laid(data, at[i : i + 2])
+                anchor_, place = rows.values.field("anchor").to_pylist(), rows.values.field("at").to_numpy()
+                for name, start, count, offset, again, parts in zip(anchor_, *(x.tolist() for x in unpacked(place)), strict=True):
                     anchor = start + offset
                     for k in range(parts):
                         # windows whose anchor lies between these offsets from their start
                         a, b = span * k // parts, span * (k + 1) // parts
                         s, e = max(start, anchor - b + 1), min(start + count, anchor - a + 1)
                         if s < e:
-                            out.append((x["anchor"] ^ k, doc, s, e - s, again, raw[s : e - 1 + self.length].tobytes()))
+                            out.append((name ^ k, doc, s, e - s, again, laid.content[laid.start[s] : laid.stop[e - 2 + self.length]]))
             if out:
                 a, d, s, n, r, c = zip(*out, strict=True)
-                yield _batch(again=pa.array(r, pa.int64()), anchor=pa.array(a, pa.int64()), doc=pa.array(d, pa.int64()), start=pa.array(s, pa.int64()), count=pa.array(n, pa.int64()), content=pa.array(c, pa.binary()))
-
-    def _order(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Windows in suffix order; those with an earlier occurrence as runs (document, start, end)."""
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        doc, start, count, again = (t.column(x).to_numpy() for x in ("doc", "start", "count", "again"))
-        size = 1 if self.codes is as_bytes else 8
-        raw = np.frombuffer(b"".join(t.column("content").to_pylist()), np.uint8)
-        lengths = (count - 1 + self.length) * size
-        base = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        row = np.repeat(np.arange(len(doc)), count)
-        step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        place = base[row] + step * size
-        earlier = repeated_suffixes(raw, place, self.length * size, doc[row], start[row] + step, self.other)
-        row, at = row[earlier], (start[row] + step)[earlier]
-        if len(row):
-            yield runs(doc[row], at, again[row], self.length)
+                yield batch_of(again=pa.array(r, pa.int64()), anchor=pa.array(a, pa.int64()), doc=pa.array(d, pa.int64()), start=pa.array(s, pa.int64()), count=pa.array(n, pa.int64()), content=pa.array(c, pa.binary()))
 
     def find(self, docs: DataFrame) -> DataFrame:
         """(_id, runs: [(start, stop, again)]) of every document with a window that occurs earlier. docs: (_id, _text).
 
         again: what is so in the run is so wherever the document has the same windows.
         """
-        rows = docs.mapInArrow(tidy(self._rows), "route long, context long, doc long, at long")
-        met = rows.repartition("route").mapInArrow(tidy(self._meet), "anchor long, doc long, at long")
+        rows = self.candidates(docs).mapInArrow(tidy(self._rows), "route long, c long, c2 long, doc long, at long")
+        met = sorted_by(rows, "route").mapInArrow(tidy(self._meet), "anchor long, doc long, at long")
         asked = met.filter("anchor is not null").groupBy(F.col("doc").alias("_id")).agg(F.collect_list(F.struct("anchor", "at")).alias("asked"))
-        content = docs.join(asked.hint("shuffle_hash"), "_id").select("_id", "_text", "asked").mapInArrow(tidy(self._fetch), "again long, anchor long, doc long, start long, count long, content binary")
-        sorted_ = content.repartition("anchor").mapInArrow(tidy(self._order), "doc long, start long, stop long, again long")
+        content = docs.join(asked, "_id").select("_id", "_text", "asked").mapInArrow(tidy(self._fetch), "again long, anchor long, doc long, start long, count long, content binary")
+        decided = sorted_by(content, "anchor").mapInArrow(tidy(self._order), "doc long, start long, stop long, again long")
         whole = met.filter("anchor is null").select("doc", F.expr("shiftright(at, 25)").alias("start"), F.expr(f"shiftright(at, 25) + (shiftright(at, 9) & 255) + {self.length - 1}").alias("stop"), F.expr("shiftright(at, 17) & 1").alias("again"))
-        return whole.unionByName(sorted_).groupBy(F.col("doc").alias("_id")).agg(F.collect_list(F.struct("start", "stop", "again")).alias("runs"))
+        return whole.unionByName(decided).groupBy(F.col("doc").alias("_id")).agg(F.collect_list(F.struct("start", "stop", "again")).alias("runs"))
 
-    def _everywhere(self, raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    def _everywhere(self, laid: Laid, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Where in a document the windows of some of its runs start, all of their occurrences."""
-        hashes = Rolling(self._laid(raw, np.array([0, len(raw)]))[0]).windows(self.length)
+        hashes = Rolling(laid.codes).windows(self.length)
         inside = np.zeros(len(hashes) + 1, np.int32)
         np.add.at(inside, start, 1)
         np.add.at(inside, stop - self.length + 1, -1)
-        return np.flatnonzero(np.isin(hashes, hashes[np.cumsum(inside[:-1]) > 0]))
+        told = np.cumsum(inside[:-1]) > 0
+        may = np.flatnonzero(np.isin(hashes, hashes[told]))  # equal windows have equal hashes; which ones are equal their content says
+        a, b = laid.start[may].tolist(), laid.stop[may + self.length - 1].tolist()
+        content = [laid.content[i:j] for i, j in zip(a, b, strict=True)]
+        known = {c for c, t in zip(content, told[may].tolist(), strict=True) if t}
+        return may[np.array([c in known for c in content], bool)]
 
     def removed(self, docs: DataFrame, digest: Callable, columns: str) -> DataFrame:
-        """digest(raw bytes, code spans or None, removed mask) -> values of `columns` for every document of (_id, _text)."""
-        laid = docs.repartition("_id")
-        found = self.find(laid)
-        joined = laid.join(found.hint("shuffle_hash"), "_id", "left").select("_id", "_text", "runs")
+        """digest(laid text, raw bytes, removed mask) -> values of `columns` for every document of (_id, _text)."""
+        dealt = docs.repartition("_id")
+        joined = dealt.join(self.find(dealt), "_id", "left").select("_id", "_text", "runs")
 
         def apply(batches):
             for batch in batches:
                 data, at = text_bytes(batch.column("_text"))
                 out = []
                 for i, runs_ in enumerate(batch.column("runs")):
-                    raw = data[at[i] : at[i + 1]]
-                    if self.codes is as_bytes:
-                        spans, n = None, len(raw)
-                    else:
-                        from ._common import word_spans
-
-                        spans = word_spans(raw)
-                        n = len(spans[0])
+                    laid = self.laid(data, at[i : i + 2])
+                    n = len(laid.codes)
                     gone = np.zeros(n + 1, np.int32)
                     if runs_.is_valid:
                         got = runs_.values
@@ -292,81 +309,21 @@ class Repeats:
                         np.add.at(gone, start, 1)
                         np.add.at(gone, stop, -1)
                         if again.any():
-                            more = self._everywhere(raw, start[again > 0], stop[again > 0])
+                            more = self._everywhere(laid, start[again > 0], stop[again > 0])
                             np.add.at(gone, more, 1)
                             np.add.at(gone, more + self.length, -1)
-                    out.append(digest(raw, spans, np.cumsum(gone[:n]) > 0))
+                    out.append(digest(laid, np.cumsum(gone[:n]) > 0))
                 names = [x.split()[0] for x in columns.split(",")]
                 types = {"long": pa.int64(), "string": pa.string()}
                 kinds = [types[x.split()[1]] for x in columns.split(",")]
-                yield _batch(_id=batch.column("_id"), **{k: pa.array(v, t) for k, v, t in zip(names, zip(*out, strict=True), kinds, strict=True)} if out else {k: pa.array([], t) for k, t in zip(names, kinds, strict=True)})
+                yield batch_of(_id=batch.column("_id"), **{k: pa.array(v, t) for k, v, t in zip(names, zip(*out, strict=True), kinds, strict=True)} if out else {k: pa.array([], t) for k, t in zip(names, kinds, strict=True)})
 
         return joined.mapInArrow(tidy(apply), f"_id long, {columns}")
 
 
-def as_bytes(part: np.ndarray):
-    from ._common import BYTE_CODES
-
-    return BYTE_CODES[part], None, None
-
-
-def repeated_suffixes(raw: np.ndarray, place: np.ndarray, length: int, doc: np.ndarray, at: np.ndarray, other_document: bool) -> np.ndarray:
-    """Whether each suffix (at `place` in raw) shares its first `length` bytes with an earlier one.
-
-    The suffixes are put in order (by their first `length` bytes, all that counts), neighbours' common
-    prefixes cut the order into intervals of full length, and inside an interval a suffix has an earlier
-    match if the previous or the next smaller position lies in it. Suffixes whose prefix hash nobody
-    shares are left out before sorting; equal hashes are compared byte by byte.
-    """
-    from ._common import BYTE_CODES
-
-    out = np.zeros(len(place), bool)
-    hashes = np.zeros(len(place), np.uint64)
-    if len(place):
-        # Hash in blocks, so that the prefix sums stay small.
-        cut = np.searchsorted(place, np.arange(0, len(raw) + (1 << 19), 1 << 19))
-        for i, j in zip(cut[:-1], cut[1:], strict=True):
-            if i < j:
-                low, high = place[i], place[j - 1] + length
-                r = Rolling(BYTE_CODES[raw[low:high]])
-                hashes[i:j] = r.spans(place[i:j] - low, place[i:j] - low + length)
-    order = np.argsort(hashes, kind="stable")
-    same = hashes[order][1:] == hashes[order][:-1]
-    shared = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-    kept = order[shared]
-    for k in range(0, len(kept), 1 << 18):
-        # whole intervals of equal hashes
-        lo = k if not k else _next(hashes, kept, k)
-        hi = _next(hashes, kept, min(len(kept), k + (1 << 18)))
-        if lo >= hi:
-            continue
-        part = kept[lo:hi]
-        prefix = np.lib.stride_tricks.sliding_window_view(raw, length)[place[part]]
-        suffix_order = np.argsort(np.ascontiguousarray(prefix).view(f"S{length}").ravel(), kind="stable")
-        prefix, part = prefix[suffix_order], part[suffix_order]
-        first = np.concatenate(([True], (prefix[1:] != prefix[:-1]).any(axis=1)))
-        out[part] = smaller_neighbour(first, doc[part], at[part], other_document)
-    return out
-
-
-def _next(hashes, kept, k):
-    while 0 < k < len(kept) and hashes[kept[k]] == hashes[kept[k - 1]]:
-        k += 1
-    return k
-
-
-def smaller_neighbour(first: np.ndarray, doc: np.ndarray, at: np.ndarray, other_document: bool) -> np.ndarray:
-    """Of suffixes in order, cut into intervals (first: an interval starts): is a previous or next smaller position in the same interval?
-
-    There is one exactly where the position is above the interval's smallest.
-    """
-    start = np.flatnonzero(first)
-    size = np.diff(np.append(start, len(first)))
-    low_doc = np.repeat(np.minimum.reduceat(doc, start), size)
-    if other_document:
-        return doc > low_doc
-    low_at = np.repeat(np.minimum.reduceat(np.where(doc == low_doc, at, np.iinfo(np.int64).max), start), size)
-    return (doc > low_doc) | (at > low_at)
+def sorted_by(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt by a key and sorted by it, so that its groups can be read one after the other; the sort spills, a worker's table can't."""
+    return rows.repartition(key).sortWithinPartitions(key)
 
 
 def runs(doc: np.ndarray, at: np.ndarray, again: np.ndarray, length: int) -> pa.RecordBatch:
@@ -375,4 +332,4 @@ def runs(doc: np.ndarray, at: np.ndarray, again: np.ndarray, length: int) -> pa.
     doc, at, again = doc[order], at[order], again[order]
     new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (again[1:] != again[:-1]) | (at[1:] > at[:-1] + np.where(again[1:] > 0, 1, length))))
     i = np.flatnonzero(new)
-    return _batch(doc=doc[i], start=at[i], stop=at[np.append(i[1:], len(at)) - 1] + length, again=again[i])
+    return batch_of(doc=doc[i], start=at[i], stop=at[np.append(i[1:], len(at)) - 1] + length, again=again[i])

@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Rolling, blocks, keyed, mix, named, saved, text_bytes, tidy, word_codes
-from ._windows import Repeats
+from ._common import blocks, grouped, keyed, mix, named, saved, text_bytes, tidy, words_of
+from ._windows import sorted_by
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 800  # words; thousandths
@@ -53,26 +53,37 @@ def shingles(data: np.ndarray, at: np.ndarray, size: int = SHINGLE):
 
     A text of one to size - 1 words has one shingle, all its words; a text without words has none.
     """
-    laid = Repeats(word_codes, size, 1, False)._laid
     for i, j in blocks(at):
-        codes, edges, _ = laid(data, at[i : j + 1])
+        codes, _, _, edges = words_of(data, at[i : j + 1])
         count = np.diff(edges)
-        rolling = Rolling(codes)
-        whole = rolling.windows(size)
-        keep = np.zeros(len(codes) + 1, np.int32)
-        some = count >= size
-        np.add.at(keep, edges[:-1][some], 1)
-        np.add.at(keep, edges[1:][some] - size + 1, -1)
-        start = np.flatnonzero(np.cumsum(keep[:-1]) > 0)
+        start = np.flatnonzero(_in_whole(edges, size, len(codes)))
         short = np.flatnonzero((count > 0) & (count < size))
         owner = np.concatenate((np.searchsorted(edges, start, side="right") - 1, short))
-        hashes = np.concatenate((whole[start], rolling.spans(edges[:-1][short], edges[1:][short])))
+        hashes = np.concatenate((_chained(codes, start, np.full(len(start), size)), _chained(codes, edges[:-1][short], count[short])))
         order = np.lexsort((hashes, owner))
         owner, hashes = owner[order], hashes[order]
         new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1]))) if len(owner) else np.zeros(0, bool)
         yield i, j, owner[new], hashes[new]
 
 
+def _in_whole(edges: np.ndarray, size: int, n: int) -> np.ndarray:
+    """Whether a run of `size` codes starts at each code and ends in its text."""
+    keep = np.zeros(n + 1, np.int32)
+    some = np.diff(edges) >= size
+    np.add.at(keep, edges[:-1][some], 1)
+    np.add.at(keep, edges[1:][some] - size + 1, -1)
+    return np.cumsum(keep[:-1]) > 0
+
+
+def _chained(codes: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A hash of each run of codes, one code after the other through a keyed finaliser."""
+    out = mix(count.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    for k in range(int(count.max()) if len(count) else 0):
+        on = slice(None) if len(count) and count.min() > k else np.flatnonzero(count > k)
+        out[on] = mix(out[on] ^ (codes[start[on] + k] + np.uint64(0xD1342543DE82EF95)))
+    return out
+
+
 #: The columns of the tokens chosen at each depth.
 CHOSEN = [f"chosen{depth}" for depth in range(DEPTH)]
 _DESCRIBED = "_id long, name binary, size long, sketch binary, " + ", ".join(f"{c} array<struct<r:int,t:long>>" for c in CHOSEN)
@@ -145,26 +156,22 @@ def _buckets(sets: DataFrame) -> DataFrame:
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets -> (a, b): each member with the smallest member it is joined to."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    t = pa.Table.from_batches(got)
-    path, rep = (t.column(c).to_numpy() for c in ("path", "rep"))
-    order = np.lexsort((rep, path))
-    path, rep = path[order], rep[order]
-    column = t.column("sketch").combine_chunks()
-    marks = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH)
-    start = np.flatnonzero(np.concatenate(([True], path[1:] != path[:-1])))
-    a, b = [], []
-    for i, j in zip(start.tolist(), np.append(start[1:], len(path)).tolist(), strict=True):
-        label = candidates(marks[order[i:j]])
-        away = np.flatnonzero(label != np.arange(j - i))
-        a.append(rep[i + label[away]])
-        b.append(rep[i + away])
-    a, b = np.concatenate(a), np.concatenate(b)
-    both = np.unique(np.stack((a, b), axis=1), axis=0)
-    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+    """Buckets, sorted by path -> (a, b): each member with the smallest member it is joined to."""
+    for t in grouped(batches, "path"):
+        path, rep = (t.column(c).to_numpy() for c in ("path", "rep"))
+        order = np.lexsort((rep, path))
+        path, rep = path[order], rep[order]
+        marks = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        start = np.flatnonzero(np.concatenate(([True], path[1:] != path[:-1])))
+        a, b = [], []
+        for i, j in zip(start.tolist(), np.append(start[1:], len(path)).tolist(), strict=True):
+            label = candidates(marks[order[i:j]])
+            away = np.flatnonzero(label != np.arange(j - i))
+            a.append(rep[i + label[away]])
+            b.append(rep[i + away])
+        a, b = np.concatenate(a), np.concatenate(b)
+        both = np.unique(np.stack((a, b), axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
 def candidates(marks: np.ndarray) -> np.ndarray:
@@ -192,23 +199,20 @@ def _unite(label: np.ndarray, hit: np.ndarray) -> None:
 
 
 def _against_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts of huge buckets, each with all of the round's pivots -> (path, a, b, tight): what joins b to a, and whether b is surely near a pivot."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    t = pa.Table.from_batches(got)
-    path, salt, rep, pivot = (t.column(c).to_numpy(zero_copy_only=False) for c in ("path", "salt", "rep", "pivot"))
-    marks = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-    order = np.lexsort((rep, salt, path))
-    start = np.flatnonzero(np.concatenate(([True], (np.diff(path[order]) != 0) | (np.diff(salt[order]) != 0))))
-    for i, j in zip(start.tolist(), np.append(start[1:], len(order)).tolist(), strict=True):
-        k = order[i:j]
-        own, used, label, tight = marks[k], marks[k] > 0, np.arange(len(k)), np.zeros(len(k), bool)
-        for p in np.flatnonzero(pivot[k]):
-            like = _likeness(own, used, own[p])
-            tight |= like >= TIGHT
-            _unite(label, np.flatnonzero(like >= LOOSE))
-        yield pa.RecordBatch.from_arrays([pa.array(path[k]), pa.array(rep[k][label]), pa.array(rep[k]), pa.array(tight)], names=["path", "a", "b", "tight"])
+    """Parts of huge buckets, sorted by `part`, each with all of the round's pivots -> (path, a, b, tight): what joins b to a, and whether b is surely near a pivot."""
+    for t in grouped(batches, "part"):
+        path, salt, rep, pivot = (t.column(c).to_numpy(zero_copy_only=False) for c in ("path", "salt", "rep", "pivot"))
+        marks = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        order = np.lexsort((rep, salt, path))
+        start = np.flatnonzero(np.concatenate(([True], (np.diff(path[order]) != 0) | (np.diff(salt[order]) != 0))))
+        for i, j in zip(start.tolist(), np.append(start[1:], len(order)).tolist(), strict=True):
+            k = order[i:j]
+            own, used, label, tight = marks[k], marks[k] > 0, np.arange(len(k)), np.zeros(len(k), bool)
+            for p in np.flatnonzero(pivot[k]):
+                like = _likeness(own, used, own[p])
+                tight |= like >= TIGHT
+                _unite(label, np.flatnonzero(like >= LOOSE))
+            yield pa.RecordBatch.from_arrays([pa.array(path[k]), pa.array(rep[k][label]), pa.array(rep[k]), pa.array(tight)], names=["path", "a", "b", "tight"])
 
 
 def pivoted(buckets: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -225,7 +229,8 @@ def pivoted(buckets: DataFrame, sketches: DataFrame) -> DataFrame:
         share = left.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / PIVOTS).alias("m"))
         drawn = left.join(share, "path").filter(F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("m")) == 0).select("path", "rep")
         pivots = full.join(drawn, ["path", "rep"]).select("path", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), "rep", "sketch", F.lit(True).alias("pivot"))
-        met = saved(members.union(pivots).repartition("path", "salt").mapInArrow(tidy(_against_pivots), "path long, a long, b long, tight boolean"))
+        both = members.union(pivots).withColumn("part", F.xxhash64("path", "salt"))
+        met = saved(sorted_by(both, "part").mapInArrow(tidy(_against_pivots), "path long, a long, b long, tight boolean"))
         found = met.filter("a < b").select("a", "b")
         edges = found if edges is None else edges.union(found)
         left = saved(left.join(met.filter("tight").select("path", F.col("b").alias("rep")).distinct(), ["path", "rep"], "left_anti"))
@@ -253,25 +258,19 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of blocks -> (rep, links, root): documents linked here, and the smallest representative joined here."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    t = pa.Table.from_batches(got)
-    label, x, y, own, rep, n = (t.column(c).to_numpy() for c in ("label", "x", "y", "own", "rep", "n"))
-    order = np.lexsort((rep, y, x, label))
-    tokens = t.column("tokens").combine_chunks()
-    new = np.concatenate(([True], (np.diff(label[order]) != 0) | (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)))
-    start = np.flatnonzero(new)
-    out = []
-    for i, j in zip(start.tolist(), np.append(start[1:], len(order)).tolist(), strict=True):
-        k = order[i:j]
-        sets = [np.frombuffer(tokens[int(a)].as_py(), np.uint64) for a in k]
-        side = own[k] == x[k[0]]
-        links, root = decide(sets, n[k], None if x[k[0]] == y[k[0]] else side)
-        out.append((rep[k], links, rep[k][root]))
-    r, links, root = (np.concatenate(c) for c in zip(*out, strict=True))
-    yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(links), pa.array(root)], names=["rep", "links", "root"])
+    """Pairs of blocks, sorted by key -> (rep, links, root): documents linked here, and the smallest representative joined here."""
+    for t in grouped(batches, "key"):
+        label, x, y, own, rep, n = (t.column(c).to_numpy() for c in ("label", "x", "y", "own", "rep", "n"))
+        order = np.lexsort((rep, y, x, label))
+        tokens = t.column("tokens").combine_chunks()
+        new = np.concatenate(([True], (np.diff(label[order]) != 0) | (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)))
+        start = np.flatnonzero(new)
+        for i, j in zip(start.tolist(), np.append(start[1:], len(order)).tolist(), strict=True):
+            k = order[i:j]
+            sets = [np.frombuffer(tokens[int(a)].as_py(), np.uint64) for a in k]
+            side = own[k] == x[k[0]]
+            links, root = decide(sets, n[k], None if x[k[0]] == y[k[0]] else side)
+            yield pa.RecordBatch.from_arrays([pa.array(rep[k]), pa.array(links), pa.array(rep[k][root])], names=["rep", "links", "root"])
 
 
 def decide(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray | None, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
@@ -346,7 +345,7 @@ def linked_keys(texts: DataFrame) -> DataFrame:
     groups = saved(named)
     sets = described.select(F.col("_id").alias("rep"), "size", "sketch", *CHOSEN).join(groups.select("rep", "n"), "rep")
     found, sketches = saved(_buckets(sets.select("rep", *CHOSEN))), sets.select("rep", "sketch")
-    near = found.filter(F.col("n") <= HUGE).select("path", "rep").join(sketches, "rep").repartition("path").mapInArrow(tidy(_joined), "a long, b long")
+    near = sorted_by(found.filter(F.col("n") <= HUGE).select("path", "rep").join(sketches, "rep"), "path").mapInArrow(tidy(_joined), "a long, b long")
     huge = found.filter(F.col("n") > HUGE)
     if huge.limit(1).count():
         near = near.union(pivoted(huge, sketches))
@@ -354,9 +353,9 @@ def linked_keys(texts: DataFrame) -> DataFrame:
     sized = labels.join(sets.select(F.col("rep").alias("node"), "size", "n"), "node")
     shape = sized.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("long").alias("n_blocks"))
     members = sized.join(shape, "label").select(F.col("node").alias("_id"), "label", "n_blocks", "n")
-    content = texts.join(members.hint("shuffle_hash"), "_id").select("_id", "_text", "label", "n_blocks", "n")
+    content = texts.join(members, "_id").select("_id", "_text", "label", "n_blocks", "n")
     dealt = content.mapInArrow(tidy(_sets), "key long, label long, x long, y long, own long, rep long, n long, tokens binary")
-    decided = saved(dealt.repartition("key").mapInArrow(tidy(_decided), "rep long, links long, root long"))
+    decided = saved(sorted_by(dealt, "key").mapInArrow(tidy(_decided), "rep long, links long, root long"))
     classes = components(decided.select(F.col("root").alias("a"), F.col("rep").alias("b")))
     links = decided.groupBy("rep").agg(F.sum("links").alias("links"))
     of_rep = groups.join(links, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NULL_ID, blocks, keyed, mix, named, saved, text_bytes, tidy, word_codes
+from ._common import NULL_ID, blocks, keyed, mix, named, saved, text_bytes, tidy, words_of
 
 BITS = 128
 #: Bits in which near documents may differ; the bits in which one of PROBED blocks of 16 bits then differs at most.
@@ -41,25 +41,13 @@ def fingerprints(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """16 bytes for each text of a batch (its bytes, and where each text starts and the last ends)."""
     out = np.zeros((len(at) - 1, BITS // 8), np.uint8)
     for i, j in blocks(at):
-        part = data[at[i] : at[j]]
-        edges = at[i : j + 1] - at[i]
-        codes, start, end = word_codes(part)
-        if len(edges) > 2:
-            # a word must not reach over two texts
-            inner = np.unique(edges[1:-1])
-            k = np.searchsorted(start, inner, side="right") - 1
-            crossing = inner[(k >= 0) & (start[k] < inner) & (end[k] > inner)] if len(start) else inner[:0]
-            if len(crossing):
-                from ._common import BYTE_CODES, Rolling
-
-                start, end = np.sort(np.concatenate((start, crossing))), np.sort(np.concatenate((end, crossing)))
-                codes = Rolling(BYTE_CODES[part]).spans(start, end)
+        codes, start, end, edges = words_of(data, at[i : j + 1])
         if not len(codes):
             continue
-        text = np.searchsorted(edges, start, side="right") - 1
+        text = np.searchsorted(edges, np.arange(len(codes)), side="right") - 1
         size = end - start
         pair = text[1:] == text[:-1]
-        alone = np.bincount(text, minlength=len(edges))[text] == 1
+        alone = np.diff(edges)[text] == 1
         terms = np.concatenate((mix(codes[:-1] * np.uint64(3) ^ mix(codes[1:]))[pair], codes[alone]))
         weight = np.concatenate(((size[:-1] + size[1:])[pair], size[alone]))
         owner = np.concatenate((text[:-1][pair], text[alone]))

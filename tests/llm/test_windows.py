@@ -73,7 +73,8 @@ def test_words_against_brute_force(spark, seed):
 
 
 def test_much_shared_anchors_are_dealt_by_offset(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "finder", lambda n: _windows.Repeats(_windows.as_bytes, n, 32, other_document=False, split=2))
+    whole = suffix_dedup.Factors
+    monkeypatch.setattr(suffix_dedup, "Factors", lambda n: whole(n, split=2))
     draw = random.Random(7)
     passage = "".join(draw.choice("abcdefgh ") for _ in range(90))
     texts = ["".join(draw.choice("ijkl") for _ in range(20)) + draw.choice(["u", "v"]) * 6 + passage + draw.choice(["x", "y"]) * 8 for _ in range(60)]
@@ -117,7 +118,7 @@ def test_anchors_depend_on_the_window_alone():
     a, b = np.concatenate((draw.integers(97, 101, 77, dtype=np.uint8), part)), part
     offsets = []
     for data, shift in ((a, 77), (b, 0)):
-        _, _, start, count, offset = _windows.anchors(BYTE_CODES[data], np.array([0, len(data)]), 100, 32)
+        _, start, count, offset = _windows.anchors(BYTE_CODES[data], np.array([0, len(data)]), 100, 32)
         offsets.append({int(p) - shift: int(s + o) - shift for s, n, o in zip(start, count, offset, strict=True) for p in range(s, s + n)})
         assert sorted(offsets[-1]) == list(range(-shift, 201))
     assert all(offsets[0][p] == offsets[1][p] for p in range(201))
@@ -131,11 +132,61 @@ def test_very_long_sequences_fall_into_pieces(monkeypatch):
     assert all((x == y).all() for x, y in zip(whole, parts, strict=True))
 
 
-def test_levels_end_where_no_candidate_is_left():
-    words = [list("abcdefghijklmnop"), list("xbcdefghijklmnoq"), list("abc")]
-    got = substring_dedup.levels(words)
-    assert [n for n, _ in got] == [7, 13] and set(got[-1][1]) == {tuple("bcdefghijklmn"), tuple("cdefghijklmno")}
-    assert [n for n, _ in substring_dedup.levels([list("abc")])] == [7]
+def collided():
+    """Two words of 1,024 letters that agree under every polynomial hash modulo 2**64 with an odd base."""
+    a, b = "a", "b"
+    while len(a) < 1024:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_of_equal_rolling_hash_are_different_words(spark):
+    a, b = collided()
+    rest = [f"w{i}" for i in range(12)]
+    docs = spark.createDataFrame(list(enumerate(" ".join([*rest[:6], x, *rest[6:]]) for x in (a, b, a))), "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_removed"]) for r in substring_dedup.remove_repeats(docs).collect()) == [(0, 0), (1, 0), (2, 13)]
+    windows = [" ".join("pq"[c == "b"] for c in x) for x in (a, b)]  # the same at the level of windows
+    docs = spark.createDataFrame(list(enumerate(windows)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(docs).collect()}
+    assert got == dict(enumerate(removed_words(windows, 13)))
+
+
+@pytest.mark.parametrize("window", [3, 7, 13, 40])
+def test_levels_of_any_window_against_brute_force(spark, window):
+    """Windows longer than two levels, and shorter than one; passages that break off at each level's length."""
+    draw = random.Random(window)
+    passage = [f"p{i}" for i in range(90)]
+    texts = [" ".join(f"{d}x{k}" for k in range(5)) + " " + " ".join(passage[a : a + n]) + f" {d}y" for d, (a, n) in enumerate((draw.randrange(40), draw.choice([2, 6, 8, 12, 14, 21, 39, 41, 50])) for _ in range(30))]
+    texts += [" ".join(draw.choice(["a", "b"]) for _ in range(70)) for _ in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(docs, window).collect()}
+    assert got == dict(enumerate(removed_words(texts, window)))
+
+
+def test_levels_double_and_end_where_no_candidate_is_left(spark, monkeypatch):
+    assert [substring_dedup.lengths(n) for n in (5, 13, 100)] == [[5], [7, 13], [7, 13, 25, 50, 100]]
+    words = [f"p{i}" for i in range(40)]
+    texts = [" ".join(words), " ".join(["x", *words[:20], "y"]), " ".join(f"q{i}" for i in range(120))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "_id long, _text string")
+    seen, own = [], substring_dedup.Levels._surviving
+    monkeypatch.setattr(substring_dedup.Levels, "_surviving", lambda self, alive, level: seen.append(level) or own(self, alive, level))
+    assert substring_dedup.Levels(100).candidates(docs).count() == 0 and seen == [7]  # 20 words in common: no 100-word window holds that anchor twice
+    left = {r["_id"]: r["alive"] for r in substring_dedup.Levels(13).candidates(docs).collect()}
+    assert set(left) == {0, 1}
+
+
+def test_groups_stay_whole():
+    import pyarrow as pa
+
+    from cohortsmith.llm._common import grouped
+
+    keys = np.sort(np.random.default_rng(3).integers(0, 50, 4000))
+    keys[1000:3000] = keys[1000]
+    keys.sort()
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 37])], names=["k"]) for i in range(0, 4000, 37)]
+    tables = [t.column("k").to_numpy() for t in grouped(iter(batches), "k", 1500)]
+    assert (np.concatenate(tables) == keys).all() and len(tables) > 5
+    assert all(a[-1] != b[0] for a, b in zip(tables[:-1], tables[1:], strict=True))
 
 
 def test_white_space_is_ascii():
