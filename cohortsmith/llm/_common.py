@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -44,13 +45,37 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: The tables that written() made and nobody removed yet.
+_made: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """As saved(), as a Parquet table in the shared folder, which takes less room; it stays there until the folder is cleared."""
+    """As saved(), as a Parquet table in the shared folder, which takes less room; it stays there until cleared() ends or the folder is cleared."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    _made.append(path)
     return df.sparkSession.read.parquet(path)
 
 
+@contextmanager
+def cleared(spark: SparkSession):
+    """Removes, at the end, the tables that written() made inside."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[before:]:
+            remove(spark, path)
+        del _made[before:]
+
+
+def partitions_for(df: DataFrame, each: int) -> int:
+    """Partitions of about `each` bytes of df, by the size that the optimizer knows of its sources; the session's shuffle partitions at least."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(known // each, 1_000_000)) if known < 1 << 60 else least  # a plan of unknown size says 2**63 - 1
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

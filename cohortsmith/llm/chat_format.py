@@ -1,8 +1,8 @@
 """Chat formatting: heterogeneous records become canonical turns, turns become one marked-up text.
 
 A record's schema fingerprint is a hash of its nested field paths (those that any mapping names; others
-don't matter). It selects a declarative mapping, which says where turns, roles and texts lie. Rows of a
-typed table have the fingerprint of the table's schema.
+don't matter). It selects a declarative mapping, which says where turns, roles and texts lie. A typed table
+has the fingerprint of its schema: it selects a mapping for a row for each turn (ROW_MAPPINGS) or for each record (MAPPINGS).
 
 A turn reads `<|im_start|>role\\ntext<|im_end|>\\n`. Inside roles and texts `<`, any backslashes, `|` gets
 one backslash more, so that no control string can occur there and reading takes it off again; in roles
@@ -34,7 +34,8 @@ ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assi
 
 @dataclass(frozen=True)
 class Mapping:
-    """turns: path of a list of turns with fields role and text; else fields: (path, role) in order of the turns."""
+    """turns: path of a list of turns with fields role and text; else conversation and order: columns of a table with a row
+    for each turn, beside role and text; else fields: (path, role) in order of the turns."""
 
     name: str
     turns: str = ""
@@ -42,10 +43,14 @@ class Mapping:
     text: str = ""
     fields: tuple[tuple[str, str], ...] = ()
     optional: tuple[str, ...] = field(default=())
+    conversation: str = ""
+    order: str = ""
 
     def paths(self) -> frozenset[str]:
         if self.turns:
             return frozenset((f"{self.turns}[].{self.role}", f"{self.turns}[].{self.text}"))
+        if self.conversation:
+            return frozenset((self.conversation, self.order, self.role, self.text))
         return frozenset(p for p, _ in self.fields)
 
     def fingerprints(self) -> list[str]:
@@ -64,8 +69,11 @@ MAPPINGS = (
     Mapping("prompt", fields=(("system", "system"), ("prompt", "user"), ("response", "assistant")), optional=("system",)),
     Mapping("question", fields=(("question", "user"), ("answer", "assistant"))),
 )
-#: A table with a row for each turn.
-TURN_ROWS = ("conv_id", "role", "text", "turn")
+#: Tables with a row for each turn.
+ROW_MAPPINGS = (
+    Mapping("turn rows", conversation="conv_id", order="turn", role="role", text="text"),
+    Mapping("message rows", conversation="conversation_id", order="position", role="author", text="content"),
+)
 
 
 def fingerprint(paths) -> str:
@@ -73,14 +81,14 @@ def fingerprint(paths) -> str:
 
 
 def record_paths(value, at: str = "") -> Iterator[str]:
-    """The field paths of a parsed record: a.b, and a[].b inside lists. Null values have no path."""
+    """The field paths of a parsed record: a.b, and a[].b inside lists. A null has the path of its place."""
     if isinstance(value, dict):
         for k, v in value.items():
             yield from record_paths(v, f"{at}.{k}" if at else k)
     elif isinstance(value, list):
         for v in value:
             yield from record_paths(v, f"{at}[]")
-    elif value is not None:
+    else:
         yield at
 
 
@@ -96,10 +104,15 @@ def schema_paths(kind: T.DataType, at: str = "") -> Iterator[str]:
 
 
 def selected(paths, mappings=MAPPINGS) -> tuple[str, Mapping | None]:
-    """The fingerprint over the paths that mappings name, and the mapping it selects."""
-    known = frozenset().union(*(m.paths() for m in mappings))
-    mark = fingerprint(set(paths) & known)
-    return mark, next((m for m in mappings if mark in m.fingerprints()), None)
+    """The fingerprint over the paths that mappings name, and the mapping it selects.
+
+    Where a layout has paths of several mappings, that whole fingerprint is unknown; the fingerprint over each mapping's own
+    paths then selects, if it does for one mapping alone.
+    """
+    paths = set(paths)
+    mark = fingerprint(paths & frozenset().union(*(m.paths() for m in mappings)))
+    found = [m for m in mappings if mark in m.fingerprints()] or [m for m in mappings if fingerprint(paths & m.paths()) in m.fingerprints()]
+    return mark, found[0] if len(found) == 1 else None
 
 
 def _at(record, path: str):
@@ -114,9 +127,9 @@ def _text(value) -> str:
 
 def mapped(record, mapping: Mapping) -> list[tuple[str, str]]:
     if mapping.turns:
-        found = [(_text(_at(t, mapping.role)), _text(_at(t, mapping.text))) for t in _at(record, mapping.turns) or [] if isinstance(t, dict)]
+        found = [(_text(_at(t, mapping.role)), _text(_at(t, mapping.text))) for t in _at(record, mapping.turns) or [] if isinstance(t, dict)]  # a null turn is none
     else:
-        found = [(role, _text(v)) for p, role in mapping.fields if (v := _at(record, p)) is not None]
+        found = [(role, _text(v)) for p, role in mapping.fields if (v := _at(record, p)) is not None or p not in mapping.optional]
     out: list[tuple[str, str]] = []
     for role, text in found:
         role = ROLES.get(role.lower(), role)
@@ -127,10 +140,10 @@ def mapped(record, mapping: Mapping) -> list[tuple[str, str]]:
     return out
 
 
-def turns_of(records: DataFrame, column: str = "record", mappings=MAPPINGS) -> DataFrame:
-    """(conv_id, turn, role, text, fingerprint) from JSON records (conv_id, `column`).
+def turns_of(records: DataFrame, column: str = "record", mappings=MAPPINGS, mapping: Mapping | None = None) -> DataFrame:
+    """(conv_id, turn, role, text, fingerprint) from JSON records (conv_id, `column`), each by its own fingerprint, or all by `mapping`.
 
-    A record that is null, no JSON object, or has a fingerprint that no mapping knows gives one row with
+    A record that is null, no JSON object, without turns, or has a fingerprint that no mapping knows gives one row with
     null turn, role and text and its fingerprint (null where there is none): nothing is lost unseen.
     """
 
@@ -151,8 +164,9 @@ def turns_of(records: DataFrame, column: str = "record", mappings=MAPPINGS) -> D
                     if len(known) > 10_000:
                         known.clear()
                     known[paths] = selected(paths, mappings)
-                mark, mapping = known[paths]
-                turns = mapped(record, mapping) if mapping else []
+                mark, own = known[paths]
+                own = mapping or own
+                turns = mapped(record, own) if own else []
                 rows += [(name, i, role, text, mark) for i, (role, text) in enumerate(turns)] or [(name, None, None, None, mark)]
             c = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), *(pa.array(x, pa.string()) for x in c[2:])], names=["conv_id", "turn", "role", "text", "fingerprint"])
@@ -161,15 +175,22 @@ def turns_of(records: DataFrame, column: str = "record", mappings=MAPPINGS) -> D
 
 
 def turns_table(table: DataFrame) -> DataFrame:
-    """The canonical turns of a typed table, by its schema's fingerprint: a row for each turn, or a column of JSON records."""
+    """(conv_id, turn, role, text, empty): the canonical turns of a typed table, by the mapping that its schema's fingerprint selects.
+
+    A table has a row for each turn, or for each record with conv_id. A record without turns gives one row that is
+    `empty`, so that its conversation stays, with no turns. Columns that no mapping names are ignored. ValueError, if no mapping is selected.
+    """
     paths = set(schema_paths(table.schema))
-    if fingerprint(paths & set(TURN_ROWS)) == fingerprint(TURN_ROWS):
-        return table.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    _, mapping = selected(paths, ROW_MAPPINGS)
+    if mapping:
+        return table.select(F.col(mapping.conversation).cast("long").alias("conv_id"), F.col(mapping.order).cast("long").alias("turn"), F.col(mapping.role).cast("string").alias("role"), F.col(mapping.text).cast("string").alias("text"), F.lit(False).alias("empty"))
     _, mapping = selected(paths)
     if mapping is None or "conv_id" not in paths:
         raise ValueError(f"no mapping has the fingerprint of {sorted(paths)}")
-    record = F.to_json(F.struct(*(c for c in table.columns if c != "conv_id")))
-    return turns_of(table.select("conv_id", record.alias("record"))).filter("turn is not null").drop("fingerprint")
+    tops = {p.split(".")[0].removesuffix("[]") for p in mapping.paths()}
+    record = F.to_json(F.struct(*(c for c in table.columns if c in tops)), {"ignoreNullFields": "false"})
+    found = turns_of(table.select("conv_id", record.alias("record")), mapping=mapping)
+    return found.select("conv_id", "turn", "role", "text", F.col("turn").isNull().alias("empty"))
 
 
 _OPENS, _OPENED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
@@ -197,9 +218,11 @@ def formatted(turns: DataFrame, part: int = PART) -> DataFrame:
     Turns are ordered by turn (null first), then role and text. A null role or text is empty. text is a
     part of the conversation's text; most have one part, long ones go on in further rows, so that a
     conversation of any length streams through bounded memory. loss: [(start, end)] in the part's code
-    points. Rows of a conversation follow each other in one partition. Other columns are ignored.
+    points. Rows of a conversation follow each other in one partition. A row that is `empty` (a Boolean column that turns may have)
+    is no turn: its conversation has an empty text if it has no others. Other columns are ignored.
     """
-    one = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    empty = F.coalesce("empty", F.lit(False)) if dict(turns.dtypes).get("empty") == "boolean" else F.lit(False)
+    one = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), empty.alias("empty"))
     dealt = one.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return dealt.mapInArrow(tidy(_format(part)), "conv_id long, part long, text string, loss array<struct<start:long,stop:long>>")
 
@@ -211,11 +234,13 @@ def _format(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, part, pieces, size, loss, begun, rows = None, 0, [], 0, [], False, []
         for batch in batches:
-            for conv, role, text in zip(batch.column("conv_id").to_pylist(), batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for conv, role, text, empty in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text", "empty")), strict=True):
                 if begun and (conv != name or size >= most):
                     rows.append((name, part, "".join(pieces), loss))
                     part, pieces, size, loss = part + 1 if conv == name else 0, [], 0, []
                 begun, name = True, conv
+                if empty:
+                    continue
                 head, body = f"{START}{_role_out(role)}\n", escaped(text)
                 if role == ASSISTANT:
                     loss.append({"start": size + len(head), "stop": size + len(head) + len(body)})

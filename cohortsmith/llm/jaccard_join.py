@@ -9,15 +9,17 @@ least the threshold are linked.
    probability 1 - 1/e at least. Buckets above LIMIT are split again by the tokens chosen under
    another hash, up to DEPTH times. No two runs or depths share a hash: with at most DEPTH choices a
    run finds a link with probability (1 - 1/e)^DEPTH at least, independently of the other runs, and
-   RUNS is the number that brings the misses below 1 - RECALL.
+   RUNS is the number that brings the misses of this step below 1 - RECALL.
 3. Buckets with equal members count once. Inside a bucket sketches (one-permutation minima) are
    compared with pivots: what is surely similar to a pivot needs no pivot of its own, since whatever is
-   linked to it lies within twice the distance of the pivot and is joined to it. This joins
-   candidates into components without listing pairs. Huge buckets are dealt in parts that all meet the
+   linked to it lies within twice the distance of the pivot and is joined to it, as far as the sketches' estimates hold:
+   their error (some 0.04 for 128 cells) is covered by the gap between TIGHT, LOOSE and the threshold, by measurement and
+   not by proof. This joins candidates into components without listing pairs. Huge buckets are dealt in parts that all meet the
    same pivots, round by round.
 4. Inside each candidate component every pair is decided exactly, by products of blocks of the
    sets' incidence matrix. Links are counted there, for each document, and classes are the components of
-   the exact links. Large components are dealt as pairs of blocks.
+   the exact links. Large components are split into bands of set sizes, which are compared with themselves and the
+   next only, and dealt as pairs of blocks.
 """
 
 from __future__ import annotations
@@ -240,36 +242,46 @@ def pivoted(buckets: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shingle sets of candidates, once for each pair of blocks that they take part in."""
+    """The shingle sets of candidates, once for each pair of blocks that they take part in.
+
+    part names a component's pair of blocks: of one band of sizes, or of a band and the next. left: the side that a set is on
+    (null where all pairs of one block count).
+    """
     for batch in batches:
         data, at = text_bytes(batch.column("_text"))
-        comp, n_blocks, rep, n = (batch.column(c).to_pylist() for c in ("label", "n_blocks", "_id", "n"))
+        label, band, rep, n, blocks_, above, below = (batch.column(c).to_pylist() for c in ("label", "band", "_id", "n", "n_blocks", "above", "below"))
         for i, j, owner, hashes in shingles(data, at):
             edges = np.searchsorted(owner, np.arange(j - i + 1))
             rows = []
             for k in range(i, j):
                 raw = hashes[edges[k - i] : edges[k - i + 1]].tobytes()
-                own = int(mix(np.array([rep[k]], np.int64).view(np.uint64))[0] % np.uint64(n_blocks[k]))
-                for other in range(n_blocks[k]):
-                    x, y = min(own, other), max(own, other)
-                    rows.append((int(mix(np.array([comp[k]], np.int64).view(np.uint64) + np.uint64(x * 65_537 + y))[0].view(np.int64)), comp[k], x, y, own, rep[k], n[k], raw))
+                spread = int(mix(np.array([rep[k]], np.int64).view(np.uint64))[0])
+                own = spread % blocks_[k]
+                parts = [(2 * band[k], min(own, o), max(own, o), own < o if own != o else None) for o in range(blocks_[k])]
+                parts += [(2 * band[k] + 1, own, o, True) for o in range(above[k])]
+                parts += [(2 * band[k] - 1, o, own, False) for o in range(below[k])]
+                for kind, x, y, left in parts:
+                    rows.append((label[k], (kind << 40) | (x << 20) | y, left, rep[k], n[k], raw))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 7 + [pa.binary()], strict=True)], names=["key", "label", "x", "y", "own", "rep", "n", "tokens"])
+                c = list(zip(*rows, strict=True))
+                labels, parts = np.array(c[0], np.int64), np.array(c[1], np.int64)
+                key = mix(labels.view(np.uint64) ^ mix(parts.view(np.uint64) + np.uint64(1))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(labels), pa.array(parts), pa.array(c[2], pa.bool_()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.int64()), pa.array(c[5], pa.binary())], names=["key", "label", "part", "left", "rep", "n", "tokens"])
 
 
 def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of blocks, sorted by key -> (rep, links, root): documents linked here, and the smallest representative joined here."""
     for t in grouped(batches, "key"):
-        label, x, y, own, rep, n = (t.column(c).to_numpy() for c in ("label", "x", "y", "own", "rep", "n"))
-        order = np.lexsort((rep, y, x, label))
+        label, part, rep, n = (t.column(c).to_numpy() for c in ("label", "part", "rep", "n"))
+        side = t.column("left")
+        all_pairs, left = side.is_null().to_numpy(), side.fill_null(False).to_numpy()
+        order = np.lexsort((rep, part, label))
         tokens = t.column("tokens").combine_chunks()
-        new = np.concatenate(([True], (np.diff(label[order]) != 0) | (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)))
-        start = np.flatnonzero(new)
+        start = np.flatnonzero(np.concatenate(([True], (np.diff(label[order]) != 0) | (np.diff(part[order]) != 0))))
         for i, j in zip(start.tolist(), np.append(start[1:], len(order)).tolist(), strict=True):
             k = order[i:j]
             sets = [np.frombuffer(tokens[int(a)].as_py(), np.uint64) for a in k]
-            side = own[k] == x[k[0]]
-            links, root = decide(sets, n[k], None if x[k[0]] == y[k[0]] else side)
+            links, root = decide(sets, n[k], None if all_pairs[k[0]] else left[k])
             yield pa.RecordBatch.from_arrays([pa.array(rep[k]), pa.array(links), pa.array(rep[k][root])], names=["rep", "links", "root"])
 
 
@@ -326,6 +338,22 @@ def decide(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray | None,
     return links, root
 
 
+def blocked(sized: DataFrame) -> DataFrame:
+    """sized (node, label, size, ...) with the set's band of sizes, and the blocks of that band, the one above and the one below.
+
+    Linked sets' sizes differ by the threshold's share at most, so that they lie in one band or in two that follow each
+    other. A component of one block is one band.
+    """
+    blocks_ = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("long").alias("n_blocks")
+    whole = sized.groupBy("label").agg(blocks_).select("label", (F.col("n_blocks") > 1).alias("large"))
+    band = F.when(F.col("large"), F.floor(F.log(F.col("size").cast("double")) / math.log(1000 / THRESHOLD))).otherwise(F.lit(0)).cast("long")
+    banded = sized.join(whole, "label").withColumn("band", band).drop("large")
+    # a component has a band for each factor of 1000 / threshold in size, so the map is small
+    shape = banded.groupBy("label", "band").agg(blocks_).groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("band", "n_blocks"))).alias("shape"))
+    at = lambda step: F.coalesce(F.try_element_at("shape", F.col("band") + step), F.lit(0)).cast("long")
+    return banded.join(shape, "label").select("*", at(0).alias("n_blocks"), at(1).alias("above"), at(-1).alias("below")).drop("shape")
+
+
 def linked(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, n_links, n_copies) of every document.
 
@@ -351,10 +379,9 @@ def linked_keys(texts: DataFrame) -> DataFrame:
         near = near.union(pivoted(huge, sketches))
     labels = saved(components(near))
     sized = labels.join(sets.select(F.col("rep").alias("node"), "size", "n"), "node")
-    shape = sized.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("long").alias("n_blocks"))
-    members = sized.join(shape, "label").select(F.col("node").alias("_id"), "label", "n_blocks", "n")
-    content = texts.join(members, "_id").select("_id", "_text", "label", "n_blocks", "n")
-    dealt = content.mapInArrow(tidy(_sets), "key long, label long, x long, y long, own long, rep long, n long, tokens binary")
+    members = blocked(sized)
+    content = texts.join(members.withColumnRenamed("node", "_id"), "_id").select("_id", "_text", "label", "band", "n_blocks", "above", "below", "n")
+    dealt = content.mapInArrow(tidy(_sets), "key long, label long, part long, left boolean, rep long, n long, tokens binary")
     decided = saved(sorted_by(dealt, "key").mapInArrow(tidy(_decided), "rep long, links long, root long"))
     classes = components(decided.select(F.col("root").alias("a"), F.col("rep").alias("b")))
     links = decided.groupBy("rep").agg(F.sum("links").alias("links"))

@@ -1,23 +1,33 @@
 """Packing by optimal length buckets.
 
-Documents become sequences of at most MAX_TOKENS tokens (longer ones are cut, nothing is lost). The
-global histogram of sequence lengths, at most MAX_TOKENS numbers, goes to the driver, where dynamic
-programming finds the bucket boundaries that minimise padding. Inside a bucket sequences are dealt into
-batches of the token budget. A bucket with many sequences is dealt as several shards, each with batches
-of its own, so that no task has to number them all.
+Texts become token ids, cut into sequences of at most MAX_TOKENS (nothing is lost). The global histogram of
+sequence lengths, at most MAX_TOKENS numbers, goes to the driver, where dynamic programming finds the bucket
+boundaries that minimise padding. Inside a bucket sequences, ordered by length, are dealt into batches of the
+token budget: a batch is a row with its sequences' ids, padded to the bucket's bound, and where they come from. A
+bucket with many sequences is dealt as several shards, each with batches of its own, so that no task has to order them all.
+Tasks read their shards in sorted order and hold one batch at a time.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE, keyed, named, saved
+from ._common import keyed, text_bytes, tidy, written
+from .token_store import encoder_of, width
 
 MAX_TOKENS, BUCKETS, BUDGET = 4096, 16, 65_536
-#: Sequences of a bucket that one task numbers, on average.
+#: What fills a sequence up to its bucket's bound.
+PAD_ID = 0
+#: Sequences of a bucket that one task puts in order, on average.
 SHARD = 20_000
+#: Documents without tokens that share a row.
+_EMPTY = 4096
 
 
 def boundaries(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int]:
@@ -56,42 +66,111 @@ def padding(histogram: dict[int, int], bounds: list[int]) -> int:
     return sum(n * (min(b for b in bounds if b >= x) - x) for x, n in histogram.items())
 
 
-def word_count(text: str = "_text") -> Column:
-    return F.size(F.array_remove(F.split(F.col(text), SPACE), "")).cast("long")
+_PIECES = "_id long, doc_id long, n_tokens long, piece long, start long, length long, ids binary"
+_PIECES_ARROW = pa.schema([*((c, pa.int64()) for c in ("_id", "doc_id", "n_tokens", "piece", "start", "length")), ("ids", pa.binary())])
+
+
+def _cut(tokenizer: str, most: int):
+    """(_id, _text, name) -> the sequences of each text: _PIECES."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder_of(tokenizer)
+        w = encode.width
+        for batch in batches:
+            data, at = text_bytes(batch.column("_text"))
+            keys, names = batch.column("_id").to_pylist(), batch.column("name").to_pylist()
+            for i in range(0, len(keys), 128):
+                j = min(len(keys), i + 128)
+                rows = []
+                for k, ids in zip(range(i, j), encode([data[at[k] : at[k + 1]].tobytes() for k in range(i, j)]), strict=True):
+                    n = len(ids) // w
+                    rows += [(keys[k], names[k], n, p, p * most, min(most, n - p * most), ids[p * most * w : (p + 1) * most * w]) for p in range(max(1, -(-n // most)))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECES_ARROW, strict=True)], schema=_PIECES_ARROW)
+
+    return cut
+
+
+_LISTS = ("doc_ids", "totals", "pieces", "starts", "lengths")
+_BATCHES = "bucket long, shard long, batch long, n long, padding long, " + ", ".join(f"{c} array<long>" for c in _LISTS) + ", ids binary"
+_BATCHES_ARROW = pa.schema([*((c, pa.int64()) for c in ("bucket", "shard", "batch", "n", "padding")), *((c, pa.list_(pa.int64())) for c in _LISTS), ("ids", pa.binary())])
+
+
+def _filled(budget: int, w: int, pad_id: int):
+    """Sequences sorted by bucket, shard, length, _id and piece -> batches."""
+    pad = np.array([pad_id], f"<u{w}").tobytes()
+
+    def row(bucket, shard, batch, held):
+        ids = b"".join([x[-1] + pad * (bucket - x[4]) for x in held]) if bucket else b""
+        return (bucket, shard, batch, len(held), len(ids) // w - sum(x[4] for x in held), *([x[k] for x in held] for k in range(5)), ids)
 
+    def out(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _BATCHES_ARROW, strict=True)], schema=_BATCHES_ARROW)
 
-def packed(docs: DataFrame, length: Column | None = None, max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
-    """(doc_id, n_tokens, piece, start, length, bucket, shard, batch, slot): a row for each sequence.
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, number, held, rows = None, 0, [], []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "shard", "doc_id", "n_tokens", "piece", "start", "length", "ids")]
+            for bucket, shard, *x in zip(*columns, strict=True):
+                most = max(1, budget // bucket) if bucket else _EMPTY
+                if held and ((bucket, shard) != at or len(held) == most):
+                    rows.append(row(*at, number, held))
+                    number, held = number + 1 if (bucket, shard) == at else 0, []
+                at = (bucket, shard)
+                held.append(x)
+            if rows:
+                yield out(rows)
+                rows = []
+        if held:
+            yield out([row(*at, number, held)])
 
-    length: a column over (_id, _text) with a text's tokens; its words, if not given. bucket is the
-    upper bound of the sequence's bucket; (bucket, shard, batch) names a batch of at most budget // bucket
-    sequences (one at least), slot the place in it. Sequences of a batch follow each other by length,
-    doc_id and piece. A document without tokens (null or empty text) has one row with length 0 and null
-    bucket, shard, batch and slot. Different texts of one doc_id are documents of their own. No documents, no rows.
+    return fill
+
+
+def packed(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS, budget: int = BUDGET, pad_id: int = PAD_ID) -> DataFrame:
+    """A row for each batch: bucket, shard, batch (its name), n sequences, padding (ids that fill up), lists with an entry for each
+    sequence (doc_ids, totals: the document's tokens, pieces, starts, lengths), and ids: n * bucket little-endian integers of
+    16 bits, if the tokenizer has at most 65,536 pieces, else of 32.
+
+    bucket is the upper bound of its sequences' lengths; a batch has at most budget // bucket sequences (one at least), in
+    order of length, document and piece. Documents without tokens (null or empty text) are listed in batches of bucket 0
+    without ids. A text of any length is cut into sequences. Different texts of one doc_id are documents of their own;
+    a null doc_id is null in the lists. Other columns are ignored. No documents, no rows.
     """
     if max_tokens < 1 or buckets < 1 or budget < 1:
         raise ValueError("needs positive limits")
-    texts, names = keyed(docs)
-    sized = saved(texts.select("_id", (word_count() if length is None else length).cast("long").alias("n_tokens")))
-    pieces = F.greatest(F.ceil(F.col("n_tokens") / max_tokens).cast("long"), F.lit(1).cast("long"))
-    rows = sized.select("_id", "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("piece"))
-    rows = rows.withColumn("start", F.col("piece") * max_tokens).withColumn("length", F.least(F.lit(max_tokens).cast("long"), F.col("n_tokens") - F.col("start")))
-    histogram = {r["length"]: r["count"] for r in rows.filter("length > 0").groupBy("length").count().collect()}  # max_tokens rows at most
+    from tokenizers import Tokenizer
+
+    texts, _ = keyed(docs.select("doc_id", "text", F.col("doc_id").cast("long").alias("name")), "name")
+    rows = written(texts.mapInArrow(tidy(_cut(tokenizer, max_tokens)), _PIECES), "sequences")
+    histogram = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}  # max_tokens + 1 rows at most
+    empty = histogram.pop(0, 0)
     bounds = boundaries(histogram, buckets)
-    if not bounds:
-        none = F.lit(None).cast("long")
-        return named(rows, names).select("doc_id", "n_tokens", "piece", "start", "length", *(none.alias(c) for c in ("bucket", "shard", "batch", "slot")))
     sizes = [sum(n for x, n in histogram.items() if a < x <= b) for a, b in zip([0, *bounds], bounds, strict=False)]
-    bucket, shards, most = (F.lit(None).cast("long") for _ in range(3))
-    for b, n in reversed(list(zip(bounds, sizes, strict=True))):
-        inside = F.col("length") <= b
-        bucket = F.when(inside, F.lit(b)).otherwise(bucket)
-        shards = F.when(inside, F.lit(-(-n // SHARD))).otherwise(shards)
-        most = F.when(inside, F.lit(max(1, budget // b))).otherwise(most)
-    some = F.col("length") > 0
-    rows = rows.withColumn("bucket", F.when(some, bucket).cast("long")).withColumn("shard", F.when(some, F.pmod(F.xxhash64("_id", "piece"), shards)).cast("long")).withColumn("most", most)
-    full = rows.filter("length > 0")
-    rank = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("length", "_id", "piece")) - 1
-    full = full.withColumn("rank", rank.cast("long")).withColumn("batch", F.floor(F.col("rank") / F.col("most"))).withColumn("slot", F.col("rank") % F.col("most"))
-    empty = rows.filter("length = 0").withColumn("rank", F.lit(None).cast("long")).withColumn("batch", F.lit(None).cast("long")).withColumn("slot", F.lit(None).cast("long"))
-    return named(full.unionByName(empty), names).select("doc_id", "n_tokens", "piece", "start", "length", "bucket", "shard", "batch", "slot")
+    bucket, shards = F.lit(0), F.lit(max(1, -(-empty // SHARD)))
+    for b, a, n in zip(bounds, [0, *bounds], sizes, strict=False):
+        bucket, shards = F.when(F.col("length") > a, F.lit(b)).otherwise(bucket), F.when(F.col("length") > a, F.lit(-(-n // SHARD))).otherwise(shards)
+    dealt = rows.withColumn("bucket", bucket.cast("long")).withColumn("shard", F.pmod(F.xxhash64("_id", "piece"), shards).cast("long"))
+    ordered = dealt.repartition("bucket", "shard").sortWithinPartitions("bucket", "shard", "length", "_id", "piece")
+    return ordered.mapInArrow(tidy(_filled(budget, width(Tokenizer.from_file(tokenizer).get_vocab_size()), pad_id)), _BATCHES)
+
+
+def unpacked(batches: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, piece, start, length, bucket, shard, batch, slot, ids, ids_crc32): a row for each sequence of the batches, read from their ids.
+
+    ids_crc32: of the sequence's ids as little-endian unsigned 32-bit integers. bucket, shard, batch and slot are null for
+    documents without tokens.
+    """
+
+    def read(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for r in batch.to_pylist():
+                n, bucket, some = r["n"], r["bucket"], bool(r["bucket"])
+                w = len(r["ids"]) // (n * bucket) if some else 0
+                ids = [r["ids"][w * bucket * k : w * (bucket * k + x)] for k, x in enumerate(r["lengths"])]
+                place = [[r[c] if some else None] * n for c in ("bucket", "shard", "batch")]
+                crcs = [zlib.crc32(np.frombuffer(x, f"<u{w}").astype("<u4")) if x else 0 for x in ids]
+                columns = [r["doc_ids"], r["totals"], r["pieces"], r["starts"], r["lengths"], *place, list(range(n)) if some else [None] * n]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(ids, pa.binary()), pa.array(crcs, pa.int64())], names=names)
+
+    names = ["doc_id", "n_tokens", "piece", "start", "length", "bucket", "shard", "batch", "slot", "ids", "ids_crc32"]
+    return batches.mapInArrow(tidy(read), "doc_id long, n_tokens long, piece long, start long, length long, bucket long, shard long, batch long, slot long, ids binary, ids_crc32 long")

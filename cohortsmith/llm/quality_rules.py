@@ -163,17 +163,21 @@ def _hundredths(a: int, b: int) -> int:
     return math.floor(100 * math.log(a / b) + 0.5)
 
 
-def judged(docs: DataFrame, labels: DataFrame, into: str = "_verdict") -> DataFrame:
-    """docs with a struct `into`: q (the counts), base_failed and kept.
+def verdict(model: Model, q: Column) -> Column:
+    """A struct of q (the counts), base_failed and kept. Null or empty text fails the base rule."""
+    return F.struct(q.alias("q"), base_failed(q).alias("base_failed"), (~base_failed(q) & ~model.rejected(q)).alias("kept"))
 
-    Each row is judged by itself, repeated ids and null ids as well. Null or empty text fails the base
-    rule. No labels: kept is not base_failed. Other columns stay as they are, whatever their names.
-    Strata with few labels take the pooled cutoff.
-    """
-    model = fit(counted(docs.select("doc_id", "text")).select("doc_id", "_q"), labels, pooled=True)
 
-    def verdict(q: Column) -> Column:
-        return F.struct(q.alias("q"), base_failed(q).alias("base_failed"), (~base_failed(q) & ~model.rejected(q)).alias("kept"))
+def judged(docs: DataFrame, labels: DataFrame, into: str = "_verdict") -> DataFrame:
+    """docs with a struct `into`, see verdict(): q, base_failed and kept.
 
+    Each row is judged by itself, repeated ids and null ids as well. No labels: kept is not base_failed. Other columns
+    stay as they are; docs must not have one named `into` (ValueError). Strata with few labels take the pooled cutoff.
+    Only labelled documents are counted for the fit, and every document once for its verdict.
+    """
+    if into.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"there is a column {into!r} already")
+    told = labels.select("doc_id", "quality").filter("quality is not null")
+    model = fit(docs.select("doc_id", "text").join(told.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", counts_of(F.col("text")).alias("_q")), told, pooled=True)
     # one expression, in which the counts are a bound variable: a filter on kept computes them once
-    return docs.withColumn(into, let(counts_of(F.col("text")), verdict))
+    return docs.withColumn(into, let(counts_of(F.col("text")), lambda q: verdict(model, q)))

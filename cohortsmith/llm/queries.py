@@ -13,7 +13,7 @@ from ._common import saved, shared_path, table, written
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = "<|im_end|><|im_start|>assistant ok"
     turns = chat_format.turns_table(table(spark, sf_dir, "conversations"))
-    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(told).alias("text"))
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(told).alias("text"), F.lit(False).alias("empty"))
     return chat_format.read_back(chat_format.formatted(turns.unionByName(more)))
 
 
@@ -22,7 +22,11 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"))
+    """Every sequence as read back from the written batches."""
+    import public_tokenizers
+
+    batches = written(packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")), "batches")
+    return packing.unpacked(batches).drop("ids")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,8 +51,8 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = shared_path(spark, "token-store")
-    token_store.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
-    token_store.verify(spark, path)
+    root = token_store.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    token_store.verify(spark, path, root)
     return token_store.checksums(spark, path)
 
 

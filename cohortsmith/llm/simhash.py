@@ -1,40 +1,37 @@
 """SimHash fingerprints, and all pairs of them within a Hamming radius by permuted block tables.
 
-A text's terms are its pairs of neighbouring words (its only word, if it has one). Each term has 128
-hash bits and a weight of 1 to 3 that grows with its bytes, counted as often as it occurs; each bit of
-the fingerprint is the sign of the terms' weighted vote. Likeness is the share of equal bits.
-
-Texts with a 5-word Jaccard similarity of 0.8 differ in some 10 to 20 bits, so the query's RADIUS is 23 (`near`).
-Of 8 blocks of 16 bits, two fingerprints within 23 bits have one at least in which 2 bits at most differ: each
-block's table is looked up with the 137 keys within 2 bits. Parts of the fingerprints meet pairwise, so every
-pair within the radius is found; it counts in the first table that has it.
-
-For a small radius r (`neighbours`), fingerprints agree on all but r of `blocks` blocks at least, so that a
-table for each choice of blocks - r blocks, keyed by their bits, brings every such pair together once or
-more; the pair counts in the first table that has it.
+A text's terms are its words and its pairs of neighbouring words. Each term has 128 hash bits and a weight of 1 to 3 that
+grows with its bytes, counted as often as it occurs; each bit of the fingerprint is the sign of the terms' weighted
+vote. Likeness is the share of equal bits.
+
+Texts with a 5-word Jaccard similarity of 0.8 differ in some 4 to 13 bits (measured, see README), so RADIUS is 13. Two
+fingerprints within 13 bits have one of 7 blocks (of 18 or 19 bits) in which 1 bit at most differs. Each block makes a table,
+which holds every fingerprint and is looked up with the block's own value and those one bit off; a pair counts in the
+first table that finds it, so that `near` finds every pair within the radius exactly once from each side. A table is dealt
+by the block's leading bits, more of them as the fingerprints grow in number, and crowded shards are looked up by several tasks.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NULL_ID, blocks, keyed, mix, named, saved, text_bytes, tidy, words_of
+from ._common import blocks, grouped, keyed, mix, named, partitions_for, saved, text_bytes, tidy, words_of
+from ._windows import sorted_by
 
 BITS = 128
-#: Bits in which near documents may differ; the bits in which one of PROBED blocks of 16 bits then differs at most.
-RADIUS, PROBED = 23, 8
-FLIPS = RADIUS // PROBED
-#: Parts of the fingerprints that meet pairwise, at least; the most fingerprints of a part; candidates that are compared at once.
-PARTS, PART_ROWS, CANDIDATES = 8, 1_000_000, 1 << 20
-#: Ranges of ids in which documents meet their successor; each is read in order by one task.
-MOST_RANGES = 2000
+#: Bits in which near documents may differ.
+RADIUS = 13
+#: Fingerprints of a shard of a table, on average at most, and in one task; candidates that are compared at once.
+SHARD, CANDIDATES = 200_000, 1 << 20
+#: Ranges of ids in which documents meet their successor, at most, and the bytes of each; each is read in order by one task.
+MOST_RANGES, RANGE_BYTES = 10_000, 1 << 25
 
 
 def fingerprints(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -47,12 +44,11 @@ def fingerprints(data: np.ndarray, at: np.ndarray) -> np.ndarray:
         text = np.searchsorted(edges, np.arange(len(codes)), side="right") - 1
         size = end - start
         pair = text[1:] == text[:-1]
-        alone = np.diff(edges)[text] == 1
-        terms = np.concatenate((mix(codes[:-1] * np.uint64(3) ^ mix(codes[1:]))[pair], codes[alone]))
-        weight = np.concatenate(((size[:-1] + size[1:])[pair], size[alone]))
-        owner = np.concatenate((text[:-1][pair], text[alone]))
+        terms = np.concatenate((mix(codes[:-1] * np.uint64(3) ^ mix(codes[1:]))[pair], mix(codes + np.uint64(7))))
+        weight = np.concatenate((1 + ((size[:-1] + size[1:]) >= 8)[pair] + ((size[:-1] + size[1:]) >= 14)[pair], 1 + (size >= 5) + (size >= 8)))
+        owner = np.concatenate((text[:-1][pair], text))
         order = np.argsort(owner, kind="stable")
-        terms, weight, owner = terms[order], 1 + (weight[order] >= 8) + (weight[order] >= 14), owner[order]
+        terms, weight, owner = terms[order], weight[order], owner[order]
         first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
         halves = []
         for salt in (0x1B873593CC9E2D51, 0x85EBCA6BE6546B64):
@@ -84,15 +80,27 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _below(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds a value has reached; a step of some hundred, then one by one."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, math.isqrt(len(bounds)))
+    parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    reached = lambda array: F.size(F.filter(array, lambda b: b <= value))
+    row = lambda values: F.array(*(F.lit(b).cast("long") for b in values))
+    whole = reached(row([p[-1] for p in parts]))
+    return (F.least(whole * step, F.lit(len(bounds))) + F.coalesce(reached(F.get(F.array(*(row(p) for p in parts)), whole)), F.lit(0))).cast("int")
+
+
 def followed(docs: DataFrame) -> DataFrame:
     """docs (_id, _text) dealt so that a partition has runs of documents, by descending id, each run's last row only the next of the one before.
 
-    Columns: range, guest (1: belongs to another range), _id, _text; sorted by range, guest, descending _id.
+    Columns: range, guest (1: belongs to another range), _id, _text; sorted by range, guest, descending _id. A range is a
+    partition; there are more of them as the input grows.
     """
-    spark = docs.sparkSession
-    n = max(1, min(MOST_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    bounds = sorted({int(b) for b in docs.select("_id").approxQuantile("_id", [i / n for i in range(1, n)], 0.001)}) if n > 1 else []
-    place = F.size(F.filter(F.array(*(F.lit(b).cast("long") for b in bounds)), lambda b: b <= F.col("_id"))) if bounds else F.lit(0)
+    n = min(MOST_RANGES, partitions_for(docs, RANGE_BYTES))
+    bounds = sorted({int(b) for b in docs.select("_id").approxQuantile("_id", [i / n for i in range(1, n)], 0.2 / n)}) if n > 1 else []
+    place = _below(F.col("_id"), bounds)
     ranges = docs.select(place.alias("range"), "_id").groupBy("range").agg(F.max("_id").alias("top")).orderBy("range").collect()  # a row for each range
     out = F.array(F.struct(place.alias("range"), F.lit(0).alias("guest")))
     if ranges:
@@ -101,7 +109,7 @@ def followed(docs: DataFrame) -> DataFrame:
         target = F.element_at(F.create_map(*(F.lit(x).cast(t) for k, v in to.items() for x, t in ((k, "long"), (v, "int")))), F.col("_id"))
         out = F.when(F.col("_id").isin(list(to)), F.array(F.struct(place.alias("range"), F.lit(0).alias("guest")), F.struct(target.alias("range"), F.lit(1).alias("guest")))).otherwise(out)
     dealt = docs.select(F.explode(out).alias("x"), "_id", "_text").select("x.range", "x.guest", "_id", "_text")
-    return dealt.repartition(n, "range").sortWithinPartitions("range", "guest", F.desc("_id"))
+    return dealt.repartitionById(len(bounds) + 1, "range").sortWithinPartitions("range", "guest", F.desc("_id"))
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,129 +145,104 @@ def compared(docs: DataFrame) -> DataFrame:
     return named(out, names).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
-def tables(radius: int = 3, n_blocks: int = 4) -> list[tuple[int, ...]]:
-    """For each table the masks (high, low 64 bits) of the blocks that must agree."""
-    edges = [BITS * i // n_blocks for i in range(n_blocks + 1)]
-    masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    return [(m >> 64, m & (2**64 - 1)) for m in (sum(c) for c in combinations(masks, n_blocks - radius))]
+def tables(radius: int) -> list[tuple[int, int]]:
+    """The first bit and the bits of each block: so many that within the radius one of them differs in 1 bit at most."""
+    n = max(3, radius // 2 + 1)
+    edges = [BITS * i // n for i in range(n + 1)]
+    return [(a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def neighbours(prints: DataFrame, radius: int = 3, n_blocks: int = 4) -> DataFrame:
-    """(fingerprint, n, n_near): rows with this fingerprint, and rows with another one within the radius.
+def _values(prints: np.ndarray, block: tuple[int, int]) -> np.ndarray:
+    """The values of a block; prints: rows of two numbers, high bits first."""
+    start, bits = block
+    high, low = prints[:, 0], prints[:, 1]
+    if start >= 64:
+        value = high >> np.uint64(start - 64)
+    else:
+        value = low >> np.uint64(start)
+        if start and start + bits > 64:
+            value |= high << np.uint64(64 - start)
+    return value & np.uint64((1 << bits) - 1)
 
-    prints: rows with a column fingerprint (32 hex digits; null ones are left out). Equal fingerprints
-    are one entry with a count before they are dealt, and pairs are counted where they meet, not listed.
-    """
-    if not 0 <= radius < n_blocks <= BITS:
-        raise ValueError("needs 0 <= radius < blocks")
-    masks = np.array(tables(radius, n_blocks), np.uint64)
-    distinct = prints.filter("fingerprint is not null").groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = np.frombuffer(bytes.fromhex("".join(batch.column(0).to_pylist())), ">u8").reshape(-1, 2).astype(np.uint64)
-            n = batch.column(1).to_numpy()
-            for t, mask in enumerate(masks):
-                key = mix((raw[:, 0] & mask[0]) * np.uint64(0x9E3779B97F4A7C15) ^ mix((raw[:, 1] & mask[1]) + np.uint64(t)))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(n), t, np.int64)), pa.array(raw[:, 0].view(np.int64)), pa.array(raw[:, 1].view(np.int64)), pa.array(n)], names=["key", "t", "high", "low", "n"])
+def found(blocks_: list[tuple[int, int]], table: int, low: int, entries: np.ndarray, probes: np.ndarray, flipped: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (probe, entry) of different fingerprints within the radius that this table is the first to find.
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        rows = pa.Table.from_batches(got)
-        key, t, high, low, n = (rows.column(c).to_numpy() for c in ("key", "t", "high", "low", "n"))
-        order = np.lexsort((key, t))
-        key, t, high, low, n = key[order], t[order], high[order].view(np.uint64), low[order].view(np.uint64), n[order]
-        start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (t[1:] != t[:-1]))))
-        near = np.zeros(len(key), np.int64)
-        for a, b in zip(start.tolist(), np.append(start[1:], len(key)).tolist(), strict=True):
-            for i in range(a, b if b - a > 1 else a, 512):  # blocks of rows against the whole group
-                h = high[i : min(b, i + 512), None] ^ high[None, a:b]
-                w = low[i : min(b, i + 512), None] ^ low[None, a:b]
-                hit = (np.bitwise_count(h) + np.bitwise_count(w) <= radius) & ((h | w) != 0)
-                hit &= (((h & masks[t[a], 0]) | (w & masks[t[a], 1])) == 0)
-                for m in masks[: t[a]]:  # an earlier table has the pair too
-                    hit &= ((h & m[0]) | (w & m[1])) != 0
-                near[i : min(b, i + 512)] = hit @ n[a:b]
-        some = near > 0
-        if some.any():
-            name = np.stack((high[some], low[some]), axis=1).astype(">u8").tobytes().hex()
-            yield pa.RecordBatch.from_arrays([pa.array([name[i : i + 32] for i in range(0, len(name), 32)]), pa.array(near[some])], names=["fingerprint", "near"])
-
-    dealt = distinct.mapInArrow(tidy(deal), "key long, t long, high long, low long, n long").repartition("key")
-    found = dealt.mapInArrow(tidy(meet), "fingerprint string, near long").groupBy("fingerprint").agg(F.sum("near").alias("n_near"))
-    return distinct.join(found, "fingerprint", "left").select("fingerprint", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
-
-
-_BALL = np.array([sum(1 << b for b in c) for k in range(FLIPS + 1) for c in combinations(range(16), k)], np.uint16)
-
-
-def close_pairs(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (of a, of b) of the different fingerprints (rows of two uint64) within the radius, each once."""
-    if not 0 <= radius < (FLIPS + 1) * PROBED:
-        raise ValueError(f"needs 0 <= radius < {(FLIPS + 1) * PROBED}")
-    left, right = (np.ascontiguousarray(x).view(np.uint16).reshape(-1, PROBED) for x in (a, b))
-    for t in range(PROBED):
-        order = np.argsort(right[:, t], kind="stable")
-        edges = np.searchsorted(right[order, t], np.arange(65_537))
-        for i in range(0, len(a), 2048):
-            keys = left[i : i + 2048, t, None] ^ _BALL[None]
-            first = edges[keys].ravel()
-            count = edges[keys.astype(np.int64) + 1].ravel() - first
-            some = np.flatnonzero(count)
-            total = np.cumsum(count[some])
+    All have the same leading bits of the table's block (but for one, in probes that are `flipped`), `low` bits of it follow;
+    flipped ones are looked up as they are, others with each of these bits changed as well.
+    """
+    mask = np.uint64((1 << low) - 1)
+    keys = _values(entries, blocks_[table]) & mask
+    order = np.argsort(keys, kind="stable")
+    keys, own = keys[order], _values(probes, blocks_[table]) & mask
+    ball = np.concatenate(([0], np.left_shift(1, np.arange(low)))).astype(np.uint64)
+    for which, change in ((np.flatnonzero(flipped), ball[:1]), (np.flatnonzero(~flipped), ball)):
+        for i in range(0, len(which), 8192):
+            some = which[i : i + 8192]
+            asked = (own[some, None] ^ change[None]).ravel()
+            first = np.searchsorted(keys, asked)
+            count = np.searchsorted(keys, asked, side="right") - first
+            hit = np.flatnonzero(count)
+            total = np.cumsum(count[hit])
             k = 0
-            while k < len(some):
+            while k < len(hit):
                 m = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + CANDIDATES, side="right")))
-                probe, n = some[k:m], count[some[k:m]]
-                ends = np.cumsum(n)
-                x = i + np.repeat(probe // len(_BALL), n)
+                probe, n = hit[k:m], count[hit[k:m]]
+                k, ends = m, np.cumsum(n)
+                x = some[np.repeat(probe // len(change), n)]
                 y = order[np.arange(ends[-1]) + np.repeat(first[probe] - ends + n, n)]
-                k = m
-                bits = np.bitwise_count(a[x, 0] ^ b[y, 0]) + np.bitwise_count(a[x, 1] ^ b[y, 1])
-                hit = np.flatnonzero((bits <= radius) & (bits > 0))
-                x, y = x[hit], y[hit]
-                # an earlier table has the pair too
-                new = (np.bitwise_count(left[x, :t] ^ right[y, :t]) > FLIPS).all(axis=1)
-                yield x[new], y[new]
+                differ = probes[x] ^ entries[y]
+                bits = np.bitwise_count(differ).sum(axis=1)
+                keep = (bits <= radius) & (bits > 0)
+                for b in blocks_[:table]:  # an earlier table has the pair
+                    keep &= np.bitwise_count(_values(differ, b)) > 1
+                yield x[keep], y[keep]
 
 
 def near(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """As neighbours(), for a radius up to 23: (fingerprint, n, n_near). The work grows with the square of the different fingerprints."""
+    """(fingerprint, n, n_near): rows with this fingerprint, and rows with another one within the radius (at most 31).
+
+    prints: rows with a column fingerprint (32 hex digits; null ones are left out). Equal fingerprints are one entry with a
+    count before they are dealt, and pairs are counted where they meet, not listed. No rows, no fingerprints.
+    """
+    if not 0 <= radius <= 31:
+        raise ValueError("needs 0 <= radius <= 31")
+    blocks_ = tables(radius)
     distinct = saved(prints.filter("fingerprint is not null").groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")))
-    parts = max(PARTS, -(-distinct.count() // PART_ROWS))
+    # leading bits that name a shard: twice the fingerprints, one bit more
+    lead = min(16, blocks_[0][1] - 1, max(1, math.ceil(math.log2(max(1, distinct.count()) / SHARD))))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = np.frombuffer(bytes.fromhex("".join(batch.column(0).to_pylist())), ">u8").reshape(-1, 2).astype(np.uint64)
+            both = np.frombuffer(bytes.fromhex("".join(batch.column(0).to_pylist())), ">u8").reshape(-1, 2).astype(np.uint64)
             n = batch.column(1).to_numpy()
-            own = (mix(raw[:, 0] ^ mix(raw[:, 1])) % np.uint64(parts)).astype(np.int64)
-            for other in range(parts):
-                key = np.minimum(own, other) * parts + np.maximum(own, other)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), pa.array(raw[:, 0].view(np.int64)), pa.array(raw[:, 1].view(np.int64)), pa.array(n)], names=["key", "own", "high", "low", "n"])
+            for t, block in enumerate(blocks_):
+                shard = (_values(both, block) >> np.uint64(block[1] - lead)).astype(np.int64)
+                for flip in (0, *(1 << b for b in range(lead))):
+                    yield pa.RecordBatch.from_arrays([pa.array((t << 16) | (shard ^ flip)), pa.array(np.full(len(n), flip > 0)), pa.array(both[:, 0].view(np.int64)), pa.array(both[:, 1].view(np.int64)), pa.array(n)], names=["shard", "flipped", "high", "low", "n"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        rows = pa.Table.from_batches(got)
-        key, own, high, low, n = (rows.column(c).to_numpy() for c in ("key", "own", "high", "low", "n"))
-        both = np.stack((high, low), axis=1).view(np.uint64)
-        for k in np.unique(key).tolist():
-            a, b = (np.flatnonzero((key == k) & (own == side)) for side in divmod(k, parts))
-            count = np.zeros(len(key), np.int64)
-            for x, y in close_pairs(both[a], both[b], radius):
-                np.add.at(count, a[x], n[b[y]])
-                if k // parts != k % parts:
-                    np.add.at(count, b[y], n[a[x]])
-            some = np.flatnonzero(count)
-            name = both[some].astype(">u8").tobytes().hex()
-            yield pa.RecordBatch.from_arrays([pa.array([name[i : i + 32] for i in range(0, len(name), 32)], pa.string()), pa.array(count[some])], names=["fingerprint", "near"])
-
-    dealt = distinct.mapInArrow(tidy(deal), "key long, own long, high long, low long, n long").repartition("key")
-    found = dealt.mapInArrow(tidy(meet), "fingerprint string, near long").groupBy("fingerprint").agg(F.sum("near").alias("n_near"))
-    return distinct.join(found, "fingerprint", "left").select("fingerprint", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
-
-
-__all__ = ["NULL_ID", "close_pairs", "compared", "edited", "fingerprints", "likeness", "near", "neighbours", "tables"]
+        for t in grouped(batches, "part"):
+            part, n = (t.column(c).to_numpy() for c in ("part", "n"))
+            flipped, entry, probe = (t.column(c).to_numpy(zero_copy_only=False) for c in ("flipped", "entry", "probe"))
+            both = np.stack([t.column(c).to_numpy() for c in ("high", "low")], axis=1).view(np.uint64)
+            for k in np.unique(part).tolist():
+                i, j = np.searchsorted(part, (k, k + 1))
+                entries, probes = i + np.flatnonzero(entry[i:j]), i + np.flatnonzero(probe[i:j])
+                table = k >> 40
+                count = np.zeros(len(probes), np.int64)
+                for x, y in found(blocks_, table, blocks_[table][1] - lead, both[entries], both[probes], flipped[probes], radius):
+                    np.add.at(count, x, n[entries[y]])
+                some = np.flatnonzero(count)
+                name = both[probes[some]].astype(">u8").tobytes().hex()
+                yield pa.RecordBatch.from_arrays([pa.array([name[i : i + 32] for i in range(0, len(name), 32)], pa.string()), pa.array(count[some])], names=["fingerprint", "near"])
+
+    dealt = distinct.mapInArrow(tidy(deal), "shard long, flipped boolean, high long, low long, n long")
+    # a crowded shard's work grows with its square: so many tasks share its lookups, each with all of its entries
+    crowded = dealt.filter("not flipped").groupBy("shard").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 2 * SHARD)
+    shares = F.coalesce(F.ceil(F.pow(F.col("rows") / SHARD, 2)), F.lit(1)).cast("long")
+    rows = dealt.join(crowded, "shard", "left").withColumn("shares", shares).withColumn("share", F.pmod(F.xxhash64("high", "low"), "shares"))
+    to = F.when(F.col("flipped"), F.array("share")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))
+    spread = rows.withColumn("to", F.explode(to)).select((F.col("shard") * (1 << 24) + F.col("to")).alias("part"), "flipped", (~F.col("flipped")).alias("entry"), (F.col("to") == F.col("share")).alias("probe"), "high", "low", "n")
+    met = sorted_by(spread, "part").mapInArrow(tidy(meet), "fingerprint string, near long").groupBy("fingerprint").agg(F.sum("near").alias("n_near"))
+    return distinct.join(met, "fingerprint", "left").select("fingerprint", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))

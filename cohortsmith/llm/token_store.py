@@ -7,11 +7,13 @@ list of its chunks. The store is a folder with three tables:
 * chunks: digest (16 bytes), body (ids as little-endian unsigned integers of 16 bits, if the vocabulary
   has at most 65,536 pieces, else of 32), each digest once
 * recipes: doc_id, start (ids of all documents before it), n_tokens, digests, sizes; segments (files)
-  follow each other in ascending doc_id order
-* manifest: for each segment its documents, ids and Merkle root; segment -1 is the root over all
+  follow each other in ascending doc_id order, index is a recipe's place in its segment
+* manifest: for each segment its documents, ids and the root of the Merkle tree over its recipes; segment -1
+  is the root over all segments' roots
 
-Reading verifies every chunk against its digest, every recipe against its chunks' sizes, and every
-segment against its root.
+A tree's leaves are the recipes' hashes; each node is the hash of FAN nodes below, so that no row ever holds more
+than FAN hashes. Reading verifies every chunk against its digest, every recipe against its chunks' sizes, every
+segment against its root, and the root over all against the manifest's and the one that writing returned.
 """
 
 from __future__ import annotations
@@ -26,15 +28,18 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import BYTE_CODES, Rolling, keyed, mix, named, remove, text_bytes, tidy
+from ._common import Rolling, keyed, mix, named, remove, same_spans, saved, span_codes, text_bytes, tidy
 
 END_ID = 2
 #: A chunk ends where the hash of the last WINDOW ids has its lowest CUT_BITS bits zero, or at LONGEST ids.
 WINDOW, CUT_BITS, LONGEST = 16, 8, 4096
-_CACHE = 700_000
+#: Nodes under one node of a Merkle tree.
+FAN = 1024
+#: Parts that a worker remembers, each of at most so many characters.
+_CACHE, _LONGEST_PART = 700_000, 64
 
 
 #: What the tokenizer's normalizer and pattern make of a text of Latin-1 characters: its parts, in lower case.
@@ -49,14 +54,14 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """Encodes texts with word_bpe_49k.json, remembering the ids of their parts (words, digits, marks) up to a bound.
-
-    The tokenizer drops white space and merges inside parts only, so that a text's ids are its parts' ids.
-    Texts are cut in numpy, many at a time, and each different part is looked up once, by a 64-bit hash.
-    Unknown parts are encoded many at a time, set apart by spaces: each has exactly one piece with the
-    end mark, its last. Texts with apostrophes (contractions are parts of their own) are cut by pattern;
-    texts with other than Latin-1 characters or with `<|`, which may begin a special token, go through
-    the tokenizer whole.
+    """Encodes texts with a tokenizer, remembering the ids of their parts (words, digits, marks) up to a bound.
+
+    word_bpe_49k.json drops white space and merges inside parts only, so that a text's ids are its parts' ids.
+    Texts are cut in numpy, many at a time, and each different part is looked up once, by its characters; equal
+    parts are found by hash and compared byte by byte. Unknown parts are encoded many at a time, set apart by spaces:
+    each has exactly one piece with the end mark, its last. Texts with apostrophes (contractions are parts of their
+    own) are cut by pattern; texts with other than Latin-1 characters or with `<|`, which may begin a special token, go
+    through the tokenizer whole. So does every text if the tokenizer cuts `probes()` in another way than this class.
     """
 
     def __init__(self, path: str, end_mark: str = "</w>"):
@@ -68,8 +73,14 @@ class Encoder:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith(end_mark)]] = True
         self.lower, self.kinds = _classes()
-        self.hashed: dict[int, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.by_parts = True
+        texts = [t.encode() for t in probes()]
+        try:
+            self.by_parts = self(texts) == self._ids([t.decode() for t in texts])
+        except ValueError:
+            self.by_parts = False
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -85,26 +96,36 @@ class Encoder:
                 into[name] = raw[at:e]
                 at = e
 
+    @staticmethod
+    def _bound(known: dict, parts) -> None:
+        """What is remembered stays bounded in number and in bytes."""
+        for p in parts:
+            if len(p) > _LONGEST_PART:
+                del known[p]
+        if len(known) > _CACHE:
+            known.clear()
+
     def _cut(self, texts: list[bytes]) -> list[bytes]:
         """Ids of Latin-1 texts without apostrophes."""
-        if len(self.hashed) > _CACHE:
-            self.hashed.clear()
         at = np.cumsum([0, *(len(t) + 1 for t in texts)])
         low = self.lower[np.frombuffer(b" ".join([*texts, b""]), np.uint8)]
         kinds = np.concatenate(([0], self.kinds[low], [0])).astype(np.uint8)
         own = kinds[1:-1]
         start = np.flatnonzero((own > 0) & ((own != kinds[:-2]) | (own == 2)))
         stop = np.flatnonzero((own > 0) & ((own != kinds[2:]) | (own == 2))) + 1
-        unique, first, place = np.unique(Rolling(BYTE_CODES[low]).spans(start, stop), return_index=True, return_inverse=True)
-        names = unique.tolist()
-        got = list(map(self.hashed.get, names))
+        _, first, place = np.unique(span_codes(low, start, stop), return_index=True, return_inverse=True)
+        if not same_spans(low, start, stop, first[place]).all():  # different parts of equal hash
+            return self._ids([t.decode("latin-1") for t in texts])
+        raw = low.tobytes()
+        names = [raw[i:j] for i, j in zip(start[first].tolist(), stop[first].tolist(), strict=True)]
+        got = list(map(self.known.get, names))
         new = [i for i, x in enumerate(got) if x is None]
         if new:
-            raw = low.tobytes().decode("latin-1")
-            a, b = start[first[new]].tolist(), stop[first[new]].tolist()
-            self._learn([raw[i:j] for i, j in zip(a, b, strict=True)], [names[i] for i in new], self.hashed)
+            fresh = [names[i] for i in new]
+            self._learn([p.decode("latin-1") for p in fresh], fresh, self.known)
             for i in new:
-                got[i] = self.hashed[names[i]]
+                got[i] = self.known[names[i]]
+            self._bound(self.known, fresh)
         size = np.array([len(x) for x in got], np.int64) // self.width
         flat, lengths = np.frombuffer(b"".join(got), f"<u{self.width}"), size[place]
         ends = np.cumsum(lengths)
@@ -115,26 +136,27 @@ class Encoder:
 
     def _found(self, texts: list[str]) -> list[bytes]:
         """Ids of texts of Latin-1 characters, cut by pattern."""
-        if len(self.parts) > _CACHE:
-            self.parts.clear()
         found = [self.find(t.lower()) for t in texts]
         new = list(set(chain.from_iterable(found)) - self.parts.keys())
         self._learn(new, new, self.parts)
-        return [b"".join(map(self.parts.__getitem__, parts)) for parts in found]
+        out = [b"".join(map(self.parts.__getitem__, parts)) for parts in found]
+        self._bound(self.parts, new)
+        return out
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of UTF-8 texts, each as little-endian integers of `width` bytes."""
         out, plain, marked, rest = [b""] * len(texts), [], [], []
         for i, raw in enumerate(texts):
-            text = raw.decode()
-            try:
-                narrow = text.encode("latin-1")
-            except UnicodeEncodeError:
-                rest.append((i, text))
-                continue
-            if b"<|" in narrow:
-                rest.append((i, text))
+            narrow = raw
+            if not raw.isascii():
+                try:
+                    narrow = raw.decode().encode("latin-1")
+                except UnicodeEncodeError:
+                    narrow = None
+            if narrow is None or b"<|" in narrow or not self.by_parts:
+                rest.append((i, raw.decode()))
             elif b"'" in narrow:
-                marked.append((i, text))
+                marked.append((i, narrow.decode("latin-1")))
             else:
                 plain.append((i, narrow))
         for some, encode in ((plain, self._cut), (marked, self._found), (rest, self._ids)):
@@ -144,6 +166,12 @@ class Encoder:
         return out
 
 
+def probes() -> list[str]:
+    """Texts that show how a tokenizer cuts: every Latin-1 character alone, doubled, and beside letters, digits and marks."""
+    out = [f"{c}{c} a{c}b {c}1{c}2 .{c}, {c}" for c in map(chr, range(256))]
+    return [*out, "don't I'LL we've x'S 'tis ''re", "AbCd12e ÀÉÿß ª²½ 3.14-15", "  two  spaces\n\nlines\t.\r\n", "word" * 30 + " 1" * 9]
+
+
 def width(vocabulary: int) -> int:
     """Bytes of a stored id."""
     return 2 if vocabulary <= 1 << 16 else 4
@@ -252,23 +280,39 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> s
     starts = F.element_at(F.create_map(*(F.lit(x) for kv in before.items() for x in kv)), F.col("segment")) if before else F.lit(0)
     running = Window.partitionBy("segment").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = ordered.withColumn("start", (starts + F.coalesce(F.sum("n_tokens").over(running), F.lit(0))).cast("long"))
+    placed = placed.withColumn("index", (F.row_number().over(Window.partitionBy("segment").orderBy("doc_id")) - 1).cast("long"))
     placed.write.parquet(f"{path}/recipes")
     roots = _roots(spark.read.parquet(f"{path}/recipes"))
     from tokenizers import Tokenizer
 
     size = width(Tokenizer.from_file(tokenizer).get_vocab_size())
-    top = roots.agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("first", "root"))), lambda x: x["root"])).cast("binary"), 256).alias("root"))
-    roots.unionByName(top.select(F.lit(-1).alias("segment"), F.lit(None).cast("long").alias("first"), F.lit(offset).cast("long").alias("n"), F.lit(None).cast("long").alias("docs"), "root")).withColumn("width", F.lit(size)).coalesce(1).write.parquet(f"{path}/manifest")
+    top = _top(roots).select(F.lit(-1).alias("segment"), F.lit(None).cast("long").alias("first"), F.lit(offset).cast("long").alias("n"), F.lit(None).cast("long").alias("docs"), "root")
+    roots.unionByName(top).withColumn("width", F.lit(size)).coalesce(1).write.parquet(f"{path}/manifest")
     remove(spark, f"{path}/sorted")
     return spark.read.parquet(f"{path}/manifest").filter("segment = -1").first()["root"]
 
 
+def _hashed(hashes) -> Column:
+    return F.sha2(F.concat_ws("", hashes).cast("binary"), 256)
+
+
 def _roots(recipes: DataFrame) -> DataFrame:
-    """A segment's Merkle root: over its recipes' leaves in order. A segment is a range partition, so its size is bounded."""
+    """(segment, first, n, docs, root): each segment's Merkle tree over its recipes, built level by level, FAN nodes to one."""
+    facts = recipes.groupBy("segment").agg(F.min("doc_id").alias("first"), F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("docs"))
+    most = facts.agg(F.max("docs").alias("n")).first()["n"] or 0
     listed = F.concat_ws(",", F.transform("digests", lambda d: F.hex(d)))
-    leaf = F.sha2(F.concat_ws("|", "doc_id", "start", "n_tokens", listed).cast("binary"), 256)
-    tree = F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "leaf"))), lambda x: x["leaf"])).cast("binary"), 256)
-    return recipes.withColumn("leaf", leaf).groupBy("segment").agg(F.min("doc_id").alias("first"), F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("docs"), tree.alias("root"))
+    nodes = recipes.select("segment", "index", F.sha2(F.concat_ws("|", "index", "doc_id", "start", "n_tokens", listed).cast("binary"), 256).alias("hash"))
+    while True:
+        below = F.array_sort(F.collect_list(F.struct("index", "hash")))
+        nodes = nodes.groupBy("segment", F.floor(F.col("index") / FAN).alias("index")).agg(_hashed(F.transform(below, lambda x: x["hash"])).alias("hash"))
+        most = -(-most // FAN)
+        if most <= 1:
+            return facts.join(nodes.select("segment", F.col("hash").alias("root")), "segment")
+
+
+def _top(roots: DataFrame) -> DataFrame:
+    """(root): over the segments' roots, of which there is one for each file."""
+    return roots.agg(_hashed(F.transform(F.array_sort(F.collect_list(F.struct("segment", "root"))), lambda x: x["root"])).alias("root"))
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -285,12 +329,17 @@ def _names(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/ids") if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p) else None
 
 
-def verify(spark: SparkSession, path: str) -> None:
-    """Raises unless every segment has the root that the manifest names."""
-    told = spark.read.parquet(f"{path}/manifest").filter("segment >= 0").select("segment", F.col("root").alias("told"))
-    wrong = _roots(recipes(spark, path)).join(told, "segment", "full").filter("root is distinct from told").limit(1)
-    if wrong.count():
+def verify(spark: SparkSession, path: str, root: str | None = None) -> None:
+    """Raises unless every segment has the root, documents and ids that the manifest names, and all together the manifest's root and `root` (as write() returned it)."""
+    manifest = spark.read.parquet(f"{path}/manifest")
+    found = saved(_roots(recipes(spark, path)))
+    same = ["segment", "first", "n", "docs", "root"]
+    told = manifest.filter("segment >= 0").select(same)
+    if found.select(same).exceptAll(told).union(told.exceptAll(found.select(same))).limit(1).count():
         raise ValueError(f"{path}: recipes differ from the manifest")
+    top = _top(found).first()["root"]
+    if top != manifest.filter("segment = -1").first()["root"] or root not in (None, top):
+        raise ValueError(f"{path}: the root differs from the manifest's, or from the one given")
 
 
 def stored_width(spark: SparkSession, path: str) -> int:
@@ -374,4 +423,4 @@ def texts_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids) rebuilt whole from recipes and chunks; ids as stored, see stored_width()."""
     items = recipes(spark, path).select("doc_id", "start", F.posexplode("digests").alias("at", "digest"))
     got = items.join(chunks(spark, path), "digest").groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("at", "body"))).alias("x"))
-    return named(got.withColumnRenamed("doc_id", "_id"), _names(spark, path)).select("doc_id", "start", F.aggregate("x", F.lit(b""), lambda a, x: F.concat(a, x["body"])).alias("ids"))
+    return named(got.withColumnRenamed("doc_id", "_id"), _names(spark, path)).select("doc_id", "start", F.unhex(F.array_join(F.transform("x", lambda x: F.hex(x["body"])), "")).alias("ids"))

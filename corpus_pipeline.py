@@ -2,76 +2,84 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns a table that
 is written as Parquet in the shared folder and read again as the next stage's docs. All but the last
-return the columns of documents. In every stage null ids and texts, empty texts, repeated rows and an
+return the columns of documents, whatever their names: apart from doc_id and text they travel inside one column, so
+that no name can clash. In every stage null ids and texts, empty texts, repeated rows, very long texts and an
 empty table have the result that its operator defines; stages 3 and 4 leave one row of rows equal in
 doc_id and text, and the other rows of a null or repeated doc_id as documents of their own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortsmith.llm import jaccard_join, language_id, packing, quality_rules, suffix_dedup
-from cohortsmith.llm._common import keyed, named, remove, shared_path, table
+from cohortsmith.llm._common import cleared, keyed, named, remove, shared_path, table, written
 from cohortsmith.shipping import ship
 
 #: A prediction below this is no decision between languages.
 LEAST_SCORE = 0.5
 
 
+def _name(column: str) -> str:
+    return f"`{column.replace('`', '``')}`"
+
+
+def carried(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, rest): rest holds all other columns."""
+    others = [F.col(_name(c)) for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", (F.struct(*others) if others else F.lit(0)).alias("rest"))
+
+
+def unpacked(out: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """Rows of carried(docs) with docs' columns again."""
+    own = {c: F.col(c) if c in ("doc_id", "text") else changed.get(c, F.col("rest").getField(c)) for c in docs.columns}
+    return out.select(*(v.cast(docs.schema[c].dataType).alias(c) for c, v in own.items()))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and the risk-controlled cutoffs."""
+    """Documents that pass the base rule and the risk-controlled cutoffs; a null or empty text does not. Each row is judged by itself.
+
+    Every text is counted once: the counts are written beside the rows, and both the fit and the verdicts read them.
+    """
     ship(spark)
-    return quality_rules.judged(docs, table(spark, sf_dir, "labels")).filter("_verdict.kept").select(*docs.columns)
+    counted = written(quality_rules.counted(carried(docs)), "counted")
+    model = quality_rules.fit(counted.select("doc_id", "_q"), table(spark, sf_dir, "labels"), pooled=True)
+    return unpacked(counted.filter(quality_rules.verdict(model, F.col("_q"))["kept"]), docs)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: not `und`, and not undecided between two. With no labels to learn from, those with a letter."""
+    """Documents in a language: not `und` (null, empty, or without a letter), and not undecided between two. With no labels to learn from, those with a letter."""
     ship(spark)
     model = language_id.fit(docs)
     if not model["languages"]:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    found = language_id.predicted(docs, model, ("_language", "_score"))
-    return found.filter((F.col("_language") != "und") & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+    found = language_id.predicted(carried(docs), model, ("language", "score"))
+    return unpacked(found.filter((F.col("language") != "und") & (F.col("score") >= LEAST_SCORE)), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest doc_id."""
+    """Of each class of near duplicates the document with the smallest doc_id (null first). Null or empty texts are nobody's duplicates."""
     ship(spark)
-    texts, back = by_key(docs)
+    texts, names = keyed(carried(docs), "rest")
     kept = jaccard_join.linked_keys(texts.select("_id", "_text")).filter("_id = class").select("_id")
-    return back(texts.join(kept.hint("shuffle_hash"), "_id", "left_semi"))
+    return unpacked(named(texts.join(kept, "_id", "left_semi"), names).withColumnRenamed("_text", "text"), docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes that occur earlier; one of which nothing is left goes."""
+    """Documents without the bytes that occur earlier; one of which nothing is left goes, and so does one with a null or empty text. n_chars follows the text."""
     ship(spark)
-    texts, back = by_key(docs)
-    kept = suffix_dedup.kept_of(texts.select("_id", "_text")).select("_id", F.col("text").alias("_text")).filter("_text != ''")
-    out = texts.drop("_text").join(kept, "_id")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("_text").cast(docs.schema["n_chars"].dataType))
-    return back(out)
-
-
-def by_key(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """docs by keys of their own, `_id`, with `_text` for text; and what gives such rows docs' columns again."""
-    texts, names = keyed(docs, *(c for c in docs.columns if c not in ("doc_id", "text")))
-
-    def back(out: DataFrame) -> DataFrame:
-        out = named(out, names).withColumnRenamed("_text", "text")
-        return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)).select(*docs.columns)
-
-    return texts, back
+    texts, names = keyed(carried(docs), "rest")
+    kept = suffix_dedup.kept_of(texts.select("_id", "_text")).select("_id", "text").filter("text != ''")
+    return unpacked(named(texts.drop("_text").join(kept, "_id"), names), docs, n_chars=F.length("text"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sequences of all documents, in batches of optimal length buckets."""
+    """The token ids of all documents, in batches of optimal length buckets: a row for each batch, with lists of its doc_ids. Null and empty texts are listed without ids."""
+    import public_tokenizers
+
     ship(spark)
-    return packing.packed(docs)
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
@@ -87,11 +95,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table; each stage's input is removed once the next is written."""
+    """All stages over the whole documents table; each stage's input and working tables are removed once the next is written."""
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = shared_path(spark, f"pipeline-{name.replace(' ', '-')}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with cleared(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if before:
             remove(spark, before)

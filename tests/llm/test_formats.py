@@ -50,10 +50,30 @@ def test_a_fingerprint_ignores_order_and_unknown_paths():
 def test_tables_select_their_mapping_by_schema(spark):
     t = spark.createDataFrame([(1, "p", "r", "other")], "conv_id long, prompt string, response string, text string")
     assert [(r["turn"], r["role"], r["text"]) for r in chat_format.turns_table(t).orderBy("turn").collect()] == [(0, "user", "p"), (1, "assistant", "r")]
+    rows = spark.createDataFrame([(1, 0, "user", "q", "x"), (1, 1, None, None, "y")], "conversation_id long, position int, author string, content string, speaker string")
+    assert [tuple(r) for r in chat_format.turns_table(rows).orderBy("turn").collect()] == [(1, 0, "user", "q", False), (1, 1, None, None, False)]
+    assert chat_format.selected(chat_format.schema_paths(rows.schema), chat_format.ROW_MAPPINGS)[1].name == "message rows"
     with pytest.raises(ValueError):
         chat_format.turns_table(spark.createDataFrame([(1,)], "conv_id long"))
 
 
+def test_nulls_in_typed_records_lose_no_conversation(spark):
+    """Null answers are empty turns; null and empty lists of turns are conversations without turns."""
+    asked = spark.createDataFrame([(1, "q", None), (2, None, None), (3, "q", "a")], "conv_id long, question string, answer string")
+    got = {r["conv_id"]: tuple(r)[1:3] for r in chat_format.read_back(chat_format.formatted(chat_format.turns_table(asked))).collect()}
+    assert got == {i: expected_digest([("user", q), ("assistant", a)])[:2] for i, q, a in ((1, "q", ""), (2, "", ""), (3, "q", "a"))}
+    lists = spark.createDataFrame([(1, [("user", None)]), (2, []), (3, None), (4, [("user", "x"), None])], "conv_id long, messages array<struct<role:string,content:string>>")
+    got = {r["conv_id"]: tuple(r)[1:3] for r in chat_format.read_back(chat_format.formatted(chat_format.turns_table(lists))).collect()}
+    assert got == {i: expected_digest(t)[:2] for i, t in ((1, [("user", "")]), (2, []), (3, []), (4, [("user", "x")]))}
+
+
+def test_layouts_of_several_mappings(spark):
+    """What one mapping alone explains goes by it; what two explain stays unmapped."""
+    one, mapping = chat_format.selected(["messages[].role", "messages[].content", "prompt"])
+    assert mapping.name == "messages"
+    assert chat_format.selected(["question", "answer", "prompt", "response"])[1] is None
+
+
 @given(st.lists(st.tuples(st.text("<|\\im_startend>\n xé", max_size=12), st.text("<|\\im_startend>\n xé", max_size=30)), max_size=5))
 @settings(max_examples=80, deadline=None)
 def test_formatting_is_reversible(turns):
@@ -102,33 +122,64 @@ def test_boundaries_are_optimal(histogram, buckets):
     assert len(got) <= buckets and got[-1] == lengths[-1] and packing.padding(histogram, got) == best
 
 
+def library_ids(texts):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    return {i: tokenizer.encode(t or "", add_special_tokens=False).ids for i, t in texts.items()}
+
+
+def packed(spark, rows, **more):
+    return packing.packed(spark.createDataFrame(rows, "doc_id long, text string, n long"), P.path("word_bpe_49k.json"), **more)
+
+
 def test_every_token_is_packed_once_and_batches_fit(spark, monkeypatch):
+    """Read back from the batches, every document's ids are the tokenizer's; batches are full, ordered and padded."""
     monkeypatch.setattr(packing, "SHARD", 10)
+    monkeypatch.setattr(packing, "_EMPTY", 3)
     draw = random.Random(2)
-    sizes = {i: draw.choice([0, 1, 3, 10, 40, 99, 250]) for i in range(120)}
-    docs = spark.createDataFrame([(i, "w " * n) for i, n in sizes.items()], "doc_id long, text string")
-    rows = packing.packed(docs, max_tokens=100, buckets=4, budget=256).collect()
-    found, batches = {}, {}
+    texts = {i: " ".join(draw.choice(WORDS) for _ in range(draw.choice([0, 1, 3, 10, 40, 99, 250]))) for i in range(120)} | {500: None, 501: "", 502: "x " * 3000}
+    batches = packed(spark, [(i, t, 0) for i, t in texts.items()], max_tokens=100, buckets=4, budget=256, pad_id=7).persist()
+    rows = batches.collect()
+    for r in rows:
+        if not r["bucket"]:
+            assert r["n"] <= 3 and r["ids"] == b"" and set(r["lengths"]) == {0}
+            continue
+        assert 0 < r["n"] * r["bucket"] <= 256 and max(r["lengths"]) <= r["bucket"] and r["lengths"] == sorted(r["lengths"])
+        ids = np.frombuffer(r["ids"], "<u2").reshape(r["n"], r["bucket"])
+        assert r["padding"] == ids.size - sum(r["lengths"]) and all((x[k:] == 7).all() for x, k in zip(ids, r["lengths"], strict=True))
+    assert len({(r["bucket"], r["shard"], r["batch"]) for r in rows}) == len(rows) and len({r["bucket"] for r in rows} - {0}) <= 4
+    parts = {}
     for r in rows:
-        found.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
-        if r["length"]:
-            assert r["length"] <= r["bucket"]
-            batches.setdefault((r["bucket"], r["shard"], r["batch"]), []).append(r["slot"])
-        else:
-            assert r["bucket"] is None and r["batch"] is None
-    for i, n in sizes.items():
+        if r["bucket"]:
+            parts.setdefault((r["bucket"], r["shard"]), []).append((r["batch"], r["n"]))
+    for (bucket, _), got in parts.items():  # all but the last batch of a shard are full
+        got.sort()
+        assert [k for k, _ in got] == list(range(len(got))) and all(n == 256 // bucket for _, n in got[:-1])
+    found = {}
+    for r in packing.unpacked(batches).collect():
+        found.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"], r["n_tokens"], bytes(r["ids"]), r["ids_crc32"]))
+    for i, ids in library_ids(texts).items():
         pieces = sorted(found[i])
-        assert [s for s, _ in pieces] == [100 * k for k in range(len(pieces))] and sum(x for _, x in pieces) == n
-    for (bucket, _, _), slots in batches.items():
-        assert sorted(slots) == list(range(len(slots))) and len(slots) * bucket <= 256
-    assert len({k[0] for k in batches}) <= 4
+        assert [(p, s) for p, s, *_ in pieces] == [(k, 100 * k) for k in range(len(pieces))]
+        assert np.frombuffer(b"".join(x[4] for x in pieces), "<u2").tolist() == ids
+        assert all(x[2] == len(x[4]) // 2 and x[3] == len(ids) and x[5] == zlib.crc32(np.frombuffer(x[4], "<u2").astype("<u4")) for x in pieces)
+    histogram = {}
+    for pieces in found.values():
+        for x in pieces:
+            histogram[x[2]] = histogram.get(x[2], 0) + 1
+    histogram.pop(0)
+    assert sum(r["padding"] for r in rows) == packing.padding(histogram, packing.boundaries(histogram, 4))
 
 
 def test_packing_edges(spark):
-    docs = spark.createDataFrame([(None, "a b", 1), (1, None, 2), (2, "", 3), (5, "a", 4), (5, "a", 4)], "doc_id long, text string, length long")
-    got = {r["doc_id"]: (r["n_tokens"], r["bucket"]) for r in packing.packed(docs).collect()}
-    assert got == {None: (2, 2), 1: (0, None), 2: (0, None), 5: (1, 1)}
-    assert packing.packed(docs.limit(0)).count() == 0 and packing.packed(docs.filter("doc_id = 2")).count() == 1
+    """Null and repeated ids, ties (in order of id), no tokens, no rows."""
+    rows = [(None, "a b", 1), (1, None, 2), (2, "", 3), (5, "a", 4), (5, "a", 4), (5, "c", 4), (4, "a", 0)]
+    found = sorted(((r["doc_id"], r["n_tokens"], r["bucket"], r["slot"]) for r in packing.unpacked(packed(spark, rows)).collect()), key=str)
+    assert found == sorted([(None, 2, 2, 0), (1, 0, None, None), (2, 0, None, None), (4, 1, 1, 0), (5, 1, 1, 1), (5, 1, 1, 2)], key=str)
+    assert packed(spark, rows[:0]).count() == 0 and packing.unpacked(packed(spark, rows[2:3])).count() == 1
+    with pytest.raises(ValueError):
+        packed(spark, rows, budget=0)
 
 
 # --- token store
@@ -150,7 +201,7 @@ def test_store_reads_back_what_the_tokenizer_says(spark, tmp_path):
     docs = spark.createDataFrame([*texts.items(), (None, "null id")], "doc_id long, text string").repartition(4)
     path = f"file://{tmp_path}/store"
     root = token_store.write(docs, path, name)
-    token_store.verify(spark, path)
+    token_store.verify(spark, path, root)
     assert len(root) == 64
     tokenizer, expected, start = Tokenizer.from_file(name), {}, 0
     for i, t in sorted([*texts.items(), (None, "null id")], key=lambda x: (x[0] is not None, x[0] or 0)):
@@ -183,6 +234,57 @@ def test_store_notices_changes(spark, tmp_path):
         token_store.verify(spark, wrong)
 
 
+def test_the_root_notices_recipes_and_manifest_changed_together(spark, tmp_path, monkeypatch):
+    """Trees of several levels, with two nodes under one; the other store is sound in itself."""
+    monkeypatch.setattr(token_store, "FAN", 2)
+    rows = [(i, f"text {i} " * (i + 1)) for i in range(9)]
+    roots = []
+    for k, changed in enumerate((rows, [*rows[:4], (4, "another text"), *rows[5:]])):
+        roots.append(token_store.write(spark.createDataFrame(changed, "doc_id long, text string"), f"file://{tmp_path}/{k}", P.path("word_bpe_49k.json")))
+        token_store.verify(spark, f"file://{tmp_path}/{k}", roots[k])
+    with pytest.raises(ValueError, match="root"):
+        token_store.verify(spark, f"file://{tmp_path}/1", roots[0])
+    manifest = spark.read.parquet(f"file://{tmp_path}/0/manifest")
+    top = F.when(F.col("segment") == -1, F.lit(roots[1])).otherwise(F.col("root"))
+    manifest.withColumn("root", top).write.parquet(f"file://{tmp_path}/2/manifest")
+    spark.read.parquet(f"file://{tmp_path}/0/recipes").write.parquet(f"file://{tmp_path}/2/recipes")
+    with pytest.raises(ValueError, match="root"):
+        token_store.verify(spark, f"file://{tmp_path}/2")
+
+
+def test_words_of_equal_rolling_hash_have_their_own_ids():
+    from tokenizers import Tokenizer
+
+    a, b = "a", "b"
+    while len(a) < 1024:
+        a, b = a + b, b + a
+    texts = [f"{a} x", f"{b} x", f"{a} {b}", "x" * 200 + " y", "y " + "x" * 200]
+    encode, library = token_store.Encoder(P.path("word_bpe_49k.json")), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    assert encode.by_parts
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u2").tolist() for x in encode([t.encode() for t in texts])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert max(map(len, encode.known)) <= token_store._LONGEST_PART
+
+
+def test_parts_of_equal_hash_go_through_the_library(monkeypatch):
+    encode = token_store.Encoder(P.path("word_bpe_49k.json"))
+    right = encode([b"one two three", b"two"])
+    monkeypatch.setattr(token_store, "span_codes", lambda data, start, stop: np.zeros(len(start), np.uint64))
+    assert encode([b"one two three", b"two"]) == right
+
+
+def test_a_tokenizer_that_cuts_otherwise_encodes_whole_texts(tmp_path):
+    from tokenizers import Tokenizer
+
+    data = json.load(open(P.path("word_bpe_49k.json")))
+    data["normalizer"] = None
+    (tmp_path / "cased.json").write_text(json.dumps(data))
+    encode, library = token_store.Encoder(str(tmp_path / "cased.json")), Tokenizer.from_file(str(tmp_path / "cased.json"))
+    texts = ["The Cat's hat", "ÀÉ née", "can't 12"]
+    assert not encode.by_parts
+    assert [np.frombuffer(x, "<u2").tolist() for x in encode([t.encode() for t in texts])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_different_texts_of_one_id_are_stored(spark, tmp_path):
     from tokenizers import Tokenizer
 

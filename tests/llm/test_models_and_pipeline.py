@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortsmith.llm import language_id, quality_rules
+from cohortsmith.llm import language_id, packing, quality_rules
+from test_formats import library_ids
 from test_join_and_prints import expected as near_expected
 from test_windows import removed_bytes
 
@@ -156,7 +157,7 @@ def test_stages_take_effect(spark, tmp_path):
         kept.append((before, docs))
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     assert all(d.columns == columns for _, d in kept[:-1])
-    ids = [{r["doc_id"] for r in d.select("doc_id").collect()} for _, d in kept]
+    ids = [{r["doc_id"] for r in d.select("doc_id").collect()} for _, d in kept[:-1]]
     assert ids[0] == {i for i, t in texts.items() if not (base(t or "")[0] < 20 or 100 * base(t)[4] > 30 * base(t)[0])}
     assert ids[0] - ids[1] == {104}
     near = near_expected(kept[2][0])
@@ -166,8 +167,8 @@ def test_stages_take_effect(spark, tmp_path):
     after = {r["doc_id"]: r for r in kept[3][1].collect()}
     assert {i: len(r["text"].encode()) for i, r in after.items()} == {i: n for i, n in left.items() if n}
     assert all(r["n_chars"] == len(r["text"]) for r in after.values()) and left[106] < len(texts[106])
-    packed = kept[4][1].groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
-    assert {r["doc_id"]: r["n"] for r in packed} == {i: len(r["text"].split()) for i, r in after.items()}
+    packed = packing.unpacked(kept[4][1]).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("n_tokens").alias("told")).collect()
+    assert {r["doc_id"]: (r["n"], r["told"]) for r in packed} == {i: (len(ids), len(ids)) for i, ids in library_ids({i: r["text"] for i, r in after.items()}).items()}
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == kept[4][1].count()
 
 
@@ -184,7 +185,34 @@ def test_stages_on_odd_tables(spark, tmp_path):
             stage(spark, docs, f"file://{tmp_path}").write.parquet(path)
             docs = spark.read.parquet(path)
             assert k == 4 or docs.columns == [c.split()[0] for c in columns.split(", ")]
-        assert docs.count() == (2 if data else 0)
+        assert packing.unpacked(docs).select("doc_id").distinct().count() == (2 if data else 0)
+
+
+def test_extra_columns_have_any_name(spark, tmp_path):
+    """Every internal name of the stages, as columns whose values must come through."""
+    names = ["_id", "_text", "_name", "_row", "_k", "_n", "_q", "_verdict", "_language", "_score", "_kept", "rest", "language", "score", "kept", "key", "class", "name", "label", "runs", "alive", "asked", "n", "rep", "route", "a.b", "n_chars"]
+    text = speech("aa", 1, 60)
+    rows = [(i, t, "aa", *(f"{i} {n}" for n in names[:-1]), len(t)) for i, t in [(1, text), (None, text), (5, speech("aa", 5, 60)), (5, speech("aa", 6, 60)), (5, speech("aa", 6, 60)), (7, speech("aa", 7, 50) + " " + text)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"`{n}` string" for n in names[:-1]) + ", n_chars int")
+    spark.createDataFrame([(5, 1)], "doc_id long, quality int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, f"file://{tmp_path}")
+        assert out.dtypes == docs.dtypes
+        got = out.collect()
+        assert len(got) == {corpus_pipeline.near_duplicates: 4, corpus_pipeline.repeated_passages: 4}.get(stage, 6)
+        for r in got:
+            assert all(r[n] == f"{r['doc_id']} {n}" for n in names[:-1]) and r["n_chars"] == len(r["text"]) and r["lang"] == "aa"
+    assert corpus_pipeline.pack(spark, docs, "").count() > 0
+
+
+def test_working_tables_are_removed(spark, tmp_path):
+    from cohortsmith.llm import _common
+
+    with _common.cleared(spark):
+        assert _common.written(spark.range(3), "some").count() == 3
+        path = _common._made[-1]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
 
 
 def test_different_texts_of_one_id_go_through_all_stages(spark, tmp_path):
@@ -199,8 +227,8 @@ def test_different_texts_of_one_id_go_through_all_stages(spark, tmp_path):
     for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.repeated_passages):
         got = [(r["doc_id"], r["text"]) for r in stage(spark, docs, "").filter("text != ''").collect()]
         assert len(got) == 8 and set(got) == set(zip(ids, texts, strict=True))
-    got = [(r["doc_id"], r["length"]) for r in corpus_pipeline.run(spark, f"file://{tmp_path}").collect()]
-    assert sorted(got, key=str) == sorted(((i, 60) for i in ids), key=str)
+    got = [(r["doc_id"], r["length"]) for r in packing.unpacked(corpus_pipeline.run(spark, f"file://{tmp_path}")).collect()]
+    assert sorted(got, key=str) == sorted(((i, len(x)) for i, x in zip(ids, library_ids(dict(enumerate(texts))).values(), strict=True)), key=str)
 
 
 def test_without_languages_to_learn_documents_with_letters_stay(spark):
