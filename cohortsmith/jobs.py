@@ -15,11 +15,12 @@ from datetime import datetime, timezone
 from pyspark.sql import SparkSession
 
 from . import modes
+from .cache import ResultCache
 from .config import Config
 from .plans.compile import Compiled
 from .plans.model import PATIENT, RequestError
 from .plans.parser import parse
-from .sources.catalog import TableCatalog
+from .sources.catalog import Catalog
 from .store import CohortStore
 
 PENDING, STARTED, FINISHED, ERROR, KILLED = "PENDING", "STARTED", "FINISHED", "ERROR", "KILLED"
@@ -102,11 +103,11 @@ def patch(url: str, body: dict) -> None:
         r.read()
 
 
-def run(parameters: Parameters, catalog: TableCatalog, store: CohortStore | None, config: Config) -> modes.Result:
+def run(parameters: Parameters, catalog: Catalog, store: CohortStore | None, config: Config, cache: ResultCache | None = None) -> modes.Result:
     """One job, here and now."""
     parameters.check()
     asked = parse(parameters.request)
-    compiled = Compiled(asked, catalog.for_cohorts(asked.cohorts))
+    compiled = Compiled(asked, catalog.for_cohorts(asked.cohorts), cache=cache)
     if not parameters.mode.startswith("create"):
         return modes.count(compiled, parameters.mode, parameters.details)
     if store is None:
@@ -131,11 +132,12 @@ def run(parameters: Parameters, catalog: TableCatalog, store: CohortStore | None
 class JobManager:
     """Jobs on a pool of threads; each is a Spark job group of its own."""
 
-    def __init__(self, spark: SparkSession, catalog: TableCatalog, store: CohortStore | None = None, config: Config | None = None, work: Callable = run, notify: Callable[[str, dict], None] = patch):
+    def __init__(self, spark: SparkSession, catalog: Catalog, store: CohortStore | None = None, config: Config | None = None, work: Callable = run, notify: Callable[[str, dict], None] = patch):
         self.spark, self.catalog, self.store, self.config = spark, catalog, store, config or Config.load()
         self.work, self.notify = work, notify
         self.pool = ThreadPoolExecutor(self.config.threads)
         self.jobs: dict[str, Job] = {}
+        self.caches: dict[str, ResultCache] = {}
         self.lock = threading.Lock()
 
     def submit(self, parameters: Parameters) -> Job:
@@ -144,7 +146,11 @@ class JobManager:
 
     def _queue(self, parameters: Parameters, attempt: int) -> Job:
         job = Job(str(uuid.uuid4()), parameters.mode, attempt=attempt)
-        self.jobs[job.id] = job
+        with self.lock:
+            self.jobs[job.id] = job
+            over = [j.id for j in self.jobs.values() if j.ended][: max(0, len(self.jobs) - self.config.kept_jobs)]
+            for name in over:  # the oldest that have ended
+                del self.jobs[name]
         self.pool.submit(self._run, job, parameters)
         return job
 
@@ -156,7 +162,8 @@ class JobManager:
         self.spark.sparkContext.setJobGroup(job.id, job.mode, True)
         wrong = False
         try:
-            result, status, message, stack = self.work(parameters, self.catalog, self.store, self.config), FINISHED, "", ""
+            more = (self._cache(parameters.owner),) if self.config.cache else ()
+            result, status, message, stack = self.work(parameters, self.catalog, self.store, self.config, *more), FINISHED, "", ""
         except Exception as e:
             wrong = isinstance(e, RequestError)
             result, status, message, stack = None, ERROR, str(e), traceback.format_exc()
@@ -175,6 +182,11 @@ class JobManager:
             except OSError as e:
                 job.message = f"{job.message} (callback failed: {e})".strip()
 
+    def _cache(self, user: str) -> ResultCache:
+        """The results kept for a user."""
+        with self.lock:
+            return self.caches.setdefault(user, ResultCache(self.spark, user, self.config.cached))
+
     def job(self, name: str) -> Job | None:
         return self.jobs.get(name)
 

@@ -59,11 +59,8 @@ def organization_counts(compiled: Compiled) -> DataFrame:
 
 def bounds(n: int, draw: random.Random) -> tuple[int, int]:
     """A least and a greatest count around n that hide it: they are 25 to 50 away, and never below 0 or above n."""
-    if n <= 0:
-        return 0, n + 25 + draw.randrange(25)
-    limit = n - 25 if n - 25 > 1 else n
-    low = max(n - 50, 0)
-    return low + draw.randrange(max(1, limit - low)), n + 25 + draw.randrange(25)
+    below = range(max(0, n - 50), n - 25) if n > 26 else range(n) if n > 0 else (0,)  # a small count has no 25 below it
+    return draw.choice(below), draw.choice(range(n + 25, n + 50))
 
 
 def parse_details(text: str, compiled: Compiled) -> tuple[list[int], bool]:
@@ -102,11 +99,11 @@ def count(compiled: Compiled, mode: str = COUNT, details: str = "", seed: int |
 
 
 def sample(subjects: DataFrame, share: float, seed: int | None = None) -> DataFrame:
-    """Exactly round(share * count) subjects, drawn by a hash of subject and seed (random without one)."""
+    """Exactly share * count subjects, rounded half up, drawn by a hash of seed and subject (random without one)."""
     if not 0 < share <= 1:
         raise RequestError("sampling must be above 0 and at most 1")
-    n = round(share * subjects.count())
-    order = F.rand() if seed is None else F.xxhash64(F.lit(seed), "subject_id")
+    n = int(share * subjects.count() + 0.5)
+    order = F.rand() if seed is None else F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("subject_id").cast("string")))
     return subjects.orderBy(order, "subject_id").limit(n)
 
 

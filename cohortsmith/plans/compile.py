@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..cache import ResultCache
 from ..functions.dates import EVENT, START, END, local_date, usable
 from ..operators import groups, leaf as leaves, temporal
 from ..sources.catalog import LOGICAL, Catalog, leaf_columns
@@ -22,18 +23,18 @@ class Compiled:
     """A request over a catalog. subjects(): the result; stages(): subjects of each criterion.
 
     one_pass: decide a tree without constraints by flags in a single aggregation; else by semi and anti
-    joins. Both give the same subjects.
+    joins. Both give the same subjects. cache: keeps each criterion's subjects for other requests, which takes joins.
     """
 
-    def __init__(self, request: Request, catalog: Catalog, one_pass: bool = True):
-        self.request, self.catalog = request, catalog
+    def __init__(self, request: Request, catalog: Catalog, one_pass: bool = True, cache: ResultCache | None = None):
+        self.request, self.catalog, self.cache = request, catalog, cache
         self.root, lost = rewritten(request)
         self.warnings = (*request.warnings, *lost)
         self.by_id = request.resource != PATIENT
         if self.by_id and not isinstance(request.root, Leaf):
             raise RequestError(f"a cohort of {request.resource} needs a single basicResource")
         self._check(self.root)
-        self.one_pass = one_pass and not self.by_id and is_simple(self.root)
+        self.one_pass = one_pass and cache is None and not self.by_id and is_simple(self.root)
         self._sets: dict[int, DataFrame] = {}
         self._place: dict[int, int] = {}
         self._flag_of: dict[int, Leaf | None] = {}
@@ -157,7 +158,8 @@ class Compiled:
     def set_of(self, node: Criterion) -> DataFrame:
         """(subject), each once, before its own exclusion is applied."""
         if node.id not in self._sets:
-            self._sets[node.id] = self._leaf_set(node) if isinstance(node, Leaf) else self._group_set(node)
+            make = lambda: self._leaf_set(node) if isinstance(node, Leaf) else self._group_set(node)
+            self._sets[node.id] = make() if self.cache is None or self.by_id else self.cache.subjects(node, self.request.cohorts, make)
         return self._sets[node.id]
 
     def _leaf_set(self, leaf: Leaf) -> DataFrame:

@@ -5,14 +5,19 @@ Requests are JSON as a client would send it; thresholds are chosen so that resul
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import modes, store
+from . import jobs, modes, store
+from .cache import ResultCache
+from .config import Config
 from .plans.compile import Compiled
 from .plans.parser import parse
+from .sources import jdbc
 from .sources.tables import star_catalog
 
 
@@ -88,6 +93,11 @@ REQUESTS: dict[str, dict] = {
     "encounter_date_range": request(leaf(1, "Observation", "l_returnflag=R&l_quantity=gt45", encounterDateRange={"minDate": "1996-01-01", "maxDate": "1996-12-31"})),
     "resource_cohort": request(leaf(1, "Encounter", f"{_URGENT}&o_totalprice=gt100000"), resourceType="Encounter"),
     "study_dedup": request(leaf(1, "ImagingStudy", "l_returnflag=R&l_quantity=gt40", **times(2))),
+    "occurrence_in_constraint": request(group("andGroup", 0, _item(1, "R", "gt20", **times(2, sameEncounter=True)), _item(2, "A", "lt30"), **_SAME)),
+    "n_among_m_in_constraint": request(group("andGroup", 0, group("nAmongM", -1, _item(4, "R", "gt48"), _item(5, "A", "gt48"), leaf(6, "Encounter", "status=P"), nAmongMOptions={"n": 2, "operator": ">="}), leaf(2, "Encounter", _URGENT), **_SAME)),
+    "two_constraints": request(group("andGroup", 0, _item(1, "R", "gt40"), _item(2, "A", "lt10"), _item(3, "N", "gt20"), temporalConstraints=[{"idList": [1, 2], "constraintType": "sameEncounter"}, {"idList": [1, 3], "constraintType": "sameEpisodeOfCare"}])),
+    "two_unique_codes": request(_item(1, "R,A,N", "gt45", uniqueFields=[{"operator": ">=", "n": 2}, {"operator": "=", "n": 1}])),
+    "unique_codes_of_two_columns": request(leaf(1, "Claim", "l_quantity=gt40", uniqueFields=[{"operator": ">=", "n": 2}])),
     "filter_not": request(leaf(1, "Encounter", "class:not=1-URGENT,2-HIGH&o_totalprice=lt100000&o_orderdate=ge1997-01-01")),
 }
 
@@ -109,7 +119,7 @@ def lucene_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_population(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = lambda: spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey % 5 = 0").select(F.lit(7).alias("cohort"), F.col("c_custkey").alias("patient"))
+    items = lambda cohorts: spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey % 5 = 0").select(F.lit(7).alias("cohort"), F.col("c_custkey").alias("patient"))
     asked = request(leaf(2, "Encounter", _URGENT))
     asked["sourcePopulation"] = {"caresiteCohortList": [7]}
     parsed = parse(asked)
@@ -183,6 +193,55 @@ def population_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modes.counted(Compiled(parse(REQUESTS["population"]), catalog))
 
 
+def count_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The count, and whether the bounds that hide it lie where they must."""
+    found = modes.count(_compiled(spark, sf_dir, "and_group"), modes.COUNT_ALL)
+    low, high = (int(found.extra[k]) for k in ("minimum", "maximum"))
+    told = max(0, found.count - 50) <= low <= max(0, found.count), found.count + 25 <= high < found.count + 50
+    return spark.range(1).select(F.lit(found.count).cast("long").alias("count"), F.lit(told[0]).alias("low"), F.lit(told[1]).alias("high"))
+
+
+def _store(spark: SparkSession) -> store.CohortStore:
+    """A store of its own in the folder that the executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    return store.CohortStore(spark, f"{folder}/cohorts-{uuid.uuid4().hex}")
+
+
+def _created(spark: SparkSession, sf_dir: str) -> tuple[store.CohortStore, int, int]:
+    """A cohort, and the changes that make another one of it."""
+    kept, catalog = _store(spark), star_catalog(spark, sf_dir)
+    base = int(jobs.run(jobs.Parameters(REQUESTS["occurrence"], modes.CREATE), catalog, kept, Config()).group_id)
+    changed = int(jobs.run(jobs.Parameters(REQUESTS["unique_codes"], modes.CREATE_DIFF, base_cohort=base), catalog, kept, Config()).group_id)
+    return kept, base, changed
+
+
+def created(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cohort, subject_id): a created cohort as read back, and one stored as changes to it."""
+    kept, base, changed = _created(spark, sf_dir)
+    return kept.read(base).select(F.lit("base").alias("cohort"), "subject_id").union(kept.read(changed).select(F.lit("changed"), "subject_id"))
+
+
+def created_population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patients with an urgent encounter among the members of a cohort that is stored as changes."""
+    kept, _, changed = _created(spark, sf_dir)
+    asked = request(leaf(2, "Encounter", _URGENT))
+    asked["sourcePopulation"] = {"caresiteCohortList": [changed]}
+    parsed = parse(asked)
+    return Compiled(parsed, star_catalog(spark, sf_dir, kept.members, parsed.cohorts)).subjects()
+
+
+def nested_groups_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As nested_groups, from results that another request left behind."""
+    kept = ResultCache(spark, "me")
+    _compiled(spark, sf_dir, "nested_groups", cache=kept).subjects()
+    return _compiled(spark, sf_dir, "nested_groups", cache=kept).subjects()
+
+
+def dealt_exactly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    return jdbc.dealt_exactly(rows, "c_custkey", 7).select("c_custkey", F.spark_partition_id().cast("long").alias("task"))
+
+
 def csv_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.concat("n_name", F.lit("\r\nx\ry")).alias("name"), F.array(F.col("n_nationkey"), F.col("n_regionkey")).alias("keys"))
     return store.csv_ready(rows)
@@ -192,7 +251,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{name: _subjects(name) for name in REQUESTS},
     "and_group_joins": _subjects("and_group", one_pass=False),
     "nested_groups_joins": _subjects("nested_groups", one_pass=False),
-    **{f.__name__: f for f in (lucene_filter, source_population, count, stage_counts, stage_ratios, organizations, organization_lists, cohort_difference, cohort_folded, cohort_items, cohort_documents, cohort_list, cohort_relations, bulk_retry, population_count, sampled, csv_ready)},
+    **{f.__name__: f for f in (lucene_filter, source_population, count, stage_counts, stage_ratios, organizations, organization_lists, cohort_difference, cohort_folded, cohort_items, cohort_documents, cohort_list, cohort_relations, bulk_retry, population_count, sampled, csv_ready, count_all, created, created_population, nested_groups_cached, dealt_exactly)},
 }
 
 _I = "lineitem JOIN orders ON l_orderkey = o_orderkey"
@@ -278,6 +337,17 @@ ORACLES: dict[str, str] = {
     "cohort_relations": "SELECT 12::BIGINT AS cohort_a, r_regionkey::BIGINT AS cohort_b, 44818821::BIGINT AS concept FROM region UNION ALL SELECT r_regionkey, 12, 44818823 FROM region",
     "bulk_retry": "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment <> 'BUILDING'",
     "population_count": "SELECT count(*) AS count FROM customer WHERE c_acctbal > 0",
+    "occurrence_in_constraint": "SELECT DISTINCT o_custkey AS subject_id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 20 GROUP BY 1 HAVING count(*) >= 2) AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity < 30)",
+    "n_among_m_in_constraint": f"WITH s AS ({_among((_items_sql('R', '> 48'), _items_sql('A', '> 48'), "SELECT DISTINCT o_custkey AS subject_id FROM orders WHERE o_orderstatus = 'P'"), '>= 2')}), r AS (SELECT l_orderkey AS k FROM lineitem WHERE l_returnflag IN ('R', 'A') AND l_quantity > 48 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') SELECT DISTINCT o_custkey AS subject_id FROM r JOIN orders ON k = o_orderkey WHERE o_orderpriority = '1-URGENT' AND o_custkey IN (SELECT subject_id FROM s)",
+    "two_constraints": _pair("l_orderkey", ("R", "> 40"), ("A", "< 10")) + " = b.k INTERSECT " + _pair("year(o_orderdate)", ("R", "> 40"), ("N", "> 20")) + " = b.k",
+    "two_unique_codes": f"{_CODES} INTERSECT {_CODES.replace('>= 2', '= 1')}",
+    "unique_codes_of_two_columns": f"SELECT DISTINCT o_custkey AS subject_id FROM (SELECT o_custkey FROM {_I} JOIN part ON l_partkey = p_partkey WHERE l_quantity > 40 GROUP BY o_custkey, p_brand, l_linestatus HAVING count(*) >= 2)",
+    "sampled": f"WITH r AS ({_OR}) SELECT subject_id FROM r ORDER BY md5('1-' || subject_id), subject_id LIMIT (SELECT floor(0.25 * count(*) + 0.5)::BIGINT FROM r)",
+    "count_all": f"SELECT count(*) AS count, true AS low, true AS high FROM ({_AND})",
+    "created": f"SELECT 'base' AS cohort, subject_id FROM ({_OCCURRENCE} >= 3) UNION ALL SELECT 'changed', subject_id FROM ({_CODES})",
+    "created_population": f"{_URGENT_SQL} INTERSECT {_CODES}",
+    "nested_groups_cached": _NESTED,
+    "dealt_exactly": "SELECT c_custkey, c_custkey % 7 AS task FROM customer",
     "csv_ready": "SELECT n_nationkey, n_name || chr(10) || 'x' || chr(10) || 'y' AS name, '{' || n_nationkey || ',' || n_regionkey || '}' AS keys FROM nation",
 }
 ORACLES["cohort_list"] = ORACLES["cohort_list"].replace("@DIFF@", ORACLES["cohort_difference"])

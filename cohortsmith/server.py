@@ -5,10 +5,22 @@ from __future__ import annotations
 import json
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+from . import hocon
 from .jobs import JobManager, Parameters
 from .plans.model import RequestError
 
 
+def posted(body: str) -> dict:
+    """A job as JSON or HOCON."""
+    try:
+        data = json.loads(body)
+    except ValueError:
+        data = hocon.loads(body)
+    if not isinstance(data, dict):
+        raise RequestError("a job is an object")
+    return data
+
+
 def server(manager: JobManager, port: int) -> ThreadingHTTPServer:
     class Handler(BaseHTTPRequestHandler):
         def _send(self, code: int, body) -> None:
@@ -41,7 +53,7 @@ def server(manager: JobManager, port: int) -> ThreadingHTTPServer:
             if self.path.rstrip("/") != "/jobs":
                 return self._send(404, {"message": "not found"})
             try:
-                job = manager.submit(Parameters.from_json(json.loads(self.rfile.read(int(self.headers.get("Content-Length", 0))))))
+                job = manager.submit(Parameters.from_json(posted(self.rfile.read(int(self.headers.get("Content-Length", 0))).decode())))
             except (RequestError, ValueError) as e:
                 return self._send(400, {"status": "KO", "message": str(e)})
             return self._send(202, {"status": job.status, "jobId": job.id})

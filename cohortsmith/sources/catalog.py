@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.filters import Field, fhir, lucene
 from ..plans.model import PATIENT, Leaf, RequestError
+from .retry import retried
 
 #: Logical columns and their types; a resource has some of them.
 LOGICAL = {
@@ -55,13 +56,18 @@ class Resource:
         wanted: set[str] = set()
         for n in needs:
             wanted |= {n, *self.lookups[n].after}
-        out = self.table()
+        out = retried(self.table)
         for name, lookup in self.lookups.items():
             if name in wanted:
-                out = out.join(lookup.table(), F.col(lookup.column) == F.col(lookup.key), lookup.how)
+                out = out.join(retried(lookup.table), F.col(lookup.column) == F.col(lookup.key), lookup.how)
         return out
 
 
+def codes_of(*parts: Field) -> Field:
+    """One code of several columns: those that are not null, with commas between."""
+    return Field(f"concat_ws(',', {', '.join(f'cast({p.expr} as string)' for p in parts)})", "string", tuple(dict.fromkeys(n for p in parts for n in p.lookups)))
+
+
 class Catalog:
     """What the compiler asks of a source."""
 
@@ -85,12 +91,12 @@ class Catalog:
 class TableCatalog(Catalog):
     """Resources over tables.
 
-    cohort_items (cohort, patient): members of cohorts. With cohort ids, rows of other patients are left out by a
-    semi join; without ids or without members' table, everybody belongs. default_filter selects the
-    patients of the population (an SQL condition over Patient's logical columns and fields).
+    cohort_items gives (cohort, patient), the members of the cohorts asked for. With cohort ids, rows of other patients are left
+    out by a semi join; without ids or without members, everybody belongs. default_filter selects the patients of
+    the population (a FHIR filter over Patient's logical columns and fields).
     """
 
-    def __init__(self, resources: dict[str, Resource], cohort_items: Callable[[], DataFrame] | None = None, cohorts: Iterable[int] = (), default_filter: str = "", language: str = "fhir"):
+    def __init__(self, resources: dict[str, Resource], cohort_items: Callable[[tuple[int, ...]], DataFrame] | None = None, cohorts: Iterable[int] = (), default_filter: str = "", language: str = "fhir"):
         if language not in ("fhir", "lucene"):
             raise RequestError(f"unknown filter language {language!r}")
         self.resources, self.cohort_items, self.cohorts = resources, cohort_items, tuple(cohorts)
@@ -110,7 +116,7 @@ class TableCatalog(Catalog):
     def members(self) -> DataFrame | None:
         if not self.cohorts or self.cohort_items is None:
             return None
-        return self.cohort_items().filter(F.col("cohort").isin(list(self.cohorts))).select("patient").distinct()
+        return self.cohort_items(self.cohorts).filter(F.col("cohort").isin(list(self.cohorts))).select("patient").distinct()
 
     def _filter(self, leaf: Leaf) -> tuple[Column, list[Field]]:
         """A leaf's condition and the fields that it reads."""

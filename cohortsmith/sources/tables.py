@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.filters import Field
-from .catalog import Lookup, Resource, TableCatalog
+from .catalog import Lookup, Resource, TableCatalog, codes_of
 
 
-def star_catalog(spark: SparkSession, folder: str, cohort_items: Callable[[], DataFrame] | None = None, cohorts=()) -> TableCatalog:
+def star_catalog(spark: SparkSession, folder: str, cohort_items: Callable[[tuple[int, ...]], DataFrame] | None = None, cohorts=()) -> TableCatalog:
     """Resources over the Parquet tables of a folder. Lookups are joined only where a request needs one of their columns."""
 
     def table(name: str) -> Callable[[], DataFrame]:
@@ -57,6 +57,8 @@ def star_catalog(spark: SparkSession, folder: str, cohort_items: Callable[[], Da
         item.lookups,
         one_per="id",
     )
+    #: Items coded by two columns.
+    claim = Resource(item.table, item.columns | {"code": codes_of(Field("p_brand", "string", ("part",)), Field("l_linestatus"))}, item.fields, item.lookups)
     event = Resource(
         table("events"),
         {"id": Field("event_id", "number"), "patient": Field("user_id", "number"), "event_date": Field("ts", "date"), "code": Field("event_type")},
@@ -64,4 +66,4 @@ def star_catalog(spark: SparkSession, folder: str, cohort_items: Callable[[], Da
     )
     #: The same without the dates of its smallest values: what missing dates look like.
     undated = Resource(event.table, event.columns | {"event_date": Field("case when value >= 3 then ts end", "date")}, event.fields)
-    return TableCatalog({"Patient": patient, "Encounter": encounter, "Observation": item, "ImagingStudy": study, "Event": event, "UndatedEvent": undated}, cohort_items, cohorts)
+    return TableCatalog({"Patient": patient, "Encounter": encounter, "Observation": item, "ImagingStudy": study, "Claim": claim, "Event": event, "UndatedEvent": undated}, cohort_items, cohorts)

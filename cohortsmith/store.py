@@ -7,7 +7,10 @@ changes to a base cohort (members added and deleted).
 from __future__ import annotations
 
 import json
+import threading
 import time
+import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -87,22 +90,31 @@ def list_entries(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(entry).alias("line"))
 
 
+#: One writer of headers at a time, for each store.
+_LOCKS: dict[str, threading.RLock] = defaultdict(threading.RLock)
+
+
 @dataclass
 class CohortStore:
+    """The tables under a path. Jobs of one driver may write at once: ids are given out under a lock, and every write has a folder of its own."""
+
     spark: SparkSession
     path: str
 
     def _read(self, name: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+            return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.path}/{name}")
         except Exception as e:  # nothing written yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             return self.spark.createDataFrame([], schema)
 
+    def _append(self, rows: DataFrame, name: str) -> None:
+        rows.write.parquet(f"{self.path}/{name}/{uuid.uuid4().hex}")
+
     def _header(self, row: dict) -> None:
         row = row | {"version": time.time_ns()}
-        self.spark.createDataFrame([tuple(row[f.name] for f in T._parse_datatype_string(_COHORT).fields)], _COHORT).coalesce(1).write.mode("append").parquet(f"{self.path}/cohort")
+        self._append(self.spark.createDataFrame([tuple(row[f.name] for f in T._parse_datatype_string(_COHORT).fields)], _COHORT).coalesce(1), "cohort")
 
     def cohorts(self) -> DataFrame:
         """The latest state of every cohort."""
@@ -116,9 +128,10 @@ class CohortStore:
 
     def create(self, name: str, description: str = "", owner: str = "0", resource: str = PATIENT, size: int = 0, base: int | None = None, delayed: bool = False) -> int:
         """A header; its id. With a base the cohort is a list of changes to it."""
-        ids = self._read("cohort", _COHORT).agg(F.max("cohort_id").alias("n")).first()["n"]
-        cohort = (ids or 0) + 1
-        self._header({"cohort_id": cohort, "name": name, "description": description, "owner": owner, "resource": resource, "mode": CHANGES if base is not None else SNAPSHOT, "base": -1 if base is None else base, "size": size, "status": LONG_PENDING if delayed else PENDING})
+        with _LOCKS[self.path]:
+            ids = self._read("cohort", _COHORT).agg(F.max("cohort_id").alias("n")).first()["n"]
+            cohort = (ids or 0) + 1
+            self._header({"cohort_id": cohort, "name": name, "description": description, "owner": owner, "resource": resource, "mode": CHANGES if base is not None else SNAPSHOT, "base": -1 if base is None else base, "size": size, "status": LONG_PENDING if delayed else PENDING})
         return cohort
 
     def write(self, cohort: int, subjects: DataFrame, sources=(), provider: str = "", size: int | None = None) -> None:
@@ -128,9 +141,10 @@ class CohortStore:
             rows = items(subjects, cohort, provider or header["owner"], header["resource"])
             if "deleted" not in rows.columns:
                 rows = rows.withColumn("deleted", F.lit(False))
-            rows.withColumn("_itemreferenceid", F.col("_itemreferenceid").cast("long")).withColumn("version", F.lit(time.time_ns())).select(*(f.name for f in T._parse_datatype_string(_ITEM).fields)).write.mode("append").parquet(f"{self.path}/item")
+            own = rows.withColumn("_itemreferenceid", F.col("_itemreferenceid").cast("long")).withColumn("version", F.lit(time.time_ns()))
+            self._append(own.select(*(f.name for f in T._parse_datatype_string(_ITEM).fields)), "item")
             if sources:
-                self.relations(cohort, sources).write.mode("append").parquet(f"{self.path}/relation")
+                self._append(self.relations(cohort, sources), "relation")
             n = self._items(cohort).count() if size is None else size
             self._header(header | {"size": n, "status": FINISHED})
         except Exception:
@@ -151,9 +165,16 @@ class CohortStore:
             return own.filter("not deleted").select(F.col("_itemreferenceid").alias("subject_id")).distinct()
         return folded(self.read(header["base"]), own.select(F.col("_itemreferenceid").alias("subject_id"), F.col("version").alias("date"), "deleted"))
 
-    def members(self) -> DataFrame:
-        """(cohort, patient) of all snapshots' items: what a catalog needs to limit a source population."""
-        return self._read("item", _ITEM).filter("not deleted").select(F.col("_listid").alias("cohort"), F.col("_itemreferenceid").alias("patient"))
+    def all_relations(self) -> DataFrame:
+        """(cohort_a, cohort_b, concept) of all cohorts."""
+        return self._read("relation", _RELATION)
+
+    def members(self, cohorts) -> DataFrame:
+        """(cohort, patient) of the members of these cohorts, as read() gives them: what a catalog needs to limit a source population."""
+        out = self.spark.createDataFrame([], "cohort long, patient long")
+        for c in cohorts:
+            out = out.unionByName(self.read(int(c)).select(F.lit(int(c)).cast("long").alias("cohort"), F.col("subject_id").alias("patient")))
+        return out
 
     def as_list(self, cohort: int) -> DataFrame:
         """(line): each item as a JSON entry of a List resource."""
