@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import keyed, text_bytes, tidy, written
+from ._common import blocks, keyed, text_bytes, tidy, written
 from .token_store import encoder_of, width
 
 MAX_TOKENS, BUCKETS, BUDGET = 4096, 16, 65_536
 #: What fills a sequence up to its bucket's bound.
 PAD_ID = 0
-#: Sequences of a bucket that one task puts in order, on average.
-SHARD = 20_000
+#: Tokens of a bucket that one shard holds, on average, and the most partitions that shards are dealt to.
+SHARD, MOST = 1 << 22, 20_000
 #: Documents without tokens that share a row.
 _EMPTY = 4096
 
@@ -79,8 +79,7 @@ def _cut(tokenizer: str, most: int):
         for batch in batches:
             data, at = text_bytes(batch.column("_text"))
             keys, names = batch.column("_id").to_pylist(), batch.column("name").to_pylist()
-            for i in range(0, len(keys), 128):
-                j = min(len(keys), i + 128)
+            for i, j in blocks(at, 1 << 20):
                 rows = []
                 for k, ids in zip(range(i, j), encode([data[at[k] : at[k + 1]].tobytes() for k in range(i, j)]), strict=True):
                     n = len(ids) // w
@@ -109,17 +108,18 @@ def _filled(budget: int, w: int, pad_id: int):
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, number, held, rows = None, 0, [], []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("bucket", "shard", "doc_id", "n_tokens", "piece", "start", "length", "ids")]
-            for bucket, shard, *x in zip(*columns, strict=True):
-                most = max(1, budget // bucket) if bucket else _EMPTY
-                if held and ((bucket, shard) != at or len(held) == most):
-                    rows.append(row(*at, number, held))
-                    number, held = number + 1 if (bucket, shard) == at else 0, []
-                at = (bucket, shard)
-                held.append(x)
-            if rows:
-                yield out(rows)
-                rows = []
+            for i in range(0, batch.num_rows, 512):
+                columns = [batch.column(c).slice(i, 512).to_pylist() for c in ("bucket", "shard", "doc_id", "n_tokens", "piece", "start", "length", "ids")]
+                for bucket, shard, *x in zip(*columns, strict=True):
+                    most = max(1, budget // bucket) if bucket else _EMPTY
+                    if held and ((bucket, shard) != at or len(held) == most):
+                        rows.append(row(*at, number, held))
+                        number, held = number + 1 if (bucket, shard) == at else 0, []
+                    at = (bucket, shard)
+                    held.append(x)
+                if rows:
+                    yield out(rows)
+                    rows = []
         if held:
             yield out([row(*at, number, held)])
 
@@ -146,11 +146,14 @@ def packed(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, bucket
     empty = histogram.pop(0, 0)
     bounds = boundaries(histogram, buckets)
     sizes = [sum(n for x, n in histogram.items() if a < x <= b) for a, b in zip([0, *bounds], bounds, strict=False)]
-    bucket, shards = F.lit(0), F.lit(max(1, -(-empty // SHARD)))
-    for b, a, n in zip(bounds, [0, *bounds], sizes, strict=False):
-        bucket, shards = F.when(F.col("length") > a, F.lit(b)).otherwise(bucket), F.when(F.col("length") > a, F.lit(-(-n // SHARD))).otherwise(shards)
-    dealt = rows.withColumn("bucket", bucket.cast("long")).withColumn("shard", F.pmod(F.xxhash64("_id", "piece"), shards).cast("long"))
-    ordered = dealt.repartition("bucket", "shard").sortWithinPartitions("bucket", "shard", "length", "_id", "piece")
+    shards = [max(1, -(-empty // SHARD)), *(-(-n * b // SHARD) for b, n in zip(bounds, sizes, strict=True))]
+    kind = F.struct(F.lit(0).cast("long").alias("bucket"), F.lit(shards[0]).alias("shards"), F.lit(0).cast("long").alias("before"))
+    for k, (a, b) in enumerate(zip([0, *bounds], bounds, strict=False)):
+        own = F.struct(F.lit(b).cast("long").alias("bucket"), F.lit(shards[k + 1]).alias("shards"), F.lit(sum(shards[: k + 1])).cast("long").alias("before"))
+        kind = F.when(F.col("length") > a, own).otherwise(kind)
+    dealt = rows.withColumn("kind", kind).withColumn("shard", F.pmod(F.xxhash64("_id", "piece"), F.col("kind.shards")).cast("long"))
+    dealt = dealt.withColumn("bucket", F.col("kind.bucket")).withColumn("place", F.pmod(F.col("kind.before") + F.col("shard"), F.lit(MOST)).cast("int"))
+    ordered = dealt.repartitionById(min(MOST, sum(shards)), "place").drop("kind", "place").sortWithinPartitions("bucket", "shard", "length", "_id", "piece")
     return ordered.mapInArrow(tidy(_filled(budget, width(Tokenizer.from_file(tokenizer).get_vocab_size()), pad_id)), _BATCHES)
 
 
@@ -163,7 +166,8 @@ def unpacked(batches: DataFrame) -> DataFrame:
 
     def read(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
                 n, bucket, some = r["n"], r["bucket"], bool(r["bucket"])
                 w = len(r["ids"]) // (n * bucket) if some else 0
                 ids = [r["ids"][w * bucket * k : w * (bucket * k + x)] for k, x in enumerate(r["lengths"])]
