@@ -27,6 +27,8 @@ class Config:
     url: str = ""
     token: str = ""
     filter_language: str = "fhir"
+    #: FHIR filter of the patients that belong to the population of tables.
+    default_filter: str = ""
     #: Entries of a page, and attempts at a page or a table.
     page_size: int = 1000
     source_attempts: int = 3

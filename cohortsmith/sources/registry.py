@@ -16,7 +16,7 @@ from .tables import star_catalog
 
 def _tables(spark: SparkSession, config: Config, store: CohortStore | None) -> Catalog:
     catalog = star_catalog(spark, config.folder, store.members if store else None)
-    catalog.language = config.filter_language
+    catalog.language, catalog.default_filter = config.filter_language, config.default_filter
     return catalog
 
 
