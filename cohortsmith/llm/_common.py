@@ -52,7 +52,7 @@ _made: list[str] = []
 def written(df: DataFrame, name: str) -> DataFrame:
     """As saved(), as a Parquet table in the shared folder, which takes less room; it stays there until cleared() ends or the folder is cleared."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _made.append(path)
     return df.sparkSession.read.parquet(path)
 
@@ -76,6 +76,27 @@ def partitions_for(df: DataFrame, each: int) -> int:
     return max(least, min(known // each, 1_000_000)) if known < 1 << 60 else least  # a plan of unknown size says 2**63 - 1
 
 
+#: Rows of a key up to which it is never too frequent for one task.
+FEW = 1000
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with facts, which have each key once and the number of its rows in column n.
+
+    Frequent keys are those with more rows than half a partition would have if all were even, so that there are at most
+    twice as many as partitions. Only their facts are broadcast, and their rows stay where they lie; the rest is joined as usual.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total, most = facts.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
+    limit = max(FEW, total // (2 * parts))
+    if most <= limit:
+        return rows.join(facts, key, how)
+    frequent = saved(facts.filter(F.col(n) > limit))
+    rest = rows.join(F.broadcast(frequent.select(key)), key, "left_anti").join(facts.filter(F.col(n) <= limit), key, how)
+    return rows.join(F.broadcast(frequent), key).select(rest.columns).union(rest)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -217,7 +238,7 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: For each number of bytes left in a word, the bits of an eight-byte load that are its own.
-_OWN = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+OWN = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 #: Words above these bytes are named one by one.
 _LONG_WORD = 64
 
@@ -235,7 +256,7 @@ def span_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     loads = eights(data)
     k, at, left = np.arange(len(size)), start, size
     while len(k):
-        out[k] = mix(out[k] ^ mix((loads[at] & _OWN[np.minimum(left, 8)]) + np.uint64(0xD1342543DE82EF95)))
+        out[k] = mix(out[k] ^ mix((loads[at] & OWN[np.minimum(left, 8)]) + np.uint64(0xD1342543DE82EF95)))
         go = np.flatnonzero((left > 8) & (size[k] <= _LONG_WORD))
         k, at, left = k[go], at[go] + 8, left[go] - 8
     for i in np.flatnonzero(size > _LONG_WORD).tolist():
@@ -250,21 +271,43 @@ def eights(data: np.ndarray) -> np.ndarray:
 
 
 def same_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Whether each span has the bytes of the span with the index `other` names."""
+    """Whether each span has the same bytes as the span of its length that starts at `other`."""
     size = end - start
-    out = size == size[other]
+    out = other + size <= len(data)
     loads = eights(data)
     k = np.flatnonzero(out & (size > 0))
     done = 0
     while len(k):
-        own = _OWN[np.minimum(size[k] - done, 8)]
-        equal = (loads[start[k] + done] & own) == (loads[start[other[k]] + done] & own)
+        own = OWN[np.minimum(size[k] - done, 8)]
+        equal = (loads[start[k] + done] & own) == (loads[other[k] + done] & own)
         out[k[~equal]] = False
         done += 8
-        k = k[equal & (size[k] > done)]
+        k = k[equal]
+        k = k[size[k] > done]
     return out
 
 
+def distinct_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[int | bytes], np.ndarray, np.ndarray]:
+    """(names, one, place): of the different spans their names, the index of one such span, and for each span which it is.
+
+    A name is a number for up to seven bytes, else the bytes. Longer spans are brought together by hash and compared.
+    """
+    size = end - start
+    key = (eights(data)[start] & OWN[np.minimum(size, 7)]) | (size.astype(np.uint64) << np.uint64(56))
+    long, top = np.flatnonzero(size > 7), np.uint64(1 << 63)
+    key[long] = span_codes(data, start[long], end[long]) | top
+    raw = data.tobytes()
+    unique, one, place = np.unique(key, return_index=True, return_inverse=True)
+    told = one[place[long]]
+    if (size[told] != size[long]).any() or not same_spans(data, start[long], end[long], start[told]).all():
+        # different spans of equal hash: by their bytes
+        seen: dict[bytes, int] = {}
+        key[long] = np.array([seen.setdefault(raw[i:j], len(seen)) for i, j in zip(start[long].tolist(), end[long].tolist(), strict=True)], np.uint64) | top
+        unique, one, place = np.unique(key, return_index=True, return_inverse=True)
+    short = int(np.searchsorted(unique, top))
+    return unique[:short].tolist() + [raw[i:j] for i, j in zip(start[one[short:]].tolist(), end[one[short:]].tolist(), strict=True)], one, place
+
+
 def word_codes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A 64-bit code of every word of a byte sequence, with the words' starts and ends."""
     start, end = word_spans(data)

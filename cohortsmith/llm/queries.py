@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, jaccard_join, language_id, packing, piece_tokens, quality_rules, simhash, substring_dedup, suffix_dedup, token_store
-from ._common import saved, shared_path, table, written
+from ._common import saved, shared_path, spread_join, table, written
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's columns, n: documents with this fingerprint, and n_near: those with another one within the radius."""
     prints = written(simhash.compared(table(spark, sf_dir, "documents")), "fingerprints")
-    return prints.join(simhash.near(prints), "fingerprint")
+    return spread_join(prints, saved(simhash.near(prints)), "fingerprint", "n")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,29 @@ SHARD, CANDIDATES = 200_000, 1 << 20
 MOST_RANGES, RANGE_BYTES = 10_000, 1 << 25
 
 
+#: For each byte its eight bits, the highest first, as the eight bytes of a number: adding such numbers adds bits.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).copy().view("<u8").ravel()
+#: Terms whose weights, of 3 at most, add up in a byte.
+_ADDED = 64
+_SALTS = (np.uint64(0x1B873593CC9E2D51), np.uint64(0x85EBCA6BE6546B64))
+
+
+def _votes(out: np.ndarray, total: np.ndarray, terms: np.ndarray, weight: np.ndarray, owner: np.ndarray) -> None:
+    """Adds the weighted votes of terms, in order of their texts (owner), to each text's bits and to its sum of weights."""
+    if not len(terms):
+        return
+    first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+    count = np.diff(np.append(first, len(terms)))
+    part = np.flatnonzero((np.arange(len(terms)) - np.repeat(first, count)) % _ADDED == 0)
+    wide, sums = weight.astype(np.uint64), np.empty((len(part), BITS // 8), np.uint64)
+    for half, salt in enumerate(_SALTS):
+        names = np.ascontiguousarray(mix(terms ^ salt).view(np.uint8).reshape(-1, 8).T)
+        for k in range(8):
+            sums[:, 8 * half + k] = np.add.reduceat(_LANES[names[k]] * wide, part)
+    out[owner[first]] += np.add.reduceat(sums.view(np.uint8).reshape(len(part), BITS), np.searchsorted(part, first), axis=0, dtype=np.int64)
+    total[owner[first]] += np.add.reduceat(weight, first)
+
+
 def fingerprints(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """16 bytes for each text of a batch (its bytes, and where each text starts and the last ends)."""
     out = np.zeros((len(at) - 1, BITS // 8), np.uint8)
@@ -43,21 +66,12 @@ def fingerprints(data: np.ndarray, at: np.ndarray) -> np.ndarray:
             continue
         text = np.searchsorted(edges, np.arange(len(codes)), side="right") - 1
         size = end - start
-        pair = text[1:] == text[:-1]
-        terms = np.concatenate((mix(codes[:-1] * np.uint64(3) ^ mix(codes[1:]))[pair], mix(codes + np.uint64(7))))
-        weight = np.concatenate((1 + ((size[:-1] + size[1:]) >= 8)[pair] + ((size[:-1] + size[1:]) >= 14)[pair], 1 + (size >= 5) + (size >= 8)))
-        owner = np.concatenate((text[:-1][pair], text))
-        order = np.argsort(owner, kind="stable")
-        terms, weight, owner = terms[order], weight[order], owner[order]
-        first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-        halves = []
-        for salt in (0x1B873593CC9E2D51, 0x85EBCA6BE6546B64):
-            bits = np.unpackbits(mix(terms ^ np.uint64(salt)).view(np.uint8).reshape(-1, 8), axis=1)
-            bits *= weight.astype(np.uint8)[:, None]
-            votes = np.add.reduceat(bits, first, axis=0, dtype=np.int64)
-            total = np.add.reduceat(weight, first)
-            halves.append(2 * votes > total[:, None])
-        out[i + owner[first]] = np.packbits(np.concatenate(halves, axis=1), axis=1)
+        pair = np.flatnonzero(text[1:] == text[:-1])
+        both = size[pair] + size[pair + 1]
+        votes, total = np.zeros((j - i, BITS), np.int64), np.zeros(j - i, np.int64)
+        _votes(votes, total, mix(codes + np.uint64(7)), 1 + (size >= 5) + (size >= 8), text)
+        _votes(votes, total, mix(codes[pair] * np.uint64(3) ^ mix(codes[pair + 1])), 1 + (both >= 8) + (both >= 14), text[pair])
+        out[i:j] = np.packbits(2 * votes > total[:, None], axis=1)
     return out
 
 
@@ -137,8 +151,8 @@ def compared(docs: DataFrame) -> DataFrame:
 
     The next document is that with the next smaller doc_id (a null id is the smallest), for the last the
     first; a single document is its own next. Null text is empty; texts without words have the
-    fingerprint 0; different texts of one doc_id are documents that follow each other, see keyed(). No
-    documents, no rows.
+    fingerprint 0; different texts of one doc_id are documents that follow each other, see keyed(). A text of any
+    length is fingerprinted whole, in one task. Other columns are ignored. No documents, no rows.
     """
     texts, names = keyed(docs)
     out = followed(texts).mapInArrow(tidy(_compare), "_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
