@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ._common import BYTE_CODES, Rolling, blocks, grouped, mix, text_bytes, tidy, words_of
 
 _LOW = (1 << 20) - 1
-#: Stretches of one anchor above which its windows are dealt by their offset from the anchor.
+#: Stretches of one anchor above which it is crowded: its windows are dealt by their content.
 SPLIT = 4096
 
 
@@ -110,10 +110,10 @@ def _pieces(codes, edges, length, gram, alive=None):
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def packed(start, count, offset, late, again, split=1):
+def packed(start, count, offset, late, again, crowded=0):
     """One number for a row's place: start, windows, anchor's offset, whether it is known to repeat, whether it stands
-    for further equal stretches of its document, and the parts to deal it in."""
-    return (start << 25) | (np.asarray(split, np.int64) << 18) | (again << 17) | (count << 9) | (offset << 1) | late
+    for further equal stretches of its document, and whether its anchor is crowded."""
+    return (start << 25) | (np.asarray(crowded, np.int64) << 18) | (again << 17) | (count << 9) | (offset << 1) | late
 
 
 def unpacked(m: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -157,8 +157,8 @@ class Repeats:
         """Of equal stretches in order of document and start (first: where a new content begins), which ones repeat an earlier one."""
         raise NotImplementedError
 
-    def _order(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Contents of contested stretches, sorted by anchor -> windows with an earlier occurrence, as runs (doc, start, stop, again)."""
+    def _order(self, t: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Contents of contested stretches, whole anchors -> windows with an earlier occurrence, as runs (doc, start, stop, again)."""
         raise NotImplementedError
 
     def candidates(self, docs: DataFrame) -> DataFrame:
@@ -238,44 +238,85 @@ class Repeats:
                 contents = np.where(low == high, 1, contents)
             ask = ~later & (contents[group] > 1)
             if ask.any():
-                parts = np.minimum(self.length - self.gram + 1, -(-contents // self.split))[group[ask]]
+                crowded = (contents > self.split)[group[ask]].astype(np.int64)
                 start, count, offset, again, _ = unpacked(at[ask])
-                yield batch_of(anchor=route[ask], doc=doc[ask], at=packed(start, count, offset, 0, again, parts))
+                yield batch_of(anchor=route[ask], doc=doc[ask], at=packed(start, count, offset, 0, again, crowded))
 
     def _fetch(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The content of the windows asked for: one row for each, or for each part of a much shared anchor."""
-        span = self.length - self.gram + 1
+        """The content of the windows asked for: one row for each stretch; where an anchor is crowded, the digest of each window, which deals them.
+
+        Of equal windows of a batch the first one goes; the others that repeat it are late: they travel aside.
+        """
+        names = ["again", "anchor", "doc", "start", "count", "crowded", "late", "content"]
+        types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.binary()]
         for batch in batches:
             data, at = text_bytes(batch.column("_text"))
-            asked = batch.column("asked")
-            out = []
-            for i, (doc, rows) in enumerate(zip(_ids(batch), asked, strict=True)):
+            out, first, windows = [], {}, []
+            for i, (doc, rows) in enumerate(zip(_ids(batch).tolist(), batch.column("met"), strict=True)):
                 laid = self.laid(data, at[i : i + 2])
                 anchor_, place = rows.values.field("anchor").to_pylist(), rows.values.field("at").to_numpy()
-                for name, start, count, offset, again, parts in zip(anchor_, *(x.tolist() for x in unpacked(place)), strict=True):
-                    anchor = start + offset
-                    for k in range(parts):
-                        # windows whose anchor lies between these offsets from their start
-                        a, b = span * k // parts, span * (k + 1) // parts
-                        s, e = max(start, anchor - b + 1), min(start + count, anchor - a + 1)
-                        if s < e:
-                            out.append((name ^ k, doc, s, e - s, again, laid.content[laid.start[s] : laid.stop[e - 2 + self.length]]))
+                for name, start, count, _, again, crowded in zip(anchor_, *(x.tolist() for x in unpacked(place)), strict=True):
+                    if name is None:  # decided already
+                        continue
+                    if not crowded:
+                        out.append((again, name, doc, start, count, False, False, laid.content[laid.start[start] : laid.stop[start + count - 2 + self.length]]))
+                        continue
+                    for s in range(start, start + count):
+                        digest = hashlib.blake2b(laid.content[laid.start[s] : laid.stop[s + self.length - 1]], digest_size=16).digest()
+                        windows.append((digest, doc, s, again))
+                        if digest not in first or (doc, s) < first[digest]:
+                            first[digest] = doc, s
+            for digest, doc, s, again in windows:
+                d, p = first[digest]
+                late = doc > d or (not self.other and s > p)
+                name = hashlib.blake2b(b"%d %d" % (doc, s), digest_size=8).digest() if late else digest[:8]
+                out.append((again, int.from_bytes(name, "little", signed=True), doc, s, 1, True, late, b"" if late else digest))
             if out:
-                a, d, s, n, r, c = zip(*out, strict=True)
-                yield batch_of(again=pa.array(r, pa.int64()), anchor=pa.array(a, pa.int64()), doc=pa.array(d, pa.int64()), start=pa.array(s, pa.int64()), count=pa.array(n, pa.int64()), content=pa.array(c, pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    def find(self, docs: DataFrame) -> DataFrame:
-        """(_id, runs: [(start, stop, again)]) of every document with a window that occurs earlier. docs: (_id, _text).
+    def _ordered(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Fetched contents and digests, sorted by anchor -> windows with an earlier occurrence, as runs (doc, start, stop, again)."""
+        for t in grouped(batches, "anchor"):
+            late, crowded = (t.column(c).to_numpy() for c in ("late", "crowded"))
+            if late.any():
+                yield runs(*(t.column(c).to_numpy()[late] for c in ("doc", "start", "again")), self.length)
+            if (single := crowded & ~late).any():
+                some = t.filter(pa.array(single))
+                doc, start, again = (some.column(c).to_numpy() for c in ("doc", "start", "again"))
+                digest = np.frombuffer(b"".join(some.column("content").to_pylist()), np.int64).reshape(-1, 2)
+                order = np.lexsort((start, doc, digest[:, 1], digest[:, 0]))
+                doc, start, again, digest = doc[order], start[order], again[order], digest[order]
+                later = self.later(changes(digest[:, 0], digest[:, 1]), doc, start)
+                if later.any():
+                    yield runs(doc[later], start[later], again[later], self.length)
+            if not crowded.all():
+                yield from self._order(t.filter(pa.array(~crowded)))
+
+    def find(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """What the documents (_id, _text) have that occurs earlier, two tables: (_id, met: [(anchor, at)]), in which stretches without an
+        anchor repeat as a whole, and (_id, runs: [(start, stop, again)]) of the windows that were decided one by one.
 
         again: what is so in the run is so wherever the document has the same windows.
         """
         rows = self.candidates(docs).mapInArrow(tidy(self._rows), "route long, c long, c2 long, doc long, at long")
-        met = sorted_by(rows, "route").mapInArrow(tidy(self._meet), "anchor long, doc long, at long")
-        asked = met.filter("anchor is not null").groupBy(F.col("doc").alias("_id")).agg(F.collect_list(F.struct("anchor", "at")).alias("asked"))
-        content = docs.join(asked, "_id").select("_id", "_text", "asked").mapInArrow(tidy(self._fetch), "again long, anchor long, doc long, start long, count long, content binary")
-        decided = sorted_by(content, "anchor").mapInArrow(tidy(self._order), "doc long, start long, stop long, again long")
-        whole = met.filter("anchor is null").select("doc", F.expr("shiftright(at, 25)").alias("start"), F.expr(f"shiftright(at, 25) + (shiftright(at, 9) & 255) + {self.length - 1}").alias("stop"), F.expr("shiftright(at, 17) & 1").alias("again"))
-        return whole.unionByName(decided).groupBy(F.col("doc").alias("_id")).agg(F.collect_list(F.struct("start", "stop", "again")).alias("runs"))
+        met = sorted_by(rows, "route").mapInArrow(tidy(self._meet), "anchor long, doc long, at long").filter("doc is not null")
+        # one exchange by document serves both the contents asked for and the result
+        met = met.groupBy(F.col("doc").alias("_id")).agg(F.collect_list(F.struct("anchor", "at")).alias("met"))
+        asked = met.filter(F.exists("met", lambda x: x["anchor"].isNotNull()))
+        content = docs.join(asked, "_id").select("_id", "_text", "met").mapInArrow(tidy(self._fetch), "again long, anchor long, doc long, start long, count long, crowded boolean, late boolean, content binary")
+        decided = sorted_by(content, "anchor").mapInArrow(tidy(self._ordered), "doc long, start long, stop long, again long")
+        return met, decided.groupBy(F.col("doc").alias("_id")).agg(F.collect_list(F.struct("start", "stop", "again")).alias("runs"))
+
+    def _told(self, met: pa.ListScalar, runs_: pa.ListScalar) -> list[tuple[np.ndarray, ...]]:
+        """(start, stop, again) of what repeats in a document."""
+        out = []
+        if met.is_valid:
+            got = met.values
+            start, count, _, again, _ = unpacked(got.field("at").to_numpy(zero_copy_only=False)[got.field("anchor").is_null().to_numpy(zero_copy_only=False)])
+            out.append((start, start + count + self.length - 1, again))
+        if runs_.is_valid:
+            out.append(tuple(runs_.values.field(c).to_numpy(zero_copy_only=False) for c in ("start", "stop", "again")))
+        return out
 
     def _everywhere(self, laid: Laid, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Where in a document the windows of some of its runs start, all of their occurrences."""
@@ -291,21 +332,20 @@ class Repeats:
         return may[np.array([c in known for c in content], bool)]
 
     def removed(self, docs: DataFrame, digest: Callable, columns: str) -> DataFrame:
-        """digest(laid text, raw bytes, removed mask) -> values of `columns` for every document of (_id, _text)."""
+        """digest(laid text, removed mask) -> values of `columns` for every document of (_id, _text)."""
         dealt = docs.repartition("_id")
-        joined = dealt.join(self.find(dealt), "_id", "left").select("_id", "_text", "runs")
+        met, decided = self.find(dealt)
+        joined = dealt.join(met, "_id", "left").join(decided, "_id", "left").select("_id", "_text", "met", "runs")
 
         def apply(batches):
             for batch in batches:
                 data, at = text_bytes(batch.column("_text"))
                 out = []
-                for i, runs_ in enumerate(batch.column("runs")):
+                for i, (met_, runs_) in enumerate(zip(batch.column("met"), batch.column("runs"), strict=True)):
                     laid = self.laid(data, at[i : i + 2])
                     n = len(laid.codes)
                     gone = np.zeros(n + 1, np.int32)
-                    if runs_.is_valid:
-                        got = runs_.values
-                        start, stop, again = (got.field(c).to_numpy(zero_copy_only=False) for c in ("start", "stop", "again"))
+                    for start, stop, again in self._told(met_, runs_):
                         np.add.at(gone, start, 1)
                         np.add.at(gone, stop, -1)
                         if again.any():

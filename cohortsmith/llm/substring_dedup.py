@@ -104,25 +104,24 @@ class Levels(Repeats):
         i = np.flatnonzero(first)
         return doc > np.repeat(doc[i], np.diff(np.append(i, len(doc))))
 
-    def _order(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in grouped(batches, "anchor"):
-            doc, start, count, again = (t.column(x).to_pylist() for x in ("doc", "start", "count", "again"))
-            first: dict[bytes, int] = {}
-            windows = []
-            for d, n, content in zip(doc, count, t.column("content").to_pylist(), strict=True):
-                at = [0]
-                while (i := content.find(b" ", at[-1])) >= 0:
-                    at.append(i + 1)
-                at.append(len(content) + 1)
-                own = [content[at[k] : at[k + self.length] - 1] for k in range(n)]
-                windows.append(own)
-                for w in own:
-                    if first.setdefault(w, d) > d:
-                        first[w] = d
-            found = [(d, s + k, r) for d, s, r, own in zip(doc, start, again, windows, strict=True) for k, w in enumerate(own) if first[w] < d]
-            if found:
-                d, s, r = (np.array(x, np.int64) for x in zip(*found, strict=True))
-                yield runs(d, s, r, self.length)
+    def _order(self, t: pa.Table) -> Iterator[pa.RecordBatch]:
+        doc, start, count, again = (t.column(x).to_pylist() for x in ("doc", "start", "count", "again"))
+        first: dict[bytes, int] = {}
+        windows = []
+        for d, n, content in zip(doc, count, t.column("content").to_pylist(), strict=True):
+            at = [0]
+            while (i := content.find(b" ", at[-1])) >= 0:
+                at.append(i + 1)
+            at.append(len(content) + 1)
+            own = [content[at[k] : at[k + self.length] - 1] for k in range(n)]
+            windows.append(own)
+            for w in own:
+                if first.setdefault(w, d) > d:
+                    first[w] = d
+        found = [(d, s + k, r) for d, s, r, own in zip(doc, start, again, windows, strict=True) for k, w in enumerate(own) if first[w] < d]
+        if found:
+            d, s, r = (np.array(x, np.int64) for x in zip(*found, strict=True))
+            yield runs(d, s, r, self.length)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import BYTE_CODES, Rolling, grouped, keyed, named
+from ._common import BYTE_CODES, Rolling, keyed, named
 from ._windows import Repeats, as_bytes, changes, runs
 
 MIN_BYTES = 100
@@ -148,18 +148,17 @@ class Factors(Repeats):
         # equal stretches share all their bytes, and rows come in order of position
         return previous_factors(np.arange(len(first)), np.where(first, 0, self.length), self.length) >= self.length
 
-    def _order(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in grouped(batches, "anchor"):
-            doc, start, count, again = (t.column(x).to_numpy() for x in ("doc", "start", "count", "again"))
-            raw = np.frombuffer(b"".join(t.column("content").to_pylist()), np.uint8)
-            lengths = count - 1 + self.length
-            base = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-            row = np.repeat(np.arange(len(doc)), count)
-            step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            at = start[row] + step
-            earlier = factors(raw, base[row] + step, self.length, doc[row], at) >= self.length
-            if earlier.any():
-                yield runs(doc[row[earlier]], at[earlier], again[row[earlier]], self.length)
+    def _order(self, t: pa.Table) -> Iterator[pa.RecordBatch]:
+        doc, start, count, again = (t.column(x).to_numpy() for x in ("doc", "start", "count", "again"))
+        raw = np.frombuffer(b"".join(t.column("content").to_pylist()), np.uint8)
+        lengths = count - 1 + self.length
+        base = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        row = np.repeat(np.arange(len(doc)), count)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        at = start[row] + step
+        earlier = factors(raw, base[row] + step, self.length, doc[row], at) >= self.length
+        if earlier.any():
+            yield runs(doc[row[earlier]], at[earlier], again[row[earlier]], self.length)
 
 
 def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:

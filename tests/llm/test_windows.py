@@ -72,7 +72,7 @@ def test_words_against_brute_force(spark, seed):
     assert sum(x[1] for x in got.values()) > 100
 
 
-def test_much_shared_anchors_are_dealt_by_offset(spark, monkeypatch):
+def test_crowded_anchors_are_dealt_by_content(spark, monkeypatch):
     whole = suffix_dedup.Factors
     monkeypatch.setattr(suffix_dedup, "Factors", lambda n: whole(n, split=2))
     draw = random.Random(7)
@@ -83,6 +83,17 @@ def test_much_shared_anchors_are_dealt_by_offset(spark, monkeypatch):
     assert got == dict(enumerate(removed_bytes(texts, 100)))
 
 
+def test_crowded_anchors_of_words(spark, monkeypatch):
+    whole = substring_dedup.Levels
+    monkeypatch.setattr(substring_dedup, "Levels", lambda n: whole(n, split=2))
+    draw = random.Random(8)
+    passage = [f"p{i}" for i in range(14)]
+    texts = [" ".join([draw.choice(["a", "b"]) for _ in range(5)] + passage[draw.randrange(3) :] + [draw.choice(["c", "d"]) for _ in range(4)] + (passage if i % 9 == 0 else [])) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(docs).collect()}
+    assert got == dict(enumerate(removed_words(texts, 13)))
+
+
 def test_edges(spark):
     """Null ids come first, repeated rows are one document, other columns don't matter, an empty table has no rows."""
     text = "".join(chr(97 + i % 26) + str(i) for i in range(60))
@@ -175,6 +186,21 @@ def test_levels_double_and_end_where_no_candidate_is_left(spark, monkeypatch):
     assert set(left) == {0, 1}
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_frequent_keys_are_joined_where_they_lie(spark, monkeypatch, how):
+    from cohortsmith.llm import _common
+
+    monkeypatch.setattr(_common, "FEW", 5)
+    keys = [1] * 400 + [2] * 90 + [*range(3, 60)] * 2 + [None] * 3 + [99]
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long").repartition(3)
+    facts = spark.createDataFrame([(k, keys.count(k), f"f{k}") for k in set(keys) - {None, 99}], "k long, n long, f string")
+    got = _common.spread_join(rows, facts, "k", "n", how)
+    assert got.columns == rows.join(facts, "k").columns
+    expected = sorted((str(k), i, f"f{k}" if k in range(1, 60) else None) for i, k in enumerate(keys) if how == "left" or k in range(1, 60))
+    assert sorted((str(r["k"]), r["i"], r["f"]) for r in got.collect()) == expected
+    assert _common.spread_join(rows.limit(0), facts.limit(0), "k", "n", how).count() == 0
+
+
 def test_groups_stay_whole():
     import pyarrow as pa
 
