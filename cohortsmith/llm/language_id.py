@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import release, tidy
+from ._common import blocks, distinct_spans, release, text_bytes, tidy
 
 DOCS_PER_LANGUAGE = 2000
 WORDS_PER_LANGUAGE = 10_000
@@ -79,13 +80,24 @@ def _grams(at: Column, source: Column, k: int) -> Column:
     return F.transform(at, lambda i: source.substr(i, F.lit(k)))
 
 
+#: For each Latin-1 character its lower case, and whether it is a letter.
+_LOWER = np.array([ord(c) if len(c := chr(i).lower()) == 1 and ord(c) < 256 else i for i in range(256)], np.uint8)
+_LETTER = np.array([chr(i).isalpha() for i in range(256)])
+#: Bytes of texts that are predicted at a time, or one text.
+_BLOCK = 1 << 20
+
+
 class Predictor:
-    """Predicts in a Python worker; remembers the words it has scored, up to a bound."""
+    """Predicts in a Python worker; remembers the words it has scored, up to a bound.
+
+    Texts of Latin-1 characters are cut into words in numpy, many at a time, and each different word is looked up once;
+    other texts go one by one.
+    """
 
     def __init__(self, model: dict):
         import regex
 
-        self.languages, self.grams = model["languages"], model["grams"]
+        self.languages = model["languages"]
         self.find = regex.compile(r"\p{L}+").findall
         self.known = len(model["words"])
         width = max(1, len(self.languages))
@@ -93,43 +105,106 @@ class Predictor:
         if self.known:
             self.table[: self.known] = np.stack(list(model["words"].values()))
         self.words = list(model["words"])
+        self.gram = {g: i for i, g in enumerate(model["grams"])}
+        self.grams = np.stack(list(model["grams"].values())).astype(np.float64) if model["grams"] else np.zeros((0, width))
         self.forget()
 
     def forget(self) -> None:
-        self.index = {w: i for i, w in enumerate(self.words)}
+        self.index: dict[str, int] = {w: i for i, w in enumerate(self.words)}
+        #: Places of words by the names that distinct_spans() gives them.
+        self.named: dict[int | bytes, int] = {}
 
-    def backoff(self, word: str) -> np.ndarray:
-        marked = f"^{word}$"
+    def backoff(self, word: str) -> list[int]:
+        """The grams that an unseen word scores by, the mean of theirs: its longest known ones."""
+        marked, get = f"^{word}$", self.gram.get
         for k in range(LONGEST, 1, -1):
-            got = [g for i in range(len(marked) - k + 1) if (g := self.grams.get(marked[i : i + k])) is not None]
+            got = [i for j in range(len(marked) - k + 1) if (i := get(marked[j : j + k])) is not None]
             if got:
-                return np.mean(got, axis=0)
-        got = [g for c in word if (g := self.grams.get(c)) is not None]
-        return np.mean(got, axis=0) if got else np.zeros(len(self.languages), np.float32)
+                return got
+        return [i for c in word if (i := get(c)) is not None]
+
+    def _room(self, more: int) -> None:
+        """Makes room for so many unseen words, if need be by forgetting others."""
+        if len(self.index) + more > len(self.table):
+            self.forget()
+            if len(self.index) + more > len(self.table):  # one text with more unseen words than are remembered
+                self.table = np.concatenate((self.table, np.zeros((more, self.table.shape[1]), np.float32)))
+
+    def _places(self, words: list[str]) -> list[int]:
+        """Where words' scores are; of those unseen so far, too. There must be room for them."""
+        index, start = self.index, len(self.index)
+        out = [index.setdefault(w, len(index)) for w in words]
+        if len(index) > start:
+            grams = list(map(self.backoff, islice(index, start, None)))
+            count = np.array(list(map(len, grams)))
+            some, flat = np.flatnonzero(count), np.array(list(chain.from_iterable(grams)), np.int64)
+            self.table[start : len(index)] = 0
+            if len(some):
+                self.table[start + some] = np.add.reduceat(self.grams[flat], np.cumsum(count[some]) - count[some], axis=0) / count[some, None]
+        return out
+
+    def _best(self, total: np.ndarray) -> tuple[str, float]:
+        best = int(total.argmax())
+        return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         words = self.find(text.lower()) if text else []
         if not words or not self.languages:
             return "und", 0.0
-        if len(self.index) + len(words) > len(self.table):
-            self.forget()
-        index, at = self.index, []
-        for w in words:
-            i = index.get(w)
-            if i is None:
-                i = len(index)
-                if i == len(self.table):  # one text with more unseen words than are remembered
-                    self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-                index[w] = i
-                self.table[i] = self.backoff(w)
-            at.append(i)
-        total = self.table[np.array(at)].sum(axis=0, dtype=np.float64)
-        best = int(total.argmax())
-        return self.languages[best], float(1 / np.exp(total - total[best]).sum())
+        self._room(len(words))
+        return self._best(self.table[np.array(self._places(words))].sum(axis=0, dtype=np.float64))
+
+    def _cut(self, texts: list[bytes]) -> list[tuple[str, float]]:
+        at = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        low = _LOWER[np.frombuffer(b" ".join([*texts, b""]), np.uint8)]
+        inside = np.diff(np.concatenate(([False], _LETTER[low], [False])).astype(np.int8))
+        start, end = np.flatnonzero(inside == 1), np.flatnonzero(inside == -1)
+        out = [("und", 0.0)] * len(texts)
+        if not len(start):
+            return out
+        names, one, place = distinct_spans(low, start, end)
+        self._room(len(names))
+        rows = list(map(self.named.get, names))
+        raw = low.tobytes()
+        new = [k for k, i in enumerate(rows) if i is None]
+        if new:
+            words = [raw[a:b].decode("latin-1") for a, b in zip(start[one[new]].tolist(), end[one[new]].tolist(), strict=True)]
+            for k, i in zip(new, self._places(words), strict=True):
+                rows[k] = self.named[names[k]] = i
+        text = np.searchsorted(at, start, side="right") - 1
+        first = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
+        total = np.add.reduceat(self.table[np.array(rows)[place]], first, axis=0, dtype=np.float64)
+        for k, t in zip(text[first].tolist(), total, strict=True):
+            out[k] = self._best(t)
+        return out
+
+    def many(self, texts: list[bytes | None]) -> list[tuple[str, float]]:
+        """The language and score of each text (UTF-8)."""
+        out, plain = [("und", 0.0)] * len(texts), []
+        if not self.languages:
+            return out
+        for i, raw in enumerate(texts):
+            if not raw:
+                continue
+            if raw.isascii():
+                plain.append((i, raw))
+                continue
+            try:
+                plain.append((i, raw.decode().encode("latin-1")))
+            except UnicodeEncodeError:
+                out[i] = self(raw.decode())
+        for (i, _), found in zip(plain, self._cut([t for _, t in plain]) if plain else [], strict=True):
+            out[i] = found
+        return out
 
 
 def predicted(docs: DataFrame, model: dict, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """docs with two more columns, the predicted language and its score. `und` with score 0 where text is null or has no letter, or nothing was learned."""
+    """docs with two more columns, the predicted language and its score. `und` with score 0 where text is null or has no letter, or nothing was learned.
+
+    A text of any length is read whole, in one task. docs must not have a column of one of the names (ValueError).
+    """
+    if taken := {n.lower() for n in names} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"there are columns {sorted(taken)} already")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
@@ -138,7 +213,8 @@ def predicted(docs: DataFrame, model: dict, names: tuple[str, str] = ("lang_pred
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = Predictor(shared.value)
         for batch in batches:
-            found = [one(x.as_py()) for x in batch.column(where)]
+            data, at = text_bytes(batch.column(where).fill_null(""))
+            found = [x for i, j in blocks(at, _BLOCK) for x in one.many([data[at[k] : at[k + 1]].tobytes() for k in range(i, j)])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*columns, *names])
 
     return docs.mapInArrow(tidy(predict), schema)
@@ -147,8 +223,8 @@ def predicted(docs: DataFrame, model: dict, names: tuple[str, str] = ("lang_pred
 def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row; only text is an input of a prediction.
 
-    Rows that repeat an id are predicted each by itself. No documents, or no labelled ones: every
-    lang_pred is `und`.
+    Rows that repeat an id are predicted each by itself; a null id's fold is that of empty text. Equal scores go to the first
+    language by name. Other columns are ignored. No documents, no rows; no labelled ones: every lang_pred is `und`.
     """
     model = fit(docs)
     out = predicted(docs.select("doc_id", "text", (remainder() == 0).alias("held_out")), model)

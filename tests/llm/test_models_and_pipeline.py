@@ -105,6 +105,64 @@ def test_held_out_accuracy(spark):
     assert len(held) > 30 and all(r["lang_pred"] == truth[r["doc_id"]] and 0.5 < r["score"] <= 1 for r in held)
 
 
+def plain_model(rows, words_most=language_id.WORDS_PER_LANGUAGE, grams_most=language_id.GRAMS_PER_LENGTH):
+    """Log frequencies of words and n-grams by language, and what a word scores, by the definition."""
+    import re
+    from collections import Counter
+
+    counts = {}
+    for i, text, lang in rows:
+        if lang is None or text is None or zlib.crc32(str(i).encode()) % 5 == 0:
+            continue
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            counts.setdefault((lang, 0), Counter())[w] += 1
+            for k in range(1, 5):
+                s = w if k == 1 else f"^{w}$"
+                for j in range(len(s) - k + 1):
+                    counts.setdefault((lang, k), Counter())[s[j : j + k]] += 1
+    langs = sorted({lang for lang, _ in counts})
+    kept = {key: dict(sorted(c.items(), key=lambda x: (-x[1], x[0]))[: words_most if key[1] == 0 else grams_most]) for key, c in counts.items()}
+
+    def row(k, term):
+        if not any(term in kept.get((x, k), ()) for x in langs):
+            return None
+        return [math.log((kept.get((x, k), {}).get(term, 0) + 0.5) / (sum(counts.get((x, k), {}).values()) + 500)) for x in langs]
+
+    def word(w):
+        if (got := row(0, w)) is not None:
+            return got
+        for k in range(4, 0, -1):
+            s = w if k == 1 else f"^{w}$"
+            found = [r for j in range(len(s) - k + 1) if (r := row(k, s[j : j + k])) is not None]
+            if found:
+                return [sum(c) / len(found) for c in zip(*found, strict=True)]
+        return [0.0] * len(langs)
+
+    def predicted(text):
+        scores = [word(w) for w in re.findall(r"[^\W\d_]+", (text or "").lower())]
+        if not scores:
+            return "und", 0.0
+        total = [sum(c) for c in zip(*scores, strict=True)]
+        best = total.index(max(total))
+        return langs[best], 1 / sum(math.exp(t - total[best]) for t in total)
+
+    return predicted
+
+
+@pytest.mark.parametrize("most", [(10_000, 3_000), (15, 6)])
+def test_predictions_equal_a_plain_model(spark, most):
+    """Known words, words that fall back to grams of every length, and words of which nothing is known; with few words and grams kept, too."""
+    rows = [(i, speech(lang, i), lang if i % 11 else None) for i, lang in enumerate(["aa", "bb", "cc"] * 30)]
+    rows += [(200 + i, t, None) for i, t in enumerate(["kaxx toq", "xschx", "zz 12", "12", "", None, "ent kaka bobo", "qqq www", "Ka-TO_mi"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, words_per_language=most[0], grams_per_length=most[1])
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predicted(docs, model).collect()}
+    plain = plain_model(rows, *most)
+    for i, text, _ in rows:
+        lang, score = plain(text)
+        assert got[i][1] == pytest.approx(score, abs=1e-4) and (got[i][0] == lang or score < 0.5001), (text, got[i], lang, score)
+
+
 def test_only_the_training_folds_text_and_language_matter(spark):
     rows = [(i, speech(lang, i), lang) for i, lang in enumerate(["aa", "bb"] * 60)]
     held = [i for i in range(120) if zlib.crc32(str(i).encode()) % 5 == 0]
