@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,19 +37,32 @@ SPLIT = 4096
 
 @dataclass
 class Laid:
-    """Texts laid end to end as codes. edges: each text's first code, and the number of all. content[start[i]:stop[j]] is what codes i to j say."""
+    """Texts laid end to end. edges: each text's first code, and the number of all. content[start[i]:stop[j]] is what codes i to j say."""
 
-    codes: np.ndarray
+    make: Callable[[], np.ndarray]
     edges: np.ndarray
     content: bytes
     start: np.ndarray
     stop: np.ndarray
 
+    @cached_property
+    def codes(self) -> np.ndarray:
+        return self.make()
+
+    def one(self, k: int) -> Laid:
+        """The k-th text alone."""
+        a, b = self.edges[k], self.edges[k + 1]
+        return Laid(lambda: self.codes[a:b], np.array([0, b - a]), self.content, self.start[a:b], self.stop[a:b])
+
+    def whole(self) -> bytes:
+        """All of the content."""
+        return self.content[self.start[0] : self.stop[-1]] if len(self.start) else b""
+
 
 def as_bytes(data: np.ndarray, at: np.ndarray) -> Laid:
     part = data[at[0] : at[-1]]
     place = np.arange(len(part) + 1)
-    return Laid(BYTE_CODES[part], at - at[0], part.tobytes(), place[:-1], place[1:])
+    return Laid(lambda: BYTE_CODES[part], at - at[0], part.tobytes(), place[:-1], place[1:])
 
 
 def as_words(data: np.ndarray, at: np.ndarray) -> Laid:
@@ -61,7 +75,7 @@ def as_words(data: np.ndarray, at: np.ndarray) -> Laid:
     own = np.arange(total) + np.repeat(start - (np.cumsum(size) - size), size)
     content = np.full(total + len(size), 0x20, np.uint8)
     content[np.arange(total) + np.repeat(np.arange(len(size)), size)] = part[own]
-    return Laid(codes, edges, content.tobytes(), first, first + size)
+    return Laid(lambda: codes, edges, content.tobytes(), first, first + size)
 
 
 def anchors(codes: np.ndarray, edges: np.ndarray, length: int, gram: int, alive: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
@@ -188,6 +202,14 @@ class Repeats:
             # an empty document shares its edge with the next one; the last of them holds the window
             yield laid, h, s, n, o, ids[i + np.searchsorted(laid.edges, s, side="right") - 1]
 
+    def _each(self, batch: pa.RecordBatch) -> Iterator[tuple[int, Laid]]:
+        """The documents of a batch, one by one, laid many at a time."""
+        data, at = text_bytes(batch.column("_text"))
+        for i, j in blocks(at):
+            laid = self.laid(data, at[i : j + 1])
+            for k in range(i, j):
+                yield k, laid.one(k - i)
+
     def _rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
@@ -250,10 +272,10 @@ class Repeats:
         names = ["again", "anchor", "doc", "start", "count", "crowded", "late", "content"]
         types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.binary()]
         for batch in batches:
-            data, at = text_bytes(batch.column("_text"))
             out, first, windows = [], {}, []
-            for i, (doc, rows) in enumerate(zip(_ids(batch).tolist(), batch.column("met"), strict=True)):
-                laid = self.laid(data, at[i : i + 2])
+            ids, met = _ids(batch).tolist(), batch.column("met")
+            for i, laid in self._each(batch):
+                doc, rows = ids[i], met[i]
                 anchor_, place = rows.values.field("anchor").to_pylist(), rows.values.field("at").to_numpy()
                 for name, start, count, _, again, crowded in zip(anchor_, *(x.tolist() for x in unpacked(place)), strict=True):
                     if name is None:  # decided already
@@ -339,13 +361,11 @@ class Repeats:
 
         def apply(batches):
             for batch in batches:
-                data, at = text_bytes(batch.column("_text"))
-                out = []
-                for i, (met_, runs_) in enumerate(zip(batch.column("met"), batch.column("runs"), strict=True)):
-                    laid = self.laid(data, at[i : i + 2])
-                    n = len(laid.codes)
+                out, met_, runs_ = [], batch.column("met"), batch.column("runs")
+                for i, laid in self._each(batch):
+                    n = len(laid.start)
                     gone = np.zeros(n + 1, np.int32)
-                    for start, stop, again in self._told(met_, runs_):
+                    for start, stop, again in self._told(met_[i], runs_[i]):
                         np.add.at(gone, start, 1)
                         np.add.at(gone, stop, -1)
                         if again.any():

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -216,14 +217,14 @@ def formatted(turns: DataFrame, part: int = PART) -> DataFrame:
     """(conv_id, part, text, loss) from turns (conv_id, turn, role, text).
 
     Turns are ordered by turn (null first), then role and text. A null role or text is empty. text is a
-    part of the conversation's text; most have one part, long ones go on in further rows, so that a
-    conversation of any length streams through bounded memory. loss: [(start, end)] in the part's code
-    points. Rows of a conversation follow each other in one partition. A row that is `empty` (a Boolean column that turns may have)
+    part of the conversation's text, part a number that orders them; most have one part, long ones go on in further rows. Ranges
+    of (conv_id, turn) are dealt to tasks, so that one conversation of any length is formatted by many, each in bounded
+    memory. loss: [(start, end)] in the part's code points. A row that is `empty` (a Boolean column that turns may have)
     is no turn: its conversation has an empty text if it has no others. Other columns are ignored.
     """
     empty = F.coalesce("empty", F.lit(False)) if dict(turns.dtypes).get("empty") == "boolean" else F.lit(False)
     one = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), empty.alias("empty"))
-    dealt = one.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    dealt = one.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text")
     return dealt.mapInArrow(tidy(_format(part)), "conv_id long, part long, text string, loss array<struct<start:long,stop:long>>")
 
 
@@ -232,12 +233,13 @@ _PARTS = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("text", pa.s
 
 def _format(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, part, pieces, size, loss, begun, rows = None, 0, [], 0, [], False, []
+        base = TaskContext.get().partitionId() << 32  # ranges follow each other
+        name, part, pieces, size, loss, begun, rows = None, base, [], 0, [], False, []
         for batch in batches:
             for conv, role, text, empty in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text", "empty")), strict=True):
                 if begun and (conv != name or size >= most):
                     rows.append((name, part, "".join(pieces), loss))
-                    part, pieces, size, loss = part + 1 if conv == name else 0, [], 0, []
+                    part, pieces, size, loss = part + 1 if conv == name else base, [], 0, []
                 begun, name = True, conv
                 if empty:
                     continue
@@ -270,7 +272,10 @@ def parsed(text: str) -> Iterator[tuple[str, str, int]]:
 
 
 def read_back(formatted_: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) of formatted()'s rows, read from their texts and masks."""
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) of formatted()'s rows, read from their texts and masks.
+
+    A digest goes through a conversation from its start to its end, in one task, which reads it part by part.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, begun = None, False
@@ -297,4 +302,4 @@ def read_back(formatted_: DataFrame) -> DataFrame:
         if begun:
             yield row()
 
-    return formatted_.mapInArrow(tidy(read), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted_.repartition("conv_id").sortWithinPartitions("conv_id", "part").mapInArrow(tidy(read), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import blocks, grouped, keyed, mix, named, saved, text_bytes, tidy, words_of
+from ._common import blocks, grouped, keyed, mix, named, saved, spread_join, text_bytes, tidy, words_of
 from ._windows import sorted_by
 from .components import components
 
@@ -143,18 +143,18 @@ def _buckets(sets: DataFrame) -> DataFrame:
     out, counts = None, None
     for depth in range(1, DEPTH + 1):
         level = saved(level)
-        sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("members")).filter("n > 1")
+        sizes = saved(level.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("members")).filter("n > 1"))
         small = sizes if depth == DEPTH else sizes.filter(F.col("n") <= LIMIT)
-        rows = level.join(small.select("path"), "path").select("path", "rep")
+        rows = spread_join(level, small.select("path", "n"), "path", "n").select("path", "rep")
         out = rows if out is None else out.union(rows)
         counts = small if counts is None else counts.union(small)
         if depth < DEPTH:
-            large = sizes.filter(F.col("n") > LIMIT).select("path")
-            start = level.join(large, "path")
+            large = sizes.filter(F.col("n") > LIMIT).select("path", "n")
+            start = spread_join(level, large, "path", "n").select("rep", "r", "path")
             tokens = sets.select("rep", F.explode(CHOSEN[depth]).alias("x")).select("rep", F.col("x.r").alias("r"), F.col("x.t").alias("t"))
             level = start.join(tokens, ["rep", "r"]).select("rep", "r", F.xxhash64("path", "t").alias("path"))
-    once = counts.groupBy("n", "members").agg(F.min("path").alias("path")).select("path", "n")
-    return out.join(once, "path")
+    once = saved(counts.groupBy("n", "members").agg(F.min("path").alias("path")).select("path", "n"))
+    return spread_join(out, once, "path", "n")
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,14 +344,16 @@ def blocked(sized: DataFrame) -> DataFrame:
     Linked sets' sizes differ by the threshold's share at most, so that they lie in one band or in two that follow each
     other. A component of one block is one band.
     """
-    blocks_ = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("long").alias("n_blocks")
-    whole = sized.groupBy("label").agg(blocks_).select("label", (F.col("n_blocks") > 1).alias("large"))
-    band = F.when(F.col("large"), F.floor(F.log(F.col("size").cast("double")) / math.log(1000 / THRESHOLD))).otherwise(F.lit(0)).cast("long")
-    banded = sized.join(whole, "label").withColumn("band", band).drop("large")
+    blocks_ = lambda rows, size: F.greatest(F.ceil(F.col(rows) / BLOCK_ROWS), F.ceil(F.col(size) / BLOCK_SHINGLES)).cast("long")
+    banded = sized.withColumn("band", F.floor(F.log(F.col("size").cast("double")) / math.log(1000 / THRESHOLD)).cast("long"))
     # a component has a band for each factor of 1000 / threshold in size, so the map is small
-    shape = banded.groupBy("label", "band").agg(blocks_).groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("band", "n_blocks"))).alias("shape"))
+    bands = banded.groupBy("label", "band").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("all"))
+    shape = bands.groupBy("label").agg(F.sum("rows").alias("rows"), F.sum("all").alias("all"), F.map_from_entries(F.collect_list(F.struct("band", blocks_("rows", "all")))).alias("shape"))
+    shape = saved(shape.select("label", "rows", (blocks_("rows", "all") > 1).alias("large"), "shape"))
     at = lambda step: F.coalesce(F.try_element_at("shape", F.col("band") + step), F.lit(0)).cast("long")
-    return banded.join(shape, "label").select("*", at(0).alias("n_blocks"), at(1).alias("above"), at(-1).alias("below")).drop("shape")
+    own = lambda value, small: F.when(F.col("large"), value).otherwise(F.lit(small)).cast("long")
+    found = spread_join(banded, shape, "label", "rows")
+    return found.select(*sized.columns, own(F.col("band"), 0).alias("band"), own(at(0), 1).alias("n_blocks"), own(at(1), 0).alias("above"), own(at(-1), 0).alias("below"))
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -360,7 +362,8 @@ def linked(docs: DataFrame) -> DataFrame:
     class_id: the smallest doc_id that links connect with this one (itself, if none). n_links: documents
     with a similarity of at least the threshold; n_copies: those among them with an equal set. Null text
     is empty; texts without words have no links, not even with each other; different texts of one doc_id are
-    documents of their own, see keyed(). A null doc_id's class_id is null. No documents, no rows.
+    documents of their own, see keyed(). A null doc_id's class_id is null. A text of any length is one set, described in one
+    task. Other columns are ignored. No documents, no rows.
     """
     texts, names = keyed(docs)
     return named(linked_keys(texts), names, _id="doc_id", **{"class": "class_id"}).select("doc_id", "class_id", "n_links", "n_copies")
@@ -387,5 +390,6 @@ def linked_keys(texts: DataFrame) -> DataFrame:
     links = decided.groupBy("rep").agg(F.sum("links").alias("links"))
     of_rep = groups.join(links, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
     of_name = of_rep.select("name", F.coalesce("label", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), (F.col("n") - 1).alias("n_copies"))
-    out = described.select("_id", F.when(F.col("size") > 0, F.col("name")).alias("name")).join(of_name, "name", "left")
+    named = described.select("_id", F.when(F.col("size") > 0, F.col("name")).alias("name"))
+    out = spread_join(named, saved(of_name.withColumn("rows", F.col("n_copies") + 1)), "name", "rows", "left")
     return out.select("_id", F.coalesce("class", "_id").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(0)).cast("long").alias("n_copies"))

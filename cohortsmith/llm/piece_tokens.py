@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from ._common import tidy
 
 _SPACE = "▁"
-_CACHE = 500_000
+#: Units that a worker remembers, each of at most so many characters.
+_CACHE, _LONGEST = 500_000, 64
 _UNKNOWN_PENALTY = 10.0
 
 
@@ -121,7 +122,11 @@ class Pieces:
             for w in words:
                 if w not in units:
                     units[w] = self.encoded(_SPACE + w)
-            return b"".join([*head, *[units[w] for w in words]])
+            out = b"".join([*head, *[units[w] for w in words]])
+            for w in words:
+                if len(w) > _LONGEST:
+                    units.pop(w, None)
+            return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that was encoded."""
@@ -160,7 +165,8 @@ def _merged(words: list[str]) -> list[str]:
 def encoded(docs: DataFrame, model: str) -> DataFrame:
     """docs' doc_id with `ids` (little-endian 32-bit integers) and the text decoded from them again.
 
-    A row for each row of docs; null text: as empty, no ids. Repeated and null doc_ids stay as they are.
+    A row for each row of docs; null text: as empty, no ids. Repeated and null doc_ids stay as they are. A text of any length is
+    encoded whole, in one task. Other columns are ignored. No documents, no rows.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +179,10 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:
-    """(doc_id, n_pieces, ids_sha256, decoded_sha256, exact): exact says that decoding gave the text back."""
+    """(doc_id, n_pieces, ids_sha256, decoded_sha256, exact): exact says that decoding gave the text back.
+
+    A row for each row of docs, as encoded(): null text as empty, repeated and null doc_ids as they are, long texts whole. No documents, no rows.
+    """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model)

@@ -134,7 +134,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
 
     def digest(laid, gone):
-        kept = laid.content[:-1]
+        kept = laid.whole()
         if gone.any():
             kept = b" ".join([laid.content[a:b] for a, b in zip(laid.start[~gone].tolist(), laid.stop[~gone].tolist(), strict=True)])
         return len(gone), int(gone.sum()), hashlib.sha256(kept).hexdigest()

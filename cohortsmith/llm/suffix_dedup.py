@@ -180,7 +180,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 
 
 def _left(laid, gone: np.ndarray) -> bytes:
-    return np.frombuffer(laid.content, np.uint8)[~gone].tobytes() if gone.any() else laid.content
+    return np.frombuffer(laid.whole(), np.uint8)[~gone].tobytes() if gone.any() else laid.whole()
 
 
 def kept_texts(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import Rolling, keyed, mix, named, remove, same_spans, saved, span_codes, text_bytes, tidy
+from ._common import Rolling, blocks, distinct_spans, keyed, mix, named, remove, saved, spread_join, text_bytes, tidy
 
 END_ID = 2
 #: A chunk ends where the hash of the last WINDOW ids has its lowest CUT_BITS bits zero, or at LONGEST ids.
@@ -40,6 +40,8 @@ WINDOW, CUT_BITS, LONGEST = 16, 8, 4096
 FAN = 1024
 #: Parts that a worker remembers, each of at most so many characters.
 _CACHE, _LONGEST_PART = 700_000, 64
+#: Bytes of texts that are encoded at a time, or one text.
+_BLOCK = 1 << 20
 
 
 #: What the tokenizer's normalizer and pattern make of a text of Latin-1 characters: its parts, in lower case.
@@ -57,8 +59,8 @@ class Encoder:
     """Encodes texts with a tokenizer, remembering the ids of their parts (words, digits, marks) up to a bound.
 
     word_bpe_49k.json drops white space and merges inside parts only, so that a text's ids are its parts' ids.
-    Texts are cut in numpy, many at a time, and each different part is looked up once, by its characters; equal
-    parts are found by hash and compared byte by byte. Unknown parts are encoded many at a time, set apart by spaces:
+    Texts are cut in numpy, many at a time, and each different part is looked up once, by its characters: parts of up to
+    seven are numbers, longer ones are found by hash and compared byte by byte. Unknown parts are encoded many at a time, set apart by spaces:
     each has exactly one piece with the end mark, its last. Texts with apostrophes (contractions are parts of their
     own) are cut by pattern; texts with other than Latin-1 characters or with `<|`, which may begin a special token, go
     through the tokenizer whole. So does every text if the tokenizer cuts `probes()` in another way than this class.
@@ -73,7 +75,7 @@ class Encoder:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith(end_mark)]] = True
         self.lower, self.kinds = _classes()
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[int | bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.by_parts = True
         texts = [t.encode() for t in probes()]
@@ -97,11 +99,10 @@ class Encoder:
                 at = e
 
     @staticmethod
-    def _bound(known: dict, parts) -> None:
-        """What is remembered stays bounded in number and in bytes."""
-        for p in parts:
-            if len(p) > _LONGEST_PART:
-                del known[p]
+    def _bound(known: dict, long) -> None:
+        """What is remembered stays bounded in number and in bytes: without these long parts, and without any above _CACHE."""
+        for p in long:
+            del known[p]
         if len(known) > _CACHE:
             known.clear()
 
@@ -113,19 +114,17 @@ class Encoder:
         own = kinds[1:-1]
         start = np.flatnonzero((own > 0) & ((own != kinds[:-2]) | (own == 2)))
         stop = np.flatnonzero((own > 0) & ((own != kinds[2:]) | (own == 2))) + 1
-        _, first, place = np.unique(span_codes(low, start, stop), return_index=True, return_inverse=True)
-        if not same_spans(low, start, stop, first[place]).all():  # different parts of equal hash
-            return self._ids([t.decode("latin-1") for t in texts])
+        names, first, place = distinct_spans(low, start, stop)
         raw = low.tobytes()
-        names = [raw[i:j] for i, j in zip(start[first].tolist(), stop[first].tolist(), strict=True)]
         got = list(map(self.known.get, names))
         new = [i for i, x in enumerate(got) if x is None]
         if new:
-            fresh = [names[i] for i in new]
-            self._learn([p.decode("latin-1") for p in fresh], fresh, self.known)
+            a, b = start[first[new]].tolist(), stop[first[new]].tolist()
+            parts = [raw[i:j].decode("latin-1") for i, j in zip(a, b, strict=True)]
+            self._learn(parts, [names[i] for i in new], self.known)
             for i in new:
                 got[i] = self.known[names[i]]
-            self._bound(self.known, fresh)
+            self._bound(self.known, [names[i] for i, p in zip(new, parts, strict=True) if len(p) > _LONGEST_PART])
         size = np.array([len(x) for x in got], np.int64) // self.width
         flat, lengths = np.frombuffer(b"".join(got), f"<u{self.width}"), size[place]
         ends = np.cumsum(lengths)
@@ -140,7 +139,7 @@ class Encoder:
         new = list(set(chain.from_iterable(found)) - self.parts.keys())
         self._learn(new, new, self.parts)
         out = [b"".join(map(self.parts.__getitem__, parts)) for parts in found]
-        self._bound(self.parts, new)
+        self._bound(self.parts, [p for p in new if len(p) > _LONGEST_PART])
         return out
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
@@ -204,11 +203,9 @@ def _encode(path: str, end_id: int):
         size = encoder.width
         end = np.array([end_id], f"<u{size}").tobytes()
         for batch in batches:
-            n = batch.num_rows
             data, at = text_bytes(batch.column("_text"))
             names = batch.column("_id").to_pylist()
-            for i in range(0, n, 128):
-                j = min(n, i + 128)
+            for i, j in blocks(at, _BLOCK):
                 streams = [x + end for x in encoder([data[at[k] : at[k + 1]].tobytes() for k in range(i, j)])]
                 sizes = np.array([len(x) // size for x in streams])
                 edges = np.concatenate(([0], np.cumsum(sizes)))
@@ -261,7 +258,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> s
     """Writes the ids of every document (null text: empty) with end_id appended; returns the root digest.
 
     A null doc_id comes first. Different texts of one doc_id are documents that follow each other; the store
-    then has keys and a table of their ids, see keyed(). No documents: a store without rows.
+    then has keys and a table of their ids, see keyed(). A text of any length is encoded whole, in one task, and stored in
+    chunks of at most LONGEST ids. Other columns are ignored. No documents: a store without rows.
     """
     spark = docs.sparkSession
     texts, names = keyed(docs)
@@ -400,7 +398,8 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     facts = chunks(spark, path).mapInArrow(tidy(_facts(stored_width(spark, path))), "digest binary, n long, crc long")
     listed = recipes(spark, path)
     items = listed.mapInArrow(tidy(_after), "doc_id long, digest binary, size long, after long")
-    joined = items.join(facts, "digest", "left")
+    often = items.groupBy("digest").agg(F.count(F.lit(1)).alias("rows"))
+    joined = spread_join(items, saved(facts.join(often, "digest")), "digest", "rows", "left")
     checked = joined.select("doc_id", "after", "crc", F.when(F.col("n") == F.col("size"), F.col("n")).otherwise(F.raise_error(F.concat(F.lit("missing or wrong chunk "), F.hex("digest"))).cast("long")).alias("n"))
     summed = checked.mapInArrow(tidy(_terms), "doc_id long, term long, n long").groupBy("doc_id").agg(F.bit_xor("term").alias("ids_crc32"), F.sum("n").alias("read"))
     out = listed.select("doc_id", "start", "n_tokens").join(summed, "doc_id")

@@ -96,11 +96,24 @@ def test_formatted_conversations_read_back(spark, part):
     rows = [(i, k, r, t) for i, turns in convs.items() for k, (r, t) in enumerate(turns)]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
     formatted = chat_format.formatted(table, part)
-    assert (formatted.count() > 21) == (part == 40)
+    assert (formatted.count() > 21 + 3) == (part == 40)  # a row for each conversation, and one for each range that begins inside one
     got = {r["conv_id"]: tuple(r)[1:5] for r in chat_format.read_back(formatted).collect()}
     assert got == {i: expected_digest(t) for i, t in convs.items()}
 
 
+def test_one_conversation_is_formatted_by_many_tasks(spark):
+    turns = [("assistant" if i % 2 else "user", f"turn {i} <|x") for i in range(4000)]
+    table = spark.createDataFrame([(5, i, r, t) for i, (r, t) in enumerate(turns)] + [(6, 0, "user", "y")], "conv_id long, turn long, role string, text string").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        formatted = chat_format.formatted(table)
+        assert formatted.filter("conv_id = 5").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+        got = {r["conv_id"]: tuple(r)[1:5] for r in chat_format.read_back(formatted).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {5: expected_digest(turns), 6: expected_digest([("user", "y")])}
+
+
 def test_chat_edges(spark):
     """Null roles and texts are empty, a null turn comes first, ties go by role and text, repeated rows stay."""
     rows = [(1, 2, "b", "y", 0), (1, None, None, None, 0), (1, 2, "a", "z", 0), (1, 2, "a", "z", 0)]
@@ -135,7 +148,7 @@ def packed(spark, rows, **more):
 
 def test_every_token_is_packed_once_and_batches_fit(spark, monkeypatch):
     """Read back from the batches, every document's ids are the tokenizer's; batches are full, ordered and padded."""
-    monkeypatch.setattr(packing, "SHARD", 10)
+    monkeypatch.setattr(packing, "SHARD", 500)
     monkeypatch.setattr(packing, "_EMPTY", 3)
     draw = random.Random(2)
     texts = {i: " ".join(draw.choice(WORDS) for _ in range(draw.choice([0, 1, 3, 10, 40, 99, 250]))) for i in range(120)} | {500: None, 501: "", 502: "x " * 3000}
@@ -263,14 +276,17 @@ def test_words_of_equal_rolling_hash_have_their_own_ids():
     assert encode.by_parts
     for _ in range(2):
         assert [np.frombuffer(x, "<u2").tolist() for x in encode([t.encode() for t in texts])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
-    assert max(map(len, encode.known)) <= token_store._LONGEST_PART
+    assert all(len(k) <= token_store._LONGEST_PART for k in encode.known if isinstance(k, bytes))
+
 
+def test_parts_of_equal_hash_keep_their_ids(monkeypatch):
+    from cohortsmith.llm import _common
 
-def test_parts_of_equal_hash_go_through_the_library(monkeypatch):
+    texts = [b"understanding notwithstanding two", b"two notwithstanding", b"understandings"]
+    right = token_store.Encoder(P.path("word_bpe_49k.json"))(texts)
     encode = token_store.Encoder(P.path("word_bpe_49k.json"))
-    right = encode([b"one two three", b"two"])
-    monkeypatch.setattr(token_store, "span_codes", lambda data, start, stop: np.zeros(len(start), np.uint64))
-    assert encode([b"one two three", b"two"]) == right
+    monkeypatch.setattr(_common, "span_codes", lambda data, start, stop: np.zeros(len(start), np.uint64))
+    assert encode(texts) == right and len(encode.known) >= 4
 
 
 def test_a_tokenizer_that_cuts_otherwise_encodes_whole_texts(tmp_path):
@@ -398,3 +414,26 @@ def test_piece_digests(spark):
     assert len(got) == 4 and all(r["exact"] for r in got) and {r["doc_id"] for r in got} == {1, None, 2}
     ids = piece_tokens.encoded(spark.createDataFrame(rows, "doc_id long, text string"), P.path("piece_bpe_32k.model")).collect()
     assert [r["decoded"] for r in ids] == ["the dog", "", "the dog", "▁ x"]
+
+
+def test_pieces_of_very_long_texts_and_of_none(spark):
+    """A unit of 200,000 letters, and a text of as many words; no rows."""
+    draw = random.Random(4)
+    texts = {1: "".join(draw.choice("abcdefgh") for _ in range(200_000)), 2: " ".join(draw.choice(["the", "dog", "☃"]) for _ in range(200_000))}
+    docs = spark.createDataFrame([(i, t, i) for i, t in texts.items()], "doc_id long, text string, ids long")
+    got = {r["doc_id"]: r for r in piece_tokens.digests(docs, P.path("piece_bpe_32k.model")).collect()}
+    assert all(got[i]["exact"] and got[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items())
+    assert piece_tokens.digests(docs.limit(0), P.path("piece_bpe_32k.model")).count() == 0
+    own = pieces()
+    own(texts[1])
+    assert max(map(len, own.units), default=0) <= piece_tokens._LONGEST
+
+
+def test_a_very_long_text_is_stored(spark, tmp_path):
+    draw = random.Random(6)
+    texts = {1: " ".join(draw.choice(WORDS) for _ in range(100_000)), 2: "ab" * 100_000}
+    path = f"file://{tmp_path}/store"
+    token_store.write(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), path, P.path("word_bpe_49k.json"))
+    token_store.verify(spark, path)
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u2").tolist() for r in token_store.texts_ids(spark, path).collect()}
+    assert got == {i: [*ids, 2] for i, ids in library_ids(texts).items()}
