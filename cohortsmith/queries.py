@@ -202,8 +202,12 @@ def count_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _store(spark: SparkSession) -> store.CohortStore:
-    """A store of its own in the folder that the executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    """A store of its own in the folder that the executors share; without one only a local master can do."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp()}"
     return store.CohortStore(spark, f"{folder}/cohorts-{uuid.uuid4().hex}")
 
 
