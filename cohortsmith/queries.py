@@ -159,8 +159,7 @@ def cohort_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cohort_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items without their hash, which SQL has no word for."""
-    return store.items(_compiled(spark, sf_dir, "occurrence").subjects(), 12, "me").drop("hash")
+    return store.items(_compiled(spark, sf_dir, "occurrence").subjects(), 12, "me")
 
 
 def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,6 +288,27 @@ _OR = f"{_items_sql('R', '> 49')} UNION SELECT o_custkey FROM orders WHERE o_ord
 _EXCLUSION = f"{_BUILDING_SQL} EXCEPT {_URGENT_SQL}"
 _THREE = (_items_sql("R", "> 49"), _URGENT_SQL, _BUILDING_SQL)
 
+
+
+def _murmur3(*columns: tuple[str, str]) -> str:
+    """Murmur3 over columns (expression; long or text of ASCII characters), seeded with 42 and each next one with the hash so far."""
+    let = lambda name, value, body: f"list_transform([{value}], lambda {name}: {body})[1]"
+    times = lambda x, by: f"((({x})::HUGEINT * {by}) % 4294967296)::BIGINT"
+    turned = lambda x, by: let("v", x, f"((v << {by}) & 4294967295) | (v >> {32 - by})")
+    mixed = lambda h, k: f"({times(turned(f'xor({h}, {times(turned(times(k, 0xCC9E2D51), 15), 0x1B873593)})', 13), 5)} + {0xE6546B64}) % 4294967296"
+    down = lambda x, by: let("v", x, f"xor(v, v >> {by})")
+    ended = lambda h, size: down(times(down(times(down(f"xor({h}, {size})", 16), 0x85EBCA6B), 13), 0xC2B2AE35), 16)
+    found = "42::BIGINT"
+    for value, kind in columns:
+        if kind == "long":
+            words, size = f"[({value}) & 4294967295, ({value}) >> 32]", "8"
+        else:
+            four = " + ".join(f"{256**i} * ascii(({value})[4 * i + {i + 1}])" for i in range(4))
+            words, size = f"list_concat(list_transform(range(0, length({value}) // 4), lambda i: ({four})::BIGINT), list_transform(range(4 * (length({value}) // 4), length({value})), lambda i: ascii(({value})[i + 1])::BIGINT))", f"length({value})"
+        found = ended(f"list_reduce(list_concat([{found}], {words}), lambda h, k: {mixed('h', 'k')})", size)
+    return let("v", found, "(CASE WHEN v >= 2147483648 THEN v - 4294967296 ELSE v END)::INTEGER")
+
+
 ORACLES: dict[str, str] = {
     "population": _ALL_SQL,
     "and_group": _AND,
@@ -335,7 +355,7 @@ ORACLES: dict[str, str] = {
     "organization_lists": f"SELECT c_custkey AS subject_id, c_nationkey || ',' || (100 + n_regionkey) AS organization_ids FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey IN ({_EXCLUSION})",
     "cohort_difference": f"SELECT coalesce(a.subject_id, b.subject_id) AS subject_id, b.subject_id IS NULL AS deleted FROM ({_OCCURRENCE} >= 3) a FULL JOIN ({_CODES}) b ON a.subject_id = b.subject_id WHERE a.subject_id IS NULL OR b.subject_id IS NULL",
     "cohort_folded": f"WITH c AS (SELECT o_custkey AS subject_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderstatus = 'P' DESC) AS k, o_orderstatus = 'P' AS deleted FROM orders WHERE o_orderdate < TIMESTAMP '1993-01-01'), l AS (SELECT subject_id, deleted FROM c WHERE k = 1) ({_BUILDING_SQL} UNION SELECT subject_id FROM l WHERE NOT deleted) EXCEPT SELECT subject_id FROM l WHERE deleted",
-    "cohort_items": f"SELECT subject_id AS _itemreferenceid, 'Patient/' || subject_id AS item__reference, 'me' AS _provider, 12::BIGINT AS _listid FROM ({_OCCURRENCE} >= 3)",
+    "cohort_items": f"SELECT subject_id AS _itemreferenceid, 'Patient/' || subject_id AS item__reference, 'me' AS _provider, 12::BIGINT AS _listid, {_murmur3(('subject_id::BIGINT', 'long'), ("('Patient/' || subject_id)", 'text'), ("'me'", 'text'), ('12::BIGINT', 'long'))} AS hash FROM ({_OCCURRENCE} >= 3)",
     "cohort_documents": f"SELECT '12_' || subject_id AS id, subject_id AS \"resourceId\", 12::BIGINT AS \"groupId\", 'Patient' AS \"resourceType\" FROM ({_EXCLUSION})",
     "cohort_list": "SELECT '{\"deleted\":' || deleted || ',\"item\":{\"reference\":\"Patient/' || subject_id || '\"}}' AS line FROM (@DIFF@)",
     "cohort_relations": "SELECT 12::BIGINT AS cohort_a, r_regionkey::BIGINT AS cohort_b, 44818821::BIGINT AS concept FROM region UNION ALL SELECT r_regionkey, 12, 44818823 FROM region",
