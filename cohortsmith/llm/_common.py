@@ -50,7 +50,7 @@ _made: list[str] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """As saved(), as a Parquet table in the shared folder, which takes less room; it stays there until cleared() ends or the folder is cleared."""
+    """As saved(), as a Parquet table in the shared folder, which takes less room; it stays there until the folder is cleared, or whoever asked for tables_made() removes it."""
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     _made.append(path)
@@ -58,14 +58,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextmanager
-def cleared(spark: SparkSession):
-    """Removes, at the end, the tables that written() made inside."""
-    before = len(_made)
+def tables_made() -> Iterator[list[str]]:
+    """The paths of the tables that written() makes inside, known at the end; whoever asks for them removes them."""
+    before, out = len(_made), []
     try:
-        yield
+        yield out
     finally:
-        for path in _made[before:]:
-            remove(spark, path)
+        out += _made[before:]
         del _made[before:]
 
 

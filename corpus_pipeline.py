@@ -10,16 +10,47 @@ doc_id and text, and the other rows of a null or repeated doc_id as documents of
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortsmith.llm import jaccard_join, language_id, packing, quality_rules, suffix_dedup
-from cohortsmith.llm._common import cleared, keyed, named, remove, shared_path, table, written
+from cohortsmith.llm._common import keyed, named, remove, shared_path, table, tables_made, written
 from cohortsmith.shipping import ship
 
 #: A prediction below this is no decision between languages.
 LEAST_SCORE = 0.5
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Working tables of stages whose results may not be written yet.
+_held: list[str] = []
+
+
+def _stage(work: Stage) -> Stage:
+    """A stage's result is written before the next one begins, so that its working tables can go then, unless docs still reads them."""
+
+    @wraps(work)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        _release(spark, docs.inputFiles() if _held else [])
+        with tables_made() as made:
+            out = work(spark, docs, sf_dir)
+        _held.extend(made)
+        return out
+
+    return stage
+
+
+def _release(spark: SparkSession, read: list[str] = ()) -> None:
+    used = {p for p in _held if any(os.path.basename(p) in f for f in read)}
+    for path in _held:
+        if path not in used:
+            remove(spark, path)
+    _held[:] = [p for p in _held if p in used]
+
 
 def _name(column: str) -> str:
     return f"`{column.replace('`', '``')}`"
@@ -37,20 +68,20 @@ def unpacked(out: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
     return out.select(*(v.cast(docs.schema[c].dataType).alias(c) for c, v in own.items()))
 
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the risk-controlled cutoffs; a null or empty text does not. Each row is judged by itself.
 
     Every text is counted once: the counts are written beside the rows, and both the fit and the verdicts read them.
     """
-    ship(spark)
     counted = written(quality_rules.counted(carried(docs)), "counted")
     model = quality_rules.fit(counted.select("doc_id", "_q"), table(spark, sf_dir, "labels"), pooled=True)
     return unpacked(counted.filter(quality_rules.verdict(model, F.col("_q"))["kept"]), docs)
 
 
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: not `und` (null, empty, or without a letter), and not undecided between two. With no labels to learn from, those with a letter."""
-    ship(spark)
     model = language_id.fit(docs)
     if not model["languages"]:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
@@ -58,27 +89,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return unpacked(found.filter((F.col("language") != "und") & (F.col("score") >= LEAST_SCORE)), docs)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document with the smallest doc_id (null first). Null or empty texts are nobody's duplicates."""
-    ship(spark)
     texts, names = keyed(carried(docs), "rest")
     kept = jaccard_join.linked_keys(texts.select("_id", "_text")).filter("_id = class").select("_id")
     return unpacked(named(texts.join(kept, "_id", "left_semi"), names).withColumnRenamed("_text", "text"), docs)
 
 
+@_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes that occur earlier; one of which nothing is left goes, and so does one with a null or empty text. n_chars follows the text."""
-    ship(spark)
     texts, names = keyed(carried(docs), "rest")
     kept = suffix_dedup.kept_of(texts.select("_id", "_text")).select("_id", "text").filter("text != ''")
     return unpacked(named(texts.drop("_text").join(kept, "_id"), names), docs, n_chars=F.length("text"))
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of all documents, in batches of optimal length buckets: a row for each batch, with lists of its doc_ids. Null and empty texts are listed without ids."""
     import public_tokenizers
 
-    ship(spark)
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -99,10 +130,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = shared_path(spark, f"pipeline-{name.replace(' ', '-')}")
-        with cleared(spark):
-            stage(spark, docs, sf_dir).write.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if before:
             remove(spark, before)
         before = path
+    _release(spark)
     return docs

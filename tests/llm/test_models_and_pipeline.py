@@ -264,11 +264,17 @@ def test_extra_columns_have_any_name(spark, tmp_path):
 
 
 def test_working_tables_are_removed(spark, tmp_path):
-    from cohortsmith.llm import _common
-
-    with _common.cleared(spark):
-        assert _common.written(spark.range(3), "some").count() == 3
-        path = _common._made[-1]
+    """A stage's tables go when the next one begins, unless its input still reads them."""
+    text = speech("aa", 1, 60)
+    docs = spark.createDataFrame([(i, text + str(i), "aa") for i in range(3)], "doc_id long, text string, lang string")
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    corpus_pipeline._release(spark)
+    lazy = corpus_pipeline.quality(spark, docs, f"file://{tmp_path}")
+    (path,) = corpus_pipeline._held
+    assert corpus_pipeline.language(spark, lazy, "").count() == 3  # not written, so the table must stay
+    assert spark.read.parquet(path).count() == 3
+    corpus_pipeline.language(spark, docs, "")
+    assert path not in corpus_pipeline._held
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
 
