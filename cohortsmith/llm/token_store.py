@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import Rolling, blocks, distinct_spans, keyed, mix, named, remove, saved, spread_join, text_bytes, tidy
+from ._common import Rolling, blocks, distinct_spans, keyed, mix, named, remove, saved, text_bytes, tidy
 
 END_ID = 2
 #: A chunk ends where the hash of the last WINDOW ids has its lowest CUT_BITS bits zero, or at LONGEST ids.
@@ -398,8 +398,7 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     facts = chunks(spark, path).mapInArrow(tidy(_facts(stored_width(spark, path))), "digest binary, n long, crc long")
     listed = recipes(spark, path)
     items = listed.mapInArrow(tidy(_after), "doc_id long, digest binary, size long, after long")
-    often = items.groupBy("digest").agg(F.count(F.lit(1)).alias("rows"))
-    joined = spread_join(items, saved(facts.join(often, "digest")), "digest", "rows", "left")
+    joined = items.join(facts, "digest", "left")
     checked = joined.select("doc_id", "after", "crc", F.when(F.col("n") == F.col("size"), F.col("n")).otherwise(F.raise_error(F.concat(F.lit("missing or wrong chunk "), F.hex("digest"))).cast("long")).alias("n"))
     summed = checked.mapInArrow(tidy(_terms), "doc_id long, term long, n long").groupBy("doc_id").agg(F.bit_xor("term").alias("ids_crc32"), F.sum("n").alias("read"))
     out = listed.select("doc_id", "start", "n_tokens").join(summed, "doc_id")
