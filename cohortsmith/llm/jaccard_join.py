@@ -7,7 +7,8 @@ least the threshold are linked.
 2. In each of RUNS runs a set chooses the tokens whose hash is below 1 / (threshold * size), 1.25 of them
    on average, and goes to their buckets. Two sets above the threshold share a chosen token with
    probability 1 - 1/e at least. Buckets above LIMIT are split again by the tokens chosen under
-   another hash, up to DEPTH times. No two runs or depths share a hash: with at most DEPTH choices a
+   another hash, up to DEPTH times; before, members are joined to a few pivots, as in 3, and buckets that are
+   one component then, but for a few members that meet all others, are not split. No two runs or depths share a hash: with at most DEPTH choices a
    run finds a link with probability (1 - 1/e)^DEPTH at least, independently of the other runs, and
    RUNS is the number that brings the misses of this step below 1 - RECALL.
 3. Buckets with equal members count once. Inside a bucket sketches (one-permutation minima) are
@@ -42,6 +43,8 @@ RUNS = 16
 SKETCH = 128
 #: Sketch likeness from which a member is surely / possibly near a pivot.
 TIGHT, LOOSE = 0.86, 0.5
+#: Pivots that members of a bucket above LIMIT meet before it is split, about, and the members of the parts in which they do.
+FIRST, PART = 32, 2000
 #: Members above which a bucket is dealt in parts, and the pivots that all its parts meet in a round.
 HUGE, PIVOTS = 50_000, 1000
 #: Most rows and shingles of a block in the exact step.
@@ -139,22 +142,69 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _buckets(sets: DataFrame) -> DataFrame:
     """(path, rep, n) of the buckets to look into, each with two members or more (n), no two alike."""
+    return _split(sets, None)[0]
+
+
+def _split(sets: DataFrame, sketches: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """Buckets as _buckets() gives them, and (a, b) joining members of larger buckets that met pivots before they were split (none without sketches)."""
     level = sets.select("rep", F.explode(CHOSEN[0]).alias("x")).select("rep", F.col("x.r").alias("r"), F.col("x.t").alias("path"))
-    out, counts = None, None
+    out, counts, edges = None, None, None
+    sized = lambda rows: saved(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("members")).filter("n > 1"))
+
+    def taken(rows, some):
+        nonlocal out, counts
+        found = spread_join(rows, some.select("path", "n"), "path", "n").select("path", "rep")
+        out, counts = (found, some) if out is None else (out.union(found), counts.union(some))
+
+    def larger(rows, sizes):
+        return spread_join(rows, sizes.filter(F.col("n") > LIMIT).select("path", "n"), "path", "n").select("rep", "r", "path", "n")
+
     for depth in range(1, DEPTH + 1):
         level = saved(level)
-        sizes = saved(level.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("members")).filter("n > 1"))
-        small = sizes if depth == DEPTH else sizes.filter(F.col("n") <= LIMIT)
-        rows = spread_join(level, small.select("path", "n"), "path", "n").select("path", "rep")
-        out = rows if out is None else out.union(rows)
-        counts = small if counts is None else counts.union(small)
-        if depth < DEPTH:
-            large = sizes.filter(F.col("n") > LIMIT).select("path", "n")
-            start = spread_join(level, large, "path", "n").select("rep", "r", "path")
-            tokens = sets.select("rep", F.explode(CHOSEN[depth]).alias("x")).select("rep", F.col("x.r").alias("r"), F.col("x.t").alias("t"))
-            level = start.join(tokens, ["rep", "r"]).select("rep", "r", F.xxhash64("path", "t").alias("path"))
+        sizes = sized(level)
+        taken(level, sizes if depth == DEPTH else sizes.filter(F.col("n") <= LIMIT))
+        if depth == DEPTH or not sizes.filter(F.col("n") > LIMIT).limit(1).count():
+            break
+        start = larger(level, sizes)
+        if sketches is not None:
+            level, joined = _thinned(start, sketches)
+            edges = joined if edges is None else edges.union(joined)
+            sizes = sized(level)
+            taken(level, sizes.filter(F.col("n") <= LIMIT))
+            start = larger(level, sizes)
+        tokens = sets.select("rep", F.explode(CHOSEN[depth]).alias("x")).select("rep", F.col("x.r").alias("r"), F.col("x.t").alias("t"))
+        level = start.join(tokens, ["rep", "r"]).select("rep", "r", F.xxhash64("path", "t").alias("path"))
     once = saved(counts.groupBy("n", "members").agg(F.min("path").alias("path")).select("path", "n"))
-    return spread_join(out, once, "path", "n")
+    return spread_join(out, once, "path", "n"), edges
+
+
+def _thinned(rows: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rep, r, path) of the members of large buckets (rows, with n) that have to be split, and (a, b) joining members.
+
+    A group of near copies would meet again in all the smaller buckets, as many times as its members choose tokens. So
+    members meet about FIRST pivots of their bucket: what is surely near one leaves. A bucket that they join to one component,
+    but for a few others, is not split: these are pivots to all its members, and two members of one component need not meet.
+    """
+    rows = saved(rows.join(sketches, "rep"))
+    met = saved(_met(rows, rows.filter(F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / FIRST)) == 0)))
+    left = met.filter("not tight and not pivot").select(F.col("b").alias("rep"), "r", "path", F.col("a").alias("label"))
+    of_label = left.groupBy("path", "label").agg(F.count(F.lit(1)).alias("n"))
+    shape = of_label.groupBy("path").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("others"))
+    shape = saved(shape.withColumn("ends", (F.col("others") <= PIVOTS) & (F.col("others") * 4 <= F.col("n"))))
+    left, edges = saved(spread_join(left, shape, "path", "n")), met.filter("a != b").select("a", "b")
+    ending = left.filter(F.col("ends") & (F.col("others") > 0))
+    if ending.limit(1).count():
+        ending = saved(rows.join(ending.select("path", "rep", (F.col("label") != F.col("most")).alias("other")), ["path", "rep"]))
+        edges = edges.union(_met(ending, ending.filter("other")).filter("a != b").select("a", "b"))
+    return left.filter(~F.col("ends")).select("rep", "r", "path"), edges
+
+
+def _met(rows: DataFrame, pivots: DataFrame) -> DataFrame:
+    """What _against_pivots() gives for buckets (path, r, rep, sketch, n members) dealt in parts that all meet the bucket's pivots, some of its rows."""
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    members = rows.select("path", F.pmod(F.xxhash64("rep", F.lit("part")), parts).cast("int").alias("salt"), "r", "rep", "sketch", F.lit(False).alias("pivot"))
+    pivots = pivots.select("path", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), "r", "rep", "sketch", F.lit(True).alias("pivot"))
+    return sorted_by(members.union(pivots).withColumn("part", F.xxhash64("path", "salt")), "part").mapInArrow(tidy(_against_pivots), _MET)
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +230,7 @@ def candidates(marks: np.ndarray) -> np.ndarray:
     """For each sketch the index of the first one that it is joined to, over pivots."""
     label, left, used = np.arange(len(marks)), np.ones(len(marks), bool), marks > 0
     for p in range(len(marks)):
-        if left[p]:
+        if left[p] and label.any():
             like = _likeness(marks, used, marks[p])
             left[like >= TIGHT] = False
             left[p] = False
@@ -200,12 +250,15 @@ def _unite(label: np.ndarray, hit: np.ndarray) -> None:
         label[np.isin(label, old)] = old[0]
 
 
+_MET = "path long, r int, a long, b long, tight boolean, pivot boolean"
+
+
 def _against_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts of huge buckets, sorted by `part`, each with all of the round's pivots -> (path, a, b, tight): what joins b to a, and whether b is surely near a pivot."""
+    """Parts of huge buckets, sorted by `part`, each with all of the round's pivots -> (path, r, a, b, tight, pivot): b is joined to a, a pivot if to anyone else, and whether it is surely near a pivot."""
     for t in grouped(batches, "part"):
-        path, salt, rep, pivot = (t.column(c).to_numpy(zero_copy_only=False) for c in ("path", "salt", "rep", "pivot"))
+        path, salt, r, rep, pivot = (t.column(c).to_numpy(zero_copy_only=False) for c in ("path", "salt", "r", "rep", "pivot"))
         marks = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-        order = np.lexsort((rep, salt, path))
+        order = np.lexsort((rep, ~pivot, salt, path))
         start = np.flatnonzero(np.concatenate(([True], (np.diff(path[order]) != 0) | (np.diff(salt[order]) != 0))))
         for i, j in zip(start.tolist(), np.append(start[1:], len(order)).tolist(), strict=True):
             k = order[i:j]
@@ -214,7 +267,7 @@ def _against_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 like = _likeness(own, used, own[p])
                 tight |= like >= TIGHT
                 _unite(label, np.flatnonzero(like >= LOOSE))
-            yield pa.RecordBatch.from_arrays([pa.array(path[k]), pa.array(rep[k][label]), pa.array(rep[k]), pa.array(tight)], names=["path", "a", "b", "tight"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (path[k], r[k], rep[k][label], rep[k], tight, pivot[k])], names=["path", "r", "a", "b", "tight", "pivot"])
 
 
 def pivoted(buckets: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -231,9 +284,9 @@ def pivoted(buckets: DataFrame, sketches: DataFrame) -> DataFrame:
         share = left.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / PIVOTS).alias("m"))
         drawn = left.join(share, "path").filter(F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("m")) == 0).select("path", "rep")
         pivots = full.join(drawn, ["path", "rep"]).select("path", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), "rep", "sketch", F.lit(True).alias("pivot"))
-        both = members.union(pivots).withColumn("part", F.xxhash64("path", "salt"))
-        met = saved(sorted_by(both, "part").mapInArrow(tidy(_against_pivots), "path long, a long, b long, tight boolean"))
-        found = met.filter("a < b").select("a", "b")
+        both = members.union(pivots).withColumn("r", F.lit(0)).withColumn("part", F.xxhash64("path", "salt"))
+        met = saved(sorted_by(both, "part").mapInArrow(tidy(_against_pivots), _MET))
+        found = met.filter("a != b").select("a", "b")
         edges = found if edges is None else edges.union(found)
         left = saved(left.join(met.filter("tight").select("path", F.col("b").alias("rep")).distinct(), ["path", "rep"], "left_anti"))
         if not left.limit(1).count():
@@ -375,11 +428,15 @@ def linked_keys(texts: DataFrame) -> DataFrame:
     named = described.filter("size > 0").groupBy("name").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     groups = saved(named)
     sets = described.select(F.col("_id").alias("rep"), "size", "sketch", *CHOSEN).join(groups.select("rep", "n"), "rep")
-    found, sketches = saved(_buckets(sets.select("rep", *CHOSEN))), sets.select("rep", "sketch")
+    sketches = sets.select("rep", "sketch")
+    found, met = _split(sets.select("rep", *CHOSEN), sketches)
+    found = saved(found)
     near = sorted_by(found.filter(F.col("n") <= HUGE).select("path", "rep").join(sketches, "rep"), "path").mapInArrow(tidy(_joined), "a long, b long")
     huge = found.filter(F.col("n") > HUGE)
     if huge.limit(1).count():
         near = near.union(pivoted(huge, sketches))
+    if met is not None:
+        near = near.union(met)
     labels = saved(components(near))
     sized = labels.join(sets.select(F.col("rep").alias("node"), "size", "n"), "node")
     members = blocked(sized)

@@ -77,6 +77,30 @@ def test_recall_where_all_buckets_are_split(spark, monkeypatch):
     assert found.select("pair").distinct().count() >= jaccard_join.RECALL * 2000
 
 
+def test_near_copies_are_not_split_further(spark, monkeypatch):
+    """A large group of near copies, most of them no more alike than 0.7, meets pivots and isn't dealt to smaller buckets; links stay those of all pairs."""
+    monkeypatch.setattr(jaccard_join, "LIMIT", 60)
+    monkeypatch.setattr(jaccard_join, "PART", 50)
+    draw = random.Random(8)
+    base, passage = [f"w{k}" for k in range(150)], [f"p{k}" for k in range(30)]
+    texts = {}
+    for i in range(200):
+        words = list(base)
+        for k in draw.sample(range(150), draw.choice([1, 2, 4, 6])):
+            words[k] = f"x{i}"
+        texts[i] = " ".join(words)
+    for i in range(200, 300):
+        texts[i] = " ".join([*passage, *(f"{i}y{k}" for k in range(draw.choice([5, 20, 60])))])
+    texts |= {i: f"{texts[i - 100]} z" for i in range(300, 310)}
+    docs = spark.createDataFrame(list(texts.items()), "_id long, _text string").repartition(4)
+    sets = docs.mapInArrow(jaccard_join._described, jaccard_join._DESCRIBED).withColumnRenamed("_id", "rep").cache()
+    found, edges = jaccard_join._split(sets.select("rep", *jaccard_join.CHOSEN), sets.select("rep", "sketch"))
+    assert found.filter("rep < 200").count() < 200
+    of_copies = components(edges).filter("node < 200")
+    assert of_copies.count() == 200 and of_copies.select("label").distinct().count() == 1
+    assert joined(spark, texts) == expected(texts)
+
+
 def test_huge_buckets_are_dealt_in_parts(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "HUGE", 5)
     monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
