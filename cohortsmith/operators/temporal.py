@@ -37,15 +37,18 @@ def ordered(times: list[DataFrame], least: int, most: int | None, admits_null: l
     earliest one of a subject, with one those in the reach of an earlier row, found by an equi join on
     buckets as wide as the reach.
     """
-    reach = times[0].filter("t is not null").select("subject", "t").distinct()
-    for nxt in times[1:]:
-        ahead = nxt.filter("t is not null").select("subject", "t").distinct()
+    reach = times[0].filter("t is not null").select("subject", "t")
+    for k, nxt in enumerate(times[1:], 1):
+        ahead = nxt.filter("t is not null").select("subject", "t")
         if most is None:
             first = reach.groupBy("subject").agg(F.min("t").alias("_first"))
+            if k == len(times) - 1:  # the latest time decides, so that subjects are held and joined, not all their times
+                ahead = ahead.groupBy("subject").agg(F.max("t").alias("t"))
             reach = ahead.join(first, "subject").filter(F.col("t") >= F.col("_first") + F.make_dt_interval(secs=F.lit(least))).select("subject", "t")
         elif most < least:
             reach = ahead.limit(0)
         else:
+            reach, ahead = reach.distinct(), ahead.distinct()
             width = max(1, most - least)
             second = lambda c: F.unix_micros(F.col(c))
             bucket = lambda c, plus: F.floor((second(c) + plus * 1_000_000) / (width * 1_000_000))

@@ -247,4 +247,6 @@ class Compiled:
         if not node.included:
             return subjects.select("subject", *(F.lit(None).cast(LOGICAL[c]).alias(c) for c in sorted(columns)))
         rows = reduce(DataFrame.unionAll, (self.rows_of(c, columns) for c in node.included))
+        if node.kind == OR and not node.excluded:  # the rows' subjects are the group's
+            return rows
         return rows.join(subjects, "subject", "left_semi")

@@ -1,11 +1,12 @@
 """Small requests over rows given for each criterion, with results worked out by hand."""
 
 import itertools
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from cohortsmith import modes
+from cohortsmith import modes, queries
 from cohortsmith.plans.compile import Compiled
 from cohortsmith.plans.model import RequestError
 from cohortsmith.plans.parser import parse
@@ -230,3 +231,11 @@ def test_empty_rows(spark):
     assert result(spark, group("andGroup", 0, A, B), nothing) == []
     c = compiled(spark, group("orGroup", 0, A, B), nothing)
     assert {r["stage"]: r["ratio"] for r in modes.stage_ratios(c).collect()} == {0: None, 1: None, 2: None}
+
+
+def test_ordering_without_upper_bound_holds_subjects_not_times(spark):
+    """No aggregation keeps a subject's times apart, and rows of an orGroup don't meet the group's subjects, which are theirs."""
+    frame = queries.QUERIES["chronological_in_subgroup"](spark, "/root/testdata/sf0.001")
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate \[subject#\w+, t#", plan)
+    assert len(re.findall(r"Relation \[l_orderkey", plan)) == 2
