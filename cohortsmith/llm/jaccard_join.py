@@ -7,7 +7,7 @@ least the threshold are linked.
 2. In each of RUNS runs a set chooses the tokens whose hash is below 1 / (threshold * size), 1.25 of them
    on average, and goes to their buckets. Two sets above the threshold share a chosen token with
    probability 1 - 1/e at least. Buckets above LIMIT are split again by the tokens chosen under
-   another hash, up to DEPTH times; before, members are joined to a few pivots, as in 3, and buckets that are
+   another hash, up to DEPTH times; before the first time, members are joined to a few pivots, as in 3, and buckets that are
    one component then, but for a few members that meet all others, are not split. No two runs or depths share a hash: with at most DEPTH choices a
    run finds a link with probability (1 - 1/e)^DEPTH at least, independently of the other runs, and
    RUNS is the number that brings the misses of this step below 1 - RECALL.
@@ -166,9 +166,8 @@ def _split(sets: DataFrame, sketches: DataFrame | None) -> tuple[DataFrame, Data
         if depth == DEPTH or not sizes.filter(F.col("n") > LIMIT).limit(1).count():
             break
         start = larger(level, sizes)
-        if sketches is not None:
-            level, joined = _thinned(start, sketches)
-            edges = joined if edges is None else edges.union(joined)
+        if sketches is not None and depth == 1:  # later, a meeting costs more disk than it saves
+            level, edges = _thinned(start, sketches)
             sizes = sized(level)
             taken(level, sizes.filter(F.col("n") <= LIMIT))
             start = larger(level, sizes)
