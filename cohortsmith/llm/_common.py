@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import tempfile
@@ -45,6 +46,12 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def let_go(spark: SparkSession) -> None:
+    """Spark removes shuffle files and checkpoints that nobody needs any more when the driver collects its garbage, which a driver with little to do may not do for a long time: it does so now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: The tables that written() made and nobody removed yet.
 _made: list[str] = []
 
@@ -80,7 +87,7 @@ FEW = 1000
 
 
 def spread_join(rows: DataFrame, facts: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
-    """rows joined (inner or left) with facts, which have each key once and the number of its rows in column n.
+    """rows joined (inner or left) with facts, which have each key once and the number of its rows in column n. Facts are read several times, so they should be saved.
 
     Frequent keys are those with more rows than half a partition would have if all were even, so that there are at most
     twice as many as partitions. Only their facts are broadcast, and their rows stay where they lie; the rest is joined as usual.
@@ -91,7 +98,7 @@ def spread_join(rows: DataFrame, facts: DataFrame, key: str, n: str, how: str =
     limit = max(FEW, total // (2 * parts))
     if most <= limit:
         return rows.join(facts, key, how)
-    frequent = saved(facts.filter(F.col(n) > limit))
+    frequent = facts.filter(F.col(n) > limit)
     rest = rows.join(F.broadcast(frequent.select(key)), key, "left_anti").join(facts.filter(F.col(n) <= limit), key, how)
     return rows.join(F.broadcast(frequent), key).select(rest.columns).union(rest)
 

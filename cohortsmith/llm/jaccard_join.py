@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import blocks, grouped, keyed, mix, named, saved, spread_join, text_bytes, tidy, words_of
+from ._common import blocks, grouped, keyed, let_go, mix, named, saved, spread_join, text_bytes, tidy, words_of
 from ._windows import sorted_by
 from .components import components
 
@@ -145,10 +145,13 @@ def _buckets(sets: DataFrame) -> DataFrame:
     return _split(sets, None)[0]
 
 
-def _split(sets: DataFrame, sketches: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
-    """Buckets as _buckets() gives them, and (a, b) joining members of larger buckets that met pivots before they were split (none without sketches)."""
+def _split(sets: DataFrame, sketches: DataFrame | None, chosen: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Buckets as _buckets() gives them, and (a, b) joining members of larger buckets that met pivots before they were split (none without sketches).
+
+    chosen: a table with the tokens of all sets, and maybe of others, if reading it costs less than reading sets.
+    """
     level = sets.select("rep", F.explode(CHOSEN[0]).alias("x")).select("rep", F.col("x.r").alias("r"), F.col("x.t").alias("path"))
-    out, counts, edges = None, None, None
+    out, counts, edges, chosen = None, None, None, sets if chosen is None else chosen
     sized = lambda rows: saved(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("members")).filter("n > 1"))
 
     def taken(rows, some):
@@ -162,16 +165,18 @@ def _split(sets: DataFrame, sketches: DataFrame | None) -> tuple[DataFrame, Data
     for depth in range(1, DEPTH + 1):
         level = saved(level)
         sizes = sized(level)
+        let_go(sets.sparkSession)
         taken(level, sizes if depth == DEPTH else sizes.filter(F.col("n") <= LIMIT))
-        if depth == DEPTH or not sizes.filter(F.col("n") > LIMIT).limit(1).count():
+        if depth == DEPTH or sizes.filter(F.col("n") > LIMIT).isEmpty():
             break
         start = larger(level, sizes)
         if sketches is not None and depth == 1:  # later, a meeting costs more disk than it saves
             level, edges = _thinned(start, sketches)
             sizes = sized(level)
+            let_go(sets.sparkSession)
             taken(level, sizes.filter(F.col("n") <= LIMIT))
             start = larger(level, sizes)
-        tokens = sets.select("rep", F.explode(CHOSEN[depth]).alias("x")).select("rep", F.col("x.r").alias("r"), F.col("x.t").alias("t"))
+        tokens = chosen.select("rep", F.explode(CHOSEN[depth]).alias("x")).select("rep", F.col("x.r").alias("r"), F.col("x.t").alias("t"))
         level = start.join(tokens, ["rep", "r"]).select("rep", "r", F.xxhash64("path", "t").alias("path"))
     once = saved(counts.groupBy("n", "members").agg(F.min("path").alias("path")).select("path", "n"))
     return spread_join(out, once, "path", "n"), edges
@@ -192,7 +197,7 @@ def _thinned(rows: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame
     shape = saved(shape.withColumn("ends", (F.col("others") <= PIVOTS) & (F.col("others") * 4 <= F.col("n"))))
     left, edges = saved(spread_join(left, shape, "path", "n")), met.filter("a != b").select("a", "b")
     ending = left.filter(F.col("ends") & (F.col("others") > 0))
-    if ending.limit(1).count():
+    if not ending.isEmpty():
         ending = saved(rows.join(ending.select("path", "rep", (F.col("label") != F.col("most")).alias("other")), ["path", "rep"]))
         edges = edges.union(_met(ending, ending.filter("other")).filter("a != b").select("a", "b"))
     return left.filter(~F.col("ends")).select("rep", "r", "path"), edges
@@ -288,7 +293,7 @@ def pivoted(buckets: DataFrame, sketches: DataFrame) -> DataFrame:
         found = met.filter("a != b").select("a", "b")
         edges = found if edges is None else edges.union(found)
         left = saved(left.join(met.filter("tight").select("path", F.col("b").alias("rep")).distinct(), ["path", "rep"], "left_anti"))
-        if not left.limit(1).count():
+        if left.isEmpty():
             return edges
         turn += 1
 
@@ -427,21 +432,26 @@ def linked_keys(texts: DataFrame) -> DataFrame:
     named = described.filter("size > 0").groupBy("name").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     groups = saved(named)
     sets = described.select(F.col("_id").alias("rep"), "size", "sketch", *CHOSEN).join(groups.select("rep", "n"), "rep")
-    sketches = sets.select("rep", "sketch")
-    found, met = _split(sets.select("rep", *CHOSEN), sketches)
+    # sketches and further tokens are joined with representatives only: they need not be theirs alone
+    of_all = described.withColumnRenamed("_id", "rep")
+    sketches = of_all.select("rep", "sketch")
+    found, met = _split(sets.select("rep", *CHOSEN), sketches, of_all)
     found = saved(found)
+    let_go(texts.sparkSession)
     near = sorted_by(found.filter(F.col("n") <= HUGE).select("path", "rep").join(sketches, "rep"), "path").mapInArrow(tidy(_joined), "a long, b long")
     huge = found.filter(F.col("n") > HUGE)
-    if huge.limit(1).count():
+    if not huge.isEmpty():
         near = near.union(pivoted(huge, sketches))
     if met is not None:
         near = near.union(met)
     labels = saved(components(near))
+    let_go(texts.sparkSession)
     sized = labels.join(sets.select(F.col("rep").alias("node"), "size", "n"), "node")
     members = blocked(sized)
     content = texts.join(members.withColumnRenamed("node", "_id"), "_id").select("_id", "_text", "label", "band", "n_blocks", "above", "below", "n")
     dealt = content.mapInArrow(tidy(_sets), "key long, label long, part long, left boolean, rep long, n long, tokens binary")
     decided = saved(sorted_by(dealt, "key").mapInArrow(tidy(_decided), "rep long, links long, root long"))
+    let_go(texts.sparkSession)
     classes = components(decided.select(F.col("root").alias("a"), F.col("rep").alias("b")))
     links = decided.groupBy("rep").agg(F.sum("links").alias("links"))
     of_rep = groups.join(links, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")

@@ -2,12 +2,15 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cohortsmith.llm import components as components_module
 from cohortsmith.llm import jaccard_join, simhash
+from cohortsmith.llm._common import let_go, saved
 from cohortsmith.llm.components import components
 
 
@@ -305,3 +308,28 @@ def test_recall_of_near_documents(spark):
     prints = [x.tobytes().hex() for x in simhash._of(texts)]
     got = {r["fingerprint"]: r["n_near"] for r in simhash.near(spark.createDataFrame([(p,) for p in prints], "fingerprint string")).collect()}
     assert len(true) > 90 and sum(got[prints[i]] > 0 and got[prints[i + 1]] > 0 for i in true) >= 0.85 * len(true)
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    """Edges that are stars are seen to be done; others, if a node is on both sides or has two smaller neighbours."""
+    made = []
+    monkeypatch.setattr(components_module, "saved", lambda df: made.append(1) or saved(df))
+    for edges, rounds in (([(1, k) for k in range(2, 9)] + [(9, 10), (12, 11)], 0), ([], 0), ([(1, 2), (2, 3)], 1), ([(1, 3), (2, 3)], 1)):
+        made.clear()
+        got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {n: min(x for e in edges for x in e if (n < 9) == (x < 9) and (n < 11) == (x < 11)) for e in edges for n in e}
+        assert len(made) - 1 == rounds
+    assert {r["node"]: r["label"] for r in components(spark.createDataFrame([(k, k + 1) for k in range(20)], "a long, b long")).collect()} == dict.fromkeys(range(21), 0)
+
+
+def test_files_of_finished_steps_go(spark):
+    """The driver of this session has no need to collect garbage: without being told, Spark would keep the shuffle files of all steps."""
+    files = lambda: time.sleep(1) or spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    let_go(spark)
+    before = files()
+    draw = random.Random(12)
+    base = [f"w{i}" for i in range(80)]
+    texts = {i: " ".join(w if draw.random() > 0.01 else f"x{i}" for w in base) for i in range(200)}
+    out = jaccard_join.linked(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert files() - before < 64  # 90 without let_go()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in out.collect()} == expected(texts)
